@@ -32,14 +32,16 @@ def normalise_code(col: Column | str) -> Column:
     The ``00-`` prefix is a capital-city defect of department 1; the repair is
     applied to every row, as the batch it mirrors does.
     """
-    s = F.btrim(_c(col).cast("string"), F.lit(WHITESPACE))
-    return F.when(s.startswith("00-"), F.overlay(s, F.lit("01"), F.lit(1), F.lit(2))).otherwise(s)
+    # the input is referenced once: Catalyst may inline this expression into
+    # pushed-down predicates, where repeated references are re-evaluated
+    return F.regexp_replace(F.btrim(_c(col).cast("string"), F.lit(WHITESPACE)), "^00-", "01-")
 
 
 def municipality(code: Column | str) -> Column:
     """First two ``-`` segments of a (normalised) code; null with < 2 segments."""
-    c = _c(code)
-    return F.when(F.instr(c, "-") > 0, F.substring_index(c, "-", 2))
+    # one reference to the input (see normalise_code); a match always
+    # contains '-', so the empty string means "fewer than two segments"
+    return F.nullif(F.regexp_extract(_c(code), "^([^-]*-[^-]*)", 1), F.lit(""))
 
 
 def code_segment(code: Column | str, i: int) -> Column:

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.numeric import rate
+from ..session import materialise
 from . import indicators as ind
 from . import insights as ins
 
@@ -44,7 +45,7 @@ def facts(df: DataFrame, weight: str | None = None) -> DataFrame:
     """Long ``(dimension, label, metrica, valor, fuente)`` table of every
     published aggregate: national indicators, department table, gap tables."""
     if weight is None:
-        df, weight = ind.outcome_cube(df), "n"
+        df, weight = materialise(ind.outcome_cube(df), "cube"), "n"
     nat = ind.national_indicators(df, weight).withColumn("label", F.lit("Total"))
     dep = ind.department_summary(df, weight).withColumnRenamed("departamento", "label")
     gaps = ind.gap_all(df, weight=weight)
@@ -158,7 +159,7 @@ def insights_array(df: DataFrame, weight: str | None = None) -> DataFrame:
 def indicators_document(df: DataFrame, weight: str | None = None) -> DataFrame:
     """K5 content: ``{"indicadores": ..., "insights": [...], "promedio_retiro_nacional": x}``."""
     if weight is None:
-        df, weight = ind.outcome_cube(df), "n"
+        df, weight = materialise(ind.outcome_cube(df), "cube"), "n"
     nat = ind.national_indicators(df, weight)
     parts = (
         _part(indicators_object(df, weight), 0, "indicadores", F.col("indicadores"))
@@ -173,7 +174,7 @@ def context_document(df: DataFrame, weight: str | None = None) -> DataFrame:
     department records (4 columns, ranking order) and the area / sector /
     level gap tables (not peoples). Size is bounded by group counts."""
     if weight is None:
-        df, weight = ind.outcome_cube(df), "n"
+        df, weight = materialise(ind.outcome_cube(df), "cube"), "n"
     nat = ind.national_indicators(df, weight)
     dep = ind.department_summary(df, weight)
     dep_records = dep.agg(

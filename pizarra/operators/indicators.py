@@ -83,7 +83,7 @@ def national_indicators(df: DataFrame, weight: str | None = None, result: str =
 
 def share(df: DataFrame, dim: str, weight: str | None = None) -> DataFrame:
     """A4: ``(dim, n, pct)`` — share of each non-null label, by descending count."""
-    counts = df.where(F.col(dim).isNotNull()).groupBy(dim).agg(_rows(weight).alias("n"))
+    counts = df.groupBy(dim).agg(_rows(weight).alias("n")).where(F.col(dim).isNotNull())
     grand = Window.partitionBy()  # over the (tiny) aggregated result only
     return counts.withColumn("pct", rate(F.col("n"), F.sum("n").over(grand))).orderBy(F.desc("n"), dim)
 
@@ -116,8 +116,11 @@ def outcome_by(
     """A8 (and A5 with ``with_not_promoted``): per-group totals and rates;
     null group keys are dropped; output ordered by the keys."""
     dims = [dims] if isinstance(dims, str) else list(dims)
-    keyed = df.where(functools.reduce(lambda a, b: a & b, [F.col(d).isNotNull() for d in dims]))
-    agg = keyed.groupBy(*dims).agg(*outcome_counts(weight, result, with_not_promoted))
+    # null keys are dropped AFTER aggregating (one null group, few rows):
+    # a filter placed before would be pushed into the scan/join with the
+    # key's whole expression inlined
+    agg = df.groupBy(*dims).agg(*outcome_counts(weight, result, with_not_promoted))
+    agg = agg.where(functools.reduce(lambda a, b: a & b, [F.col(d).isNotNull() for d in dims]))
     return with_rates(agg, with_not_promoted).orderBy(*dims)
 
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.numeric import one_decimal, rate, signed_one_decimal, thousands, truncated_estimate
+from ..session import materialise
 from . import indicators as ind
 from .ranking import top_k, worst
 
@@ -144,7 +145,7 @@ def insights_national(df: DataFrame, weight: str | None = None) -> DataFrame:
     """Up to four ``(orden, tipo, texto)`` rows; 3 and 4 only when the data
     supports them. Built from one outcome cube so the input is scanned once."""
     if weight is None:
-        df, weight = ind.outcome_cube(df), "n"
+        df, weight = materialise(ind.outcome_cube(df), "cube"), "n"
     nat = ind.national_indicators(df, weight)
     overview = _row(
         nat,

@@ -217,8 +217,10 @@ def municipality_names(decoded: DataFrame, names: DataFrame | None = None) -> Da
     """Municipality key ``DD-MM`` -> 4-digit catalogue code ``DDMM`` and its
     name from a catalogue ``(codigo, municipio)`` when one is supplied (the
     catalogue is a sheet of the data dictionary, a few hundred rows: broadcast)."""
-    munis = decoded.where(F.col("municipio_codigo").isNotNull()).groupBy("departamento", "municipio_codigo").agg(
-        F.count(F.lit(1)).alias("n")
+    munis = (
+        decoded.groupBy("departamento", "municipio_codigo")
+        .agg(F.count(F.lit(1)).alias("n"))
+        .where(F.col("municipio_codigo").isNotNull())
     )
     munis = munis.withColumn("codigo", F.regexp_replace("municipio_codigo", "-", ""))
     if names is None:

@@ -8,8 +8,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(master: str | None = None, shuffle_partitions: int | None = None, app: str = "pizarra") -> SparkSession:
@@ -54,3 +55,16 @@ def stage_dir(spark: SparkSession, *parts: str) -> str:
     """Folder for tables this library writes itself (exports, round trips)."""
     base = spark.conf.get("pizarra.stage.dir", None) or (checkpoint_dir(spark) + "/pizarra-stage")
     return "/".join([base.rstrip("/"), *parts])
+
+
+def materialise(df: DataFrame, name: str = "tmp") -> DataFrame:
+    """Write ``df`` as Parquet under the shared stage folder and read it back.
+
+    Used where one small intermediate (an outcome cube) feeds many branches of
+    a plan: it is computed once, and the lineage is cut, so a lost executor
+    later re-reads a small table instead of re-running the scan. Never a
+    machine-local folder on a cluster: the base is ``spark.checkpoint.dir``."""
+    spark = df.sparkSession
+    path = stage_dir(spark, "materialised", f"{name}-{uuid.uuid4().hex}")
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
