@@ -46,10 +46,10 @@ def integer_code(df: DataFrame, name: str) -> Column:
     if isinstance(dtype, (T.IntegerType, T.ShortType, T.ByteType)):
         return c.cast("int")
     if isinstance(dtype, T.LongType):
-        return F.try_cast(c, "int")
+        return c.try_cast("int")
     if isinstance(dtype, (T.DoubleType, T.FloatType, T.DecimalType)):
-        return F.when(c == F.floor(c), F.try_cast(c, "int"))
-    return F.try_cast(F.trim(c.cast("string")), "int")
+        return F.when(c == F.floor(c), c.try_cast("int"))
+    return F.trim(c.cast("string")).try_cast("int")
 
 
 def normalise_codes(df: DataFrame, column: str = "cod_establecimiento") -> DataFrame:
