@@ -135,7 +135,7 @@ def scan_departments(
     if fmt == "xlsx":
         from .xlsx import read_workbooks
 
-        return stamp_department(read_workbooks(spark, paths), catalogue, F.col("_path")).drop("_path")
+        return stamp_department(read_workbooks(spark, paths), catalogue, F.col("_path")).select(*RAW_COLUMNS)
     if fmt == "csv":
         df = spark.read.schema(RAW_SCHEMA).option("header", True).option("mode", "PERMISSIVE").csv(paths)
     elif fmt == "parquet":
