@@ -688,3 +688,32 @@ ANSWERS = (
 @register("answer_batch", W(ANSWERS))
 def q_answer_batch(spark, sf_dir):
     return ans.answer_batch(decoded(spark, sf_dir), ans.questions(spark))
+
+
+# ============================================================ streaming
+def streamed_out(spark: SparkSession, sf_dir: str) -> str:
+    """Runs the incremental ingest and cube streams once per sf directory."""
+    from ..streaming import ingest as st
+
+    out = _stage(spark, sf_dir, "stream")
+    if not files.path_exists(spark, f"{out}/_DONE"):
+        landing = exported(spark, sf_dir)
+        q1 = st.start_ingest(spark, landing, f"{out}/processed", CSV_CATALOGUE, checkpoint=f"{out}/_ckpt_ingest")
+        q2 = st.start_cube(spark, landing, f"{out}/cube", CSV_CATALOGUE, checkpoint=f"{out}/_ckpt_cube")
+        q1.awaitTermination()
+        q2.awaitTermination()
+        files.touch(spark, f"{out}/_DONE")
+    return out
+
+
+@register("stream_ingest", W("SELECT * FROM d"))
+def q_stream_ingest(spark, sf_dir):
+    return files.scan_processed(spark, f"{streamed_out(spark, sf_dir)}/processed")
+
+
+@register(
+    "stream_cube",
+    W("SELECT departamento, area, sector, sexo, nivel, pueblo, resultado, count(*) AS n FROM d GROUP BY ALL"),
+)
+def q_stream_cube(spark, sf_dir):
+    return spark.read.parquet(f"{streamed_out(spark, sf_dir)}/cube")
