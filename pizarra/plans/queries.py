@@ -360,12 +360,56 @@ def q_insights_department(spark, sf_dir):
 
 
 # ======================================================= 2.7 context / O1
-@register("context_document", None)
+def _j(x: str) -> str:
+    return f"CAST(to_json({x}) AS VARCHAR)"
+
+
+def _share_map(dim: str) -> str:
+    return (
+        f"(SELECT '{{' || string_agg({_j('label')} || ':' || {_j('pct')}, ',' ORDER BY n DESC, label) || '}}' "
+        f"FROM sh WHERE dimension = '{dim}')"
+    )
+
+
+INDICATORS_OBJ = (
+    "'{\"total_estudiantes\":' || " + _j("nat.total") + " || ',\"tasa_promocion\":' || " + _j("nat.tasa_promocion")
+    + " || ',\"tasa_no_promocion\":' || " + _j("nat.tasa_no_promocion") + " || ',\"tasa_retiro\":' || " + _j("nat.tasa_retiro")
+    + "".join(f" || ',\"por_{d}\":' || {_share_map(d)}" for d in ind.SHARE_DIMS)
+    + " || '}'"
+)
+INSIGHTS_ARR = f"(SELECT {_j('list(texto ORDER BY orden)')} FROM it)"
+DOC_CTES = f"{VS_CTES}, sh AS ({share_all_sql(ind.SHARE_DIMS)}), it AS ({INSIGHTS})"
+INDICATORS_DOC = (
+    "SELECT '{\"indicadores\":' || " + INDICATORS_OBJ + " || ',\"insights\":' || " + INSIGHTS_ARR
+    + " || ',\"promedio_retiro_nacional\":' || " + _j("nat.tasa_retiro") + " || '}' AS documento FROM nat"
+)
+
+
+def _records_sql(fields, order: str, source: str) -> str:
+    pack = ", ".join(f"{f} := {f}" for f in fields)
+    return f"(SELECT {_j(f'list(struct_pack({pack}) ORDER BY {order})')} FROM ({source}))"
+
+
+CONTEXT_DOC = (
+    "SELECT '{\"indicadores\":' || " + INDICATORS_OBJ + " || ',\"insights\":' || " + INSIGHTS_ARR
+    + " || ',\"promedio_retiro\":' || " + _j("nat.tasa_retiro")
+    + " || ',\"por_departamento\":' || "
+    + _records_sql(["departamento", "total", "tasa_promocion", "tasa_retiro"], "tasa_retiro DESC, departamento", "SELECT * FROM s")
+    + "".join(
+        f" || ',\"brecha_{d}\":' || "
+        + _records_sql([d, "total", "promovidos", "retirados", "tasa_promocion", "tasa_retiro"], d, o.grouped(d))
+        for d in ["area", "sector", "nivel"]
+    )
+    + " || '}' AS contexto FROM nat"
+)
+
+
+@register("context_document", W(CONTEXT_DOC, DOC_CTES))
 def q_context(spark, sf_dir):
     return ans.context_document(decoded(spark, sf_dir))
 
 
-@register("indicators_json", None)
+@register("indicators_json", W(INDICATORS_DOC, DOC_CTES))
 def q_indicators_json(spark, sf_dir):
     return ans.indicators_document(decoded(spark, sf_dir))
 
