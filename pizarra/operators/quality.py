@@ -226,3 +226,28 @@ def municipality_names(decoded: DataFrame, names: DataFrame | None = None) -> Da
     if names is None:
         return munis.withColumn("municipio", F.lit(None).cast("string"))
     return munis.join(F.broadcast(names.select("codigo", "municipio")), "codigo", "left")
+
+
+# Documented in the data dictionary but absent from the data files.
+DOCUMENTED_ABSENT = ("modalidad",)
+
+
+def schema_conformance(df: DataFrame, expected: Sequence[str] | None = None) -> DataFrame:
+    """Expected raw columns vs the frame's schema (a metadata diff, no
+    data scan): one row per column with ``esperada``, ``presente``, ``tipo``.
+    Columns documented but absent (``modalidad``) are listed as not expected."""
+    from ..sources.fixture import RAW_COLUMNS
+
+    expected = list(expected or RAW_COLUMNS)
+    types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    names = expected + [c for c in types if c not in expected] + [c for c in DOCUMENTED_ABSENT if c not in types and c not in expected]
+    rows = [(c, c in expected, c in types, types.get(c)) for c in names]
+    schema = T.StructType(
+        [
+            T.StructField("columna", T.StringType()),
+            T.StructField("esperada", T.BooleanType()),
+            T.StructField("presente", T.BooleanType()),
+            T.StructField("tipo", T.StringType()),
+        ]
+    )
+    return df.sparkSession.createDataFrame(rows, schema)

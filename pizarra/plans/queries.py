@@ -451,7 +451,7 @@ def q_stamp_department(spark, sf_dir):
     paths = list(files.existing_files(spark, folder, CSV_CATALOGUE).values())
     raw = spark.read.schema(files.RAW_SCHEMA).option("header", True).csv(paths)
     stamped = files.stamp_department(raw.drop("departamento_f").withColumn("departamento_f", F.lit(None).cast("int")), CSV_CATALOGUE)
-    return stamped.groupBy(files.file_stem(F.col("_metadata.file_path")).alias("archivo"), "departamento_f").agg(F.count(F.lit(1)).alias("n"))
+    return stamped.groupBy(files.file_stem(F.col("_metadata.file_path"), CSV_CATALOGUE).alias("archivo"), "departamento_f").agg(F.count(F.lit(1)).alias("n"))
 
 
 TRIAL = ", ".join(str(d) for d in TRIAL_DEPARTMENTS)

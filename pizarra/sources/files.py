@@ -84,22 +84,33 @@ def touch(spark: SparkSession, path: str) -> None:
 
 
 # ------------------------------------------------------------- catalogue
-def file_stem(path: Column) -> Column:
-    """``.../guatemala.csv`` or ``.../guatemala.csv/part-0000.csv`` -> ``guatemala``."""
-    return F.regexp_extract(path, r"([^/]+)\.(xlsx|csv|parquet|json)(/[^/]+)?$", 1)
+def catalogue_file(path: Column, names: Iterable[str]) -> Column:
+    """The catalogue entry a row's file belongs to: the file itself
+    (``.../guatemala.xlsx``) or its folder (``.../guatemala.csv/part-0.csv``).
+    Plain string functions plus a hash-set membership test: the path is the
+    same for every row of a file, so no per-row regex."""
+    names = list(names)
+    last = F.substring_index(path, "/", -1)
+    parent = F.substring_index(F.substring_index(path, "/", -2), "/", 1)
+    return F.when(last.isin(*names), last).when(parent.isin(*names), parent)
 
 
 def stem_of(name: str) -> str:
     return name.rsplit(".", 1)[0] if "." in name else name
 
 
+def file_stem(path: Column, catalogue: Mapping[int, str] = DEPARTMENT_FILES) -> Column:
+    """Catalogue file stem of a row's file (``guatemala``), null outside the catalogue."""
+    return F.substring_index(catalogue_file(path, catalogue.values()), ".", 1)
+
+
 def stamp_department(df: DataFrame, catalogue: Mapping[int, str], path: Column | None = None, column: str = "departamento_f") -> DataFrame:
     """S3: overwrite the department column with the id of the row's file."""
     path = path if path is not None else F.col("_metadata.file_path")
     items = []
     for dep_id, name in catalogue.items():
-        items += [F.lit(stem_of(name)), F.lit(dep_id).cast("int")]
-    return df.withColumn(column, F.create_map(*items)[file_stem(path)])
+        items += [F.lit(name), F.lit(dep_id).cast("int")]
+    return df.withColumn(column, F.create_map(*items)[catalogue_file(path, catalogue.values())])
 
 
 def existing_files(spark: SparkSession, folder: str, catalogue: Mapping[int, str], only: Iterable[int] | None = None) -> dict[int, str]:

@@ -181,3 +181,12 @@ def test_context_document_is_valid_json(decoded):
     ]
     assert set(doc["por_departamento"][0]) == {"departamento", "total", "tasa_promocion", "tasa_retiro"}
     assert "brecha_pueblo" not in doc
+
+
+def test_schema_conformance(raw):
+    rows = {r.columna: r for r in qual.schema_conformance(raw).collect()}
+    assert all(rows[c].presente and rows[c].esperada for c in raw.columns)
+    assert len([r for r in rows.values() if r.esperada]) == 15
+    assert rows["modalidad"].presente is False and rows["modalidad"].esperada is False
+    missing = {r.columna: r for r in qual.schema_conformance(raw.drop("graduando").withColumn("extra", F.lit(1))).collect()}
+    assert missing["graduando"].presente is False and missing["extra"].esperada is False
