@@ -79,7 +79,7 @@ def _memo(spark: SparkSession, key: tuple, build) -> DataFrame:
     """Reuse an analysed scan/view plan within a session: re-reading a
     file's footer for its schema runs a Spark job each time. DataFrames are
     immutable plans; every action still reads the data afresh."""
-    k = (id(spark.sparkContext._jsc), *key)
+    k = (spark.sparkContext.applicationId, *key)
     if k not in _PLANS:
         _PLANS[k] = build()
     return _PLANS[k]
