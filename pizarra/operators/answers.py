@@ -47,8 +47,8 @@ def facts(df: DataFrame, weight: str | None = None) -> DataFrame:
     if weight is None:
         df, weight = materialise(ind.outcome_cube(df), "cube"), "n"
     nat = ind.national_indicators(df, weight).withColumn("label", F.lit("Total"))
-    dep = ind.department_summary(df, weight).withColumnRenamed("departamento", "label")
-    gaps = ind.gap_all(df, weight=weight)
+    dep = ind.department_summary(df, weight, ordered=False).withColumnRenamed("departamento", "label")
+    gaps = ind.gap_all(df, weight=weight, ordered=False)
     metrics4 = ["total", "tasa_promocion", "tasa_no_promocion", "tasa_retiro"]
     metrics3 = ["total", "tasa_promocion", "tasa_retiro"]
 
@@ -138,16 +138,19 @@ def indicators_object(df: DataFrame, weight: str | None = None) -> DataFrame:
     for i, (key, col) in enumerate(scalar):
         p = _part(nat, i, key, json_value(col))
         parts = p if parts is None else parts.unionByName(p)
+    # the four share maps from ONE grouping-sets aggregate, one row per dimension
     shares = ind.shares_all(df, ind.SHARE_DIMS, weight)
-    for i, dim in enumerate(ind.SHARE_DIMS):
-        one = shares.where(F.col("dimension") == dim)
-        entries = F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("k"), F.col("label"), F.col("pct"))))
-        text = F.concat(
-            F.lit("{"),
-            F.array_join(F.transform(entries, lambda e: F.concat(json_value(e["label"]), F.lit(":"), json_value(e["pct"]))), ","),
-            F.lit("}"),
-        )
-        parts = parts.unionByName(_part(one.agg(text.alias("v")), 10 + i, f"por_{dim}", F.col("v")))
+    entries = F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("k"), F.col("label"), F.col("pct"))))
+    text = F.concat(
+        F.lit("{"),
+        F.array_join(F.transform(entries, lambda e: F.concat(json_value(e["label"]), F.lit(":"), json_value(e["pct"]))), ","),
+        F.lit("}"),
+    )
+    slot = F.create_map(*[x for i, d in enumerate(ind.SHARE_DIMS) for x in (F.lit(d), F.lit(10 + i))])
+    maps = shares.groupBy("dimension").agg(text.alias("v")).select(
+        slot[F.col("dimension")].alias("orden"), F.concat(F.lit("por_"), F.col("dimension")).alias("clave"), F.col("v").alias("valor")
+    )
+    parts = parts.unionByName(maps)
     return json_object(parts, "indicadores")
 
 
@@ -176,7 +179,7 @@ def context_document(df: DataFrame, weight: str | None = None) -> DataFrame:
     if weight is None:
         df, weight = materialise(ind.outcome_cube(df), "cube"), "n"
     nat = ind.national_indicators(df, weight)
-    dep = ind.department_summary(df, weight)
+    dep = ind.department_summary(df, weight, ordered=False)
     dep_records = dep.agg(
         _records([-F.col("tasa_retiro"), F.col("departamento")], ["departamento", "total", "tasa_promocion", "tasa_retiro"])
         .alias("v")
@@ -187,8 +190,15 @@ def context_document(df: DataFrame, weight: str | None = None) -> DataFrame:
         .unionByName(_part(nat, 2, "promedio_retiro", json_value("tasa_retiro")))
         .unionByName(_part(dep_records, 3, "por_departamento", F.col("v")))
     )
-    for i, dim in enumerate(["area", "sector", "nivel"]):
-        g = ind.gap_table(df, dim, weight)
-        rec = g.agg(_records([F.col(dim)], [dim, "total", "promovidos", "retirados", "tasa_promocion", "tasa_retiro"]).alias("v"))
-        parts = parts.unionByName(_part(rec, 4 + i, f"brecha_{dim}", F.col("v")))
-    return json_object(parts, "contexto")
+    # the three gap tables from ONE grouping-sets aggregate; each record's
+    # label field is keyed by its dimension name ({"area": ..., "total": ...})
+    dims = ["area", "sector", "nivel"]
+    gaps = ind.gap_all(df, dims, weight, ordered=False)
+    body = F.to_json(F.struct("label", "total", "promovidos", "retirados", "tasa_promocion", "tasa_retiro"))
+    record = F.concat(F.lit("{"), json_value(F.col("dimension")), F.lit(":"), body.substr(F.lit(len('{"label":') + 1), F.length(body)))
+    listed = F.array_sort(F.collect_list(F.struct(F.col("label"), record.alias("r"))))
+    slot = F.create_map(*[x for i, d in enumerate(dims) for x in (F.lit(d), F.lit(4 + i))])
+    gap_parts = gaps.groupBy("dimension").agg(
+        F.concat(F.lit("["), F.array_join(F.transform(listed, lambda e: e["r"]), ","), F.lit("]")).alias("v")
+    ).select(slot[F.col("dimension")].alias("orden"), F.concat(F.lit("brecha_"), F.col("dimension")).alias("clave"), F.col("v").alias("valor"))
+    return json_object(parts.unionByName(gap_parts), "contexto")

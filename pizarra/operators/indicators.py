@@ -112,29 +112,34 @@ def outcome_by(
     weight: str | None = None,
     with_not_promoted: bool = False,
     result: str = RESULT,
+    ordered: bool = True,
 ) -> DataFrame:
     """A8 (and A5 with ``with_not_promoted``): per-group totals and rates;
-    null group keys are dropped; output ordered by the keys."""
+    null group keys are dropped; output ordered by the keys (``ordered=False``
+    for internal consumers that order inside an aggregate anyway: a global
+    sort adds a range-partitioning exchange and a sampling job)."""
     dims = [dims] if isinstance(dims, str) else list(dims)
     # null keys are dropped AFTER aggregating (one null group, few rows):
     # a filter placed before would be pushed into the scan/join with the
     # key's whole expression inlined
     agg = df.groupBy(*dims).agg(*outcome_counts(weight, result, with_not_promoted))
     agg = agg.where(functools.reduce(lambda a, b: a & b, [F.col(d).isNotNull() for d in dims]))
-    return with_rates(agg, with_not_promoted).orderBy(*dims)
+    out = with_rates(agg, with_not_promoted)
+    return out.orderBy(*dims) if ordered else out
 
 
-def department_summary(df: DataFrame, weight: str | None = None, dim: str = "departamento") -> DataFrame:
+def department_summary(df: DataFrame, weight: str | None = None, dim: str = "departamento", ordered: bool = True) -> DataFrame:
     """A5 + A6: the department table, by descending dropout rate (ties by name)."""
-    return outcome_by(df, dim, weight, with_not_promoted=True).orderBy(F.desc("tasa_retiro"), dim)
+    out = outcome_by(df, dim, weight, with_not_promoted=True, ordered=False)
+    return out.orderBy(F.desc("tasa_retiro"), dim) if ordered else out
 
 
-def gap_table(df: DataFrame, dim: str, weight: str | None = None) -> DataFrame:
+def gap_table(df: DataFrame, dim: str, weight: str | None = None, ordered: bool = True) -> DataFrame:
     """A8 for one dimension (``area``, ``sector``, ``pueblo``, ``nivel``)."""
-    return outcome_by(df, dim, weight)
+    return outcome_by(df, dim, weight, ordered=ordered)
 
 
-def gap_all(df: DataFrame, dims: Sequence[str] = GAP_DIMS, weight: str | None = None) -> DataFrame:
+def gap_all(df: DataFrame, dims: Sequence[str] = GAP_DIMS, weight: str | None = None, ordered: bool = True) -> DataFrame:
     """All gap tables from one pass, long ``(dimension, label, ...)``.
 
     One partial aggregate over the dimension combination, then a grouping-sets
@@ -155,7 +160,8 @@ def gap_all(df: DataFrame, dims: Sequence[str] = GAP_DIMS, weight: str | None =
     dimension = F.coalesce(*[F.when(F.col(f"__g_{d}") == 0, F.lit(d)) for d in dims])
     label = F.coalesce(*[F.when(F.col(f"__g_{d}") == 0, F.col(d)) for d in dims])
     long = g.select(dimension.alias("dimension"), label.alias("label"), "total", "promovidos", "retirados")
-    return with_rates(long.where(F.col("label").isNotNull()), with_not_promoted=False).orderBy("dimension", "label")
+    out = with_rates(long.where(F.col("label").isNotNull()), with_not_promoted=False)
+    return out.orderBy("dimension", "label") if ordered else out
 
 
 def outcome_cube(df: DataFrame, dims: Sequence[str] = CUBE_DIMS) -> DataFrame:
