@@ -15,7 +15,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.numeric import rate
 from ..session import materialise
 from . import indicators as ind
 from . import insights as ins

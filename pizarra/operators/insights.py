@@ -51,24 +51,25 @@ def severity_class(diff: Column | str) -> Column:
     )
 
 
-def vs_national(df: DataFrame, dim: str = "departamento", weight: str | None = None, by: str = "retirados") -> DataFrame:
+def vs_national(df: DataFrame, dim: str = "departamento", weight: str | None = None) -> DataFrame:
     """Per group ``total, retirados, tasa_retiro, promedio_nacional, diferencia``.
 
-    ``diferencia`` subtracts the two *rounded* rates (float difference kept raw)."""
+    ``diferencia`` subtracts the two *rounded* rates (float difference kept raw).
+    The national rate divides by the row count, the group rates by the
+    non-null outcome count, both from the same ``rollup`` aggregate."""
     agg = df.rollup(dim).agg(
         ind._rows(weight).alias("_filas"),
         *ind.outcome_counts(weight, with_not_promoted=True),
         F.grouping(dim).alias("_g"),
     )
-    rate_col = "tasa_retiro" if by == "retirados" else f"tasa_{by}"
-    national = F.max(F.when(F.col("_g") == 1, rate(by, "_filas"))).over(Window.partitionBy())
+    national = F.max(F.when(F.col("_g") == 1, rate("retirados", "_filas"))).over(Window.partitionBy())
     out = (
         agg.withColumn("promedio_nacional", national)
         .where((F.col("_g") == 0) & F.col(dim).isNotNull())
-        .withColumn(rate_col, rate(by, "total"))
-        .withColumn("diferencia", F.col(rate_col) - F.col("promedio_nacional"))
+        .withColumn("tasa_retiro", rate("retirados", "total"))
+        .withColumn("diferencia", F.col("tasa_retiro") - F.col("promedio_nacional"))
     )
-    return out.select(dim, "total", by, rate_col, "promedio_nacional", "diferencia").orderBy(F.desc(rate_col), dim)
+    return out.select(dim, "total", "retirados", "tasa_retiro", "promedio_nacional", "diferencia").orderBy(F.desc("tasa_retiro"), dim)
 
 
 def severity(df: DataFrame, dim: str = "departamento", weight: str | None = None) -> DataFrame:

@@ -1,6 +1,5 @@
 import pytest
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from pizarra.functions.dictionary import UNKNOWN
 from pizarra.operators import answers as ans
