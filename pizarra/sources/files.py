@@ -4,8 +4,9 @@
   by ONE scan over the list of existing paths (missing files are skipped
   with a warning; none at all is an error) — never a loop of jobs.
 * The department id is stamped from the file each row came from
-  (``_metadata.file_path`` -> file stem -> id through a map literal), which
-  overwrites the data column, as the published files require.
+  (``_metadata.file_path`` -> catalogue file name by plain string functions
+  -> id through a map literal), overwriting the data column, as the
+  published files require.
 * The processed table is written ``partitionBy(departamento_f_codigo)`` so a
   department filter becomes partition pruning, behind a ``rebalance`` hint so
   AQE splits a department holding a large share of rows into several tasks.
