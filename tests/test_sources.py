@@ -91,7 +91,11 @@ def test_pipeline_round_trip_and_pruning(spark, raw, scratch):
     assert doc.indicadores.total_estudiantes == nat.total and doc.promedio_retiro_nacional == nat.tasa_retiro
     assert 2 <= len(doc.insights) <= 4
     adhoc = ans.filtered_count(files.scan_processed(spark, f"{out}/{pl.PROCESSED}"), nivel="Primaria", departamento="Alta Verapaz")
-    scan = [ln for ln in adhoc._jdf.queryExecution().executedPlan().toString().splitlines() if "FileScan parquet" in ln][0]
+    spark.conf.set("spark.sql.maxMetadataStringLength", "10000")  # plan text in full, not cut at 100 characters
+    try:
+        scan = [ln for ln in adhoc._jdf.queryExecution().executedPlan().toString().splitlines() if "FileScan parquet" in ln][0]
+    finally:
+        spark.conf.unset("spark.sql.maxMetadataStringLength")
     assert "EqualTo(nivel,Primaria)" in scan and "EqualTo(departamento,Alta Verapaz)" in scan  # pushed to Parquet
     assert "ReadSchema: struct<departamento:string,nivel:string>" in scan  # two columns read
     sample = spark.read.option("header", True).csv(f"{out}/{pl.SAMPLE}")
