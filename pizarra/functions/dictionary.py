@@ -13,6 +13,7 @@ readable labels. They are exposed three ways:
 
 from __future__ import annotations
 
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -181,12 +182,22 @@ DECODE_SPEC: dict[str, tuple[dict[int, str], str, str]] = {
 DOMAINS: dict[str, dict[int, str]] = {raw: spec[0] for raw, spec in DECODE_SPEC.items()}
 
 
+_MAP_LITERALS: dict[tuple, Column] = {}
+
+
 def label_map(mapping: dict[int, str]) -> Column:
-    """``map<int,string>`` literal; constant-folded by Catalyst."""
-    items = []
-    for code, label in mapping.items():
-        items += [F.lit(code).cast("int"), F.lit(label)]
-    return F.create_map(*items)
+    """``map<int,string>`` literal; constant-folded by Catalyst.
+
+    Built once per Spark context and reused: a Column is an immutable
+    expression, and building the literal costs one driver-to-JVM call per
+    entry, which otherwise dominates the planning time of every query."""
+    key = (SparkContext._active_spark_context, tuple(mapping.items()))
+    if key not in _MAP_LITERALS:
+        items = []
+        for code, label in mapping.items():
+            items += [F.lit(code).cast("int"), F.lit(label)]
+        _MAP_LITERALS[key] = F.create_map(*items)
+    return _MAP_LITERALS[key]
 
 
 def decode_expr(col: Column | str, mapping: dict[int, str]) -> Column:

@@ -36,12 +36,12 @@ DECODED_ORDER = [
 ] + [spec[2] for spec in DECODE_SPEC.values()]
 
 
-def integer_code(df: DataFrame, name: str) -> Column:
+def integer_code(df: DataFrame, name: str, schema: T.StructType | None = None) -> Column:
     """A code column as ``int`` the way a dict with int keys sees it: integral
     values match, fractional values (1.5) and malformed text never do.
     Text such as ``'1'`` is read as 1 (documented deviation: a typed scan
     would have produced 1 in the first place)."""
-    dtype = df.schema[name].dataType
+    dtype = (schema or df.schema)[name].dataType
     c = F.col(name)
     if isinstance(dtype, (T.IntegerType, T.ShortType, T.ByteType)):
         return c.cast("int")
@@ -71,16 +71,17 @@ def decode_all(df: DataFrame) -> DataFrame:
       ``Desconocido``) and renamed; its original value kept as ``<raw>_codigo``;
     * absent columns are skipped, untouched columns pass through.
     """
-    present = set(df.columns)
+    schema = df.schema  # one driver-to-JVM call, not one per column
+    present = set(schema.names)
     out: dict[str, Column] = {}
-    for name in df.columns:
+    for name in schema.names:
         if name == "cod_establecimiento":
             fixed = normalise_code(name)
             out[name] = fixed.alias(name)
             out["municipio_codigo"] = municipality(fixed).alias("municipio_codigo")
         elif name in DECODE_SPEC:
             mapping, label_col, _ = DECODE_SPEC[name]
-            out[label_col] = F.coalesce(label_map(mapping)[integer_code(df, name)], F.lit(UNKNOWN)).alias(label_col)
+            out[label_col] = F.coalesce(label_map(mapping)[integer_code(df, name, schema)], F.lit(UNKNOWN)).alias(label_col)
         else:
             out[name] = F.col(name)
     for raw, (_, _, code_col) in DECODE_SPEC.items():

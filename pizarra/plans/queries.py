@@ -25,7 +25,7 @@ from ..operators import quality as qual
 from ..operators import ranking as rk
 from ..session import stage_dir
 from ..sources import files
-from ..sources.fixture import RAW_COLUMNS, enrolments
+from ..sources.fixture import RAW_COLUMNS, _memo, enrolments
 from . import oracle as o
 from . import pipeline as pl
 
@@ -51,7 +51,10 @@ def register(name: str, sql: str | None):
 
 
 def decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dec.decode_all(enrolments(spark, sf_dir))
+    """The decoded view, planned once per session (like a temp view): its
+    27-column projection is otherwise rebuilt expression by expression for
+    every query. Each action still reads and decodes the tables afresh."""
+    return _memo(spark, ("decoded", sf_dir.rstrip("/")), lambda: dec.decode_all(enrolments(spark, sf_dir)))
 
 
 W = o.with_views

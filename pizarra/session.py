@@ -28,6 +28,9 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        # call-site capture for error messages costs several driver-to-JVM
+        # calls per Column built; plans of the JSON documents build thousands
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.driver.memory", os.environ.get("PIZARRA_DRIVER_MEMORY", "16g"))
         .getOrCreate()
     )
