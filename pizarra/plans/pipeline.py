@@ -17,6 +17,7 @@ from __future__ import annotations
 from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..functions.dictionary import DEPARTMENT_FILES, TRIAL_DEPARTMENTS
 from ..operators import answers as ans
@@ -59,8 +60,8 @@ def analyse(spark: SparkSession, out: str) -> dict[str, str]:
         GAPS: f"{out}/{GAPS}",
         INDICATORS: f"{out}/{INDICATORS}",
     }
-    files.write_table(ind.department_summary(cube, "n"), outputs[SUMMARY])
-    files.write_table(ind.gap_all(cube, weight="n"), outputs[GAPS], partition_by="dimension")
+    files.write_table(ind.department_summary(cube, "n"), outputs[SUMMARY], order=[F.desc("tasa_retiro"), "departamento"])
+    files.write_table(ind.gap_all(cube, weight="n"), outputs[GAPS], partition_by="dimension", order=["dimension", "label"])
     files.write_json_document(ans.indicators_document(cube, "n"), outputs[INDICATORS])
     outputs[CUBE] = cube_path
     return outputs

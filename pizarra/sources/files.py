@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import math
 import warnings
-from collections.abc import Iterable, Mapping
+from collections.abc import Iterable, Mapping, Sequence
 
 from pyspark import StorageLevel
 from pyspark.errors import AnalysisException
@@ -253,9 +253,22 @@ def write_sample_csv(sample: DataFrame, path: str) -> None:
     sample.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
 
 
-def write_table(df: DataFrame, path: str, partition_by: str | None = None) -> None:
-    """K3/K4: small result tables (already aggregated)."""
-    w = df.coalesce(1).write.mode("overwrite")
+def single_file(df: DataFrame, order: Sequence[Column | str] | None = None) -> DataFrame:
+    """One output partition (see ``write_table``); Spark drops a sort placed
+    below a repartition, so the order is re-applied within the partition."""
+    one = df.repartition(1)
+    return one.sortWithinPartitions(*order) if order else one
+
+
+def write_table(df: DataFrame, path: str, partition_by: str | None = None, order: Sequence[Column | str] | None = None) -> None:
+    """K3/K4: small result tables (already aggregated, bounded by group counts),
+    one file each, rows in ``order`` if given.
+
+    ``repartition(1)``, not ``coalesce(1)``: a coalesce is narrow, so it would
+    pull the aggregate's final merge (for the cube: every map task's partial
+    groups over the whole table) into the one writer task. The repartition
+    keeps the aggregate parallel and shuffles only its bounded result."""
+    w = single_file(df, order).write.mode("overwrite")
     (w.partitionBy(partition_by) if partition_by else w).parquet(path)
 
 

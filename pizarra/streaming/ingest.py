@@ -76,7 +76,9 @@ def start_cube(
     cube = ind.outcome_cube(decode_all(department_stream(spark, landing, catalogue)))
 
     def publish(batch: DataFrame, _epoch: int) -> None:
-        batch.coalesce(1).write.mode("overwrite").parquet(table)
+        # repartition, not coalesce: the stateful aggregate keeps its
+        # parallelism and only the bounded cube moves to the writer task
+        batch.repartition(1).write.mode("overwrite").parquet(table)
 
     return (
         cube.writeStream.outputMode("complete")

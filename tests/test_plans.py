@@ -5,6 +5,7 @@ import pytest
 import __spark_entry__ as entry
 from pizarra.operators import decode as dec
 from pizarra.operators import indicators as ind
+from pizarra.sources import files
 from pizarra.sources.fixture import enrolments
 
 
@@ -45,3 +46,12 @@ def test_dictionary_decode_is_broadcast_only(spark, sf_small):
 def test_one_scan_per_table_for_a_grouped_query(spark, sf_small):
     plan = _plan(entry.queries()["department_summary"](spark, sf_small))
     assert plan.count("FileScan parquet") == 3  # lineitem, orders, customer once each
+
+
+def test_single_file_sink_keeps_the_aggregate_parallel(spark, sf_small):
+    # the cube is written as one file: only its bounded result may move to the
+    # writer task, the final merge of the aggregate must stay on many tasks
+    decoded = dec.decode_all(enrolments(spark, sf_small))
+    plan = _plan(files.single_file(ind.outcome_cube(decoded)))
+    assert "Coalesce" not in plan
+    assert "HashAggregate" in _below(plan, "Exchange SinglePartition")

@@ -82,6 +82,8 @@ def test_pipeline_round_trip_and_pruning(spark, raw, scratch):
     decoded = dec.decode_all(raw)
     assert _rows(files.scan_processed(spark, written and f"{out}/{pl.PROCESSED}")) == _rows(decoded)
     assert _rows(pl.read_summary(spark, out)) == _rows(ind.department_summary(decoded))
+    ranking = [r.departamento for r in ind.department_summary(decoded).collect()]
+    assert [r.departamento for r in pl.read_summary(spark, out).collect()] == ranking  # written in ranking order
     trial = files.trial_subset(spark, f"{out}/{pl.PROCESSED}")
     plan = trial._jdf.queryExecution().executedPlan().toString()
     pruned = [x for x in plan.split(", ") if x.startswith("PartitionFilters")]
