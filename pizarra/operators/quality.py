@@ -146,14 +146,17 @@ def expected_shares(spark: SparkSession, expected: dict[str, dict[str, float]] =
 def control_check(decoded: DataFrame, expected: DataFrame | None = None, tolerance: float = 0.1) -> DataFrame:
     """Computed shares vs published control figures.
 
-    Both sides are a few dozen rows (expected values are fixed by the spec,
-    computed shares are bounded by label domains)."""
-    expected = expected if expected is not None else expected_shares(decoded.sparkSession)
+    Computed shares are bounded by label domains; the built-in expected
+    values are the 15 published figures and are broadcast. A caller's own
+    table has no proven bound, so Spark's measured-size check picks the join
+    (broadcast under ``autoBroadcastJoinThreshold``, sort-merge beyond)."""
+    builtin = expected is None
+    expected = expected_shares(decoded.sparkSession) if builtin else expected
     dims = sorted({r for r in CONTROL_SHARES})
     got = ind.shares_all(decoded, dims).select("dimension", "label", F.col("pct").alias("calculado"))
     return (
-        F.broadcast(expected)
-        .join(got, ["dimension", "label"], "left")
+        got.join(F.broadcast(expected) if builtin else expected, ["dimension", "label"], "right")
+        .select("dimension", "label", "esperado", "calculado")
         .withColumn("diferencia", F.col("calculado") - F.col("esperado"))
         .withColumn("dentro_tolerancia", F.coalesce(F.abs(F.col("diferencia")) <= tolerance, F.lit(False)))
     )
@@ -216,7 +219,9 @@ def municipality_summary(decoded: DataFrame) -> DataFrame:
 def municipality_names(decoded: DataFrame, names: DataFrame | None = None) -> DataFrame:
     """Municipality key ``DD-MM`` -> 4-digit catalogue code ``DDMM`` and its
     name from a catalogue ``(codigo, municipio)`` when one is supplied (the
-    catalogue is a sheet of the data dictionary, a few hundred rows: broadcast)."""
+    catalogue is a sheet of the data dictionary, a few hundred rows). The
+    catalogue comes from the caller, so no broadcast hint: Spark's
+    measured-size check broadcasts it when small, sort-merge otherwise."""
     munis = (
         decoded.groupBy("departamento", "municipio_codigo")
         .agg(F.count(F.lit(1)).alias("n"))
@@ -225,7 +230,7 @@ def municipality_names(decoded: DataFrame, names: DataFrame | None = None) -> Da
     munis = munis.withColumn("codigo", F.regexp_replace("municipio_codigo", "-", ""))
     if names is None:
         return munis.withColumn("municipio", F.lit(None).cast("string"))
-    return munis.join(F.broadcast(names.select("codigo", "municipio")), "codigo", "left")
+    return munis.join(names.select("codigo", "municipio"), "codigo", "left")
 
 
 # Documented in the data dictionary but absent from the data files.
