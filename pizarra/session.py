@@ -41,13 +41,17 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
 
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared lineage-cutting folder: ``spark.checkpoint.dir`` if the session
-    names one, otherwise a fresh local folder (local runs and tests only)."""
+    names one, otherwise a fresh local folder -- for ``local[...]`` masters
+    only (local runs and tests). On a cluster a machine-local folder would be
+    invisible to the other executors, so an unset setting is an error there."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if current:
         if not sc.getCheckpointDir():
             sc.setCheckpointDir(current)
         return current.rstrip("/")
+    if not sc.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster (e.g. on HDFS or object storage)")
     local = tempfile.mkdtemp(prefix="pizarra-ckpt-", dir="/tmp")
     sc.setCheckpointDir(local)
     spark.conf.set("spark.checkpoint.dir", local)
