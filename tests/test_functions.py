@@ -1,9 +1,11 @@
 import numpy as np
 import pytest
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pizarra.functions.codes import code_segment, municipality, normalise_code, segment_level
+from pizarra.functions.codes import WHITESPACE, code_segment, municipality, normalise_code, segment_level
 from pizarra.functions.numeric import rate, round1, signed_one_decimal, thousands, truncated_estimate
 from pizarra.operators.insights import CLASS_ABOVE, CLASS_BETTER, CLASS_CRITICAL, CLASS_NEAR, severity_class
 
@@ -66,3 +68,27 @@ def test_severity_thresholds_in_order(spark):
     diffs = [2.0, 8.2 - 6.2, 0.5, 0.49, -2.0, -1.99, None, 5.0]
     got = _one(spark, diffs, severity_class, T.DoubleType())
     assert got == [CLASS_CRITICAL, CLASS_ABOVE, CLASS_ABOVE, CLASS_NEAR, CLASS_BETTER, CLASS_NEAR, CLASS_NEAR, CLASS_CRITICAL]
+
+
+def test_whitespace_set_is_pythons():
+    # the code repair strips exactly what Python's str.strip() strips
+    assert set(WHITESPACE) == {chr(i) for i in range(0x110000) if chr(i).isspace()}
+
+
+def _repair_model(v):
+    """Plain-Python model of the code repair and the municipality key."""
+    if v is None:
+        return None, None
+    s = v.strip()
+    s = "01-" + s[3:] if s.startswith("00-") else s
+    parts = s.split("-")
+    return s, ("-".join(parts[:2]) if len(parts) >= 2 else None)
+
+
+@settings(max_examples=15, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.one_of(st.none(), st.text(alphabet="001-- \t\n\xa0 　x", max_size=12)), min_size=1, max_size=60))
+def test_code_repair_matches_python_model(spark, values):
+    df = spark.createDataFrame([(v,) for v in values], T.StructType([T.StructField("x", T.StringType())]))
+    fixed = normalise_code(F.col("x"))
+    got = [(r[0], r[1]) for r in df.select(fixed, municipality(fixed)).collect()]
+    assert got == [_repair_model(v) for v in values]
