@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .columns import per_context
+
 
 def _c(col: Column | str) -> Column:
     return F.col(col) if isinstance(col, str) else col
@@ -20,6 +22,7 @@ def round1(x: Column | str) -> Column:
     return F.rint(_c(x) * 10) / 10
 
 
+@per_context
 def rate(n: Column | str, total: Column | str) -> Column:
     """``n / total * 100`` rounded to one decimal; null (not an error) on total 0."""
     return round1(F.try_divide(_c(n), _c(total)) * 100)

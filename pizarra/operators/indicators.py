@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.dictionary import DROPPED_OUT, NOT_PROMOTED, PROMOTED
+from ..functions.columns import per_context
 from ..functions.numeric import rate
 
 RESULT = "resultado"
@@ -45,12 +46,13 @@ def _non_null(col: str, weight: str | None) -> Column:
     return F.count(col) if weight is None else _count_where(F.col(col).isNotNull(), weight)
 
 
+@per_context
 def outcome_counts(
     weight: str | None = None,
     result: str = RESULT,
     with_not_promoted: bool = True,
     total: str = "non_null",
-) -> list[Column]:
+) -> tuple[Column, ...]:
     """``total, promovidos, [no_promovidos,] retirados`` aggregate columns.
 
     ``total="non_null"`` counts non-null outcomes (grouped tables);
@@ -63,7 +65,7 @@ def outcome_counts(
     if with_not_promoted:
         cols.append(_count_where(r.isin(*NOT_PROMOTED), weight).alias("no_promovidos"))
     cols.append(_count_where(r.isin(*DROPPED_OUT), weight).alias("retirados"))
-    return cols
+    return tuple(cols)
 
 
 def with_rates(df: DataFrame, with_not_promoted: bool = True) -> DataFrame:
