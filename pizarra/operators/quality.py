@@ -77,7 +77,9 @@ def school_counts(decoded: DataFrame, dept: str = "departamento", code: str = CO
             F.approx_count_distinct(school).alias("establecimientos"),
             F.approx_count_distinct(code).alias("codigos"),
         )
-    keys = decoded.select(dept, school.alias("_school"), F.col(code).alias("_code")).distinct()
+    # the school key is a function of the code: reduce to distinct
+    # (group, code) pairs first, derive it once per code, not once per row
+    keys = decoded.select(dept, code).distinct().select(dept, school.alias("_school"), F.col(code).alias("_code"))
     return keys.groupBy(dept).agg(
         F.count_distinct("_school").alias("establecimientos"), F.count_distinct("_code").alias("codigos")
     )
