@@ -49,11 +49,13 @@ def municipality_counts(raw: DataFrame, dept: str = "departamento_f", code: str
     """Distinct municipalities per department and nationally, from codes
     stripped only (prefix defect kept) vs fully normalised (defect repaired)."""
     stripped = F.btrim(F.col(code).cast("string"), F.lit(WHITESPACE))
-    keys = raw.select(
-        F.col(dept),
-        municipality(stripped).alias("m_raw"),
-        municipality(normalise_code(code)).alias("m_fixed"),
-    ).distinct()
+    # both keys are functions of the code: reduce to distinct (department,
+    # code) pairs first and run the string work once per code, not per row
+    keys = (
+        raw.select(dept, code)
+        .distinct()
+        .select(F.col(dept), municipality(stripped).alias("m_raw"), municipality(normalise_code(code)).alias("m_fixed"))
+    )
     out = keys.rollup(dept).agg(
         F.count_distinct("m_raw").alias("municipios_sin_reparar"),
         F.count_distinct("m_fixed").alias("municipios"),
