@@ -92,3 +92,15 @@ def test_code_repair_matches_python_model(spark, values):
     fixed = normalise_code(F.col("x"))
     got = [(r[0], r[1]) for r in df.select(fixed, municipality(fixed)).collect()]
     assert got == [_repair_model(v) for v in values]
+
+
+def test_column_builders_are_reused_per_context(spark):
+    # pure builders return the same immutable Column for the same names ...
+    assert rate("promovidos", "total") is rate("promovidos", "total")
+    # ... build afresh for Column arguments (unhashable) ...
+    assert rate(F.col("a"), "b") is not rate(F.col("a"), "b")
+    # ... and a reused Column resolves correctly in different plans
+    r = rate("n", "t")
+    a = spark.createDataFrame([(1, 4)], "n int, t int").select(r.alias("x")).first().x
+    b = spark.createDataFrame([(3, 8)], "n int, t int").select(r.alias("x")).first().x
+    assert (a, b) == (25.0, 37.5)
