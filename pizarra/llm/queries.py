@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
-from pizarra.llm import bpe, chat_format, packing, quality, url_filter
+from pizarra.llm import bpe, chat_format, exact_dedup, ngram_join, packing, quality, url_filter
 
 QUERIES = {
+    "op2_exact_dedup": exact_dedup.op2_exact_dedup,
     "op3_url_filter": url_filter.op3_url_filter,
     "op4_chat_format": chat_format.op4_chat_format,
     "op5_bpe": bpe.op5_bpe,
+    "op6_ngram_join": ngram_join.op6_ngram_join,
     "op7_packing": packing.op7_packing,
     "op8_quality_rules": quality.op8_quality_rules,
 }
 
 ORACLES = {
+    "op2_exact_dedup": exact_dedup.ORACLE,
     "op3_url_filter": url_filter.ORACLE,
     "op4_chat_format": chat_format.ORACLE,
 }
