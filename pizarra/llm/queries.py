@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pizarra.llm import bpe, chat_format, exact_dedup, ngram_join, packing, quality, url_filter
+from pizarra.llm import bpe, chat_format, exact_dedup, language_id, ngram_join, packing, pii, quality, url_filter
 
 QUERIES = {
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
@@ -12,6 +12,8 @@ QUERIES = {
     "op6_ngram_join": ngram_join.op6_ngram_join,
     "op7_packing": packing.op7_packing,
     "op8_quality_rules": quality.op8_quality_rules,
+    "op9_language_id": language_id.op9_language_id,
+    "op10_pii": pii.op10_pii,
 }
 
 ORACLES = {
