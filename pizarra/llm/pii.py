@@ -40,9 +40,11 @@ _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _WORTH = re.compile(r"[0-9@]")
-_TOKEN = re.compile(r"(?<![A-Za-z0-9_/+-])(?=[A-Za-z_/+-]*+[0-9])[A-Za-z0-9_/+-]{16,}+")
+_TOKEN = re.compile(r"(?<![A-Za-z0-9_/+-])(?=[A-Za-z_/+-]*+[0-9])(?=[0-9_/+-]*+[A-Za-z])[A-Za-z0-9_/+-]{16,}+")
 _GROUP = re.compile(r"(?<![A-Za-z0-9])[0-9](?:[ .()/-]{0,2}[0-9]){6,}+(?![A-Za-z0-9])")
 
+_RUN = re.compile(r"[0-9]{7,}+")
+
 # Gazetteers: fixed values.
 KEY_PREFIXES = ("AKIA", "ASIA", "ghp_", "glpat-", "sk-", "xoxb-")
 DOMAINS = ("com", "org", "net", "edu", "gov", "de", "es", "fr", "info", "io")
@@ -95,7 +97,11 @@ def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, i
     """Wider spans that no base span touches."""
     taken = sorted((s, e) for _, s, e in base)
     found = [(4, *m.span()) for m in _TOKEN.finditer(text)]
-    found += [(5, *m.span()) for m in _GROUP.finditer(text)]
+    for m in _GROUP.finditer(text):
+        if m.end() - m.start() <= 24:
+            found.append((5, *m.span()))
+        else:  # several numbers in a row: each by itself
+            found += [(5, r.start(), r.end()) for r in _RUN.finditer(text, m.start(), m.end())]
     out, last, i = [], 0, 0
     for kind, s, e in sorted(found, key=lambda x: (x[1], x[0])):
         while i < len(taken) and taken[i][1] <= s:
@@ -120,7 +126,10 @@ def votes(text: str, kind: int, start: int, end: int) -> tuple[int, ...]:
         shape = 1 if _HEX.match(span) or (digits >= 3 and letters >= 3 and "-" not in span[1:-1]) else -1 if digits < 2 else 0
         gazetteer = 1 if span.startswith(KEY_PREFIXES) else 0
     elif kind == 5:
-        shape = -1 if _DATE.match(span) or digits > 19 else 0
+        plain = "".join(c for c in span if c.isdigit())
+        card = 16 <= digits <= 19 and luhn(plain)
+        pattern = int(card)
+        shape = 1 if card else -1 if _DATE.match(span) or digits >= 16 else 0
         gazetteer = -1 if digits < 9 else 0
     else:
         shape = 1 if kind == 2 or digits >= 2 else 0
@@ -128,7 +137,7 @@ def votes(text: str, kind: int, start: int, end: int) -> tuple[int, ...]:
     context = 1 if word in cues else -1 if kind == 5 and cue and before.endswith(" ") and word.isalpha() and len(word) < 3 else 0
     counts = np.unique(np.frombuffer(span.encode("utf-32-le"), "<u4"), return_counts=True)[1] / len(span)
     entropy = float(-(counts * np.log2(counts)).sum())
-    spread = 1 if entropy >= 2.5 else -1 if entropy < 1.5 else 0
+    spread = -1 if entropy < 1.5 else 1 if entropy >= 2.5 and letters else 0
     return pattern, shape, gazetteer, context, spread
 
 
@@ -136,22 +145,25 @@ def _key(kind: int, said: tuple[int, ...], size: int) -> str:
     return ",".join(map(str, (kind, *said, min(size // 8, 8))))
 
 
-def reliabilities(rows: list[tuple[tuple[int, ...], int]], rounds: int = 50) -> tuple[np.ndarray, np.ndarray]:
-    """EM over (votes, count): P(vote | class) per labeler, and P(class 1 | votes)."""
-    said = np.array([v for v, _ in rows]) + 1
+def reliabilities(rows: list[tuple[tuple[int, ...], int]], rounds: int = 100) -> tuple[np.ndarray, np.ndarray]:
+    """EM over (votes, count): each labeler's accuracy when it votes, and the
+    belief that a vote pattern is personal data. Abstaining tells nothing, and
+    a labeler is taken to be better than chance; else the classes could settle
+    on any other division of the candidates."""
+    said = np.array([v for v, _ in rows])
     weight = np.array([n for _, n in rows], float)
-    belief = np.clip(0.5 + 0.2 * (said - 1).sum(1), 0.05, 0.95)
-    table_ = np.zeros((said.shape[1], 2, 3))
+    accuracy, odds = np.full(said.shape[1], 0.8), 0.0
+    belief = np.full(len(rows), 0.5)
     for _ in range(rounds):
-        for k in range(said.shape[1]):
-            for c, b in enumerate((1 - belief, belief)):
-                counts = np.bincount(said[:, k], weight * b, 3) + np.array([1.0, 1.0, 1.0])
-                table_[k, c] = counts / counts.sum()
-        prior = np.clip((weight * belief).sum() / weight.sum(), 0.05, 0.95)
-        odds = math.log(prior / (1 - prior))
-        score = odds + sum(np.log(table_[k, 1, said[:, k]] / table_[k, 0, said[:, k]]) for k in range(said.shape[1]))
-        belief = 1 / (1 + np.exp(-np.clip(score, -30, 30)))
-    return table_, belief
+        score = odds + said @ np.log(accuracy / (1 - accuracy))
+        belief = 1 / (1 + np.exp(-score))
+        # pseudo-counts of a tenth of all candidates keep rare votes near 0.8
+        prior = 0.1 * weight.sum() + 1
+        right = ((said == 1) * belief[:, None] + (said == -1) * (1 - belief[:, None])) * weight[:, None]
+        accuracy = np.clip((right.sum(0) + 0.8 * prior) / (((said != 0) * weight[:, None]).sum(0) + prior), 0.55, 0.98)
+        share = np.clip((weight * belief).sum() / weight.sum(), 0.1, 0.9)
+        odds = math.log(share / (1 - share))
+    return accuracy, belief
 
 
 def _features(kind: int, said: tuple[int, ...], size: int) -> np.ndarray:
