@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pizarra.llm import bpe, chat_format, exact_dedup, language_id, ngram_join, packing, pii, quality, url_filter
+from pizarra.llm import bpe, chat_format, exact_dedup, language_id, ngram_join, packing, pii, quality, suffix_dedup, url_filter
 
 QUERIES = {
+    "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
     "op3_url_filter": url_filter.op3_url_filter,
     "op4_chat_format": chat_format.op4_chat_format,
