@@ -41,12 +41,13 @@ def combinations(total: int) -> list[tuple[int, ...]]:
 
 
 def nnls(a: np.ndarray, b: np.ndarray, max_rounds: int | None = None) -> np.ndarray:
-    """x >= 0 minimising |a x - b|: active-set method."""
+    """x >= 0 minimising |a x - b|: active-set method on the normal equations."""
     n = a.shape[1]
     x, used = np.zeros(n), np.zeros(n, bool)
-    tolerance = 1e-9 * max(1.0, float(np.abs(b).max(initial=0.0)))
-    for _ in range(max_rounds or 3 * a.shape[0]):
-        gain = a.T @ (b - a @ x)
+    tolerance = 1e-6 * max(1.0, float(np.abs(b).max(initial=0.0)))
+    free = np.zeros(0, np.int64)
+    for _ in range(max_rounds or 2 * a.shape[0]):
+        gain = a.T @ (b - a[:, free] @ x[free])
         gain[used] = -np.inf
         best = int(gain.argmax())
         if gain[best] <= tolerance:
@@ -54,18 +55,18 @@ def nnls(a: np.ndarray, b: np.ndarray, max_rounds: int | None = None) -> np.ndar
         used[best] = True
         while True:
             free = np.flatnonzero(used)
-            z = np.linalg.lstsq(a[:, free], b, rcond=None)[0]
-            if (z > tolerance).all():
-                x[:] = 0
+            part = a[:, free]
+            z = np.linalg.solve(part.T @ part + 1e-9 * np.eye(len(free)), part.T @ b)
+            if (z > 0).all():
                 x[free] = z
                 break
-            low = z <= tolerance
-            old = x[free]
-            step = np.min(old[low] / np.maximum(old[low] - z[low], 1e-300))
+            low, old = z <= 0, x[free]
+            step = np.min(old[low] / (old[low] - z[low] + 1e-300))
             x[free] = old + step * (z - old)
-            used[free[low & (x[free] <= tolerance)]] = False
-            x[~used] = 0
-            if not used.any():
+            gone = free[low & (x[free] <= 1e-9 * max(1.0, float(old.max())))]
+            x[gone], used[gone] = 0.0, False
+            if not len(gone) or not used.any():
+                free = np.flatnonzero(used)
                 break
     return x
 
