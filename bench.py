@@ -51,8 +51,9 @@ def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     repeat = int(os.environ.get("BENCH_REPEAT", "3"))
     names = sys.argv[1:] or HEADLINE
-    spark = build_session()
-    for name in names:  # warm-up: JIT, file listing, staged exports
+    cpus = os.environ.get("BENCH_CPUS", "8")
+    spark = build_session(master=f"local[{cpus}]", shuffle_partitions=int(cpus))
+    for name in names:  # warm-up: JIT, file listing
         run(spark, name, sf_dir)
     times = {}
     for name in names:

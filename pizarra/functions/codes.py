@@ -1,8 +1,7 @@
 """Establishment-code expressions (``DD-MM-NNNN-SS``).
 
-All are built-in Spark expressions, so they run inside whole-stage codegen;
-no regex engine and no array allocation on the per-row path where a plain
-string function does the job.
+All are built-in Spark expressions: plain string functions for the repair and
+the municipality, ``split`` where a segment in the middle is needed.
 """
 
 from __future__ import annotations
@@ -32,16 +31,14 @@ def normalise_code(col: Column | str) -> Column:
     The ``00-`` prefix is a capital-city defect of department 1; the repair is
     applied to every row, as the batch it mirrors does.
     """
-    # the input is referenced once: Catalyst may inline this expression into
-    # pushed-down predicates, where repeated references are re-evaluated
-    return F.regexp_replace(F.btrim(_c(col).cast("string"), F.lit(WHITESPACE)), "^00-", "01-")
+    trimmed = F.btrim(_c(col).cast("string"), F.lit(WHITESPACE))
+    return F.when(F.startswith(trimmed, F.lit("00-")), F.concat(F.lit("01-"), F.substr(trimmed, F.lit(4)))).otherwise(trimmed)
 
 
 def municipality(code: Column | str) -> Column:
     """First two ``-`` segments of a (normalised) code; null with < 2 segments."""
-    # one reference to the input (see normalise_code); a match always
-    # contains '-', so the empty string means "fewer than two segments"
-    return F.nullif(F.regexp_extract(_c(code), "^([^-]*-[^-]*)", 1), F.lit(""))
+    c = _c(code)
+    return F.when(F.contains(c, F.lit("-")), F.substring_index(c, "-", 2))
 
 
 def code_segment(code: Column | str, i: int) -> Column:

@@ -13,10 +13,12 @@ readable labels. They are exposed three ways:
 
 from __future__ import annotations
 
-from pyspark import SparkContext
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from .columns import per_context
 
 # ---------------------------------------------------------------------------
 # FIXED VALUES: code -> label dictionaries of the published data dictionary.
@@ -155,6 +157,8 @@ CONTROL_SHARES = {
     "nivel": {"Primaria": 56.4, "Básico": 17.8, "Preprimaria": 17.1, "Diversificado": 8.5},
     "resultado": {"Promovido": 85.2, "No promovido": 9.2, "Retirado": 5.5},
 }
+# Published totals: (figure, whether it is published as "about").
+CONTROL_TOTALS = {"inscripciones": (4298887, False), "municipios_guatemala": (17, False), "municipios": (340, True)}
 UNKNOWN = "Desconocido"
 IGNORED = "Ignorado"
 # Outcome label sets.
@@ -182,22 +186,33 @@ DECODE_SPEC: dict[str, tuple[dict[int, str], str, str]] = {
 DOMAINS: dict[str, dict[int, str]] = {raw: spec[0] for raw, spec in DECODE_SPEC.items()}
 
 
-_MAP_LITERALS: dict[tuple, Column] = {}
+@per_context
+def _map_of(items: tuple[tuple[int, str], ...]) -> Column:
+    return F.create_map(*[x for code, label in items for x in (F.lit(code).cast("int"), F.lit(label))])
 
 
 def label_map(mapping: dict[int, str]) -> Column:
-    """``map<int,string>`` literal; constant-folded by Catalyst.
+    """``map<int,string>`` literal; constant-folded by Catalyst. Building it costs
+    a driver-to-JVM call per entry, so the last few are kept."""
+    return _map_of(tuple(mapping.items()))
+
+
+def local_table(spark: SparkSession, rows: Sequence[tuple], schema: str) -> DataFrame:
+    """A small constant table as SQL ``VALUES``: a local relation whose size
+    Spark knows, so it picks the join strategy by itself."""
+    fields = [f.strip().split(" ", 1) for f in schema.split(",")]
 
-    Built once per Spark context and reused: a Column is an immutable
-    expression, and building the literal costs one driver-to-JVM call per
-    entry, which otherwise dominates the planning time of every query."""
-    key = (SparkContext._active_spark_context, tuple(mapping.items()))
-    if key not in _MAP_LITERALS:
-        items = []
-        for code, label in mapping.items():
-            items += [F.lit(code).cast("int"), F.lit(label)]
-        _MAP_LITERALS[key] = F.create_map(*items)
-    return _MAP_LITERALS[key]
+    def literal(value: object) -> str:
+        if value is None:
+            return "NULL"
+        if isinstance(value, str):
+            return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+        return repr(value)
+
+    casts = ", ".join(f"CAST(c{i} AS {kind}) AS `{name}`" for i, (name, kind) in enumerate(fields))
+    names = ", ".join(f"c{i}" for i in range(len(fields)))
+    body = ", ".join("(" + ", ".join(map(literal, row)) + ")" for row in rows)
+    return spark.sql(f"SELECT {casts} FROM VALUES {body} AS t({names})")
 
 
 def decode_expr(col: Column | str, mapping: dict[int, str]) -> Column:
@@ -206,16 +221,7 @@ def decode_expr(col: Column | str, mapping: dict[int, str]) -> Column:
     return F.coalesce(label_map(mapping)[c], F.lit(UNKNOWN))
 
 
-DICTIONARY_SCHEMA = T.StructType(
-    [
-        T.StructField("domain", T.StringType(), False),
-        T.StructField("code", T.IntegerType(), False),
-        T.StructField("label", T.StringType(), False),
-    ]
-)
-
-
 def dictionary_df(spark: SparkSession) -> DataFrame:
     """Long ``(domain, code, label)`` table of every dictionary (< 100 rows)."""
     rows = [(raw, code, label) for raw, mapping in DOMAINS.items() for code, label in mapping.items()]
-    return spark.createDataFrame(rows, DICTIONARY_SCHEMA)
+    return local_table(spark, rows, "domain string, code int, label string")

@@ -2,20 +2,18 @@
 structured questions answered from aggregates (with provenance and an
 explicit "not available"), and the JSON context document.
 
-Nothing here reads raw rows more than once: facts come from one outcome cube,
-and JSON is assembled from aggregated parts with a final aggregate over a
-handful of rows (no driver-side assembly, no cross join).
+Nothing here reads raw rows more than once: facts and documents are expressions
+over ``indicators.figures``, the one roll-up with a row per label (no job while
+a plan is built, no driver-side assembly, no cross join).
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
-from ..session import materialise
+from ..functions.dictionary import IGNORED, UNKNOWN, local_table
 from . import indicators as ind
 from . import insights as ins
 
@@ -40,38 +38,49 @@ def argmin_group(df: DataFrame, group: str, metric: str = "tasa_promocion", **eq
 
 
 # ------------------------------------------------------------------ facts
+HIGHEST = "(mayor)"
+OVERVIEW_METRIC = "panorama"
+RATES = ("tasa_promocion", "tasa_no_promocion", "tasa_retiro")
+
+
+def _said(metric: Column, value: Column) -> Column:
+    return F.when(metric == "total", F.format_string("%,d", value.cast("bigint"))).otherwise(F.format_string("%.1f%%", value))
+
+
 def facts(df: DataFrame, weight: str | None = None) -> DataFrame:
-    """Long ``(dimension, label, metrica, valor, fuente)`` table of every
-    published aggregate: national indicators, department table, gap tables."""
-    if weight is None:
-        df, weight = materialise(ind.outcome_cube(df), "cube"), "n"
-    nat = ind.national_indicators(df, weight).withColumn("label", F.lit("Total"))
-    dep = ind.department_summary(df, weight, ordered=False).withColumnRenamed("departamento", "label")
-    gaps = ind.gap_all(df, weight=weight, ordered=False)
-    metrics4 = ["total", "tasa_promocion", "tasa_no_promocion", "tasa_retiro"]
-    metrics3 = ["total", "tasa_promocion", "tasa_retiro"]
-
-    def long(frame: DataFrame, dim: Column, source: Column, metrics: Sequence[str]) -> DataFrame:
-        cast = frame.select(dim.alias("dimension"), "label", source.alias("fuente"), *[F.col(m).cast("double") for m in metrics])
-        return cast.unpivot(["dimension", "label", "fuente"], list(metrics), "metrica", "valor")
-
-    return (
-        long(nat, F.lit("nacional"), F.lit("indicadores_nacionales"), metrics4)
-        .unionByName(long(dep, F.lit("departamento"), F.lit("resumen_departamentos"), metrics4))
-        .unionByName(long(gaps, F.col("dimension"), F.concat(F.lit("brecha_"), F.col("dimension")), metrics3))
+    """Long ``(dimension, label, metrica, valor, texto, fuente)`` table of every
+    published aggregate: national indicators, department table, gap tables, the
+    highest known label of each dimension (``(mayor)``) and the overview. One
+    pass over the input; a few hundred rows, bounded by the label domains."""
+    rows = ind.figures(df, weight).where(F.col("dimension") != "sexo")
+    dim = F.col("dimension")
+    source = (
+        F.when(dim == ind.NATIONAL, F.lit("indicadores_nacionales"))
+        .when(dim == "departamento", F.lit("resumen_departamentos"))
+        .otherwise(F.concat(F.lit("brecha_"), dim))
     )
+    full = dim.isin(ind.NATIONAL, "departamento")  # the gap tables have no such rate
+
+    def cell(metric: str, value: Column, text: Column) -> Column:
+        return F.struct(F.lit(metric).alias("metrica"), value.cast("double").alias("valor"), text.cast("string").alias("texto"))
+
+    none = F.lit(None)
+    cells = [cell("total", F.col("total"), none)]
+    cells += [F.when(full, cell(m, F.col(m), none)) if m == "tasa_no_promocion" else cell(m, F.col(m), none) for m in RATES]
+    whole = F.struct(*[F.col(c) for c in rows.columns])
+    cells.append(F.when(dim == ind.NATIONAL, cell(OVERVIEW_METRIC, F.col("total"), ins.overview_text(whole))))
+    long = rows.select("dimension", "label", source.alias("fuente"), F.inline(F.array_compact(F.array(*cells))))
+    # over these few hundred rows; ties by label
+    first = Window.partitionBy("dimension", "metrica").orderBy(F.desc_nulls_last("valor"), "label")
+    top = (
+        long.where((dim != ind.NATIONAL) & ~F.col("label").isin(IGNORED, UNKNOWN) & F.col("valor").isNotNull())
+        .withColumn("_k", F.row_number().over(first))
+        .where("_k = 1")
+        .select("dimension", F.lit(HIGHEST).alias("label"), "fuente", "metrica", "valor", F.concat("label", F.lit(": "), _said(F.col("metrica"), F.col("valor"))).alias("texto"))
+    )
+    return long.unionByName(top)
 
 
-QUESTION_SCHEMA = T.StructType(
-    [
-        T.StructField("pregunta_id", T.IntegerType()),
-        T.StructField("pregunta", T.StringType()),
-        T.StructField("dimension", T.StringType()),
-        T.StructField("label", T.StringType()),
-        T.StructField("metrica", T.StringType()),
-    ]
-)
-
 # Structured stand-ins for the sample questions a user asks the assistant.
 SAMPLE_QUESTIONS = [
     (1, "¿Cuántas inscripciones hay en total?", "nacional", "Total", "total"),
@@ -82,24 +91,20 @@ SAMPLE_QUESTIONS = [
     (6, "¿Qué tasa de no promoción tiene el sector Privado?", "sector", "Privado", "tasa_no_promocion"),
     (7, "¿Cuántos estudiantes tienen alguna discapacidad?", "discapacidad", "Sí", "total"),
     (8, "¿Cuántas inscripciones tiene Guatemala?", "departamento", "Guatemala", "total"),
+    (9, "¿En qué departamento es mayor la tasa de retiro?", "departamento", HIGHEST, "tasa_retiro"),
+    (10, "¿Cuál es el panorama general?", "nacional", "Total", OVERVIEW_METRIC),
 ]
 
 
 def questions(spark: SparkSession, rows=SAMPLE_QUESTIONS) -> DataFrame:
-    return spark.createDataFrame(rows, QUESTION_SCHEMA)
+    return local_table(spark, rows, "pregunta_id int, pregunta string, dimension string, label string, metrica string")
 
 
 def answer_batch(df: DataFrame, asked: DataFrame, weight: str | None = None) -> DataFrame:
     """Each question answered only from aggregates; unknown -> explicit
-    "not available" and a null source. Facts are a few hundred rows at most
-    (bounded by label domains), so they are broadcast."""
-    f = facts(df, weight)
-    joined = asked.join(F.broadcast(f), ["dimension", "label", "metrica"], "left")
-    text = (
-        F.when(F.col("valor").isNull(), F.lit(NOT_AVAILABLE))
-        .when(F.col("metrica") == "total", F.format_string("%,d", F.col("valor").cast("bigint")))
-        .otherwise(F.format_string("%.1f%%", F.col("valor")))
-    )
+    "not available" and a null source."""
+    joined = asked.join(facts(df, weight), ["dimension", "label", "metrica"], "left")
+    text = F.when(F.col("valor").isNull(), F.lit(NOT_AVAILABLE)).otherwise(F.coalesce("texto", _said(F.col("metrica"), F.col("valor"))))
     return joined.select("pregunta_id", "pregunta", "dimension", "label", "metrica", "valor", text.alias("respuesta"), "fuente")
 
 
@@ -107,97 +112,104 @@ def answer_batch(df: DataFrame, asked: DataFrame, weight: str | None = None) ->
 def json_value(col: Column | str) -> Column:
     """JSON text of any value (scalar, array, map or struct)."""
     c = F.col(col) if isinstance(col, str) else col
-    return F.regexp_extract(F.to_json(F.array(c)), r"^\[(.*)\]$", 1)
-
-
-def json_object(parts: DataFrame, name: str = "json") -> DataFrame:
-    """Assemble ``(orden, clave, valor)`` rows (``valor`` already JSON text) into
-    one JSON object, keys in ``orden`` order; one aggregate over few rows."""
-    entries = F.array_sort(F.collect_list(F.struct("orden", "clave", "valor")))
-    body = F.array_join(F.transform(entries, lambda e: F.concat(json_value(e["clave"]), F.lit(":"), e["valor"])), ",")
-    return parts.agg(F.concat(F.lit("{"), body, F.lit("}")).alias(name))
-
-
-def _part(df: DataFrame, order: int, key: str, value: Column) -> DataFrame:
-    return df.select(F.lit(order).alias("orden"), F.lit(key).alias("clave"), value.alias("valor"))
-
-
-def _records(order_cols: Sequence[Column], fields: Sequence[str]) -> Column:
-    """JSON array of row objects in a deterministic order (aggregate column)."""
-    keyed = F.struct(*[c.alias(f"_k{i}") for i, c in enumerate(order_cols)], F.struct(*fields).alias("r"))
-    return F.to_json(F.transform(F.array_sort(F.collect_list(keyed)), lambda s: s["r"]))
-
-
-def indicators_object(df: DataFrame, weight: str | None = None) -> DataFrame:
-    """The ``indicadores`` object: national figures + four share maps, keys of
-    each map by descending share count (then label)."""
-    nat = ind.national_indicators(df, weight)
-    scalar = [("total_estudiantes", "total"), ("tasa_promocion", "tasa_promocion"), ("tasa_no_promocion", "tasa_no_promocion"), ("tasa_retiro", "tasa_retiro")]
-    parts = None
-    for i, (key, col) in enumerate(scalar):
-        p = _part(nat, i, key, json_value(col))
-        parts = p if parts is None else parts.unionByName(p)
-    # the four share maps from ONE grouping-sets aggregate, one row per dimension
-    shares = ind.shares_all(df, ind.SHARE_DIMS, weight)
-    entries = F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("k"), F.col("label"), F.col("pct"))))
-    text = F.concat(
-        F.lit("{"),
-        F.array_join(F.transform(entries, lambda e: F.concat(json_value(e["label"]), F.lit(":"), json_value(e["pct"]))), ","),
-        F.lit("}"),
-    )
-    slot = F.create_map(*[x for i, d in enumerate(ind.SHARE_DIMS) for x in (F.lit(d), F.lit(10 + i))])
-    maps = shares.groupBy("dimension").agg(text.alias("v")).select(
-        slot[F.col("dimension")].alias("orden"), F.concat(F.lit("por_"), F.col("dimension")).alias("clave"), F.col("v").alias("valor")
-    )
-    parts = parts.unionByName(maps)
-    return json_object(parts, "indicadores")
+    return F.regexp_extract(F.to_json(F.array(c)), r"(?s)^\[(.*)\]$", 1)
+
+
+def json_text(*members: tuple[str, Column]) -> Column:
+    """A JSON object of (key, JSON text) members; a null member is left out."""
+    texts = [F.concat(F.lit(f'"{key}":'), value) for key, value in members]
+    return F.concat(F.lit("{"), F.concat_ws(",", *texts), F.lit("}"))
+
+
+def _sorted(rows: Column, *keys) -> Column:
+    pairs = F.transform(rows, lambda r: F.struct(*[k(r).alias(f"k{i}") for i, k in enumerate(keys)], r.alias("r")))
+    return F.transform(F.array_sort(pairs), lambda p: p["r"])
 
 
-def insights_array(df: DataFrame, weight: str | None = None) -> DataFrame:
-    txt = ins.insights_national(df, weight)
-    return txt.agg(F.to_json(F.transform(F.array_sort(F.collect_list(F.struct("orden", "texto"))), lambda s: s["texto"])).alias("insights"))
+def _share_map(rows: Column, dim: str) -> Column:
+    """Shares of a dimension, by descending count, then label."""
+    listed = _sorted(ins.by_dimension(rows, dim), lambda r: -r["filas"], lambda r: r["label"])
+    return F.concat(F.lit("{"), F.array_join(F.transform(listed, lambda r: F.concat(json_value(r["label"]), F.lit(":"), json_value(r["pct"]))), ","), F.lit("}"))
+
+
+def indicators_text(rows: Column) -> Column:
+    """The ``indicadores`` object: national figures and four share maps."""
+    nat = F.get(ins.by_dimension(rows, ind.NATIONAL), F.lit(0))
+    scalars = [("total_estudiantes", "total"), ("tasa_promocion", "tasa_promocion"), ("tasa_no_promocion", "tasa_no_promocion"), ("tasa_retiro", "tasa_retiro")]
+    return json_text(*[(key, json_value(nat[c])) for key, c in scalars], *[(f"por_{d}", _share_map(rows, d)) for d in ind.SHARE_DIMS])
+
+
+def _insights_text(rows: Column) -> Column:
+    return F.to_json(F.transform(ins.national_texts(rows), lambda t: t["texto"]))
+
+
+def _national_rate(rows: Column) -> Column:
+    return json_value(F.get(ins.by_dimension(rows, ind.NATIONAL), F.lit(0))["tasa_retiro"])
 
 
 def indicators_document(df: DataFrame, weight: str | None = None) -> DataFrame:
     """K5 content: ``{"indicadores": ..., "insights": [...], "promedio_retiro_nacional": x}``."""
-    if weight is None:
-        df, weight = materialise(ind.outcome_cube(df), "cube"), "n"
-    nat = ind.national_indicators(df, weight)
-    parts = (
-        _part(indicators_object(df, weight), 0, "indicadores", F.col("indicadores"))
-        .unionByName(_part(insights_array(df, weight), 1, "insights", F.col("insights")))
-        .unionByName(_part(nat, 2, "promedio_retiro_nacional", json_value("tasa_retiro")))
-    )
-    return json_object(parts, "documento")
+    rows = F.col("filas")
+    text = json_text(("indicadores", indicators_text(rows)), ("insights", _insights_text(rows)), ("promedio_retiro_nacional", _national_rate(rows)))
+    return ins.gathered(ind.figures(df, weight)).select(text.alias("documento"))
+
+
+RECORD = ("total", "tasa_promocion", "tasa_retiro")
+GAP_RECORD = ("total", "promovidos", "retirados", "tasa_promocion", "tasa_retiro")
+CONTEXT_GAPS = ("area", "sector", "nivel")
+
+
+def _department_records(rows: Column) -> Column:
+    listed = _sorted(rows, lambda r: -r["tasa_retiro"], lambda r: r["label"])
+    return F.to_json(F.transform(listed, lambda r: F.struct(r["label"].alias("departamento"), *[r[c].alias(c) for c in RECORD])))
+
+
+def _gap_records(rows: Column, dim: str) -> Column:
+    listed = _sorted(rows, lambda r: r["label"])
+    return F.to_json(F.transform(listed, lambda r: F.struct(r["label"].alias(dim), *[r[c].alias(c) for c in GAP_RECORD])))
 
 
 def context_document(df: DataFrame, weight: str | None = None) -> DataFrame:
     """Aggregate-only context — indicators, insights, national dropout,
     department records (4 columns, ranking order) and the area / sector /
     level gap tables (not peoples). Size is bounded by group counts."""
-    if weight is None:
-        df, weight = materialise(ind.outcome_cube(df), "cube"), "n"
-    nat = ind.national_indicators(df, weight)
-    dep = ind.department_summary(df, weight, ordered=False)
-    dep_records = dep.agg(
-        _records([-F.col("tasa_retiro"), F.col("departamento")], ["departamento", "total", "tasa_promocion", "tasa_retiro"])
-        .alias("v")
-    )
-    parts = (
-        _part(indicators_object(df, weight), 0, "indicadores", F.col("indicadores"))
-        .unionByName(_part(insights_array(df, weight), 1, "insights", F.col("insights")))
-        .unionByName(_part(nat, 2, "promedio_retiro", json_value("tasa_retiro")))
-        .unionByName(_part(dep_records, 3, "por_departamento", F.col("v")))
+    rows = F.col("filas")
+    text = json_text(
+        ("indicadores", indicators_text(rows)),
+        ("insights", _insights_text(rows)),
+        ("promedio_retiro", _national_rate(rows)),
+        ("por_departamento", _department_records(ins.by_dimension(rows, "departamento"))),
+        *[(f"brecha_{d}", _gap_records(ins.by_dimension(rows, d), d)) for d in CONTEXT_GAPS],
     )
-    # the three gap tables from ONE grouping-sets aggregate; each record's
-    # label field is keyed by its dimension name ({"area": ..., "total": ...})
-    dims = ["area", "sector", "nivel"]
-    gaps = ind.gap_all(df, dims, weight, ordered=False)
-    body = F.to_json(F.struct("label", "total", "promovidos", "retirados", "tasa_promocion", "tasa_retiro"))
-    record = F.concat(F.lit("{"), json_value(F.col("dimension")), F.lit(":"), body.substr(F.lit(len('{"label":') + 1), F.length(body)))
-    listed = F.array_sort(F.collect_list(F.struct(F.col("label"), record.alias("r"))))
-    slot = F.create_map(*[x for i, d in enumerate(dims) for x in (F.lit(d), F.lit(4 + i))])
-    gap_parts = gaps.groupBy("dimension").agg(
-        F.concat(F.lit("["), F.array_join(F.transform(listed, lambda e: e["r"]), ","), F.lit("]")).alias("v")
-    ).select(slot[F.col("dimension")].alias("orden"), F.concat(F.lit("brecha_"), F.col("dimension")).alias("clave"), F.col("v").alias("valor"))
-    return json_object(parts.unionByName(gap_parts), "contexto")
+    return ins.gathered(ind.figures(df, weight)).select(text.alias("contexto"))
+
+
+def context_from_outputs(document: DataFrame | None = None, summary: DataFrame | None = None, gaps: DataFrame | None = None) -> DataFrame:
+    """C1 from what the batch has written: the indicator document (one JSON
+    text column), the department table and the long gap table. A part that is
+    not there is left out of the context."""
+    parts = []
+    if document is not None:
+        text = F.col(document.columns[0])
+        for i, (key, path) in enumerate((("indicadores", "$.indicadores"), ("insights", "$.insights"), ("promedio_retiro", "$.promedio_retiro_nacional"))):
+            parts.append(document.select(F.lit(i).alias("orden"), F.lit(key).alias("clave"), F.get_json_object(text, path).alias("valor")))
+    if summary is not None:
+        rows = F.collect_list(F.struct(F.col("departamento").alias("label"), *RECORD))
+        parts.append(summary.agg(rows.alias("r")).select(F.lit(3).alias("orden"), F.lit("por_departamento").alias("clave"), _department_records(F.col("r")).alias("valor")))
+    if gaps is not None:
+        packed = gaps.agg(F.collect_list(F.struct("dimension", "label", *GAP_RECORD)).alias("r"))
+        found = F.array(
+            *[
+                F.struct(F.lit(4 + i).alias("orden"), F.lit(f"brecha_{d}").alias("clave"), _gap_records(ins.by_dimension(F.col("r"), d), d).alias("valor"))
+                for i, d in enumerate(CONTEXT_GAPS)
+            ]
+        )
+        parts.append(packed.select(F.inline(F.filter(found, lambda p: p["valor"] != "[]"))))
+    if not parts:
+        raise ValueError("no output to build a context from")
+    every = parts[0]
+    for part in parts[1:]:
+        every = every.unionByName(part)
+    listed = F.array_sort(F.collect_list(F.struct("orden", "clave", "valor")))  # at most seven rows
+    members = F.transform(F.filter(listed, lambda e: e["valor"].isNotNull()), lambda e: F.concat(json_value(e["clave"]), F.lit(":"), e["valor"]))
+    return every.agg(F.concat(F.lit("{"), F.array_join(members, ","), F.lit("}")).alias("contexto"))

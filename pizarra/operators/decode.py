@@ -52,11 +52,6 @@ def integer_code(df: DataFrame, name: str, schema: T.StructType | None = None) -
     return F.trim(c.cast("string")).try_cast("int")
 
 
-def normalise_codes(df: DataFrame, column: str = "cod_establecimiento") -> DataFrame:
-    """Strip + ``00-`` repair of the establishment code, in place."""
-    return df.withColumn(column, normalise_code(column))
-
-
 def with_municipality(df: DataFrame, column: str = "cod_establecimiento") -> DataFrame:
     """D1 + D2: repaired code and ``municipio_codigo`` (first two segments)."""
     fixed = normalise_code(column)
@@ -91,23 +86,24 @@ def decode_all(df: DataFrame) -> DataFrame:
     return df.select(*[out[c] for c in order])
 
 
-def decode_join(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """The same decode as a relational lookup against the long dictionary.
+def decode_join(df: DataFrame, columns: list[str] | None = None, dictionary: DataFrame | None = None) -> DataFrame:
+    """The same decode as a relational lookup against a long dictionary
+    ``(domain, code, label)``, the published one unless the caller has another.
 
-    The dictionary has < 100 rows (fixed by the published code lists), so each
-    lookup is a broadcast hash join: no shuffle of the fact table.
+    The published dictionary is a local table of under 100 rows, so Spark makes
+    each lookup a broadcast hash join by itself; a caller's table goes through
+    the same measured-size choice. A code that a caller's dictionary lists
+    twice takes the smallest label, so no row is ever multiplied.
     """
-    spark = df.sparkSession
-    dictionary = dictionary_df(spark)
+    if dictionary is None:
+        dictionary = dictionary_df(df.sparkSession)
+    else:
+        dictionary = dictionary.groupBy("domain", "code").agg(F.min("label").alias("label"))
     columns = columns or [c for c in DECODE_SPEC if c in df.columns]
     out = df
     for raw in columns:
         _, label_col, code_col = DECODE_SPEC[raw]
-        lookup = F.broadcast(
-            dictionary.where(F.col("domain") == raw).select(
-                F.col("code").alias(f"__k_{raw}"), F.col("label").alias(f"__l_{raw}")
-            )
-        )
+        lookup = dictionary.where(F.col("domain") == raw).select(F.col("code").alias(f"__k_{raw}"), F.col("label").alias(f"__l_{raw}"))
         out = (
             out.withColumn(f"__c_{raw}", integer_code(out, raw))
             .join(lookup, F.col(f"__c_{raw}") == F.col(f"__k_{raw}"), "left")

@@ -166,6 +166,38 @@ def gap_all(df: DataFrame, dims: Sequence[str] = GAP_DIMS, weight: str | None =
     return out.orderBy("dimension", "label") if ordered else out
 
 
+FIGURE_DIMS = ["departamento", "area", "sector", "sexo", "nivel", "pueblo"]
+NATIONAL = "nacional"
+TOTAL_LABEL = "Total"
+
+
+def figures(df: DataFrame, weight: str | None = None, dims: Sequence[str] = FIGURE_DIMS) -> DataFrame:
+    """Every published figure from ONE pass: long rows ``(dimension, label)``
+    with counts, rates, the share of rows within the dimension and the year,
+    plus the national row (``nacional``, ``Total``), whose rates divide by the
+    row count; all others divide by the non-null outcomes.
+
+    The rows are pre-aggregated on the dimension combination (bounded by the
+    code domains), so the grouping sets multiply groups, never input rows. The
+    result has one row per label: well under a hundred."""
+    dims = list(dims)
+    year = F.max("anio") if "anio" in df.columns else F.lit(None).cast("int")
+    pre = df.groupBy(*dims).agg(_rows(weight).alias("filas"), *outcome_counts(weight), year.alias("anio"))
+    counts = ["filas", "total", "promovidos", "no_promovidos", "retirados"]
+    g = pre.groupingSets([[], *([F.col(d)] for d in dims)], *dims).agg(
+        *[F.sum(c).cast("bigint").alias(c) for c in counts],
+        F.max("anio").alias("anio"),
+        *[F.grouping(d).alias(f"__g_{d}") for d in dims],
+    )
+    one = [F.col(f"__g_{d}") == 0 for d in dims]
+    dimension = F.coalesce(*[F.when(x, F.lit(d)) for x, d in zip(one, dims)], F.lit(NATIONAL))
+    label = F.coalesce(*[F.when(x, F.col(d)) for x, d in zip(one, dims)], F.when(functools.reduce(lambda a, b: a & b, [~x for x in one]), F.lit(TOTAL_LABEL)))
+    long = g.select(dimension.alias("dimension"), label.alias("label"), *counts, "anio").where(F.col("label").isNotNull())
+    long = long.withColumn("total", F.when(F.col("dimension") == NATIONAL, F.col("filas")).otherwise(F.col("total")))
+    share = rate(F.col("filas"), F.sum("filas").over(Window.partitionBy("dimension")))  # over these few rows
+    return with_rates(long).withColumn("pct", share)
+
+
 def outcome_cube(df: DataFrame, dims: Sequence[str] = CUBE_DIMS) -> DataFrame:
     """A10: enrolment counts per combination of the analysed dimensions.
 

@@ -13,10 +13,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.dictionary import IGNORED, UNKNOWN
 from ..functions.numeric import one_decimal, rate, signed_one_decimal, thousands, truncated_estimate
-from ..session import materialise
 from . import indicators as ind
-from .ranking import top_k, worst
 
 # ---------------------------------------------------------------------------
 # FIXED VALUES: severity thresholds (points of dropout rate vs the national
@@ -33,10 +32,10 @@ CLASS_BETTER = "mejor que el promedio"
 CLASS_NEAR = "cerca del promedio"
 
 ADVICE = {
-    CLASS_CRITICAL: "Conviene priorizar programas de retención escolar.",
-    CLASS_ABOVE: "Conviene reforzar el seguimiento de estudiantes en riesgo.",
-    CLASS_BETTER: "Sus prácticas pueden documentarse para replicarlas.",
-    CLASS_NEAR: "Conviene sostener el monitoreo preventivo.",
+    CLASS_CRITICAL: "El retiro supera al del país en dos puntos o más: este departamento va primero en la lista.",
+    CLASS_ABOVE: "El retiro supera al del país en medio punto o más.",
+    CLASS_BETTER: "El retiro queda dos puntos o más por debajo del país.",
+    CLASS_NEAR: "El retiro se parece al del país.",
 }
 
 
@@ -122,66 +121,71 @@ def estimated_dropouts(df: DataFrame, dim: str = "departamento", weight: str | N
 
 
 # ------------------------------------------------------------------ texts
-OVERVIEW = (
-    "Panorama: en 2024 hubo %s inscripciones; el %s%% fue promovido y el %s%% se retiró, "
-    "es decir, unas %s inscripciones dejaron el ciclo."
-)
-WORST_PLACE = (
-    "Zona más crítica: %s registra el retiro más alto (%s%%), %s puntos sobre el promedio "
-    "nacional, con %s inscripciones."
-)
-RURAL_URBAN = "Brecha rural-urbana: la tasa de retiro rural menos la urbana da %s puntos."
-WORST_LEVEL = "Nivel más afectado: %s, con la mayor tasa de retiro (%s%%)."
-DEPARTMENT = (
-    "%s: %s inscripciones y una tasa de retiro de %s%% (%s puntos frente al promedio nacional "
-    "de %s%%); unas %s inscripciones se retiraron. Situación: %s. %s"
-)
-
-
-def _row(df: DataFrame, order: int, kind: str, text: Column) -> DataFrame:
-    return df.select(F.lit(order).alias("orden"), F.lit(kind).alias("tipo"), text.alias("texto"))
+OVERVIEW = "Año %s. Inscripciones: %s. Promoción: %s%%. Retiro: %s%%, que equivale a %s inscripciones."
+OVERVIEW_NO_YEAR = OVERVIEW.removeprefix("Año %s. ")
+WORST_PLACE = "%s encabeza el retiro con %s%%, a %s puntos de la cifra del país, entre %s inscripciones."
+RURAL_URBAN = "Retiro por área: Rural menos Urbana da %s puntos."
+WORST_LEVEL = "Por nivel, el retiro más alto es el de %s: %s%%."
+DEPARTMENT = "%s. Inscripciones: %s. Retiro: %s%% (%s puntos; país: %s%%), unas %s inscripciones. Clase: %s. %s"
 
 
-def insights_national(df: DataFrame, weight: str | None = None) -> DataFrame:
-    """Up to four ``(orden, tipo, texto)`` rows; 3 and 4 only when the data
-    supports them. Built from one outcome cube so the input is scanned once."""
-    if weight is None:
-        df, weight = materialise(ind.outcome_cube(df), "cube"), "n"
-    nat = ind.national_indicators(df, weight)
-    overview = _row(
-        nat,
-        1,
-        "panorama",
-        F.format_string(
-            OVERVIEW,
-            thousands("total"),
-            one_decimal("tasa_promocion"),
-            one_decimal("tasa_retiro"),
-            thousands(truncated_estimate("total", "tasa_retiro")),
-        ),
-    )
-    top = top_k(vs_national(df, "departamento", weight), "tasa_retiro", "departamento", 1)
-    place = _row(
-        top,
-        2,
-        "zona_critica",
-        F.format_string(
-            WORST_PLACE, F.col("departamento"), one_decimal("tasa_retiro"), one_decimal("diferencia"), thousands("total")
-        ),
+def by_dimension(rows: Column, dimension: str) -> Column:
+    return F.filter(rows, lambda r: r["dimension"] == dimension)
+
+
+def highest(rows: Column, by: str = "tasa_retiro") -> Column:
+    """The row with the highest ``by`` (ties by label); null for no rows."""
+    order = F.transform(rows, lambda r: F.struct(F.coalesce(-r[by], F.lit(float("inf"))).alias("k"), r["label"].alias("label"), r.alias("r")))
+    return F.get(F.array_sort(order), F.lit(0))["r"]
+
+
+def known(rows: Column) -> Column:
+    return F.filter(rows, lambda r: ~r["label"].isin(IGNORED, UNKNOWN))
+
+
+def gathered(figures: DataFrame) -> DataFrame:
+    """The figures (under a hundred rows, see ``indicators.figures``) as one row
+    with an array ``filas``, so every text and document is an expression over it."""
+    return figures.agg(F.collect_list(F.struct(*figures.columns)).alias("filas"))
+
+
+def overview_text(nat: Column) -> Column:
+    parts = (
+        thousands(nat["total"]),
+        one_decimal(nat["tasa_promocion"]),
+        one_decimal(nat["tasa_retiro"]),
+        thousands(truncated_estimate(nat["total"], nat["tasa_retiro"])),
     )
-    gap = _row(
-        label_gap(ind.gap_table(df, "area", weight), "area", "Rural", "Urbana"),
-        3,
-        "brecha_rural_urbana",
-        F.format_string(RURAL_URBAN, one_decimal("brecha")),
+    text = F.when(nat["anio"].isNull(), F.format_string(OVERVIEW_NO_YEAR, *parts)).otherwise(
+        F.format_string(OVERVIEW, nat["anio"].cast("string"), *parts)
     )
-    level = _row(
-        worst(ind.gap_table(df, "nivel", weight), "nivel"),
-        4,
-        "nivel_critico",
-        F.format_string(WORST_LEVEL, F.col("nivel"), one_decimal("tasa_retiro")),
+    return F.when(nat.isNotNull(), text)
+
+
+def national_texts(rows: Column) -> Column:
+    """I5 as array<struct<orden, tipo, texto>>: only what the data supports."""
+    nat = F.get(by_dimension(rows, ind.NATIONAL), F.lit(0))
+    place = highest(by_dimension(rows, "departamento"))
+    areas, level = by_dimension(rows, "area"), highest(known(by_dimension(rows, "nivel")))
+
+    def dropout(label: str) -> Column:
+        return F.get(F.filter(areas, lambda r: r["label"] == label), F.lit(0))["tasa_retiro"]
+
+    gap = dropout("Rural") - dropout("Urbana")
+    diff = place["tasa_retiro"] - nat["tasa_retiro"]
+    texts = (
+        ("panorama", overview_text(nat)),
+        ("zona_critica", F.when(place.isNotNull(), F.format_string(WORST_PLACE, place["label"], one_decimal(place["tasa_retiro"]), one_decimal(diff), thousands(place["total"])))),
+        ("brecha_rural_urbana", F.when(gap.isNotNull(), F.format_string(RURAL_URBAN, one_decimal(gap)))),
+        ("nivel_critico", F.when(level.isNotNull(), F.format_string(WORST_LEVEL, level["label"], one_decimal(level["tasa_retiro"])))),
     )
-    return overview.unionByName(place).unionByName(gap).unionByName(level)
+    built = F.array(*[F.struct(F.lit(i).alias("orden"), F.lit(kind).alias("tipo"), text.alias("texto")) for i, (kind, text) in enumerate(texts, 1)])
+    return F.filter(built, lambda t: t["texto"].isNotNull())
+
+
+def insights_national(df: DataFrame, weight: str | None = None) -> DataFrame:
+    """Up to four ``(orden, tipo, texto)`` rows, from one pass."""
+    return gathered(ind.figures(df, weight)).select(F.inline(national_texts(F.col("filas"))))
 
 
 def insights_department(df: DataFrame, dim: str = "departamento", weight: str | None = None) -> DataFrame:

@@ -11,12 +11,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.codes import WHITESPACE, code_segment, municipality, normalise_code, segment_level
-from ..functions.dictionary import CONTROL_SHARES, DEPARTAMENTOS, DEPARTMENT_FILES, DEPARTMENT_RECORDS, GRADE_RANGES
+from ..functions.dictionary import CONTROL_SHARES, CONTROL_TOTALS, DEPARTAMENTOS, DEPARTMENT_FILES, DEPARTMENT_RECORDS, GRADE_RANGES, local_table
 from ..functions.numeric import rate
 from . import indicators as ind
 
@@ -70,15 +70,10 @@ def municipality_counts(raw: DataFrame, dept: str = "departamento_f", code: str
     )
 
 
-def school_counts(decoded: DataFrame, dept: str = "departamento", code: str = CODE, approx: bool = False) -> DataFrame:
+def school_counts(decoded: DataFrame, dept: str = "departamento", code: str = CODE) -> DataFrame:
     """Distinct establishments (segments 1-3) vs distinct codes; a school
-    serving several levels has several codes. ``approx`` switches to HLL++."""
+    serving several levels has several codes."""
     school = F.when(F.size(F.split(F.col(code), "-", -1)) >= 3, F.substring_index(F.col(code), "-", 3))
-    if approx:
-        return decoded.groupBy(dept).agg(
-            F.approx_count_distinct(school).alias("establecimientos"),
-            F.approx_count_distinct(code).alias("codigos"),
-        )
     # the school key is a function of the code: reduce to distinct
     # (group, code) pairs first, derive it once per code, not once per row
     keys = decoded.select(dept, code).distinct().select(dept, school.alias("_school"), F.col(code).alias("_code"))
@@ -137,54 +132,61 @@ def code_profile(raw: DataFrame, columns: Sequence[str], ignored_code: int = 9)
 
 def expected_shares(spark: SparkSession, expected: dict[str, dict[str, float]] = CONTROL_SHARES) -> DataFrame:
     rows = [(dim, label, float(v)) for dim, labels in expected.items() for label, v in labels.items()]
-    schema = T.StructType(
-        [
-            T.StructField("dimension", T.StringType()),
-            T.StructField("label", T.StringType()),
-            T.StructField("esperado", T.DoubleType()),
-        ]
-    )
-    return spark.createDataFrame(rows, schema)
+    return local_table(spark, rows, "dimension string, label string, esperado double")
+
+
+def _tenths(c: Column) -> Column:
+    return F.rint(c * 10)
 
 
 def control_check(decoded: DataFrame, expected: DataFrame | None = None, tolerance: float = 0.1) -> DataFrame:
-    """Computed shares vs published control figures.
-
-    Computed shares are bounded by label domains; the built-in expected
-    values are the 15 published figures and are broadcast. A caller's own
-    table has no proven bound, so Spark's measured-size check picks the join
-    (broadcast under ``autoBroadcastJoinThreshold``, sort-merge beyond)."""
-    builtin = expected is None
-    expected = expected_shares(decoded.sparkSession) if builtin else expected
+    """Computed shares vs published control figures, both given to one
+    decimal, so they are compared in whole tenths (in doubles 0.4 - 0.3 is more
+    than 0.1). The published 5.5 % of retirement is compared with the share of
+    outcome code 3 (``Retirado``) alone, without code 4 (``Retirado definitivo``).
+
+    Spark's measured-size check picks the join."""
+    expected = expected_shares(decoded.sparkSession) if expected is None else expected
     dims = sorted({r for r in CONTROL_SHARES})
     got = ind.shares_all(decoded, dims).select("dimension", "label", F.col("pct").alias("calculado"))
+    difference = F.col("calculado") - F.col("esperado")
     return (
-        got.join(F.broadcast(expected) if builtin else expected, ["dimension", "label"], "right")
+        expected.join(got, ["dimension", "label"], "left")
         .select("dimension", "label", "esperado", "calculado")
-        .withColumn("diferencia", F.col("calculado") - F.col("esperado"))
-        .withColumn("dentro_tolerancia", F.coalesce(F.abs(F.col("diferencia")) <= tolerance, F.lit(False)))
+        .withColumn("diferencia", difference)
+        .withColumn("dentro_tolerancia", F.coalesce(_tenths(F.abs(difference)) <= _tenths(F.lit(tolerance)), F.lit(False)))
+    )
+
+
+def control_totals(decoded: DataFrame) -> DataFrame:
+    """The published totals against the data: enrolments, municipalities of
+    the department of Guatemala and of the country. ``aproximado`` marks the
+    figure that is published as "about"; it holds within 2 %."""
+    keys = decoded.groupBy("departamento", "cod_establecimiento").agg(F.count(F.lit(1)).alias("n"))
+    keys = keys.select("departamento", municipality("cod_establecimiento").alias("m"), "n")
+    got = keys.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias("inscripciones"),
+        F.count_distinct(F.when(F.col("departamento") == "Guatemala", F.col("m"))).alias("municipios_guatemala"),
+        F.count_distinct("m").alias("municipios"),
+    )
+    rows = [F.struct(F.lit(k).alias("control"), F.lit(v).cast("bigint").alias("esperado"), F.col(k).cast("bigint").alias("calculado"), F.lit(about).alias("aproximado")) for k, (v, about) in CONTROL_TOTALS.items()]
+    off = F.abs(F.col("calculado") - F.col("esperado"))
+    return got.select(F.inline(F.array(*rows))).withColumn(
+        "cumple", F.when(F.col("aproximado"), off * 50 <= F.col("esperado")).otherwise(off == 0)
     )
 
 
 def catalogue(spark: SparkSession) -> DataFrame:
     """Department catalogue ``(departamento_f, departamento, archivo, registros_publicados)``."""
     rows = [(k, DEPARTAMENTOS[k], DEPARTMENT_FILES[k], DEPARTMENT_RECORDS[k]) for k in DEPARTAMENTOS]
-    schema = T.StructType(
-        [
-            T.StructField("departamento_f", T.IntegerType()),
-            T.StructField("departamento", T.StringType()),
-            T.StructField("archivo", T.StringType()),
-            T.StructField("registros_publicados", T.LongType()),
-        ]
-    )
-    return spark.createDataFrame(rows, schema)
+    return local_table(spark, rows, "departamento_f int, departamento string, archivo string, registros_publicados bigint")
 
 
 def record_reconcile(raw: DataFrame, dept: str = "departamento_f") -> DataFrame:
     """Records per department vs the published per-file counts (full
     outer join: departments missing on either side show up)."""
     counts = raw.groupBy(dept).agg(F.count(F.lit(1)).alias("registros"))
-    cat = F.broadcast(catalogue(raw.sparkSession).select(dept, "departamento", "registros_publicados"))
+    cat = catalogue(raw.sparkSession).select(dept, "departamento", "registros_publicados")
     return (
         counts.join(cat, dept, "full_outer")
         .withColumn("registros", F.coalesce("registros", F.lit(0)).cast("bigint"))
@@ -215,9 +217,25 @@ def repeat_graduate_rates(decoded: DataFrame, dim: str = "departamento") -> Data
     )
 
 
+def _per_municipality(decoded: DataFrame, aggregates: Sequence[Column]) -> DataFrame:
+    """Counts per (department, municipality). The municipality is a function of
+    the code: rows are counted per distinct code first, the string work is done
+    once per code, and rows without one are dropped by a test on an aggregate,
+    which (unlike one on the key) can't be pushed below into the scan."""
+    counts = decoded.groupBy("departamento", CODE).agg(*aggregates)
+    names = [c for c in counts.columns if c not in ("departamento", CODE)]
+    key = counts.select("departamento", municipality(CODE).alias("municipio_codigo"), *names)
+    return (
+        key.groupBy("departamento", "municipio_codigo")
+        .agg(*[F.sum(c).cast("bigint").alias(c) for c in names], F.max(F.col("departamento").isNotNull() & F.col("municipio_codigo").isNotNull()).alias("_known"))
+        .where("_known")
+        .drop("_known")
+    )
+
+
 def municipality_summary(decoded: DataFrame) -> DataFrame:
     """Outcome table per (department, municipality)."""
-    return ind.outcome_by(decoded, ["departamento", "municipio_codigo"], with_not_promoted=True)
+    return ind.with_rates(_per_municipality(decoded, ind.outcome_counts(None, with_not_promoted=True)))
 
 
 def municipality_names(decoded: DataFrame, names: DataFrame | None = None) -> DataFrame:
@@ -226,12 +244,8 @@ def municipality_names(decoded: DataFrame, names: DataFrame | None = None) -> Da
     catalogue is a sheet of the data dictionary, a few hundred rows). The
     catalogue comes from the caller, so no broadcast hint: Spark's
     measured-size check broadcasts it when small, sort-merge otherwise."""
-    munis = (
-        decoded.groupBy("departamento", "municipio_codigo")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .where(F.col("municipio_codigo").isNotNull())
-    )
-    munis = munis.withColumn("codigo", F.regexp_replace("municipio_codigo", "-", ""))
+    munis = _per_municipality(decoded, [F.count(F.lit(1)).alias("n")])
+    munis = munis.withColumn("codigo", F.replace("municipio_codigo", F.lit("-"), F.lit("")))
     if names is None:
         return munis.withColumn("municipio", F.lit(None).cast("string"))
     return munis.join(names.select("codigo", "municipio"), "codigo", "left")

@@ -81,3 +81,13 @@ def run_pipeline(
 
 def read_summary(spark: SparkSession, out: str) -> DataFrame:
     return spark.read.parquet(f"{out}/{SUMMARY}")
+
+
+def context(spark: SparkSession, out: str) -> DataFrame:
+    """C1 from the outputs in ``out``; those that were not written are left out."""
+    here = {name: f"{out}/{name}" for name in (INDICATORS, SUMMARY, GAPS) if files.path_exists(spark, f"{out}/{name}")}
+    return ans.context_from_outputs(
+        spark.read.text(here[INDICATORS], wholetext=True) if INDICATORS in here else None,
+        spark.read.parquet(here[SUMMARY]) if SUMMARY in here else None,
+        spark.read.parquet(here[GAPS]) if GAPS in here else None,
+    )

@@ -7,7 +7,6 @@ Keys follow the operator inventory; every query reads the driver's tables
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -23,9 +22,10 @@ from ..operators import indicators as ind
 from ..operators import insights as ins
 from ..operators import quality as qual
 from ..operators import ranking as rk
-from ..session import stage_dir
+from ..session import fresh_dir
 from ..sources import files
-from ..sources.fixture import RAW_COLUMNS, _memo, enrolments
+from ..sources.fixture import RAW_COLUMNS, enrolments
+from ..streaming import ingest as st
 from . import oracle as o
 from . import pipeline as pl
 
@@ -51,10 +51,7 @@ def register(name: str, sql: str | None):
 
 
 def decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The decoded view, planned once per session (like a temp view): its
-    27-column projection is otherwise rebuilt expression by expression for
-    every query. Each action still reads and decodes the tables afresh."""
-    return _memo(spark, ("decoded", sf_dir.rstrip("/")), lambda: dec.decode_all(enrolments(spark, sf_dir)))
+    return dec.decode_all(enrolments(spark, sf_dir))
 
 
 W = o.with_views
@@ -333,15 +330,20 @@ def sql_text(template: str) -> str:
     return o.q(template)
 
 
-INSIGHTS = (
-    f"SELECT 1 AS orden, 'panorama' AS tipo, printf({sql_text(ins.OVERVIEW)}, {thousands_sql('total')}, {fmt1('tasa_promocion')}, "
-    f"{fmt1('tasa_retiro')}, {thousands_sql(trunc_est('total', 'tasa_retiro'))}) AS texto FROM nat "
-    f"UNION ALL SELECT 2, 'zona_critica', printf({sql_text(ins.WORST_PLACE)}, departamento, {fmt1('tasa_retiro')}, {fmt1('diferencia')}, "
-    f"{thousands_sql('total')}) FROM (SELECT * FROM ({VS_NATIONAL}) ORDER BY tasa_retiro DESC, departamento LIMIT 1) "
-    f"UNION ALL SELECT 3, 'brecha_rural_urbana', printf({sql_text(ins.RURAL_URBAN)}, {fmt1('brecha')}) FROM ({label_gap_sql('area', 'Rural', 'Urbana')}) "
-    f"UNION ALL SELECT 4, 'nivel_critico', printf({sql_text(ins.WORST_LEVEL)}, nivel, {fmt1('tasa_retiro')}) FROM "
-    f"(SELECT * FROM ({o.grouped('nivel')}) WHERE nivel {CLEAN} ORDER BY tasa_retiro DESC, nivel LIMIT 1)"
-)
+def insights_sql(year: bool = True) -> str:
+    when = "CAST((SELECT max(anio) FROM d) AS VARCHAR), " if year else ""
+    return (
+        f"SELECT 1 AS orden, 'panorama' AS tipo, printf({sql_text(ins.OVERVIEW if year else ins.OVERVIEW_NO_YEAR)}, {when}{thousands_sql('total')}, {fmt1('tasa_promocion')}, "
+        f"{fmt1('tasa_retiro')}, {thousands_sql(trunc_est('total', 'tasa_retiro'))}) AS texto FROM nat "
+        f"UNION ALL SELECT 2, 'zona_critica', printf({sql_text(ins.WORST_PLACE)}, departamento, {fmt1('tasa_retiro')}, {fmt1('diferencia')}, "
+        f"{thousands_sql('total')}) FROM (SELECT * FROM ({VS_NATIONAL}) ORDER BY tasa_retiro DESC, departamento LIMIT 1) "
+        f"UNION ALL SELECT 3, 'brecha_rural_urbana', printf({sql_text(ins.RURAL_URBAN)}, {fmt1('brecha')}) FROM ({label_gap_sql('area', 'Rural', 'Urbana')}) "
+        f"UNION ALL SELECT 4, 'nivel_critico', printf({sql_text(ins.WORST_LEVEL)}, nivel, {fmt1('tasa_retiro')}) FROM "
+        f"(SELECT * FROM ({o.grouped('nivel')}) WHERE nivel {CLEAN} ORDER BY tasa_retiro DESC, nivel LIMIT 1)"
+    )
+
+
+INSIGHTS = insights_sql()
 
 
 @register("insights_national", W(INSIGHTS, VS_CTES))
@@ -381,7 +383,13 @@ INDICATORS_OBJ = (
     + " || '}'"
 )
 INSIGHTS_ARR = f"(SELECT {_j('list(texto ORDER BY orden)')} FROM it)"
-DOC_CTES = f"{VS_CTES}, sh AS ({share_all_sql(ind.SHARE_DIMS)}), it AS ({INSIGHTS})"
+
+
+def doc_ctes(year: bool = True) -> str:
+    return f"{VS_CTES}, sh AS ({share_all_sql(ind.SHARE_DIMS)}), it AS ({insights_sql(year)})"
+
+
+DOC_CTES = doc_ctes()
 INDICATORS_DOC = (
     "SELECT '{\"indicadores\":' || " + INDICATORS_OBJ + " || ',\"insights\":' || " + INSIGHTS_ARR
     + " || ',\"promedio_retiro_nacional\":' || " + _j("nat.tasa_retiro") + " || '}' AS documento FROM nat"
@@ -412,31 +420,31 @@ def q_context(spark, sf_dir):
     return ans.context_document(decoded(spark, sf_dir))
 
 
+@register("context_outputs", W(CONTEXT_DOC, doc_ctes(year=False)))
+def q_context_outputs(spark, sf_dir):
+    """The context from the files the batch has written."""
+    return pl.context(spark, pipeline_out(spark, sf_dir))
+
+
 @register("indicators_json", W(INDICATORS_DOC, DOC_CTES))
 def q_indicators_json(spark, sf_dir):
     return ans.indicators_document(decoded(spark, sf_dir))
 
 
 # ================================================ 2.1 sources and sinks
-def _stage(spark: SparkSession, sf_dir: str, *parts: str) -> str:
-    tag = hashlib.md5(sf_dir.rstrip("/").encode()).hexdigest()[:10]
-    return stage_dir(spark, f"sf-{tag}", *parts)
-
-
 CSV_CATALOGUE = {k: v.replace(".xlsx", ".csv") for k, v in DEPARTMENT_FILES.items()}
 
 
 def exported(spark: SparkSession, sf_dir: str) -> str:
-    """The fixture written as per-department CSV files named by the catalogue."""
-    return files.export_departments(enrolments(spark, sf_dir), _stage(spark, sf_dir, "departamentos"), DEPARTMENT_FILES, "csv")
+    """The fixture written as per-department CSV files named by the catalogue,
+    in a new folder for each call."""
+    return files.export_departments(enrolments(spark, sf_dir), fresh_dir(spark, "departamentos"), DEPARTMENT_FILES, "csv")
 
 
 def pipeline_out(spark: SparkSession, sf_dir: str) -> str:
-    """Runs the whole batch (O1) once per sf directory, returns its output folder."""
-    out = _stage(spark, sf_dir, "salida")
-    if not files.path_exists(spark, f"{out}/_DONE"):
-        pl.run_pipeline(spark, exported(spark, sf_dir), out, CSV_CATALOGUE, "csv")
-        files.touch(spark, f"{out}/_DONE")
+    """Runs the whole batch (O1), returns its output folder."""
+    out = fresh_dir(spark, "salida")
+    pl.run_pipeline(spark, exported(spark, sf_dir), out, CSV_CATALOGUE, "csv")
     return out
 
 
@@ -452,9 +460,9 @@ STEM_SQL = "CASE departamento_f " + " ".join(f"WHEN {k} THEN {o.q(files.stem_of(
 def q_stamp_department(spark, sf_dir):
     folder = exported(spark, sf_dir)
     paths = list(files.existing_files(spark, folder, CSV_CATALOGUE).values())
-    raw = spark.read.schema(files.RAW_SCHEMA).option("header", True).csv(paths)
-    stamped = files.stamp_department(raw.drop("departamento_f").withColumn("departamento_f", F.lit(None).cast("int")), CSV_CATALOGUE)
-    return stamped.groupBy(files.file_stem(F.col("_metadata.file_path"), CSV_CATALOGUE).alias("archivo"), "departamento_f").agg(F.count(F.lit(1)).alias("n"))
+    raw = files.scan_csv(spark, paths)
+    stamped = files.stamp_department(raw.drop("departamento_f").withColumn("departamento_f", F.lit(None).cast("int")), CSV_CATALOGUE, F.col("_file"))
+    return stamped.groupBy(files.file_stem(F.col("_file"), CSV_CATALOGUE).alias("archivo"), "departamento_f").agg(F.count(F.lit(1)).alias("n"))
 
 
 TRIAL = ", ".join(str(d) for d in TRIAL_DEPARTMENTS)
@@ -632,7 +640,7 @@ def q_code_profile(spark, sf_dir):
 EXPECTED_VALUES = ", ".join(f"({o.q(d)}, {o.q(lbl)}, CAST({v} AS DOUBLE))" for d, labels in CONTROL_SHARES.items() for lbl, v in labels.items())
 CONTROL = (
     "SELECT x.dimension, x.label, x.esperado, g.pct AS calculado, g.pct - x.esperado AS diferencia, "
-    "COALESCE(abs(g.pct - x.esperado) <= CAST(0.1 AS DOUBLE), false) AS dentro_tolerancia "
+    "COALESCE(round(abs(g.pct - x.esperado) * 10) <= 1, false) AS dentro_tolerancia "
     f"FROM (VALUES {EXPECTED_VALUES}) x(dimension, label, esperado) LEFT JOIN ({share_all_sql(sorted(CONTROL_SHARES))}) g "
     "ON x.dimension = g.dimension AND x.label = g.label"
 )
@@ -643,6 +651,26 @@ def q_control_check(spark, sf_dir):
     return qual.control_check(decoded(spark, sf_dir))
 
 
+TOTALS = (
+    "SELECT 'inscripciones' AS control, count(*) AS calculado FROM d "
+    f"UNION ALL SELECT 'municipios_guatemala', count(DISTINCT municipio_codigo) FROM d WHERE departamento = 'Guatemala' "
+    "UNION ALL SELECT 'municipios', count(DISTINCT municipio_codigo) FROM d"
+)
+
+
+@register(
+    "control_totals",
+    W(
+        "SELECT t.control, x.esperado, t.calculado, x.aproximado, "
+        "CASE WHEN x.aproximado THEN abs(t.calculado - x.esperado) * 50 <= x.esperado ELSE t.calculado = x.esperado END AS cumple "
+        f"FROM ({TOTALS}) t JOIN (VALUES ('inscripciones', CAST(4298887 AS BIGINT), false), ('municipios_guatemala', 17, false), ('municipios', 340, true)) "
+        "x(control, esperado, aproximado) ON t.control = x.control"
+    ),
+)
+def q_control_totals(spark, sf_dir):
+    return qual.control_totals(decoded(spark, sf_dir))
+
+
 CATALOGUE_VALUES = ", ".join(f"({k}, {o.q(DEPARTAMENTOS[k])}, CAST({DEPARTMENT_RECORDS[k]} AS BIGINT))" for k in DEPARTAMENTOS)
 RECONCILE = (
     "SELECT COALESCE(c.departamento_f, k.departamento_f) AS departamento_f, CAST(COALESCE(c.registros, 0) AS BIGINT) AS registros, "
@@ -699,11 +727,16 @@ def q_municipality_summary(spark, sf_dir):
     "municipality_names",
     W(
         "SELECT departamento, municipio_codigo, count(*) AS n, replace(municipio_codigo, '-', '') AS codigo, "
-        "CAST(NULL AS VARCHAR) AS municipio FROM d WHERE municipio_codigo IS NOT NULL GROUP BY departamento, municipio_codigo"
+        "CASE WHEN substr(municipio_codigo, 5, 1) <> '9' THEN 'Municipio ' || replace(municipio_codigo, '-', '') END AS municipio "
+        "FROM d WHERE municipio_codigo IS NOT NULL GROUP BY departamento, municipio_codigo"
     ),
 )
 def q_municipality_names(spark, sf_dir):
-    return qual.municipality_names(decoded(spark, sf_dir))
+    """With a catalogue built from the data's own codes, those ending in 9 left out."""
+    view = decoded(spark, sf_dir)
+    codes = view.select(F.replace("municipio_codigo", F.lit("-"), F.lit("")).alias("codigo")).distinct()
+    names = codes.where(~F.col("codigo").endswith("9")).withColumn("municipio", F.concat(F.lit("Municipio "), "codigo"))
+    return qual.municipality_names(view, names)
 
 
 def facts_sql() -> str:
@@ -719,37 +752,40 @@ def facts_sql() -> str:
         f"SELECT dimension, label, 'brecha_' || dimension, '{m}', CAST({m} AS DOUBLE) FROM ({GAP_ALL})"
         for m in ["total", "tasa_promocion", "tasa_retiro"]
     )
-    return f"{nat} UNION ALL {dep} UNION ALL {gaps}"
+    base = f"SELECT *, CAST(NULL AS VARCHAR) AS texto FROM ({nat} UNION ALL {dep} UNION ALL {gaps})"
+    said = f"CASE WHEN metrica = 'total' THEN {thousands_sql('CAST(valor AS BIGINT)')} ELSE printf('%.1f%%', valor) END"
+    top = (
+        f"SELECT dimension, {o.q(ans.HIGHEST)}, fuente, metrica, valor, label || ': ' || {said} FROM (SELECT *, "
+        "row_number() OVER (PARTITION BY dimension, metrica ORDER BY valor DESC NULLS LAST, label) AS k "
+        f"FROM ({base}) WHERE dimension <> 'nacional' AND label {CLEAN} AND valor IS NOT NULL) WHERE k = 1"
+    )
+    overview = f"SELECT 'nacional', 'Total', 'indicadores_nacionales', '{ans.OVERVIEW_METRIC}', CAST(nat.total AS DOUBLE), it.texto FROM nat, it WHERE it.orden = 1"
+    return f"{base} UNION ALL {top} UNION ALL {overview}"
 
 
 QUESTION_VALUES = ", ".join(f"({i}, {o.q(p)}, {o.q(d)}, {o.q(lbl)}, {o.q(m)})" for i, p, d, lbl, m in ans.SAMPLE_QUESTIONS)
 ANSWERS = (
     "SELECT q.pregunta_id, q.pregunta, q.dimension, q.label, q.metrica, f.valor, "
-    f"CASE WHEN f.valor IS NULL THEN {o.q(ans.NOT_AVAILABLE)} WHEN q.metrica = 'total' THEN {thousands_sql('CAST(f.valor AS BIGINT)')} "
+    f"CASE WHEN f.valor IS NULL THEN {o.q(ans.NOT_AVAILABLE)} WHEN f.texto IS NOT NULL THEN f.texto WHEN q.metrica = 'total' THEN {thousands_sql('CAST(f.valor AS BIGINT)')} "
     "ELSE printf('%.1f%%', f.valor) END AS respuesta, f.fuente "
     f"FROM (VALUES {QUESTION_VALUES}) q(pregunta_id, pregunta, dimension, label, metrica) "
     f"LEFT JOIN ({facts_sql()}) f ON q.dimension = f.dimension AND q.label = f.label AND q.metrica = f.metrica"
 )
 
 
-@register("answer_batch", W(ANSWERS))
+@register("answer_batch", W(ANSWERS, f"{VS_CTES}, it AS ({INSIGHTS})"))
 def q_answer_batch(spark, sf_dir):
     return ans.answer_batch(decoded(spark, sf_dir), ans.questions(spark))
 
 
 # ============================================================ streaming
 def streamed_out(spark: SparkSession, sf_dir: str) -> str:
-    """Runs the incremental ingest and cube streams once per sf directory."""
-    from ..streaming import ingest as st
-
-    out = _stage(spark, sf_dir, "stream")
-    if not files.path_exists(spark, f"{out}/_DONE"):
-        landing = exported(spark, sf_dir)
-        q1 = st.start_ingest(spark, landing, f"{out}/processed", CSV_CATALOGUE, checkpoint=f"{out}/_ckpt_ingest")
-        q2 = st.start_cube(spark, landing, f"{out}/cube", CSV_CATALOGUE, checkpoint=f"{out}/_ckpt_cube")
-        q1.awaitTermination()
-        q2.awaitTermination()
-        files.touch(spark, f"{out}/_DONE")
+    """Runs the incremental ingest and cube streams over a new landing folder."""
+    out, landing = fresh_dir(spark, "stream"), exported(spark, sf_dir)
+    q1 = st.start_ingest(spark, landing, f"{out}/processed", CSV_CATALOGUE, checkpoint=f"{out}/_ckpt_ingest")
+    q2 = st.start_cube(spark, landing, f"{out}/cube", CSV_CATALOGUE, checkpoint=f"{out}/_ckpt_cube")
+    q1.awaitTermination()
+    q2.awaitTermination()
     return out
 
 
@@ -763,4 +799,4 @@ def q_stream_ingest(spark, sf_dir):
     W("SELECT departamento, area, sector, sexo, nivel, pueblo, resultado, count(*) AS n FROM d GROUP BY ALL"),
 )
 def q_stream_cube(spark, sf_dir):
-    return spark.read.parquet(f"{streamed_out(spark, sf_dir)}/cube")
+    return st.read_cube(spark, f"{streamed_out(spark, sf_dir)}/cube")

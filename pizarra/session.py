@@ -10,31 +10,36 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 
 def build_session(master: str | None = None, shuffle_partitions: int | None = None, app: str = "pizarra") -> SparkSession:
-    cpus = os.environ.get("BENCH_CPUS", "8")
-    master = master or f"local[{cpus}]"
-    shuffle_partitions = shuffle_partitions or int(cpus)
-    spark = (
-        SparkSession.builder.master(master)
-        .appName(app)
-        .config("spark.ui.enabled", "false")
-        .config("spark.ui.showConsoleProgress", "false")
-        .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
-        .config("spark.sql.adaptive.enabled", "true")
-        .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
-        .config("spark.sql.adaptive.skewJoin.enabled", "true")
-        .config("spark.sql.session.timeZone", "UTC")
-        .config("spark.sql.execution.arrow.pyspark.enabled", "true")
-        # call-site capture for error messages costs several driver-to-JVM
-        # calls per Column built; plans of the JSON documents build thousands
-        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
-        .config("spark.driver.memory", os.environ.get("PIZARRA_DRIVER_MEMORY", "16g"))
-        .getOrCreate()
-    )
-    spark.sparkContext.setLogLevel("ERROR")
+    """The active session, left as it is, or a new one.
+
+    Settings made in code win over those of ``spark-submit``, so a new session
+    gets none beyond what the caller names: no master and no shuffle partition
+    count of its own. A ``local`` master (tests, bench, tools) also gets the
+    settings that make sense on one machine."""
+    spark = SparkSession.getActiveSession()
+    if spark is None:
+        builder = SparkSession.builder.appName(app)
+        if master is not None:
+            builder = builder.master(master)
+        if shuffle_partitions is not None:
+            builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+        if master is not None and master.startswith("local"):
+            builder = (
+                builder.config("spark.ui.enabled", "false")
+                .config("spark.ui.showConsoleProgress", "false")
+                .config("spark.sql.session.timeZone", "UTC")
+                # call-site capture for error messages costs several driver-to-JVM
+                # calls per Column built
+                .config("spark.python.sql.dataFrameDebugging.enabled", "false")
+                .config("spark.driver.memory", os.environ.get("PIZARRA_DRIVER_MEMORY", "16g"))
+            )
+        spark = builder.getOrCreate()
+        if master is not None and master.startswith("local"):
+            spark.sparkContext.setLogLevel("ERROR")
     checkpoint_dir(spark)
     return spark
 
@@ -64,14 +69,6 @@ def stage_dir(spark: SparkSession, *parts: str) -> str:
     return "/".join([base.rstrip("/"), *parts])
 
 
-def materialise(df: DataFrame, name: str = "tmp") -> DataFrame:
-    """Write ``df`` as Parquet under the shared stage folder and read it back.
-
-    Used where one small intermediate (an outcome cube) feeds many branches of
-    a plan: it is computed once, and the lineage is cut, so a lost executor
-    later re-reads a small table instead of re-running the scan. Never a
-    machine-local folder on a cluster: the base is ``spark.checkpoint.dir``."""
-    spark = df.sparkSession
-    path = stage_dir(spark, "materialised", f"{name}-{uuid.uuid4().hex}")
-    df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+def fresh_dir(spark: SparkSession, name: str) -> str:
+    """A new stage folder: nothing that an earlier call left is ever read."""
+    return stage_dir(spark, f"{name}-{uuid.uuid4().hex}")

@@ -14,15 +14,16 @@
 
 from __future__ import annotations
 
-import math
+import csv
+import uuid
 import warnings
 from collections.abc import Iterable, Mapping, Sequence
 
-from pyspark import StorageLevel
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from ..functions.dictionary import DEPARTMENT_FILES, TRIAL_DEPARTMENTS
 from ..operators.decode import DECODED_ORDER
@@ -79,9 +80,33 @@ def rename(spark: SparkSession, src: str, dst: str) -> None:
         raise OSError(f"rename failed: {src} -> {dst}")
 
 
-def touch(spark: SparkSession, path: str) -> None:
+def replace(spark: SparkSession, src: str, dst: str) -> None:
+    """Rename over whatever an interrupted run left at ``dst``: a plain rename
+    would put the folder inside an existing one."""
+    fs, d = _fs(spark, dst)
+    fs.delete(d, True)
+    rename(spark, src, dst)
+
+
+def data_files(spark: SparkSession, path: str) -> list[str]:
+    """The file itself, or the data files directly in a folder."""
     fs, p = _fs(spark, path)
-    fs.create(p, True).close()
+    if not fs.getFileStatus(p).isDirectory():
+        return [path]
+    found = (s.getPath() for s in fs.listStatus(p) if s.isFile())
+    return sorted(str(f.toString()) for f in found if not f.getName().startswith(("_", ".")))
+
+
+def csv_header(spark: SparkSession, path: str) -> tuple[str, ...]:
+    """Column names on a CSV file's first line (one small read per file)."""
+    fs, p = _fs(spark, path)
+    jvm = spark.sparkContext._jvm
+    reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(fs.open(p), "UTF-8"))
+    try:
+        line = reader.readLine()
+    finally:
+        reader.close()
+    return tuple(next(csv.reader([(line or "").lstrip("\ufeff")]), ()))
 
 
 # ------------------------------------------------------------- catalogue
@@ -132,6 +157,34 @@ def existing_files(spark: SparkSession, folder: str, catalogue: Mapping[int, str
     return found
 
 
+#: Without these a file is no department file; any other column may be missing.
+REQUIRED = ("cod_establecimiento", "resultado_f")
+
+
+def scan_csv(spark: SparkSession, paths: Iterable[str]) -> DataFrame:
+    """The raw columns of CSV files, bound by header name (published or
+    snake_case), in whatever order a file has them; a column that a file lacks
+    is null. One scan per distinct header, all in one job; ``_file`` is the
+    path a row came from."""
+    from .xlsx import canonical
+
+    by_header: dict[tuple[str, ...], list[str]] = {}
+    for path in paths:
+        for file in data_files(spark, path):
+            by_header.setdefault(csv_header(spark, file), []).append(file)
+    frames = []
+    for header, found in by_header.items():
+        names = [canonical(h) for h in header]
+        missing = [c for c in REQUIRED if c not in names]
+        if missing or len({n for n in names if n}) < sum(n is not None for n in names):
+            raise ValueError(f"{found[0]}: header {header} lacks or repeats columns (needed: {', '.join(REQUIRED)})")
+        schema = T.StructType([RAW_SCHEMA[n] if n else T.StructField(f"_extra{i}", T.StringType()) for i, n in enumerate(names)])
+        part = spark.read.schema(schema).option("header", True).option("mode", "PERMISSIVE").csv(found)
+        frames.append(part.select(*[c for c in RAW_COLUMNS if c in names], F.col("_metadata.file_path").alias("_file")))
+    out = union_departments(frames)
+    return out.select(*[F.col(c) if c in out.columns else F.lit(None).cast(RAW_SCHEMA[c].dataType).alias(c) for c in RAW_COLUMNS], "_file")
+
+
 def scan_departments(
     spark: SparkSession,
     folder: str,
@@ -149,11 +202,10 @@ def scan_departments(
 
         return stamp_department(read_workbooks(spark, paths), catalogue, F.col("_path")).select(*RAW_COLUMNS)
     if fmt == "csv":
-        df = spark.read.schema(RAW_SCHEMA).option("header", True).option("mode", "PERMISSIVE").csv(paths)
-    elif fmt == "parquet":
-        df = spark.read.schema(RAW_SCHEMA).parquet(*paths)
-    else:
+        return stamp_department(scan_csv(spark, paths), catalogue, F.col("_file")).select(*RAW_COLUMNS)
+    if fmt != "parquet":
         raise ValueError(f"unsupported format {fmt}")
+    df = spark.read.schema(RAW_SCHEMA).parquet(*paths)
     return stamp_department(df, catalogue).select(*RAW_COLUMNS)
 
 
@@ -170,17 +222,19 @@ def union_departments(frames: Iterable[DataFrame]) -> DataFrame:
 def export_departments(raw: DataFrame, folder: str, catalogue: Mapping[int, str] = DEPARTMENT_FILES, fmt: str = "csv") -> str:
     """Write raw rows as one file set per department, named by the catalogue
     stem (``guatemala.csv/``) — a stand-in for the published per-department
-    files, made by one partitioned write plus a rename per department."""
+    files, made by one partitioned write plus a rename per department.
+
+    Rows whose department is outside the catalogue have no file to go to: the
+    write fails instead of dropping them. Running again over what an
+    interrupted run left replaces it."""
     spark = raw.sparkSession
     folder = folder.rstrip("/")
-    if path_exists(spark, f"{folder}/_DONE"):
-        return folder
     items = []
     for dep_id, name in catalogue.items():
         items += [F.lit(dep_id).cast("int"), F.lit(f"{stem_of(name)}.{fmt}")]
-    staged = f"{folder}/_staging"
-    writer = raw.withColumn("archivo", F.create_map(*items)[F.col("departamento_f")]).where(F.col("archivo").isNotNull())
-    w = writer.write.mode("overwrite").partitionBy("archivo")
+    staged = f"{folder}/_staging-{uuid.uuid4().hex}"
+    outside = F.raise_error(F.concat(F.lit("department outside the catalogue: "), F.coalesce(F.col("departamento_f").cast("string"), F.lit("null"))))
+    w = raw.withColumn("archivo", F.coalesce(F.create_map(*items)[F.col("departamento_f")], outside)).write.partitionBy("archivo")
     if fmt == "csv":
         # keep blank padding of the codes: the CSV writer trims by default
         w = w.option("header", True).option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
@@ -191,8 +245,7 @@ def export_departments(raw: DataFrame, folder: str, catalogue: Mapping[int, str]
         target = f"{stem_of(name)}.{fmt}"
         src = f"{staged}/archivo={target}"
         if path_exists(spark, src):
-            rename(spark, src, f"{folder}/{target}")
-    touch(spark, f"{folder}/_DONE")
+            replace(spark, src, f"{folder}/{target}")
     return folder
 
 
@@ -221,32 +274,26 @@ def trial_subset(spark: SparkSession, path: str) -> DataFrame:
     return scan_processed(spark, path, TRIAL_DEPARTMENTS)
 
 
-def sample_exact(df: DataFrame, n: int = 5000, seed: int = 42, margin_sigmas: float = 10.0) -> DataFrame:
+#: Leading hash bits whose histogram finds the sample's cutoff; the histogram
+#: has at most 2**SAMPLE_BITS rows whatever the input.
+SAMPLE_BITS = 20
+
+
+def sample_exact(df: DataFrame, n: int = 5000, seed: int = 42) -> DataFrame:
     """K2: exactly ``min(n, rows)`` rows without replacement, reproducible:
     the ``n`` rows with the smallest ``md5(seed | row)``.
 
-    Scale: instead of a global top-k over every row (each task would ship
-    ``n`` candidates to one final task), rows whose 60-bit hash prefix is
-    below a threshold sized for ``n + margin`` expected survivors are kept
-    first; they are exactly a prefix of the hash order, so the bottom-n of
-    the survivors is the global bottom-n. If too few survive (probability
-    ~1e-23 at 10 sigma) the threshold doubles and the filter reruns."""
+    A histogram of the hash's leading bits (one aggregate, a table of fixed
+    size) gives the bucket in which the n-th row lies; only rows up to it reach
+    the final ordering. One lazy plan for every input size: no count on the
+    driver, nothing persisted, no retry."""
     cols = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in df.columns]
     hashed = df.withColumn("_h", F.md5(F.concat_ws("|", F.lit(str(seed)), *cols)))
-    total = df.count()
-    if total <= n:
-        return hashed.orderBy("_h").drop("_h")
-    prefix = F.conv(F.substring("_h", 1, 15), 16, 10).cast("bigint")
-    frac = min(1.0, (n + margin_sigmas * math.sqrt(n) + 100) / total)
-    while True:
-        cutoff = int(frac * 2**60)
-        # ~n + margin rows: kept in executor storage (recomputed from lineage
-        # if an executor is lost) between the size check and the final sort
-        cand = hashed.where(prefix < F.lit(cutoff).cast("bigint")).persist(StorageLevel.MEMORY_AND_DISK)
-        if frac >= 1.0 or cand.count() >= n:
-            return cand.orderBy("_h").limit(n).drop("_h")
-        cand.unpersist()
-        frac = min(1.0, frac * 2)
+    bucket = F.conv(F.substring("_h", 1, SAMPLE_BITS // 4), 16, 10).cast("int")
+    counts = hashed.groupBy(bucket.alias("b")).agg(F.count(F.lit(1)).alias("k"))
+    before = F.sum("k").over(Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1))  # over the histogram only
+    cutoff = counts.withColumn("before", F.coalesce(before, F.lit(0))).where(F.col("before") < n).agg(F.max("b"))
+    return hashed.where(bucket <= cutoff.scalar()).orderBy("_h").limit(n).drop("_h")
 
 
 def write_sample_csv(sample: DataFrame, path: str) -> None:
@@ -272,18 +319,12 @@ def write_table(df: DataFrame, path: str, partition_by: str | None = None, order
     (w.partitionBy(partition_by) if partition_by else w).parquet(path)
 
 
-def read_gap(spark: SparkSession, path: str, dim: str) -> DataFrame:
-    """One gap table back from the long ``partitionBy('dimension')`` sink."""
-    return (
-        spark.read.parquet(path)
-        .where(F.col("dimension") == dim)
-        .select(F.col("label").alias(dim), "total", "promovidos", "retirados", "tasa_promocion", "tasa_retiro")
-    )
-
-
 def write_json_document(doc: DataFrame, path: str) -> None:
-    """K5: a one-row JSON text column written as a text file (UTF-8, no escaping)."""
-    doc.coalesce(1).write.mode("overwrite").text(path)
+    """K5: a one-row column with the indicator document as JSON text, written
+    indented as a text file (UTF-8, no escaping)."""
+    column = doc.columns[0]
+    indented = F.to_json(F.from_json(column, INDICATORS_SCHEMA), {"pretty": "true"})
+    doc.select(indented.alias(column)).repartition(1).write.mode("overwrite").text(path)
 
 
 def scan_indicators_json(spark: SparkSession, path: str) -> DataFrame:

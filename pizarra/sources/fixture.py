@@ -72,45 +72,15 @@ FROM {lineitem} l JOIN {orders} o ON l.l_orderkey = o.o_orderkey JOIN {customer}
 DUCKDB_FIXTURE_SQL = FIXTURE_SQL.format(lineitem="lineitem", orders="orders", customer="customer")
 
 
-_PLANS: dict[tuple, DataFrame] = {}
-
-
-def _memo(spark: SparkSession, key: tuple, build) -> DataFrame:
-    """Reuse an analysed scan/view plan within a session: re-reading a
-    file's footer for its schema runs a Spark job each time. DataFrames are
-    immutable plans; every action still reads the data afresh."""
-    k = (spark.sparkContext.applicationId, *key)
-    if k not in _PLANS:
-        _PLANS[k] = build()
-    return _PLANS[k]
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
-    return _memo(spark, ("table", path), lambda: spark.read.parquet(path))
-
-
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Hash-spread a scan that yields fewer splits than the cluster has cores
-    (a file written as one Parquet row group is read by ONE task, and every
-    operator fused behind it would run single-threaded). Large inputs have
-    many row groups and are left untouched: no extra shuffle at scale.
-    Hash (not round-robin) partitioning keeps task retries deterministic."""
-    target = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < target:
-        return df.repartition(target, key)
-    return df
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def enrolments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 15 raw enrolment columns, one row per lineitem."""
-    return _memo(
-        spark,
-        ("enrolments", sf_dir.rstrip("/")),
-        lambda: spark.sql(
-            FIXTURE_SQL,
-            lineitem=spread(table(spark, sf_dir, "lineitem"), "l_orderkey"),
-            orders=table(spark, sf_dir, "orders"),
-            customer=table(spark, sf_dir, "customer"),
-        ),
+    return spark.sql(
+        FIXTURE_SQL,
+        lineitem=table(spark, sf_dir, "lineitem"),
+        orders=table(spark, sf_dir, "orders"),
+        customer=table(spark, sf_dir, "customer"),
     )

@@ -2,15 +2,16 @@
 
 ``binaryFile`` lists and reads the workbooks; ``mapInPandas`` turns each one
 into typed rows. A workbook is a zip of XML parts; the worksheet is streamed
-with ``iterparse`` and emitted in batches, so memory per task is one batch
-plus the shared-strings table. The xlsx format caps a sheet at 1,048,576
-rows, so the work of one task is bounded by the file format itself, and many
-workbooks spread over many tasks.
-
-The data sheet is the first sheet whose first row carries the expected
-header, not sheet number one (one published workbook has extra empty
-sheets). Cells that are not integral numbers in a code column become null,
-which the decode then reports as ``Desconocido``.
+with ``iterparse``, its rows dropped as they are read, and emitted in batches,
+so memory per task is one batch plus the shared-strings table. A workbook is
+the unit of work: many workbooks spread over many tasks.
+
+Data sheets are those whose first row carries at least the establishment code
+and the outcome, wherever they stand in the workbook (one published workbook
+has extra empty sheets); all of them are read, as a sheet ends at 1,048,576
+rows and a large department may go on in the next. A workbook without one is
+an error. Cells that are not integral numbers of 32 bits in a code column
+become null, which the decode then reports as ``Desconocido``.
 """
 
 from __future__ import annotations
@@ -106,7 +107,11 @@ def _sheets(z: zipfile.ZipFile) -> list[tuple[str, str]]:
 
 def _rows(z: zipfile.ZipFile, part: str, strings: list[str]) -> Iterator[dict[int, object]]:
     with z.open(part) as f:
-        for _, el in ET.iterparse(f):
+        holder = None
+        for event, el in ET.iterparse(f, ("start", "end")):
+            if event == "start":
+                holder = el if el.tag == _M + "sheetData" else holder
+                continue
             if el.tag != _M + "row":
                 continue
             row: dict[int, object] = {}
@@ -129,21 +134,21 @@ def _rows(z: zipfile.ZipFile, part: str, strings: list[str]) -> Iterator[dict[in
                 else:
                     num = float(v.text)
                     row[idx] = int(num) if num.is_integer() else num
-            el.clear()
+            holder.remove(el)  # else emptied rows stay attached to the sheet
             yield row
 
 
 def _as_code(v: object) -> object:
     if isinstance(v, bool) or v is None:
         return None
-    if isinstance(v, int):
-        return v
-    if isinstance(v, float):
-        return int(v) if v.is_integer() else None
-    try:
-        return int(str(v).strip())
-    except ValueError:
+    if isinstance(v, str):
+        try:
+            v = int(v.strip())
+        except ValueError:
+            return None
+    if isinstance(v, float) and not v.is_integer():
         return None
+    return int(v) if -(2**31) <= v < 2**31 else None
 
 
 def _as_text(v: object) -> object:
@@ -155,17 +160,19 @@ def _as_text(v: object) -> object:
 
 
 def parse_workbook(content: bytes, path: str, batch_rows: int = BATCH_ROWS) -> Iterator[pd.DataFrame]:
-    """Typed rows of the data sheet of one workbook, in batches."""
+    """Typed rows of all data sheets of one workbook, in batches."""
     z = zipfile.ZipFile(io.BytesIO(content))
     strings = _shared_strings(z)
+    sheets = 0
     for name, part in _sheets(z):
         rows = _rows(z, part, strings)
         header = next(rows, None)
         if not header:
             continue  # empty sheet: look further
         columns = {idx: canonical(str(h)) for idx, h in header.items()}
-        if not any(c is not None for c in columns.values()):
-            continue  # not the data sheet
+        if not {"cod_establecimiento", "resultado_f"} <= set(columns.values()):
+            continue  # notes or the like
+        sheets += 1
         wanted = {c: idx for idx, c in columns.items() if c is not None}
         batch: dict[str, list] = {c: [] for c in RAW_COLUMNS}
         n = 0
@@ -182,7 +189,8 @@ def parse_workbook(content: bytes, path: str, batch_rows: int = BATCH_ROWS) -> I
                 batch, n = {c: [] for c in RAW_COLUMNS}, 0
         if n:
             yield _frame(batch, path, name)
-        return  # only the first data sheet
+    if not sheets:
+        raise ValueError(f"{path}: no sheet has the columns cod_establecimiento and resultado_f")
 
 
 def _frame(batch: dict[str, list], path: str, sheet: str) -> pd.DataFrame:

@@ -23,7 +23,7 @@ from ..functions.dictionary import DEPARTMENT_FILES
 from ..operators import indicators as ind
 from ..operators.decode import decode_all
 from ..session import stage_dir
-from ..sources.files import PART_COL, RAW_SCHEMA, stamp_department
+from ..sources.files import PART_COL, RAW_SCHEMA, _fs, path_exists, stamp_department
 from ..sources.fixture import RAW_COLUMNS
 
 
@@ -33,6 +33,7 @@ def department_stream(spark: SparkSession, landing: str, catalogue: Mapping[int,
     stream = (
         spark.readStream.schema(RAW_SCHEMA)
         .option("header", True)
+        .option("enforceSchema", False)  # a file with other columns is an error, not swapped data
         .option("maxFilesPerTrigger", max_files)
         .option("recursiveFileLookup", True)
         .option("pathGlobFilter", "*.csv")
@@ -75,10 +76,12 @@ def start_cube(
     checkpoint = checkpoint or stage_dir(spark, "streams", "cube")
     cube = ind.outcome_cube(decode_all(department_stream(spark, landing, catalogue)))
 
-    def publish(batch: DataFrame, _epoch: int) -> None:
+    def publish(batch: DataFrame, epoch: int) -> None:
         # repartition, not coalesce: the stateful aggregate keeps its
-        # parallelism and only the bounded cube moves to the writer task
-        batch.repartition(1).write.mode("overwrite").parquet(table)
+        # parallelism and only the bounded cube moves to the writer task.
+        # A version is complete once its folder has Spark's _SUCCESS mark;
+        # readers take the newest complete one, so they never see a gap.
+        batch.repartition(1).write.mode("overwrite").parquet(f"{table}/version={epoch:012d}")
 
     return (
         cube.writeStream.outputMode("complete")
@@ -89,10 +92,14 @@ def start_cube(
     )
 
 
-def read_processed(spark: SparkSession, processed: str) -> DataFrame:
-    from ..sources.files import scan_processed
+def read_cube(spark: SparkSession, table: str) -> DataFrame:
+    """The newest complete version of the cube table."""
+    fs, p = _fs(spark, table)
+    versions = sorted(str(s.getPath().toString()) for s in fs.listStatus(p) if s.getPath().getName().startswith("version="))
+    complete = [v for v in versions if path_exists(spark, f"{v}/_SUCCESS")]
+    if not complete:
+        raise FileNotFoundError(f"no complete version of the cube in {table}")
+    return spark.read.parquet(complete[-1])
 
-    return scan_processed(spark, processed)
 
-
-__all__ = ["department_stream", "start_ingest", "start_cube", "read_processed"]
+__all__ = ["department_stream", "start_ingest", "start_cube", "read_cube"]
