@@ -11,8 +11,8 @@ never meets a pair across the border that BPE would have merged first.
 
 Special tokens in a text, normalisation and the split into words are those the
 tokenizer file declares. Words repeat, so each Python worker keeps bounded
-tables of what it has encoded. The tables are reset when full: memory stays
-bounded and results never depend on them.
+tables of what it has encoded, in two halves of which the older is dropped when
+the younger is full: memory stays bounded and results never depend on them.
 
 Nulls and edge cases: a null text is encoded as an empty one (no ids); repeated
 rows are encoded one by one; whole texts are processed whatever their length.
@@ -35,8 +35,23 @@ from pizarra.llm.common import table
 
 WORD_END = "</w>"
 _END = "\ue000"  # stands for WORD_END inside the automaton
-KNOWN_CHUNKS, KNOWN_WORDS = 600_000, 400_000
-_ASCII_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
+#: Entries of a table's younger half; when it is full it becomes the older one.
+KNOWN_CHUNKS, KNOWN_WORDS = 250_000, 400_000
+# Stretches for which the declared normalisation is lower-casing alone and the
+# declared split needs only these letters: ASCII and precomposed Latin ones.
+_SIMPLE = re.compile(r"[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+")
+_SIMPLE_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+|[0-9]|[^a-z0-9\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+")
+
+
+def _byte_characters() -> str:
+    """The characters that stand for bytes: the byte's own where it prints in
+    Latin-1, else the next one from 256 on."""
+    own = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b]
+    other = iter(range(256, 512))
+    return "".join(chr(b if b in own else next(other)) for b in range(256))
+
+
+_BYTES = _byte_characters()
 
 
 def default_vocabulary() -> str:
@@ -87,7 +102,9 @@ class PrefixBpe:
         automaton.make_automaton()
         self._matches = automaton.iter
         self._chunks: dict[str, bytes] = {}
+        self._old_chunks: dict[str, bytes] = {}
         self._words: dict[str, bytes] = {}
+        self._old_words: dict[str, bytes] = {}
         split = "|".join(map(re.escape, sorted(self.specials, key=len, reverse=True)))
         self._special = re.compile(f"({split})") if split else None
 
@@ -132,7 +149,7 @@ class PrefixBpe:
                 pair = before, rank
                 fits = apart.get(pair)
                 if fits is None:
-                    if len(apart) > 1 << 20:
+                    if len(apart) > 1 << 18:
                         apart.clear()
                     fits = apart[pair] = self._compatible(before, rank)
                 if not fits:
@@ -151,21 +168,29 @@ class PrefixBpe:
 
     def _chunk(self, chunk: str) -> bytes:
         """Encode a stretch without spaces or line ends; remember it."""
-        out = []
-        if chunk.isascii() and chunk.isprintable():  # what the file declares, for plain characters
-            words = _ASCII_WORDS.findall(chunk.lower())
-        else:
-            words = [w for w, _ in self._splitter.pre_tokenize_str(self._normalizer.normalize_str(chunk))]
-        for word in words:
-            ids = self._words.get(word)
-            if ids is None:
-                if len(self._words) >= KNOWN_WORDS:
-                    self._words.clear()
-                ids = self._words[word] = np.array(self.encode_word(word), "<u4").tobytes()
-            out.append(ids)
+        ids = self._old_chunks.get(chunk)
+        if ids is None:
+            if chunk.isascii() and chunk.isprintable():
+                words = _SIMPLE_WORDS.findall(chunk.lower())
+            elif _SIMPLE.fullmatch(chunk):
+                words = [w.encode().decode("latin-1").translate(_BYTES) for w in _SIMPLE_WORDS.findall(chunk.lower())]
+            else:
+                words = [w for w, _ in self._splitter.pre_tokenize_str(self._normalizer.normalize_str(chunk))]
+            ids = b"".join(map(self._word, words))
         if len(self._chunks) >= KNOWN_CHUNKS:
-            self._chunks.clear()
-        ids = self._chunks[chunk] = b"".join(out)
+            self._old_chunks, self._chunks = self._chunks, {}
+        self._chunks[chunk] = ids
+        return ids
+
+    def _word(self, word: str) -> bytes:
+        ids = self._words.get(word)
+        if ids is None:
+            ids = self._old_words.get(word)
+            if ids is None:
+                ids = np.array(self.encode_word(word), "<u4").tobytes()
+            if len(self._words) >= KNOWN_WORDS:
+                self._old_words, self._words = self._words, {}
+            self._words[word] = ids
         return ids
 
     def _plain(self, text: str) -> bytes:
