@@ -102,7 +102,7 @@ def test_pipeline_round_trip_and_pruning(spark, raw, scratch):
     assert "ReadSchema: struct<departamento:string,nivel:string>" in scan  # two columns read
     sample = spark.read.option("header", True).csv(f"{out}/{pl.SAMPLE}")
     assert sample.count() == min(5000, raw.count())
-    text = spark.read.text(f"{out}/{pl.INDICATORS}").first()[0]
+    text = spark.read.text(f"{out}/{pl.INDICATORS}", wholetext=True).first()[0]
     assert json.loads(text)["indicadores"]["por_nivel"]  # valid UTF-8 JSON, accents unescaped
     assert "\\u00e1" not in text  # no escaping of accented labels
 
