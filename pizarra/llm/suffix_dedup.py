@@ -50,8 +50,9 @@ from pyspark.sql import functions as F
 from pizarra.llm.common import cut, table, with_row_id
 
 LENGTH, GRAM = 200, 50
-#: Contexts of one anchor string that a task sorts together, on average.
-GROUP = 4096
+#: Contexts of one anchor string that a task sorts together, on average (some
+#: 6 kB of working memory each), and contexts of small groups sorted at a time.
+GROUP, TOGETHER = 16384, 8192
 #: Bits of the bitmap of documents that take part; its size is fixed.
 BITMAP = 1 << 20
 #: Texts are scanned in stretches of this many bytes (with overlap).
@@ -113,34 +114,49 @@ class Anchors:
 
 
 def anchors(docs: DataFrame, length: int, gram: int) -> DataFrame:
-    """From (rid, text): (h, context, rid, at)."""
+    """From (rid, text): (h, context, rid, at, k, own). Anchors of one document
+    with one context are one row: k of them, the first at ``at``; if there are
+    several, ``own`` holds the spans they cover (int64 pairs), as each repeats
+    the others whatever else the corpus holds."""
 
     def run(batches):
         find = Anchors(length, gram)
         reach = find.reach
         for batch in batches:
-            rids = batch.column("rid").to_numpy()
-            out = [], [], [], []
-            for rid, value in zip(rids, batch.column("text")):
+            out = [[] for _ in range(6)]
+            for rid, value in zip(batch.column("rid").to_pylist(), batch.column("text")):
                 text = (value.as_py() or "").encode("utf-8", "surrogatepass")
                 at, h = find(np.frombuffer(text, np.uint8))
-                if len(at):
-                    view, n = memoryview(text), len(text)
-                    for x in at.tolist():
-                        left = min(x, reach)
-                        out[1].append(xxhash.xxh3_64_intdigest(view[x - left : x + length], left * 1024 + min(n - x, length)))
-                    out[0].append(h)
-                    out[2].append(np.full(len(at), rid, np.int64))
-                    out[3].append(at)
-            columns = [
-                np.concatenate([*out[0], np.zeros(0, np.uint64)]).view(np.int64),
-                np.array(out[1], np.uint64).view(np.int64),
-                np.concatenate([*out[2], np.zeros(0, np.int64)]),
-                np.concatenate([*out[3], np.zeros(0, np.int64)]),
-            ]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["h", "context", "rid", "at"])
-
-    return docs.select("rid", "text").mapInArrow(run, "h long, context long, rid long, at long")
+                if not len(at):
+                    continue
+                view, n = memoryview(text), len(text)
+                context = np.array(
+                    [xxhash.xxh3_64_intdigest(view[max(x - reach, 0) : x + length], min(x, reach) * 1024 + min(n - x, length)) for x in at.tolist()],
+                    np.uint64,
+                )
+                # equal contexts have equal anchor strings
+                _, first, inverse, k = np.unique(context, return_index=True, return_inverse=True, return_counts=True)
+                if len(first) == len(at):
+                    own = [None] * len(at)
+                else:
+                    own = [None if k[i] == 1 else _covered(at[inverse == i], reach, length, n) for i in range(len(first))]
+                for column, cells in zip(out, (h[first], context[first], np.full(len(first), rid, np.int64), at[first], k)):
+                    column.append(cells)
+                out[5] += own
+            columns = [np.concatenate([*c, np.zeros(0, c[0].dtype if c else np.int64)]).astype(np.uint64).view(np.int64) for c in out[:5]]
+            yield pa.RecordBatch.from_arrays(
+                [*(pa.array(c) for c in columns), pa.array(out[5], pa.binary())], names=["h", "context", "rid", "at", "k", "own"]
+            )
+
+    return docs.select("rid", "text").mapInArrow(run, "h long, context long, rid long, at long, k long, own binary")
+
+
+def _covered(at: np.ndarray, reach: int, length: int, n: int) -> bytes:
+    """The contexts of ascending positions, merged, as packed (start, end) pairs."""
+    starts, ends = np.maximum(at - reach, 0), np.minimum(at + length, n)
+    new = np.append(True, starts[1:] > ends[:-1])
+    last = np.append(np.flatnonzero(new)[1:] - 1, len(at) - 1)
+    return np.stack((starts[new], ends[last]), axis=1).astype("<i8").tobytes()
 
 
 def extension(a: np.ndarray, b: np.ndarray, prefix: np.ndarray) -> np.ndarray:
@@ -334,7 +350,7 @@ def compare(rows: DataFrame, length: int, gram: int) -> DataFrame:
             for c in names:
                 held[c] += batch.column(c).to_pylist()
             # whole groups only: the last one may go on in the next batch
-            if len(held["h"]) >= 2 * GROUP:
+            if len(held["h"]) >= TOGETHER:
                 key, i = (held["h"][-1], held["block"][-1]), len(held["h"])
                 while i and (held["h"][i - 1], held["block"][i - 1]) == key:
                     i -= 1
@@ -363,16 +379,16 @@ def taking_part(docs: DataFrame, rids: DataFrame) -> DataFrame:
     return marked.mapInArrow(run, "rid long, text string")
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """From docs (rid, text): spans (rid, start, end) of bytes whose union is
-    what is covered by repeated windows."""
+def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> tuple[DataFrame, DataFrame]:
+    """From docs (rid, text): spans (rid, start, end) and packed spans (rid, own)
+    of bytes whose union is what is covered by repeated windows."""
     found = anchors(docs, length, gram)
-    twice = found.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
+    # cut, so that both sides of the join are plain exchanges that Spark can split
+    twice = cut(found.groupBy("h").agg(F.sum("k").alias("n")).where("n > 1").select("h"))
     shared = cut(found.join(twice, "h"))
-    same = shared.groupBy("h", "context").agg(F.count("*").alias("n"), F.min(F.struct("rid", "at")).alias("first"))
-    same = cut(same)
+    same = cut(shared.groupBy("h", "context").agg(F.sum("k").alias("n"), F.min(F.struct("rid", "at")).alias("first")))
     groups = same.groupBy("h").agg(F.count("*").alias("kinds"), F.max((F.col("n") == 1).cast("int")).alias("open"))
-    groups = groups.where("kinds > 1 and open = 1").select("h", F.ceil(F.col("kinds") / GROUP).alias("blocks"))
+    groups = cut(groups.where("kinds > 1 and open = 1").select("h", F.ceil(F.col("kinds") / GROUP).alias("blocks")))
     wanted = cut(
         same.join(groups, "h").select(
             F.col("first.rid").alias("rid"), F.struct(F.col("first.at").alias("at"), "h", (F.col("n") == 1).alias("single"), "blocks").alias("w")
@@ -385,10 +401,11 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     windows = compared.where("n is not null")
     again = windows.groupBy("h", "reach", "window").agg(F.sum("n").alias("total")).where("total > 1")
     late = windows.where("n = 1").join(again, ["h", "reach", "window"]).select("rid", "start", "end")
-    whole = shared.join(same.where("n > 1").select("h", "context"), ["h", "context"], "left_semi").select(
+    repeated = cut(same.where("n > 1").select("h", "context"))
+    whole = shared.where("own is null").join(repeated, ["h", "context"], "left_semi").select(
         "rid", F.greatest(F.col("at") - (length - gram), F.lit(0)).alias("start"), (F.col("at") + length).alias("end")
     )
-    return spans.unionByName(late).unionByName(whole)
+    return spans.unionByName(late).unionByName(whole), shared.where("own is not null").select("rid", "own")
 
 
 def _merge(spans: list[tuple[int, int]], n: int, length: int) -> list[tuple[int, int]]:
@@ -409,18 +426,22 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     for rows that lose something, kept_sha256 for all."""
     named = with_row_id(df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")), "rid")
     docs = named.select("rid", "text")
-    spans = cut(
-        repeated_spans(docs, length, gram)
-        .groupBy("rid")
-        .agg(F.collect_set(F.struct("start", "end")).alias("spans"))
+    single, packed = repeated_spans(docs, length, gram)
+    nothing = F.lit(None)
+    every = single.select("rid", F.struct("start", "end").alias("span"), nothing.cast("binary").alias("own")).unionByName(
+        packed.select("rid", nothing.cast("struct<start:bigint,end:bigint>").alias("span"), "own")
     )
+    spans = cut(every.groupBy("rid").agg(F.collect_set("span").alias("spans"), F.collect_list("own").alias("own")))
 
     def run(batches):
         for batch in batches:
             rows = []
-            for value, own in zip(batch.column("text"), batch.column("spans").to_pylist()):
+            for value, spans_, own in zip(batch.column("text"), batch.column("spans").to_pylist(), batch.column("own").to_pylist()):
                 raw = value.as_py().encode("utf-8", "surrogatepass")
-                gone = _merge([(s["start"], s["end"]) for s in own], len(raw), length)
+                pairs = [(s["start"], s["end"]) for s in spans_]
+                for packed_ in own:
+                    pairs += map(tuple, np.frombuffer(packed_, "<i8").reshape(-1, 2).tolist())
+                gone = _merge(pairs, len(raw), length)
                 cuts = [0, *(x for span in gone for x in span), len(raw)]
                 kept = b"".join(raw[s:e] for s, e in zip(cuts[::2], cuts[1::2]))
                 rows.append((sum(e - s for s, e in gone), len(gone), hashlib.sha256(kept).hexdigest(), kept))
@@ -430,7 +451,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 [batch.column("rid"), *(pa.array(c, t) for c, t in zip(columns, types))], names=["rid", "removed", "spans", "sha", "kept"]
             )
 
-    changed = taking_part(docs, spans).join(spans, "rid").select("rid", "text", "spans").mapInArrow(
+    changed = taking_part(docs, spans).join(spans, "rid").select("rid", "text", "spans", "own").mapInArrow(
         run, "rid long, removed long, spans long, sha string, kept binary"
     )
     basic = named.select("rid", "id", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("whole"))
