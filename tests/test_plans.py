@@ -2,9 +2,9 @@
 
 import pytest
 
-import __spark_entry__ as entry
 from pizarra.operators import decode as dec
 from pizarra.operators import indicators as ind
+from pizarra.plans.queries import REGISTRY
 from pizarra.sources import files
 from pizarra.sources.fixture import enrolments
 
@@ -15,9 +15,9 @@ def _plan(df, execute=False):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(REGISTRY))
 def test_no_cross_join_and_no_row_python(spark, sf_small, name):
-    plan = _plan(entry.queries()[name](spark, sf_small))
+    plan = _plan(REGISTRY[name].fn(spark, sf_small))
     for bad in ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython"):
         assert bad not in plan, f"{name}: {bad}"
 
@@ -44,7 +44,7 @@ def test_dictionary_decode_is_broadcast_only(spark, sf_small):
 
 
 def test_one_scan_per_table_for_a_grouped_query(spark, sf_small):
-    plan = _plan(entry.queries()["department_summary"](spark, sf_small))
+    plan = _plan(REGISTRY["department_summary"].fn(spark, sf_small))
     assert plan.count("FileScan parquet") == 3  # lineitem, orders, customer once each
 
 

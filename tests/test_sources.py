@@ -129,4 +129,4 @@ def test_union_missing_column_is_null(spark, raw):
 def test_context_from_pipeline_cube_matches_direct(spark, raw, scratch):
     cube = spark.read.parquet(f"{scratch}/out/{pl.CUBE}")
     decoded = dec.decode_all(raw)
-    assert ans.context_document(cube, "n").first()[0] == ans.context_document(decoded).first()[0]
+    assert ans.context_document(cube, "n").first()[0] == ans.context_document(decoded.drop("anio")).first()[0]  # a cube holds no year

@@ -48,5 +48,5 @@ def test_incremental_ingest_is_exactly_once(spark, sf_small):
 
     cube_table = os.path.join(base, "cube")
     st.start_cube(spark, landing, cube_table, CSV, checkpoint=os.path.join(base, "ckpt_cube")).awaitTermination()
-    got = spark.read.parquet(cube_table)
+    got = st.read_cube(spark, cube_table)
     assert _rows(got) == _rows(ind.outcome_cube(second))

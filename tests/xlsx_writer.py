@@ -24,7 +24,8 @@ def _col(i):
     return s
 
 
-def write_xlsx(path, header, rows, empty_sheets_before=0):
+def write_xlsx(path, header, rows, empty_sheets_before=0, more=()):
+    """``more``: further (header, rows) sheets, after the first."""
     strings, index = [], {}
 
     def sst(v):
@@ -40,12 +41,15 @@ def write_xlsx(path, header, rows, empty_sheets_before=0):
             return f'<c r="{ref}" t="s"><v>{sst(v)}</v></c>'
         return f'<c r="{ref}"><v>{v}</v></c>'
 
-    body = []
-    for r, values in enumerate([header] + list(rows), 1):
-        body.append(f'<row r="{r}">' + "".join(cell(f"{_col(i)}{r}", v) for i, v in enumerate(values)) + "</row>")
-    data = '<?xml version="1.0" encoding="UTF-8"?><worksheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><sheetData>' + "".join(body) + "</sheetData></worksheet>"
+    def sheet(header, rows):
+        body = []
+        for r, values in enumerate([header] + list(rows), 1):
+            body.append(f'<row r="{r}">' + "".join(cell(f"{_col(i)}{r}", v) for i, v in enumerate(values)) + "</row>")
+        return '<?xml version="1.0" encoding="UTF-8"?><worksheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><sheetData>' + "".join(body) + "</sheetData></worksheet>"
+
     empty = '<?xml version="1.0" encoding="UTF-8"?><worksheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><sheetData/></worksheet>'
-    n = empty_sheets_before + 1
+    parts = [empty] * empty_sheets_before + [sheet(header, rows)] + [sheet(h, r) for h, r in more]
+    n = len(parts)
     sheets_xml = "".join(f'<sheet name="Hoja{i}" sheetId="{i}" r:id="rId{i}"/>' for i in range(1, n + 1))
     rels = "".join(
         f'<Relationship Id="rId{i}" Type="http://schemas.openxmlformats.org/officeDocument/2006/relationships/worksheet" Target="worksheets/sheet{i}.xml"/>'
@@ -68,9 +72,8 @@ def write_xlsx(path, header, rows, empty_sheets_before=0):
             f'xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"><sheets>{sheets_xml}</sheets></workbook>',
         )
         z.writestr("xl/_rels/workbook.xml.rels", f'<?xml version="1.0" encoding="UTF-8"?><Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships">{rels}</Relationships>')
-        for i in range(1, n):
-            z.writestr(f"xl/worksheets/sheet{i}.xml", empty)
-        z.writestr(f"xl/worksheets/sheet{n}.xml", data)
+        for i, part in enumerate(parts, 1):
+            z.writestr(f"xl/worksheets/sheet{i}.xml", part)
         sst_xml = "".join(f'<si><t xml:space="preserve">{escape(s)}</t></si>' for s in strings)
         z.writestr(
             "xl/sharedStrings.xml",
