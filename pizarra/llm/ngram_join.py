@@ -4,13 +4,17 @@
    of shingles for everybody: rare first, ties by hash. Any common order gives
    the same result; a good one keeps shingles that many documents share out of
    the prefixes.
-2. A document's prefix is its first ``n - ceil(t n) + 1`` shingles; two similar
-   documents share one of them. Documents with identical prefix and size become
+2. A document's prefix is its first ``n - ceil(t n) + SHARED`` shingles; two
+   similar documents share at least ``SHARED`` of them (or all they must have in
+   common, if that is less). Documents with identical prefix and size become
    one group, and only groups go on.
 3. Groups that hold the same prefix shingle and may be similar by size fall
-   into a cell (shingle, size band). A cell is named by its first group by size, and
-   cells of one name and band are one family: no pairs are written, a family has at most
-   one row per group and cell.
+   into a cell (shingle, size band). Cells of up to ``CELL`` groups give pairs
+   (at most ``CELL`` / 2 a group), which are filtered by how many shingles they
+   share; those left are joined to families by their components. A larger cell
+   is a family as it stands, named by its first group: a row per group, no
+   pairs. A pair that meets in a larger cell is in that family, so the counts
+   of the others are complete.
 4. Families are expanded to their members (documents with equal shingle sets
    count once) and cut into blocks. Each pair of blocks is verified exactly in
    one task, by counting common shingles; of the links found it returns a
@@ -20,8 +24,9 @@
 Sets are compared by 64-bit shingle hashes.
 
 Scale: what crosses the network is the prefixes of the groups, the family rows
-and, once, the texts of family members. Copies collapse map-side; a family is
-split over blocks of ``BLOCK`` members, so no task sees more than two blocks.
+and, once, the texts of family members, picked by a bitmap of fixed size.
+Copies collapse map-side; a family is split over blocks of ``BLOCK`` members, so
+no task sees more than two blocks.
 
 Nulls and edge cases: null or empty texts, or texts without words, have no
 shingle and link with nothing (their component is their own id); a text shorter
@@ -43,11 +48,14 @@ from pyspark.sql import functions as F
 
 from pizarra.llm.common import cut, table, with_row_id
 from pizarra.llm.components import components
+from pizarra.llm.suffix_dedup import taking_part
 
 #: Counters of the sketch (a power of two); its size does not grow with the data.
 SKETCH = 1 << 18
+#: Prefix shingles that a pair must share, and groups of a cell that gives pairs.
+SHARED, CELL = 5, 16
 #: Members, and their shingles, in a block of a family (on average).
-BLOCK, BLOCK_SHINGLES = 384, 2_000_000
+BLOCK, BLOCK_SHINGLES = 768, 2_000_000
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93], np.uint64)
 
 
@@ -71,8 +79,8 @@ def shingles(text: str | None, n: int) -> np.ndarray:
 
 
 def prefix_size(n: int, percent: int) -> int:
-    """Shingles of which two similar sets must share one."""
-    return n - -(-n * percent // 100) + 1 if n else 0
+    """Shingles of which two similar sets must share ``SHARED``."""
+    return min(n, n - -(-n * percent // 100) + SHARED)
 
 
 def _counter(h: np.ndarray) -> np.ndarray:
@@ -126,8 +134,24 @@ def _bands(n: np.ndarray, percent: int) -> np.ndarray:
     return (np.log(n) * (0.999 / -math.log(percent / 100))).astype(np.int64)
 
 
-def families(groups: DataFrame, percent: int) -> DataFrame:
-    """From groups (grp_id, n, prefix): (family, band, grp_id), distinct."""
+def _small(token: np.ndarray, size: np.ndarray, group: np.ndarray, percent: int) -> tuple[np.ndarray, ...]:
+    """Pairs (a, b, how many they must share) among the rows of each token, sizes
+    ascending. One step per distance between two rows, all tokens at once."""
+    out: list[tuple[np.ndarray, ...]] = [(np.zeros(0, np.int64),) * 3]
+    for step in range(1, CELL):
+        x = np.flatnonzero(token[step:] == token[:-step]) if len(token) > step else np.zeros(0, np.int64)
+        x = x[100 * size[x] >= percent * size[x + step]]
+        if not len(x):
+            break
+        both = size[x] + size[x + step]
+        need = np.minimum(SHARED, -(-percent * both // (100 + percent)))
+        out.append((group[x], group[x + step], need))
+    return tuple(np.concatenate(c) for c in zip(*out))
+
+
+def candidates(groups: DataFrame, percent: int) -> DataFrame:
+    """From groups (grp_id, n, prefix): rows (a, b, need, band). With ``need`` a
+    pair that shares a prefix shingle; without, b is in the family (a, band)."""
 
     def tokens(batches):
         for batch in batches:
@@ -141,39 +165,77 @@ def families(groups: DataFrame, percent: int) -> DataFrame:
                 names=["token", "grp_id", "n"],
             )
 
-    def cells(batches):
-        """Rows arrive sorted by token, then size. Only the first row of the
-        last two runs has to be carried into the next batch."""
-        carry = [np.zeros(0, np.int64)] * 3
+    def frame(a, b, need, band):
+        return pa.RecordBatch.from_arrays(
+            [pa.array(a), pa.array(b), pa.array(need, pa.int32()), pa.array(band, pa.int32())], names=["a", "b", "need", "band"]
+        )
+
+    def pairs(token, size, group):
+        a, b, need = _small(token, size, group, percent)
+        return frame(a, b, need, pa.nulls(len(a), pa.int32()))
+
+    def cells(token, size, group):
+        """Whole or part of the rows of larger tokens: a cell is one band of
+        sizes and the next, named by the first row of the first band."""
+        band = _bands(size, percent)
+        first = np.concatenate(([True], (token[1:] != token[:-1]) | (band[1:] != band[:-1])))
+        starts = np.flatnonzero(first)
+        run = np.cumsum(first) - 1
+        length = np.diff(np.append(starts, len(token)))
+        # whether the next run is the next band of the same token
+        follows = np.append((token[starts[1:]] == token[starts[:-1]]) & (band[starts[1:]] == band[starts[:-1]] + 1), False)
+        own = (length + np.append(length[1:], 0) * follows > 1)[run]
+        after = np.append(False, follows[:-1])[run]
+        before = starts[np.maximum(run - 1, 0)]
+        a = np.concatenate((group[starts[run[own]]], group[before[after]]))
+        return frame(a, np.concatenate((group[own], group[after])), pa.nulls(len(a), pa.int32()), np.concatenate((band[own], band[after] - 1))), starts[-2:]
+
+    def run(batches):
+        """Rows arrive sorted by token, then size. The last token of a batch is
+        held back while it has few rows; of a long one, only the first rows of
+        its last two bands have to go on."""
+        empty = [np.zeros(0, np.int64)] * 3
+        held, long = empty, None
         for batch in batches:
-            token, size, group = (np.concatenate((c, batch.column(x).to_numpy())) for c, x in zip(carry, ("token", "n", "grp_id")))
+            rows = [np.concatenate((c, batch.column(x).to_numpy())) for c, x in zip(held, ("token", "n", "grp_id"))]
+            token = rows[0]
             if not len(token):
                 continue
-            band = _bands(size, percent)
-            first = np.concatenate(([True], (token[1:] != token[:-1]) | (band[1:] != band[:-1])))
-            starts = np.flatnonzero(first)
-            run = np.cumsum(first) - 1
-            length = np.diff(np.append(starts, len(token)))
-            # whether the next run is the next band of the same token
-            follows = np.append((token[starts[1:]] == token[starts[:-1]]) & (band[starts[1:]] == band[starts[:-1]] + 1), False)
-            filled = length + np.append(length[1:], 0) * follows > 1
-            own = filled[run]
-            after = np.append(False, follows[:-1])[run]
-            before = starts[np.maximum(run - 1, 0)]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.concatenate((group[starts[run[own]]], group[before[after]]))),
-                    pa.array(np.concatenate((band[own], band[after] - 1)), pa.int32()),
-                    pa.array(np.concatenate((group[own], group[after]))),
-                ],
-                names=["family", "band", "grp_id"],
-            )
-            held = starts[-2:]
-            carry = [token[held], size[held], group[held]]
+            edges = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
+            counts = np.diff(np.append(edges, len(token)))
+            large = (counts > CELL) | (token[edges] == long if long is not None else False)
+            whole = np.repeat(large, counts)
+            open_ = np.arange(len(token)) >= edges[-1]  # rows of the token that may go on
+            small = ~whole & ~open_
+            if small.any():
+                yield pairs(*(c[small] for c in rows))
+            if whole.any():
+                out, last = cells(*(c[whole] for c in rows))
+                yield out
+            if large[-1]:
+                at = np.flatnonzero(whole)[last]
+                at = at[token[at] == token[-1]]
+                held, long = [c[at] for c in rows], token[-1]
+            else:
+                held, long = [c[open_] for c in rows], None
+        if len(held[0]) and long is None:
+            yield pairs(*held)
 
     rows = groups.select("grp_id", "n", "prefix").mapInArrow(tokens, "token long, grp_id long, n long")
     sorted_rows = rows.select("token", "n", "grp_id").repartition("token").sortWithinPartitions("token", "n", "grp_id")
-    return sorted_rows.mapInArrow(cells, "family long, band int, grp_id long").distinct()
+    return sorted_rows.mapInArrow(run, "a long, b long, need int, band int")
+
+
+def families(groups: DataFrame, percent: int) -> DataFrame:
+    """(family, band, grp_id): each pair that may be similar meets in one."""
+    found = candidates(groups, percent).groupBy("a", "b", "need", "band").agg(F.count("*").alias("k"))
+    found = cut(found.where("need is null or k >= need"))
+    joined = components(found.where("need is not null").select("a", "b"))
+    return (
+        found.where("need is null")
+        .select(F.col("a").alias("family"), "band", F.col("b").alias("grp_id"))
+        .unionByName(joined.select(F.col("root").alias("family"), F.lit(-3).alias("band"), F.col("node").alias("grp_id")))
+    )
 
 
 def _links(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
@@ -258,7 +320,7 @@ def near_links(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFr
         .where((F.col("blocks") == 1) | (F.col("own") != F.col("other")))
         .select("family", "band", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "rid")
     )
-    members = placed.join(docs.select("rid", "text"), "rid")
+    members = placed.join(taking_part(docs, expanded), "rid")
     links = verified(members, n, percent)
     return plain.join(classes, "set", "left").select("rid", "id", "n", "rep"), links
 

@@ -134,9 +134,10 @@ def near_by_hand(rows, n, percent):
     )
 
 
-@pytest.mark.parametrize("n,percent,block", [(4, 85, 384), (5, 80, 384), (4, 85, 3), (3, 60, 384)])
-def test_ngram_join(docs, sample, monkeypatch, n, percent, block):
+@pytest.mark.parametrize("n,percent,block,cell", [(4, 85, 768, 16), (5, 80, 768, 16), (4, 85, 3, 2), (3, 60, 768, 4), (2, 40, 5, 16)])
+def test_ngram_join(docs, sample, monkeypatch, n, percent, block, cell):
     monkeypatch.setattr(ngram_join, "BLOCK", block)
+    monkeypatch.setattr(ngram_join, "CELL", cell)
     got = ngram_join.near_groups(docs(sample, extra=["rid", "n", "rep"]), n=n, percent=percent).collect()
     out = sorted((r["id"] is None, r["id"] or 0, r["n_shingles"], -1 if r["component_id"] is None else r["component_id"]) for r in got)
     assert out == near_by_hand(sample, n, percent)
