@@ -92,7 +92,8 @@ def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     documents, names = identities(rows, block_bytes)
     named = documents.join(names, "rid")
     # nulls are the smallest, so a null id stays only among null ids
-    groups = named.groupBy("n_bytes", "name").agg(F.max(F.struct("id", "rid")).alias("keep"), F.count("*").alias("group_size"))
+    # cut, so that Spark can split the rows of a large group in the join
+    groups = cut(named.groupBy("n_bytes", "name").agg(F.max(F.struct("id", "rid")).alias("keep"), F.count("*").alias("group_size")))
     return named.join(groups, ["n_bytes", "name"]).select(
         "rid",
         "id",
