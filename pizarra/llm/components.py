@@ -15,17 +15,17 @@ def components(links: DataFrame) -> DataFrame:
     Alternating large-star and small-star steps: each node's larger (then its
     smaller) neighbours are linked to its smallest one, until nothing moves.
     The number of links never grows; rounds are logarithmic in practice. A hub's
-    minimum is taken with map-side aggregation and joined back, so no node's
-    neighbours are ever gathered."""
+    minimum is taken with map-side aggregation and joined back (from a cut table,
+    so that Spark can split a hub's rows): no node's neighbours are ever gathered."""
     links = cut(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     before = None
     while True:
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("low"))
+        low = cut(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("low")))
         large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("low").alias("b"))
         # a node that is its own minimum stays linked from its larger neighbours
         links = cut(large.where("a <> b").distinct())
-        low = links.groupBy("a").agg(F.min("b").alias("low"))
+        low = cut(links.groupBy("a").agg(F.min("b").alias("low")))
         joined = links.join(low, "a")
         small = joined.select("a", F.col("low").alias("b")).unionByName(joined.where("b > low").select(F.col("b").alias("a"), F.col("low").alias("b")))
         links = cut(small.distinct())

@@ -295,7 +295,8 @@ def near_links(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFr
     full = sized(docs, order, n, percent)
     full = cut(full)
     plain = full.drop("prefix")
-    classes = plain.where("n > 0").groupBy("set").agg(F.min("rid").alias("rep"))
+    # tables that rows of hot keys are joined to are cut, so that Spark can split those
+    classes = cut(plain.where("n > 0").groupBy("set").agg(F.min("rid").alias("rep")))
     groups = full.where("n > 0").groupBy("grp").agg(F.min("rid").alias("grp_id"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
     found = cut(families(groups, percent))
     # members: one row per distinct set of a group
@@ -307,7 +308,7 @@ def near_links(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFr
     several = sets.groupBy("grp_id").agg(F.count("*").alias("k")).where("k > 1")
     alone = several.select(F.col("grp_id").alias("family"), F.lit(-2).alias("band"), "grp_id")
     expanded = cut(found.unionByName(alone).join(sets, "grp_id").select("family", "band", "rid", "n"))
-    blocks = (
+    blocks = cut(
         expanded.groupBy("family", "band")
         .agg(F.count("*").alias("members"), F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_SHINGLES).alias("parts"))
         .where("members > 1")
@@ -334,7 +335,8 @@ def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n
     labelled = documents.join(roots, documents["rep"] == roots["node"], "left").select(
         "rid", "id", "n", F.coalesce("root", "rep", "rid").alias("root")
     )
-    first = labelled.groupBy("root").agg(F.min("id").alias("component_id"), F.min(F.struct(F.col("id").isNull(), "id", "rid")).alias("first"))
+    smallest = F.min(F.struct(F.col("id").isNull(), "id", "rid")).alias("first")
+    first = cut(labelled.groupBy("root").agg(F.min("id").alias("component_id"), smallest))
     return labelled.join(first, "root").select(
         "rid", "id", F.col("n").alias("n_shingles"), "component_id", (F.col("rid") == F.col("first.rid")).alias("stays")
     )
