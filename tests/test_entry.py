@@ -1,4 +1,6 @@
 import os
+import shutil
+import subprocess
 import sys
 
 import duckdb
@@ -49,3 +51,11 @@ def test_analytics_plans_stay_in_the_jvm(spark, sf_small, name):
     assert "BatchEvalPython" not in plan and "ArrowEvalPython" not in plan
     assert "ReadSchema: struct<l_orderkey" in plan  # pruned scan, not all lineitem columns
     assert "l_comment" not in plan and "l_extendedprice" not in plan
+
+
+def test_entry_works_without_the_training_data_operators(tmp_path):
+    root = os.path.dirname(os.path.abspath(entry.__file__))
+    shutil.copytree(f"{root}/pizarra", tmp_path / "pizarra", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(f"{root}/__spark_entry__.py", tmp_path)
+    said = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(*e.queries())"], cwd=tmp_path, capture_output=True, text=True, timeout=120)
+    assert said.stdout.split() == list(REGISTRY), said.stderr
