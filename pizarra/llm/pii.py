@@ -5,7 +5,8 @@ candidates (long mixed tokens, digit groups) are judged: regex, gazetteer and
 context labelers vote for, against or abstain. Expectation-maximisation over the
 counts of vote patterns, from all documents, estimates how reliable each labeler
 is; its soft labels train a logistic span classifier, which decides about every
-candidate that no base span touches. Base spans always stay.
+candidate that no base span touches (a long token may enclose one, as a digit run
+in a key can look like a card). Base spans always stay.
 
 Vote patterns are few (three votes of each labeler, kind, length class), so what
 the driver sees is a table bounded by their number, whatever the corpus size.
@@ -39,8 +40,9 @@ _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-_WORTH = re.compile(r"[0-9@]")
+_WORTH = re.compile(r"[0-9@]|A[KS]IA[A-Z]")
 _TOKEN = re.compile(r"(?<![A-Za-z0-9_/+-])(?=[A-Za-z_/+-]*+[0-9])(?=[0-9_/+-]*+[A-Za-z])[A-Za-z0-9_/+-]{16,}+")
+_PREFIXED = re.compile(r"(?<![A-Za-z0-9_/+-])(?:AKIA|ASIA)[A-Z]{16}(?![A-Za-z0-9_/+-])")
 _GROUP = re.compile(r"(?<![A-Za-z0-9])[0-9](?:[ .()/-]{0,2}[0-9]){6,}+(?![A-Za-z0-9])")
 
 _RUN = re.compile(r"[0-9]{7,}+")
@@ -94,9 +96,9 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """Wider spans that no base span touches."""
+    """Wider spans: no base span touches them, or lies only partly in them."""
     taken = sorted((s, e) for _, s, e in base)
-    found = [(4, *m.span()) for m in _TOKEN.finditer(text)]
+    found = [(4, *m.span()) for m in (*_TOKEN.finditer(text), *_PREFIXED.finditer(text))]
     for m in _GROUP.finditer(text):
         if m.end() - m.start() <= 24:
             found.append((5, *m.span()))
@@ -106,7 +108,11 @@ def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, i
     for kind, s, e in sorted(found, key=lambda x: (x[1], x[0])):
         while i < len(taken) and taken[i][1] <= s:
             i += 1
-        if s >= last and not (i < len(taken) and taken[i][0] < e):
+        touched, k = [], i
+        while k < len(taken) and taken[k][0] < e:
+            touched.append(taken[k])
+            k += 1
+        if s >= last and all(kind == 4 and s <= a and b <= e and (a, b) != (s, e) for a, b in touched):
             out.append((kind, s, e))
             last = e
     return out
