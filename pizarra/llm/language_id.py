@@ -28,6 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pizarra.llm.common import table
+from pizarra.sources.files import sample_exact
 
 #: Rows learned from at most, landmarks among them, ridge.
 SAMPLE, LANDMARKS, RIDGE = 2400, 192, 1.0
@@ -101,9 +102,10 @@ def held_out_fold(id_col: Column) -> Column:
 def fit(df: DataFrame, id_col: str, text_col: str, label_col: str, sample: int = SAMPLE) -> Model | None:
     """Learn from at most ``sample`` labelled rows outside the held-out fold."""
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(label_col).alias("label")).where(
-        F.col("id").isNotNull() & F.col("label").isNotNull() & F.col("text").isNotNull() & ~held_out_fold(F.col("id"))
+        F.col("id").isNotNull() & F.col("label").isNotNull() & ~held_out_fold(F.col("id"))
     )
-    ids = rows.select("id").orderBy(F.xxhash64("id"), "id").limit(sample).distinct()
+    # by a histogram of hashed ids: no task sees more than the sample and a bucket
+    ids = sample_exact(rows.select("id"), sample).distinct()
 
     def packed(batches):
         for batch in batches:
