@@ -17,7 +17,7 @@ import time
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from pizarra.plans.queries import REGISTRY  # noqa: E402
-from pizarra.session import build_session  # noqa: E402
+from pizarra.session import build_session, clear_stage  # noqa: E402
 
 HEADLINE = [
     "department_ranking",
@@ -70,6 +70,7 @@ def main() -> None:
             }
         )
     )
+    clear_stage(spark)
     spark.stop()
 
 

@@ -84,7 +84,9 @@ def national_indicators(df: DataFrame, weight: str | None = None, result: str =
 
 
 def share(df: DataFrame, dim: str, weight: str | None = None) -> DataFrame:
-    """A4: ``(dim, n, pct)`` — share of each non-null label, by descending count."""
+    """A4: ``(dim, n, pct)`` — share of each non-null label, by descending count.
+    ``dim`` is a code column: one task sees a row per label, so this is not for
+    columns with unbounded values."""
     counts = df.groupBy(dim).agg(_rows(weight).alias("n")).where(F.col(dim).isNotNull())
     grand = Window.partitionBy()  # over the (tiny) aggregated result only
     return counts.withColumn("pct", rate(F.col("n"), F.sum("n").over(grand))).orderBy(F.desc("n"), dim)
@@ -121,9 +123,7 @@ def outcome_by(
     for internal consumers that order inside an aggregate anyway: a global
     sort adds a range-partitioning exchange and a sampling job)."""
     dims = [dims] if isinstance(dims, str) else list(dims)
-    # null keys are dropped AFTER aggregating (one null group, few rows):
-    # a filter placed before would be pushed into the scan/join with the
-    # key's whole expression inlined
+    # Catalyst may push this filter on the keys below the aggregate
     agg = df.groupBy(*dims).agg(*outcome_counts(weight, result, with_not_promoted))
     agg = agg.where(functools.reduce(lambda a, b: a & b, [F.col(d).isNotNull() for d in dims]))
     out = with_rates(agg, with_not_promoted)

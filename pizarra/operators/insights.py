@@ -54,6 +54,7 @@ def vs_national(df: DataFrame, dim: str = "departamento", weight: str | None = N
     """Per group ``total, retirados, tasa_retiro, promedio_nacional, diferencia``.
 
     ``diferencia`` subtracts the two *rounded* rates (float difference kept raw).
+    ``dim`` is a code column: the window over the totals holds a row per label.
     The national rate divides by the row count, the group rates by the
     non-null outcome count, both from the same ``rollup`` aggregate."""
     agg = df.rollup(dim).agg(

@@ -20,7 +20,8 @@ RATE_LABELS = {"tasa_promocion": "% Promoción", "tasa_retiro": "% Retiro"}
 
 
 def ranked(df: DataFrame, by: str, label: str, descending: bool = True, name: str = "posicion") -> DataFrame:
-    """Adds a 1-based position by ``by`` (ties broken by ``label``)."""
+    """Adds a 1-based position by ``by`` (ties broken by ``label``). For result
+    tables with a row per label: a position over all rows is one task's work."""
     order = [F.desc(by) if descending else F.asc(by), F.asc(label)]
     return df.withColumn(name, F.row_number().over(Window.orderBy(*order)).cast("bigint")).orderBy(name)
 

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.codes import WHITESPACE, municipality, normalise_code
+from ..functions.codes import WHITESPACE, normalise_code
 from ..functions.dictionary import CONTROL_SHARES, DEPARTAMENTOS, DEPARTMENT_FILES, DEPARTMENT_RECORDS, GRADE_RANGES, SEGMENT_LEVEL, TRIAL_DEPARTMENTS
 from ..functions.numeric import one_decimal, thousands
 from ..operators import answers as ans

@@ -64,9 +64,17 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def stage_dir(spark: SparkSession, *parts: str) -> str:
-    """Folder for tables this library writes itself (exports, round trips)."""
+    """Folder for tables this library writes itself (exports, round trips); each
+    application has its own."""
     base = spark.conf.get("pizarra.stage.dir", None) or (checkpoint_dir(spark) + "/pizarra-stage")
-    return "/".join([base.rstrip("/"), *parts])
+    return "/".join([base.rstrip("/"), spark.sparkContext.applicationId, *parts])
+
+
+def clear_stage(spark: SparkSession) -> None:
+    """Remove what this application has staged. Results are read lazily from
+    there, so call it when the last of them has been consumed."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(stage_dir(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def fresh_dir(spark: SparkSession, name: str) -> str:

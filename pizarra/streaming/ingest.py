@@ -82,6 +82,10 @@ def start_cube(
         # A version is complete once its folder has Spark's _SUCCESS mark;
         # readers take the newest complete one, so they never see a gap.
         batch.repartition(1).write.mode("overwrite").parquet(f"{table}/version={epoch:012d}")
+        # two older versions stay for readers that have begun
+        fs, old = _fs(spark, f"{table}/version={epoch - 3:012d}")
+        if epoch >= 3:
+            fs.delete(old, True)
 
     return (
         cube.writeStream.outputMode("complete")

@@ -10,10 +10,11 @@ SF_SMALL = "/root/testdata/sf0.001"
 
 @pytest.fixture(scope="session")
 def spark():
-    from pizarra.session import build_session
+    from pizarra.session import build_session, clear_stage
 
     s = build_session(master="local[*]", shuffle_partitions=8, app="pizarra-tests")
     yield s
+    clear_stage(s)
     s.stop()
 
 
