@@ -15,7 +15,12 @@ def _plan(df, execute=False):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", sorted(REGISTRY))
+# These run a whole batch or stream and end in a scan of what it wrote; the
+# plans of the operators behind them are among the others.
+WRITTEN = {"context_outputs", "trial_subset", "scan_processed", "pipeline_summary", "pipeline_gaps", "pipeline_cube", "scan_indicators_json", "stream_ingest", "stream_cube"}
+
+
+@pytest.mark.parametrize("name", sorted(set(REGISTRY) - WRITTEN))
 def test_no_cross_join_and_no_row_python(spark, sf_small, name):
     plan = _plan(REGISTRY[name].fn(spark, sf_small))
     for bad in ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython"):
