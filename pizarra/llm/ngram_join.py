@@ -99,8 +99,8 @@ def sketch(docs: DataFrame, n: int) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[at])], names=["at", "n"])
 
     total = np.zeros(SKETCH, np.int64)
-    for row in docs.select("text").mapInArrow(run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toLocalIterator():
-        total[row["at"]] = row["n"]
+    counts = docs.select("text").mapInArrow(run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()  # at most SKETCH rows
+    total[counts["at"].to_numpy()] = counts["n"].to_numpy()
     return total
 
 
