@@ -27,9 +27,11 @@ from pizarra.llm.common import table
 
 SYMBOLS = b"#*$%&|<>"
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
-#: n-gram length -> largest share of word characters in repeated n-grams
-NGRAM_LIMITS = {5: 0.15, 6: 0.14, 8: 0.12, 10: 0.10}
-LINE_LIMIT = 0.20
+#: n-gram length -> largest share of word characters in repeated n-grams; and of
+#: characters in repeated lines. Loose enough that a line which heads and closes
+#: a short document does not reject it.
+NGRAM_LIMITS = {5: 0.30, 6: 0.28, 8: 0.24, 10: 0.20}
+LINE_LIMIT = 0.30
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 _BASE = np.uint64(0xD1342543DE82EF95)
 
