@@ -36,7 +36,7 @@ from pizarra.llm.common import table
 WORD_END = "</w>"
 _END = "\ue000"  # stands for WORD_END inside the automaton
 #: Entries of a table's younger half; when it is full it becomes the older one.
-KNOWN_CHUNKS, KNOWN_WORDS = 250_000, 400_000
+KNOWN_CHUNKS, KNOWN_WORDS = 200_000, 300_000
 # Stretches for which the declared normalisation is lower-casing alone and the
 # declared split needs only these letters: ASCII and precomposed Latin ones.
 _SIMPLE = re.compile(r"[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+")
