@@ -43,9 +43,21 @@ _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _WORTH = re.compile(r"[0-9@]|A[KS]IA[A-Z]")
 _TOKEN = re.compile(r"(?<![A-Za-z0-9_/+-])(?=[A-Za-z_/+-]*+[0-9])(?=[0-9_/+-]*+[A-Za-z])[A-Za-z0-9_/+-]{16,}+")
 _PREFIXED = re.compile(r"(?<![A-Za-z0-9_/+-])(?:AKIA|ASIA)[A-Z]{16}(?![A-Za-z0-9_/+-])")
-_GROUP = re.compile(r"(?<![A-Za-z0-9])[0-9](?:[ .()/-]{0,2}[0-9]){6,}+(?![A-Za-z0-9])")
-
-_RUN = re.compile(r"[0-9]{7,}+")
+# digit runs in a row, with one or two separators between neighbours
+_ROW = re.compile(r"(?<![A-Za-z0-9])[0-9]++(?![A-Za-z])(?:[ .()/-]{1,2}[0-9]++(?![A-Za-z]))*+")
+_RUN = re.compile(r"[0-9]++")
+#: Lengths of the digit runs of usual numbers: phones, identity numbers, cards,
+#: dates. Those under MIN_DIGITS are short dates, which keep their digits to themselves.
+MIN_DIGITS, MAX_JOINED = 7, 34
+SHAPES = frozenset(
+    tuple(map(int, shape.split("-")))
+    for shape in (
+        "3-4 3-3-4 1-3-3-4 2-3-3-4 1-10 2-10 3-7 4-7 3-8 2-8 4-6 5-6 3-4-4 2-4-4 4-3-4 4-3-3 5-3-3 3-3-3 3-2-2-2 3-3-2-2 1-3-3-2-2 "
+        "2-2-2-2 2-2-2-2-2 1-2-2-2-2 3-2-4 2-7 4-4-4-4 4-4-4-4-1 4-4-4-4-2 4-4-4-4-3 4-6-5 "
+        "4-2-2 4-1-2 4-2-1 2-2-4 1-2-4 2-1-4 1-1-4 2-2-2 1-2-2 2-1-2 1-1-2"
+    ).split()
+)
+_LONGEST = max(map(len, SHAPES))
 
 # Gazetteers: fixed values.
 KEY_PREFIXES = ("AKIA", "ASIA", "ghp_", "glpat-", "sk-", "xoxb-")
@@ -95,15 +107,70 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return out
 
 
+def number_parts(text: str, runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The numbers in a row of digit runs, however long: the cheapest division
+    into usual shapes and long runs (cheap), runs joined without such a shape
+    (dearer with each run), and single short runs, which are no number. Mixed
+    separators within a number cost extra."""
+    n = len(runs)
+    sizes = [e - s for s, e in runs]
+    if n == 1:
+        return runs if sizes[0] >= MIN_DIGITS else []
+    gaps = [text[runs[k - 1][1] : runs[k][0]].strip("()") for k in range(1, n)]
+    cost, back = [0.0] + [math.inf] * n, [0] * (n + 1)
+    for i in range(n):
+        digits, mixed = 0, 0.0
+        for j in range(i + 1, n + 1):
+            digits += sizes[j - 1]
+            if j > i + 2 and gaps[j - 2] != gaps[i]:
+                mixed = 0.5
+            if j == i + 1:
+                price = 1.0 if digits >= MIN_DIGITS else 1.5
+            elif digits > MAX_JOINED:
+                break
+            elif j - i <= _LONGEST and tuple(sizes[i:j]) in SHAPES and (digits >= MIN_DIGITS or not mixed and gaps[i] in "/.-"):
+                price = 1.0 + mixed
+            elif digits >= MIN_DIGITS:
+                price = 1.0 + 0.9 * (j - i) + mixed
+            else:
+                continue
+            if cost[i] + price < cost[j]:
+                cost[j], back[j] = cost[i] + price, i
+    out, j = [], n
+    while j:
+        if sum(sizes[back[j] : j]) >= MIN_DIGITS:
+            out.append((runs[back[j]][0], runs[j - 1][1]))
+        j = back[j]
+    return out[::-1]
+
+
+def numbers(text: str, taken: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Numbers of the text between the (sorted) taken stretches."""
+    out, i, reach = [], 0, 0
+    for m in _ROW.finditer(text):
+        if m.end() - m.start() < MIN_DIGITS:
+            continue
+        runs: list[tuple[int, int]] = []
+        for r in _RUN.finditer(text, m.start(), m.end()):
+            while i < len(taken) and taken[i][0] < r.end():
+                reach = max(reach, taken[i][1])
+                i += 1
+            if reach <= r.start():
+                runs.append(r.span())
+            elif runs:
+                out += number_parts(text, runs)
+                runs = []
+        if runs:
+            out += number_parts(text, runs)
+    return out
+
+
 def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """Wider spans: no base span touches them, or lies only partly in them."""
+    """Wider spans: no base span touches them, or lies only partly in them.
+    Numbers are those of the text between the base spans."""
     taken = sorted((s, e) for _, s, e in base)
     found = [(4, *m.span()) for m in (*_TOKEN.finditer(text), *_PREFIXED.finditer(text))]
-    for m in _GROUP.finditer(text):
-        if m.end() - m.start() <= 24:
-            found.append((5, *m.span()))
-        else:  # several numbers in a row: each by itself
-            found += [(5, r.start(), r.end()) for r in _RUN.finditer(text, m.start(), m.end())]
+    found += [(5, s, e) for s, e in numbers(text, taken)]
     out, last, i = [], 0, 0
     for kind, s, e in sorted(found, key=lambda x: (x[1], x[0])):
         while i < len(taken) and taken[i][1] <= s:
@@ -118,10 +185,22 @@ def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, i
     return out
 
 
-def votes(text: str, kind: int, start: int, end: int) -> tuple[int, ...]:
-    """What each labeler says: 1 for, -1 against, 0 nothing."""
+def with_cue_place(found: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int]]:
+    """Each span with the place a cue would stand before: its start, or for a
+    number next to another one that of the first in the row."""
+    out: list[tuple[int, int, int, int]] = []
+    for kind, s, e in found:
+        near = kind == 5 and out and out[-1][0] == 5 and 0 <= s - out[-1][2] <= 2
+        out.append((kind, s, e, out[-1][3] if near else s))
+    return out
+
+
+def votes(text: str, kind: int, start: int, end: int, at: int | None = None) -> tuple[int, ...]:
+    """What each labeler says: 1 for, -1 against, 0 nothing. A cue is looked for
+    before ``at`` (default: before the span)."""
     span = text[start:end]
-    before = text[max(0, start - 24) : start]
+    at = start if at is None else at
+    before = text[max(0, at - 24) : at]
     cue = _CUE.search(before)
     word = cue.group(1).lower() if cue else ""
     cues = SECRET_CUES if kind == 4 else CONTACT_CUES
@@ -212,8 +291,8 @@ def vote_counts(df: DataFrame, text_col: str = "text") -> list[tuple[str, int]]:
                 text = value.as_py()
                 if text and _WORTH.search(text):
                     base = base_spans(text)
-                    for kind, s, e in (*base, *candidates(text, base)):
-                        key = _key(kind, votes(text, kind, s, e), e - s)
+                    for kind, s, e, at in with_cue_place([*base, *candidates(text, base)]):
+                        key = _key(kind, votes(text, kind, s, e, at), e - s)
                         counts[key] = counts.get(key, 0) + 1
         yield pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.string()), pa.array(counts.values(), pa.int64())], names=["k", "n"])
 
@@ -227,8 +306,8 @@ def spans_of(text: str | None, model: np.ndarray | None) -> tuple[list, list]:
         return [], []
     base, known = base_spans(text), {}
     added = []
-    for kind, s, e in candidates(text, base) if model is not None else ():
-        said = votes(text, kind, s, e)
+    for kind, s, e, at in with_cue_place(candidates(text, base)) if model is not None else ():
+        said = votes(text, kind, s, e, at)
         key = _key(kind, said, e - s)
         if key not in known:
             known[key] = float(_features(kind, said, 8 * min((e - s) // 8, 8) + 4) @ model) >= 0.0

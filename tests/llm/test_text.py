@@ -318,6 +318,27 @@ def test_pii_added_spans(docs):
     assert not any(got[i]["spans"] for i in range(120) if i % 9 in (5, 7, 8))
 
 
+def number_spans(text):
+    return [text[s:e] for k, s, e in pii.candidates(text, pii.base_spans(text)) if pii.KINDS[k] == "number"]
+
+
+def test_pii_numbers_in_a_row_are_candidates_each():
+    phones = [f"555-{i:03d}-4567" for i in range(100, 140)]
+    for row in (phones[:2], phones, ["123-45-6789", "987-65-4322"], ["5551234567", "5559876543", "5551112222"], ["01 23 45 67 89", "01 23 45 67 88"],
+                ["1 (825) 555-4756", "4111 1111 1111 1112", "2024-01-02"], ["12345 12345 12345 12345"], ["4444333322221111", "555-123-4567"], ["12345678901234567890123456789"]):
+        assert number_spans("call " + " ".join(row) + " now") == row
+    for beside in ("10.0.0.7 {}", "{} 10.0.0.7", "4444333322221111/{}", "{}  +1 (825) 555-4756", "u1@x.org {}", "{} 3rd"):
+        assert number_spans(beside.format("555-123-4567")) == ["555-123-4567"], beside
+    assert number_spans("12.31.24 1234567 12 10.0.0.7 34") == ["1234567"]
+    assert number_spans("8 9 10 4 5 6 7 3") == ["8 9 10 4 5 6 7 3"]
+
+
+def test_pii_numbers_in_a_row_are_added(docs):
+    rows = pii_rows() + [(500 + i, f"some words call 555-{i:03d}-4567 555-987-{6000 + i} 555-444-{1000 + i} soon") for i in range(20)]
+    got = {r["doc_id"]: r["spans"] for r in pii.find(docs(rows)).collect()}
+    assert all(got[500 + i] == "number:16:28,number:29:41,number:42:54" for i in range(20)), got[500]
+
+
 def test_pii_redact(docs):
     rows = pii_rows() + [(900, None), (901, "")]
     df = docs(rows, extra=["c1"])
