@@ -3,9 +3,11 @@
 Department files dropped into a landing folder are picked up as they arrive,
 stamped with their department (from the file name), decoded with the same
 single projection as the batch, and appended to the processed table
-(partitioned by department). The checkpoint lives in the shared folder named
-by ``spark.checkpoint.dir``, so the job resumes exactly once after a driver
-or executor failure and never re-reads a file it has committed.
+(partitioned by department). Unless the caller names another, the checkpoint
+lies in the output table's own folder (hidden from readers by its leading
+underscore), whatever the application, so the job resumes exactly once after a
+driver or executor failure or on the next scheduled run and never re-reads a
+file it has committed.
 
 ``availableNow`` processes everything present and stops (scheduled runs);
 a processing-time trigger keeps it running. The outcome cube can be kept in
@@ -22,7 +24,6 @@ from pyspark.sql.streaming import StreamingQuery
 from ..functions.dictionary import DEPARTMENT_FILES
 from ..operators import indicators as ind
 from ..operators.decode import decode_all
-from ..session import stage_dir
 from ..sources.files import PART_COL, RAW_SCHEMA, _fs, path_exists, stamp_department
 from ..sources.fixture import RAW_COLUMNS
 
@@ -42,6 +43,21 @@ def department_stream(spark: SparkSession, landing: str, catalogue: Mapping[int,
     return stamp_department(stream, catalogue).select(*RAW_COLUMNS)
 
 
+def own_checkpoint(spark: SparkSession, table: str) -> str:
+    """The default checkpoint of a stream into ``table``. A table that a stream
+    wrote under another checkpoint is an error: with a new one, batch ids would
+    begin at 0 again and clash with those the table already has."""
+    table = table.rstrip("/")
+    checkpoint = f"{table}/_checkpoint"
+    # the stream writes its metadata file before anything else, the table after it
+    if not path_exists(spark, f"{checkpoint}/metadata") and path_exists(spark, table):
+        fs, p = _fs(spark, table)
+        names = [s.getPath().getName() for s in fs.listStatus(p)]
+        if any(n == "_spark_metadata" or n.startswith("version=") for n in names):
+            raise ValueError(f"{table} was written by a stream with another checkpoint; pass that as checkpoint=")
+    return checkpoint
+
+
 def start_ingest(
     spark: SparkSession,
     landing: str,
@@ -51,7 +67,7 @@ def start_ingest(
     available_now: bool = True,
 ) -> StreamingQuery:
     """Append decoded rows to the processed table (exactly once)."""
-    checkpoint = checkpoint or stage_dir(spark, "streams", "ingest")
+    checkpoint = checkpoint or own_checkpoint(spark, processed)
     writer = (
         decode_all(department_stream(spark, landing, catalogue))
         .writeStream.format("parquet")
@@ -73,7 +89,7 @@ def start_cube(
 ) -> StreamingQuery:
     """Keep the outcome cube current: a streaming aggregate whose state has at
     most one entry per cube cell; each micro-batch rewrites the (small) table."""
-    checkpoint = checkpoint or stage_dir(spark, "streams", "cube")
+    checkpoint = checkpoint or own_checkpoint(spark, table)
     cube = ind.outcome_cube(decode_all(department_stream(spark, landing, catalogue)))
 
     def publish(batch: DataFrame, epoch: int) -> None:

@@ -2,11 +2,14 @@ import os
 import shutil
 import tempfile
 
+import pytest
+from pyspark import SparkContext
 from pyspark.sql import functions as F
 
 from pizarra.functions.dictionary import DEPARTMENT_FILES
 from pizarra.operators import decode as dec
 from pizarra.operators import indicators as ind
+from pizarra.session import clear_stage
 from pizarra.sources import files
 from pizarra.sources.fixture import enrolments
 from pizarra.streaming import ingest as st
@@ -50,3 +53,31 @@ def test_incremental_ingest_is_exactly_once(spark, sf_small):
     st.start_cube(spark, landing, cube_table, CSV, checkpoint=os.path.join(base, "ckpt_cube")).awaitTermination()
     got = st.read_cube(spark, cube_table)
     assert _rows(got) == _rows(ind.outcome_cube(second))
+
+
+def test_default_checkpoint_resumes_in_another_application(spark, sf_small, tmp_path, monkeypatch):
+    raw = enrolments(spark, sf_small)
+    exported = files.export_departments(raw, str(tmp_path / "all"), DEPARTMENT_FILES, "csv")
+    landing, processed, cube_table = (str(tmp_path / x) for x in ("landing", "processed", "cube"))
+    os.makedirs(landing)
+    want = dec.decode_all(raw)
+    landed = []
+    for dep in (1, 2, 19):  # one application each
+        monkeypatch.setattr(SparkContext, "applicationId", property(lambda _, dep=dep: f"app-{dep}"))
+        shutil.copytree(os.path.join(exported, CSV[dep]), os.path.join(landing, CSV[dep]))
+        landed.append(dep)
+        st.start_ingest(spark, landing, processed, CSV).awaitTermination()
+        st.start_cube(spark, landing, cube_table, CSV).awaitTermination()
+        clear_stage(spark)
+        here = want.where(F.col("departamento_f_codigo").isin(*landed))
+        assert _rows(files.scan_processed(spark, processed)) == _rows(here)
+        assert _rows(st.read_cube(spark, cube_table)) == _rows(ind.outcome_cube(here))
+
+
+def test_a_table_of_another_checkpoint_is_not_continued_by_default(spark, sf_small, tmp_path):
+    exported = files.export_departments(enrolments(spark, sf_small), str(tmp_path / "all"), DEPARTMENT_FILES, "csv")
+    for start, name in ((st.start_ingest, "processed"), (st.start_cube, "cube")):
+        table = str(tmp_path / name)
+        start(spark, exported, table, CSV, checkpoint=str(tmp_path / f"ckpt_{name}")).awaitTermination()
+        with pytest.raises(ValueError, match="another checkpoint"):
+            start(spark, exported, table, CSV)
