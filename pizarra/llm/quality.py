@@ -4,7 +4,10 @@ Repetition coverage: for several n-gram lengths, rolling hashes of the word
 numbers are computed with numpy prefix sums; the characters of words inside
 second and later occurrences of an n-gram are measured as a share of all word
 characters, and likewise the characters of repeated lines. A document is kept
-when the base rules pass and no share is over its limit.
+when the base rules pass and no share is over its limit. A heading line that
+closes the document once more (first and last line that is not blank, nowhere
+else, at most HEADING_WORDS words) is no repetition for the coverage shares;
+the base counts do count it.
 
 The base counts are exact (words and windows get collision-free numbers); only
 the coverage shares rest on 64-bit hashes, compared within one document.
@@ -28,10 +31,10 @@ from pizarra.llm.common import table
 SYMBOLS = b"#*$%&|<>"
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 #: n-gram length -> largest share of word characters in repeated n-grams; and of
-#: characters in repeated lines. Loose enough that a line which heads and closes
-#: a short document does not reject it.
-NGRAM_LIMITS = {5: 0.30, 6: 0.28, 8: 0.24, 10: 0.20}
-LINE_LIMIT = 0.30
+#: characters in repeated lines
+NGRAM_LIMITS = {5: 0.15, 6: 0.14, 8: 0.12, 10: 0.10}
+LINE_LIMIT = 0.20
+HEADING_WORDS = 20
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 _BASE = np.uint64(0xD1342543DE82EF95)
 
@@ -92,6 +95,7 @@ class Judge:
         word_chars = len(text or "") - (len(raw) - word_bytes)
         n_symbols = len(raw) - len(raw.translate(None, SYMBOLS))
         seen, n_dup_lines, dup_line_bytes, line_bytes = set(), 0, 0, 0
+        heading, n_heading = None, 0
         for line in raw.split(b"\n"):
             if line.strip():
                 line_bytes += len(line)
@@ -99,6 +103,13 @@ class Judge:
                     n_dup_lines += 1
                     dup_line_bytes += len(line)
                 seen.add(line)
+                heading = line if heading is None else heading
+                n_heading += line == heading
+                last = line
+        closing = 0  # words of a heading line's copy at the end
+        if n_heading == 2 and last == heading and len(heading.split()) <= HEADING_WORDS:
+            closing = len(heading.split())
+            dup_line_bytes -= len(heading)
         n_repeat_words, worst = 0, 0.0
         if n_words >= 3:
             numbers: dict[bytes, int] = {}
@@ -113,7 +124,7 @@ class Judge:
                 for n, limit in self.ngram_limits.items():
                     if n_words >= n:
                         again = later_windows(rolling_hashes(ids.astype(np.uint64), n, self.powers, self.inverses))
-                        share = float(chars[covered(again, n)].sum()) / word_bytes
+                        share = float(chars[: n_words - closing][covered(again, n)[: n_words - closing]].sum()) / word_bytes
                         worst = max(worst, share / limit)
         base_failed = n_words < MIN_WORDS or 100 * n_repeat_words > MAX_REPEAT_PERCENT * n_words
         line_share = dup_line_bytes / line_bytes if line_bytes else 0.0

@@ -227,6 +227,31 @@ def test_quality_filter_keeps_columns_and_clean_rows(docs, sample):
     assert quality.quality_filter(docs([])).count() == 0
 
 
+def test_quality_verdicts_of_planted_texts():
+    def prose(n, at):
+        return " ".join(f"word{i:04d}" for i in range(at, at + n))
+
+    judge = quality.Judge(quality.NGRAM_LIMITS, quality.LINE_LIMIT)
+    passage, heading, line = prose(35, 9000), prose(9, 9000), prose(10, 9000)
+    rejected = [
+        f"{prose(65, 0)} {passage} {prose(65, 100)} {passage}",  # 17.5 % in later copies
+        f"{passage}\n{prose(130, 0)}\n{passage}",  # a passage is no heading
+        f"{prose(66, 0)} {prose(12, 9000)} {prose(10, 100)} {prose(12, 9000)}",  # 12 %, by 10-grams
+        f"{prose(40, 0)}\n{heading}\n{prose(10, 100)}\n{heading}",  # repeated, but not the heading
+        f"{heading}\n{prose(30, 0)}\n{heading}\n{prose(30, 100)}\n{heading}",  # more than once
+        "\n".join(["ab cd"] * 40 + [prose(60, 0)]),
+        prose(40, 0),
+    ]
+    kept = [
+        prose(200, 0),
+        f"{heading}\n{prose(35, 0)}\n{heading}",
+        f"\n{heading}\n\n{prose(20, 0)}\n{prose(20, 50)}\n{heading}\n \n",
+        f"{prose(100, 0)} {line} {prose(100, 200)} {line}",  # 4.5 %
+    ]
+    assert [judge(t)[-1] for t in rejected] == [False] * len(rejected)
+    assert [judge(t)[-1] for t in kept] == [True] * len(kept)
+
+
 # --- language identification
 
 
