@@ -10,9 +10,11 @@ for a batch of texts at a time.
 n-grams are hashed to ``WIDTHS[n]`` presence bits. Letters are lower-cased;
 runs of anything else count as one space.
 
-Training takes a bounded sample, ``SAMPLE`` labelled rows with the smallest hash
-of their id, ``LANDMARKS`` of them being landmarks; their packed presence bits
-(some 1.3 kB a row) are all that reaches the driver. Every text is scored whole.
+Training takes a bounded sample, ``SAMPLE`` different labelled texts with a letter,
+evenly from the languages (a small one gives all it has) and by a hash of the
+text; ``LANDMARKS`` of them are landmarks. Their packed presence bits (some 1.3 kB
+a text) and a histogram of at most 2^12 rows a language are all that reaches the
+driver. Every text is scored whole.
 
 Nulls and edge cases: a null text or one without a letter is ``und`` with score
 0; so is everything if no labelled row is there to learn from. Rows with a null
@@ -24,14 +26,15 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pizarra.llm.common import table
-from pizarra.sources.files import sample_exact
 
-#: Rows learned from at most, landmarks among them, ridge.
+#: Texts learned from at most, landmarks among them, ridge.
 SAMPLE, LANDMARKS, RIDGE = 2400, 192, 1.0
+#: Leading bits of a text's hash that the sample's histogram of a language counts by.
+_BUCKET_BITS = 12
 WIDTHS = {1: 256, 2: 2048, 3: 8192}
 _DIM = sum(WIDTHS.values())
 _MULT = (np.uint32(0x9E3779B1), np.uint32(0x85EBCA6B), np.uint32(0xC2B2AE35))
@@ -99,13 +102,55 @@ def held_out_fold(id_col: Column) -> Column:
     return F.coalesce(F.crc32(id_col.cast("string")) % 4 == 2, F.lit(False))
 
 
+def shares(totals: dict[str, int], sample: int) -> int:
+    """How many texts each language may give so that all give at most ``sample``
+    together, but always one each; what small languages leave goes to the others."""
+    left = sample
+    for k, n in enumerate(sorted(totals.values())):
+        share = left // (len(totals) - k)
+        if n >= share:
+            return max(share, 1)
+        left -= n
+    return sample
+
+
+def _sampled(rows: DataFrame, sample: int) -> DataFrame | None:
+    """label, hash of the text and one id of each sampled text: the lowest hashes
+    of every label, by a histogram of their leading bits, so that no task sees
+    more of a label than the sample and a bucket."""
+    texts = rows.groupBy("label", "hash").agg(F.min("id").alias("id"))
+    bucket = F.shiftrightunsigned(F.col("hash"), 64 - _BUCKET_BITS).cast("int")
+    label = Window.partitionBy("label").orderBy("bucket")
+    histogram = texts.groupBy("label", bucket.alias("bucket")).count().withColumn("upto", F.sum("count").over(label))
+    found = histogram.where(F.col("upto") - F.col("count") < sample).select("label", "bucket", "upto").collect()
+    totals: dict[str, int] = {}
+    for r in found:
+        totals[r["label"]] = max(totals.get(r["label"], 0), r["upto"])
+    if not totals:
+        return None
+    each = shares(totals, sample)
+    last: dict[str, tuple[int, int]] = {}  # the first bucket that fills the share, or the last one
+    for r in sorted(found, key=lambda r: (r["label"], r["bucket"])):
+        if last.get(r["label"], (0, 0))[0] < each:
+            last[r["label"]] = (r["upto"], r["bucket"])
+    # one row a language
+    bounds = rows.sparkSession.createDataFrame([(k, b) for k, (_, b) in last.items()], "label string, _last int")
+    place = F.row_number().over(Window.partitionBy("label").orderBy("hash"))
+    near = texts.join(F.broadcast(bounds), "label").where(bucket <= F.col("_last"))
+    return near.withColumn("_place", place).where(F.col("_place") <= each).select("label", "hash", "id")
+
+
 def fit(df: DataFrame, id_col: str, text_col: str, label_col: str, sample: int = SAMPLE) -> Model | None:
-    """Learn from at most ``sample`` labelled rows outside the held-out fold."""
-    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(label_col).alias("label")).where(
-        F.col("id").isNotNull() & F.col("label").isNotNull() & ~held_out_fold(F.col("id"))
+    """Learn from at most ``sample`` different texts with a letter (or one of each
+    language, if there are more languages) of labelled rows outside the held-out
+    fold, drawn evenly from the languages."""
+    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(label_col).cast("string").alias("label")).where(
+        F.col("id").isNotNull() & F.col("label").isNotNull() & F.col("text").rlike(r"\p{L}") & ~held_out_fold(F.col("id"))
     )
-    # by a histogram of hashed ids: no task sees more than the sample and a bucket
-    ids = sample_exact(rows.select("id"), sample).distinct()
+    rows = rows.withColumn("hash", F.xxhash64("text"))
+    sampled = _sampled(rows.select("id", "label", "hash"), sample)
+    if sampled is None:
+        return None
 
     def packed(batches):
         for batch in batches:
@@ -115,18 +160,17 @@ def fit(df: DataFrame, id_col: str, text_col: str, label_col: str, sample: int =
                 if has_letter(text):
                     presence(text, bits)
                 out.append(np.packbits(bits).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column("id").cast(pa.string()), batch.column("label"), pa.array(out, pa.binary())], names=["id", "label", "bits"])
+            yield pa.RecordBatch.from_arrays([batch.column("hash"), batch.column("label"), pa.array(out, pa.binary())], names=["hash", "label", "bits"])
 
     # the sample's size is the parameter, so its ids may be broadcast
-    chosen = rows.join(F.broadcast(ids), "id", "left_semi")
+    chosen = rows.join(F.broadcast(sampled), ["id", "label", "hash"], "left_semi").select("text", "label", "hash")
     got = (
-        chosen.mapInArrow(packed, "id string, label string, bits binary")
-        .groupBy("id")
-        .agg(F.min(F.struct("label", "bits")).alias("row"))
-        .select("id", "row.*")
+        chosen.mapInArrow(packed, "hash long, label string, bits binary")
+        .groupBy("label", "hash")
+        .agg(F.min("bits").alias("bits"))
         .collect()
     )
-    got = [r for r in sorted(got, key=lambda r: r["id"]) if any(r["bits"])]
+    got = [r for r in sorted(got, key=lambda r: (r["hash"], r["label"])) if any(r["bits"])]
     if not got:
         return None
     bits = np.unpackbits(np.array([np.frombuffer(r["bits"], np.uint8) for r in got]), axis=1)[:, :_DIM]

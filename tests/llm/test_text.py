@@ -278,6 +278,23 @@ def test_language_fold_and_edge_cases(docs):
     assert none is None and {r["lang_pred"] for r in language_id.predict(unlabelled, none).collect()} == {"und"}
 
 
+def test_language_sample_has_rare_languages_and_different_texts(docs):
+    rows = [(i, f"the house and the garden number {'abcdefghij'[i % 10]}{i}", "en") for i in range(1500)]
+    rows += [(2000 + i, None if i % 2 else "123 !!", "en") for i in range(1500)] + [(4000 + i, "one copied text", "en") for i in range(1500)]
+    rows += [(7000 + i, f"das haus und der garten nummer {'abcdefghij'[i]}", "de") for i in range(10)]
+    df = docs(rows)
+    model = language_id.fit(df, "doc_id", "text", "lang", sample=24)
+    assert model.languages == ["de", "en"]
+    assert 20 <= len(model.landmarks) <= 24  # different texts, all of them useful
+    got = {r["doc_id"]: r["lang_pred"] for r in language_id.predict(df, model).collect()}
+    assert all(got[7000 + i] == "de" for i in range(10)) and all(got[i] == "en" for i in range(1500))
+
+
+def test_language_shares():
+    for totals, sample, each in (({"a": 5000, "b": 3}, 2400, 2397), ({"a": 9, "b": 9, "c": 9}, 10, 3), ({str(i): 5 for i in range(20)}, 10, 1), ({"a": 7}, 2400, 2400)):
+        assert language_id.shares(totals, sample) == each
+
+
 # --- PII
 
 
