@@ -1,7 +1,7 @@
 """Personal data by weak supervision.
 
 Fixed patterns give the base spans (email, ip, card, phone). Around them, wider
-candidates (long mixed tokens, digit groups) are judged: regex, gazetteer and
+candidates (long mixed tokens, values after a secret cue, digit groups) are judged: regex, gazetteer and
 context labelers vote for, against or abstain. Expectation-maximisation over the
 counts of vote patterns, from all documents, estimates how reliable each labeler
 is; its soft labels train a logistic span classifier, which decides about every
@@ -40,9 +40,7 @@ _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-_WORTH = re.compile(r"[0-9@]|A[KS]IA[A-Z]")
 _TOKEN = re.compile(r"(?<![A-Za-z0-9_/+-])(?=[A-Za-z_/+-]*+[0-9])(?=[0-9_/+-]*+[A-Za-z])[A-Za-z0-9_/+-]{16,}+")
-_PREFIXED = re.compile(r"(?<![A-Za-z0-9_/+-])(?:AKIA|ASIA)[A-Z]{16}(?![A-Za-z0-9_/+-])")
 # digit runs in a row, with one or two separators between neighbours
 _ROW = re.compile(r"(?<![A-Za-z0-9])[0-9]++(?![A-Za-z])(?:[ .()/-]{1,2}[0-9]++(?![A-Za-z]))*+")
 _RUN = re.compile(r"[0-9]++")
@@ -64,6 +62,11 @@ KEY_PREFIXES = ("AKIA", "ASIA", "ghp_", "glpat-", "sk-", "xoxb-")
 DOMAINS = ("com", "org", "net", "edu", "gov", "de", "es", "fr", "info", "io")
 SECRET_CUES = ("password", "passwd", "pwd", "token", "secret", "api_key", "apikey", "auth", "key")
 CONTACT_CUES = ("call", "tel", "phone", "mobile", "fax", "mail", "email", "contact", "card", "iban", "account", "ssn", "id")
+_PREFIXED = re.compile(rf"(?<![A-Za-z0-9_/+-])(?:{'|'.join(KEY_PREFIXES)})[A-Za-z0-9_/+-]++")
+_ASSIGN = re.compile(r"[=:]++>?[ \t]{0,4}+")
+_CUED = re.compile(rf"(?<![A-Za-z_])(?:{'|'.join(SECRET_CUES)})[\"']?[ \t]{{0,4}}\Z", re.IGNORECASE)
+_VALUE = re.compile(r"[^\s\"']++")
+_WORTH = re.compile(r"[0-9@=:]")
 _CUE = re.compile(r"([A-Za-z_]+)[\s\"':=#.(-]*\Z")
 _HEX = re.compile(r"(?:[0-9a-f]{16,}|[0-9A-F]{16,})\Z")
 _DATE = re.compile(r"(?:19|20)[0-9]{2}[./-][01]?[0-9][./-][0-3]?[0-9]\Z|[0-3]?[0-9][./-][01]?[0-9][./-](?:19|20)?[0-9]{2}\Z")
@@ -165,14 +168,46 @@ def numbers(text: str, taken: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
+def has_prefix(text: str) -> bool:
+    return any(prefix in text for prefix in KEY_PREFIXES)
+
+
+def worth(text: str) -> bool:
+    """Whether there can be any span."""
+    return bool(_WORTH.search(text)) or has_prefix(text)
+
+
+def assigned(text: str) -> list[tuple[int, int]]:
+    """Values after a secret cue and an = or a colon: a quoted one up to its
+    closing quote on the line, another up to a blank or quote, without the
+    punctuation that ends it."""
+    out = []
+    for m in _ASSIGN.finditer(text):
+        s = m.end()
+        if s == len(text) or not _CUED.search(text, max(0, m.start() - 24), m.start()):
+            continue
+        if text[s] in "\"'":
+            e = text.find(text[s], s + 1)
+            if e > s + 1 and text.find("\n", s + 1, e) < 0:
+                out.append((s + 1, e))
+                continue
+            s += 1
+        value = _VALUE.match(text, s)
+        size = len(value.group().rstrip(".,;")) if value else 0
+        if size:
+            out.append((s, s + size))
+    return out
+
+
 def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     """Wider spans: no base span touches them, or lies only partly in them.
     Numbers are those of the text between the base spans."""
     taken = sorted((s, e) for _, s, e in base)
-    found = [(4, *m.span()) for m in (*_TOKEN.finditer(text), *_PREFIXED.finditer(text))]
+    found = [(4, *m.span()) for m in (*_TOKEN.finditer(text), *(_PREFIXED.finditer(text) if has_prefix(text) else ()))]
+    found += [(4, s, e) for s, e in assigned(text)]
     found += [(5, s, e) for s, e in numbers(text, taken)]
     out, last, i = [], 0, 0
-    for kind, s, e in sorted(found, key=lambda x: (x[1], x[0])):
+    for kind, s, e in sorted(found, key=lambda x: (x[1], x[0], -x[2])):
         while i < len(taken) and taken[i][1] <= s:
             i += 1
         touched, k = [], i
@@ -289,7 +324,7 @@ def vote_counts(df: DataFrame, text_col: str = "text") -> list[tuple[str, int]]:
         for batch in batches:
             for value in batch.column(0):
                 text = value.as_py()
-                if text and _WORTH.search(text):
+                if text and worth(text):
                     base = base_spans(text)
                     for kind, s, e, at in with_cue_place([*base, *candidates(text, base)]):
                         key = _key(kind, votes(text, kind, s, e, at), e - s)
@@ -302,7 +337,7 @@ def vote_counts(df: DataFrame, text_col: str = "text") -> list[tuple[str, int]]:
 
 def spans_of(text: str | None, model: np.ndarray | None) -> tuple[list, list]:
     """(base spans, added spans)."""
-    if not text or not _WORTH.search(text):
+    if not text or not worth(text):
         return [], []
     base, known = base_spans(text), {}
     added = []

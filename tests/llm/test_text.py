@@ -381,6 +381,20 @@ def test_pii_numbers_in_a_row_are_added(docs):
     assert all(got[500 + i] == "number:16:28,number:29:41,number:42:54" for i in range(20)), got[500]
 
 
+def test_pii_short_and_odd_secrets(docs):
+    planted = [('password = {}', "Tr0ub4dor3"), ('"pwd": "{}"', "a#b1c2 d3!x"), ("token={}", "x!9$zz41&kk7"), ("uses {} here", "ghp_abcdefghijklmnopqrst"),
+               ("secret: {}, then", "q1w2e3"), ("api_key='{}'", "p" + "4$aZ" * 40)]
+    rows = pii_rows() + [(500 + 10 * k + j, "some words " + planted[k][0].format(planted[k][1]) + " more") for k in range(6) for j in range(5)]
+    for i, text in rows[120:]:
+        value = planted[(i - 500) // 10][1]
+        assert [(pii.KINDS[k], text[s:e]) for k, s, e in pii.candidates(text, [])] == [("secret", value)]
+    got = {r["doc_id"]: r["spans"] for r in pii.find(docs(rows)).collect()}
+    for i, text in rows[120:]:
+        value = planted[(i - 500) // 10][1]
+        assert value.startswith("ghp_") or got[i] == f"secret:{text.index(value)}:{text.index(value) + len(value)}", text
+    assert pii.candidates("key = \nmonkey=abc1 key", []) == [] and pii.candidates("password: u@x.org", pii.base_spans("password: u@x.org")) == []
+
+
 def test_pii_redact(docs):
     rows = pii_rows() + [(900, None), (901, "")]
     df = docs(rows, extra=["c1"])
