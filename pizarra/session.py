@@ -10,7 +10,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(master: str | None = None, shuffle_partitions: int | None = None, app: str = "pizarra") -> SparkSession:
@@ -31,6 +31,8 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
             builder = (
                 builder.config("spark.ui.enabled", "false")
                 .config("spark.ui.showConsoleProgress", "false")
+                # files of cut tables go when nothing refers to them any more
+                .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
                 .config("spark.sql.session.timeZone", "UTC")
                 # call-site capture for error messages costs several driver-to-JVM
                 # calls per Column built
@@ -63,6 +65,13 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return local
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint in the shared folder: computed once, no lineage behind
+    it, survives the loss of any executor."""
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
 def stage_dir(spark: SparkSession, *parts: str) -> str:
     """Folder for tables this library writes itself (exports, round trips); each
     application has its own."""
