@@ -406,4 +406,4 @@ def test_pii_redact(docs):
 
 
 def test_op_queries_digest_and_oracles_exist():
-    assert set(ORACLES) == {"op2_exact_dedup", "op3_url_filter", "op4_chat_format"}
+    assert set(ORACLES) == {"op2_exact_dedup", "op3_url_filter", "op4_chat_format", "op12_divergence", "op13_mixing"}
