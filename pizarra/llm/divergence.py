@@ -104,9 +104,10 @@ def count_prefixes(docs: DataFrame, settled: int, size: int, live=None, bits: in
                 found = words.findall(text.as_py().lower())  # of bytes: A-Z only
                 if bitmap is not None:
                     known, start = alive.setdefault(lang, {}), zlib.crc32(lang.encode("utf-8", "surrogatepass") + b"\0")
-                    for prefix in {w[:settled] for w in found} - known.keys():
-                        place = zlib.crc32(prefix, start) & (bits - 1)
-                        known[prefix] = bool(bitmap[place >> 3] >> (place & 7) & 1)
+                    for prefix in {w[:settled] for w in found}:
+                        if prefix not in known:
+                            place = zlib.crc32(prefix, start) & (bits - 1)
+                            known[prefix] = bool(bitmap[place >> 3] >> (place & 7) & 1)
                     found = [w for w in found if known[w[:settled]]]
                 keys = [w[:size] for w in found]
                 group = held.setdefault((lang, source.as_py()), (Counter(), Counter()))
