@@ -10,9 +10,11 @@ Two tokens are compatible when undoing their merges from the highest rank down
 never meets a pair across the border that BPE would have merged first.
 
 Special tokens in a text, normalisation and the split into words are those the
-tokenizer file declares. Words repeat, so each Python worker keeps bounded
-tables of what it has encoded, in two halves of which the older is dropped when
-the younger is full: memory stays bounded and results never depend on them.
+tokenizer file declares. Lines of plain Latin text are split into words at once;
+others go through the library's normaliser and splitter. Words repeat, so a task
+keeps a bounded table of those it has encoded, in two halves of which the older is
+dropped when the younger is full. Nothing of it outlives the task: memory stays
+bounded and results never depend on it.
 
 Nulls and edge cases: a null text is encoded as an empty one (no ids); repeated
 rows are encoded one by one; whole texts are processed whatever their length.
@@ -24,23 +26,29 @@ from __future__ import annotations
 
 import json
 import re
+from collections import defaultdict
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pizarra.llm.common import table
 
 WORD_END = "</w>"
 _END = "\ue000"  # stands for WORD_END inside the automaton
-#: Entries of a table's younger half; when it is full it becomes the older one.
-KNOWN_CHUNKS, KNOWN_WORDS = 200_000, 300_000
-# Stretches for which the declared normalisation is lower-casing alone and the
-# declared split needs only these letters: ASCII and precomposed Latin ones.
-_SIMPLE = re.compile(r"[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+")
-_SIMPLE_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+|[0-9]|[^a-z0-9\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+")
+#: Words in the younger half of a task's table, and pairs whose compatibility it knows.
+KNOWN_WORDS, KNOWN_PAIRS = 150_000, 1 << 17
+# Lines for which the declared normalisation is lower-casing alone and the declared
+# split needs only these letters: ASCII and precomposed Latin ones.
+_SIMPLE = re.compile(r"[ -~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]*")
+_SIMPLE_WORDS = re.compile(
+    r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+|[0-9]|[^ a-z0-9\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+"
+)
 
 
 def _byte_characters() -> str:
@@ -90,7 +98,6 @@ class PrefixBpe:
             rank_of[a + b] = self._merge[pair] = len(self._parts)
             self._parts.append(pair)
             self._id_of_rank.append(vocab[a + b])
-        self._apart: dict[tuple[int, int], bool] = {}
         automaton = ahocorasick.Automaton()
         self._size = [0] * len(rank_of)
         for s, rank in rank_of.items():
@@ -98,16 +105,20 @@ class PrefixBpe:
             self._size[rank] = len(plain)
             # a token that BPE would not make of its own string never occurs
             if self._parts[rank] is None or self._keeps(rank):
-                automaton.add_word(plain, rank)
+                automaton.add_word(plain, (rank, len(plain)))
         automaton.make_automaton()
         self._matches = automaton.iter
-        self._chunks: dict[str, bytes] = {}
-        self._old_chunks: dict[str, bytes] = {}
-        self._words: dict[str, bytes] = {}
-        self._old_words: dict[str, bytes] = {}
+        self.forget()
         split = "|".join(map(re.escape, sorted(self.specials, key=len, reverse=True)))
         self._special = re.compile(f"({split})") if split else None
 
+    def forget(self) -> None:
+        """Drop the tables of what has been encoded."""
+        self._apart: defaultdict[int, dict[int, bool]] = defaultdict(dict)
+        self._pairs = 0
+        self._words: dict[str, bytes] = {}
+        self._old_words: dict[str, bytes] = {}
+
     def _keeps(self, rank: int) -> bool:
         """Whether the two halves of a token meet unmerged just before its own
         merge, i.e. no lower-ranked merge crosses the border first."""
@@ -136,22 +147,18 @@ class PrefixBpe:
     def encode_word(self, word: str) -> list[int]:
         """Ids of one word (byte-level characters, without its word end)."""
         marked = word + _END
-        last, best, at = [None] * (len(marked) + 1), {}, -1
-        apart, size = self._apart, self._size
-        for end, rank in self._matches(marked):
+        last: list[int | None] = [-1] + [None] * len(marked)
+        at, apart = -1, self._apart
+        for end, (rank, size) in self._matches(marked):
             if end == at:  # this prefix has its token
                 continue
-            start = end + 1 - size[rank]
-            if start:
-                before = last[start]
-                if before is None:
-                    continue
-                pair = before, rank
-                fits = apart.get(pair)
+            before = last[end + 1 - size]
+            if before is None:
+                continue
+            if before >= 0:
+                fits = apart[before].get(rank)
                 if fits is None:
-                    if len(apart) > 1 << 18:
-                        apart.clear()
-                    fits = apart[pair] = self._compatible(before, rank)
+                    fits = self._known_pair(before, rank)
                 if not fits:
                     continue
             last[end + 1] = rank
@@ -162,43 +169,47 @@ class PrefixBpe:
             if rank is None:
                 raise ValueError(f"no encoding of {word!r}")
             out.append(self._id_of_rank[rank])
-            i -= size[rank]
+            i -= self._size[rank]
         out.reverse()
         return out
 
-    def _chunk(self, chunk: str) -> bytes:
-        """Encode a stretch without spaces or line ends; remember it."""
-        ids = self._old_chunks.get(chunk)
-        if ids is None:
-            if chunk.isascii() and chunk.isprintable():
-                words = _SIMPLE_WORDS.findall(chunk.lower())
-            elif _SIMPLE.fullmatch(chunk):
-                words = [w.encode().decode("latin-1").translate(_BYTES) for w in _SIMPLE_WORDS.findall(chunk.lower())]
-            else:
-                words = [w for w, _ in self._splitter.pre_tokenize_str(self._normalizer.normalize_str(chunk))]
-            ids = b"".join(map(self._word, words))
-        if len(self._chunks) >= KNOWN_CHUNKS:
-            self._old_chunks, self._chunks = self._chunks, {}
-        self._chunks[chunk] = ids
-        return ids
+    def _known_pair(self, left: int, right: int) -> bool:
+        if self._pairs >= KNOWN_PAIRS:
+            self._apart.clear()
+            self._pairs = 0
+        self._pairs += 1
+        fits = self._apart[left][right] = self._compatible(left, right)
+        return fits
 
     def _word(self, word: str) -> bytes:
-        ids = self._words.get(word)
+        """Ids of a word that is not in the younger half of the table. The library's
+        byte-level words have a mark ahead, plain ones are as they stand in the text."""
+        ids = self._old_words.get(word)
         if ids is None:
-            ids = self._old_words.get(word)
-            if ids is None:
-                ids = np.array(self.encode_word(word), "<u4").tobytes()
-            if len(self._words) >= KNOWN_WORDS:
-                self._old_words, self._words = self._words, {}
-            self._words[word] = ids
+            if word[0] == _END:
+                plain = word[1:]
+            else:
+                plain = word if word.isascii() else word.encode().decode("latin-1").translate(_BYTES)
+            ids = np.array(self.encode_word(plain), "<u4").tobytes()
+        if len(self._words) >= KNOWN_WORDS:
+            self._old_words, self._words = self._words, {}
+        self._words[word] = ids
         return ids
 
+    def _line(self, line: str) -> list[str]:
+        if _SIMPLE.fullmatch(line):
+            return _SIMPLE_WORDS.findall(line.lower())
+        # a space is never part of a word nor joined by NFC
+        words = (w for chunk in line.split(" ") for w, _ in self._splitter.pre_tokenize_str(self._normalizer.normalize_str(chunk)))
+        return [_END + w for w in words]
+
     def _plain(self, text: str) -> bytes:
-        # a space or line end is never part of a word nor joined by NFC
-        chunks = text.replace("\n", " ").split(" ")
-        out = list(map(self._chunks.get, chunks))
+        # nor is a line end
+        line = text.replace("\n", " ")
+        words = self._line(line) if _SIMPLE.fullmatch(line) else [w for part in text.split("\n") for w in self._line(part)]
+        out = list(map(self._words.get, words))
         if None in out:
-            out = [self._chunk(c) if ids is None else ids for c, ids in zip(chunks, out)]
+            out = [self._word(w) if ids is None else ids for w, ids in zip(words, out)]
         return b"".join(out)
 
     def encode(self, text: str | None) -> bytes:
@@ -216,19 +227,56 @@ class PrefixBpe:
         return " ".join(map(self.strings.__getitem__, np.frombuffer(ids or b"", "<u4").tolist()))
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def encoder(path: str) -> PrefixBpe:
     return PrefixBpe(path)
 
 
+#: Rows that are encoded and handed on at a time.
+SLICE = 512
+
+
+def encoded(df: DataFrame, text_col: str = "text", path: str | None = None, ids: str = "ids", decoded: str | None = "decoded") -> DataFrame:
+    """All columns of ``df`` with the token ids of ``text_col`` as binary
+    (little-endian unsigned 32-bit) and, unless ``decoded`` is None, the text they
+    decode to, special tokens kept. Rows go through in small slices, so a worker
+    holds the ids and texts of few rows at a time."""
+    path = path or default_vocabulary()
+    names = df.columns
+    inner = df.toDF(*(f"c{i}" for i in range(len(names))))
+    at = names.index(text_col)
+    added = ["_ids"] if decoded is None else ["_ids", "_decoded"]
+
+    def run(batches):
+        bpe = encoder(path)
+        try:
+            for batch in batches:
+                for start in range(0, batch.num_rows, SLICE):
+                    part = batch.slice(start, SLICE)
+                    packed = [bpe.encode(t.as_py()) for t in part.column(at)]
+                    columns = [*part.columns, pa.array(packed, pa.binary())]
+                    if decoded is not None:
+                        columns.append(pa.array([bpe.decode(p) for p in packed], pa.string()))
+                    yield pa.RecordBatch.from_arrays(columns, names=[*part.schema.names, *added])
+        finally:
+            bpe.forget()
+
+    schema = T.StructType([*inner.schema.fields, *(T.StructField(c, T.BinaryType() if c == "_ids" else T.StringType()) for c in added)])
+    return inner.mapInArrow(run, schema).toDF(*names, ids, *([] if decoded is None else [decoded]))
+
+
 def bpe_encode(text: Column, path: str | None = None) -> Column:
     """Token ids of ``text`` as binary (little-endian unsigned 32-bit)."""
     path = path or default_vocabulary()
 
     @F.pandas_udf("binary")
-    def encode(texts: pd.Series) -> pd.Series:
+    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         bpe = encoder(path)
-        return pd.Series([bpe.encode(t) for t in texts], dtype=object)
+        try:
+            for texts in batches:
+                yield pd.Series([bpe.encode(t) for t in texts], dtype=object)
+        finally:
+            bpe.forget()
 
     return encode(text)
 
@@ -246,8 +294,7 @@ def bpe_decode(ids: Column, path: str | None = None) -> Column:
 
 
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ids = table(spark, sf_dir, "documents").select("doc_id", bpe_encode(F.col("text")).alias("ids"))
-    both = ids.select("doc_id", "ids", bpe_decode(F.col("ids")).alias("decoded"))
+    both = encoded(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return both.select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),

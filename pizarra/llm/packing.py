@@ -1,16 +1,20 @@
 """Packing token sequences by non-negative least squares on length histograms.
 
 Each document's ids (and an end id) are cut at multiples of the window; the
-last piece is shorter. Piece lengths are rounded up to ``window / BINS`` and
-counted. On the driver, which sees only that histogram of at most ``BINS``
-rows, all combinations of up to three lengths that fill a window exactly are
-enumerated and their repeat counts solved for by non-negative least squares,
-rounded, and what is left is packed greedily, largest first. The plan (a few
-combinations with repeat counts, its size bounded by ``BINS``) is sent back as
-ranges of ranks: each piece finds its sequence from its rank within its bin.
-
-Ranks are made without gathering a bin anywhere: rows are numbered within
-(partition, bin), and partitions' counts are summed ahead of them.
+last piece is shorter. Pieces are counted by size: lengths from ``SHORT`` steps on
+are rounded up to a step of ``window / BINS`` tokens, shorter ones are themselves,
+as rounding would waste much of them. On the driver, which sees only that
+histogram (at most ``BINS + SHORT * window / BINS`` rows), all combinations of up to
+three rounded lengths that fill a window exactly are enumerated and their repeat
+counts solved for by non-negative least squares, rounded, and what is left, short
+pieces included, is packed greedily, largest first. The plan (combinations with
+repeat counts, its size bounded by the histogram's) is sent back as ranges of
+ranks: each piece finds its sequence from its rank among those of its size, by
+binary search.
+
+Ranks are made without gathering a size anywhere: rows are numbered within
+(partition, size), and partitions' counts are summed ahead of them, in a join of
+tables that are dealt out by just these columns.
 
 Nulls and edge cases: a null text is an empty one, a piece of only the end id;
 repeated rows and null ids are packed as documents of their own; an empty table
@@ -30,6 +34,8 @@ from pizarra.llm.bpe import default_vocabulary, encoder
 from pizarra.llm.common import cut, table, with_row_id
 
 WINDOW, BINS, END_ID = 4096, 256, 2
+#: Steps (of ``window / BINS`` tokens) under which lengths are not rounded.
+SHORT = 8
 
 
 def combinations(total: int) -> list[tuple[int, ...]]:
@@ -71,46 +77,48 @@ def nnls(a: np.ndarray, b: np.ndarray, max_rounds: int | None = None) -> np.ndar
     return x
 
 
-def plan(histogram: dict[int, int], bins: int = BINS) -> list[tuple[dict[int, int], int]]:
-    """[(bin -> pieces per sequence, number of sequences)] using every piece."""
-    left = np.zeros(bins + 1, np.int64)
-    for k, n in histogram.items():
-        left[k] = n
+def plan(histogram: dict[int, int], window: int = WINDOW, bins: int = BINS) -> list[tuple[dict[int, int], int]]:
+    """[(size -> pieces per sequence, number of sequences)] using every piece."""
+    step = window // bins
+    left = np.zeros(window + 1, np.int64)
+    for size, n in histogram.items():
+        left[size] = n
     out: list[tuple[dict[int, int], int]] = []
 
-    def take(combo: tuple[int, ...], at_most: int) -> None:
-        need = {k: combo.count(k) for k in combo}
-        repeats = min(at_most, *(int(left[k]) // m for k, m in need.items()))
+    def take(need: dict[int, int], at_most: int) -> None:
+        repeats = min(at_most, *(int(left[size]) // m for size, m in need.items()))
         if repeats > 0:
-            for k, m in need.items():
-                left[k] -= m * repeats
+            for size, m in need.items():
+                left[size] -= m * repeats
             out.append((need, repeats))
 
-    take((bins,), int(left[bins]))
-    combos = [c for c in combinations(bins) if all(left[k] for k in c)]
+    take({window: 1}, int(left[window]))
+    combos = [c for c in combinations(bins) if all(k >= min(SHORT, bins) and left[k * step] for k in c)]
     if combos:
+        rounded = left[::step].astype(float)
+        rounded[: min(SHORT, bins)] = 0
         a = np.zeros((bins + 1, len(combos)))
         for j, combo in enumerate(combos):
             for k in combo:
                 a[k, j] += 1
-        counts = nnls(a, left.astype(float))
+        counts = nnls(a, rounded)
         for j in np.argsort(-counts, kind="stable"):
             if counts[j] < 0.5:
                 break
-            take(combos[j], int(np.rint(counts[j])))
+            take({k * step: combos[j].count(k) for k in combos[j]}, int(np.rint(counts[j])))
     while left.any():
-        combo, space, free = [], bins, left.copy()
-        for k in range(bins, 0, -1):
-            while k <= space and free[k]:
-                combo.append(k)
-                free[k] -= 1
-                space -= k
-        take(tuple(combo), int(left.max()))
+        need, space = {}, window
+        for size in np.flatnonzero(left)[::-1].tolist():
+            m = min(space // size, int(left[size]))
+            if m:
+                need[size] = m
+                space -= m * size
+        take(need, int(left.max()))
     return out
 
 
 def ranges(packed: list[tuple[dict[int, int], int]]) -> list[tuple[int, int, int, int, int, int]]:
-    """(bin, first rank, end rank, pieces per sequence, first slot, first sequence)."""
+    """(size, first rank, end rank, pieces per sequence, first slot, first sequence)."""
     rows, used, sequence = [], {}, 0
     for need, repeats in packed:
         slot = 0
@@ -132,24 +140,46 @@ def pieces(df: DataFrame, id_col: str, text_col: str, window: int, end_id: int,
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches):
-        encode = encoder(path).encode
-        for batch in batches:
-            rows = []
-            for i, text in enumerate(batch.column("_text")):
-                ids = encode(text.as_py()) + end
-                n = len(ids) // 4
-                rows += [
-                    (i, s, min(window, n - s), zlib.crc32(memoryview(ids)[4 * s : 4 * min(s + window, n)]), n) for s in range(0, n, window)
-                ]
-            at, *columns = zip(*rows) if rows else [[]] * 5
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c).take(pa.array(at, pa.int64())) for c in ("_rid", "_id")), *(pa.array(c, pa.int64()) for c in columns)],
-                names=["_rid", "_id", "start", "length", "ids_crc32", "doc_tokens"],
-            )
+        bpe = encoder(path)
+        try:
+            for batch in batches:
+                rows = []
+                for i, text in enumerate(batch.column("_text")):
+                    ids = bpe.encode(text.as_py()) + end
+                    n = len(ids) // 4
+                    rows += [
+                        (i, s, min(window, n - s), zlib.crc32(memoryview(ids)[4 * s : 4 * min(s + window, n)]), n) for s in range(0, n, window)
+                    ]
+                at, *columns = zip(*rows) if rows else [[]] * 5
+                yield pa.RecordBatch.from_arrays(
+                    [*(batch.column(c).take(pa.array(at, pa.int64())) for c in ("_rid", "_id")), *(pa.array(c, pa.int64()) for c in columns)],
+                    names=["_rid", "_id", "start", "length", "ids_crc32", "doc_tokens"],
+                )
+        finally:
+            bpe.forget()
 
     return source.select("_rid", "_id", "_text").mapInArrow(run, PIECES.format(source.schema["_id"].dataType.simpleString()))
 
 
+def in_sequences(ranked: DataFrame, slots: list[tuple[int, int, int, int, int, int]]) -> DataFrame:
+    """Ranked pieces with sequence_id and _slot (place in the sequence). ``slots``
+    are the plan's ranges, whose number the histogram bounds."""
+    kind = ranked.schema["_id"].dataType.simpleString()
+    order = np.array(sorted(slots), np.int64).reshape(-1, 6)
+
+    def run(batches):
+        first = order[:, 0] * (1 << 40) + order[:, 1]  # by size, then rank
+        for batch in batches:
+            size, rank = (batch.column(c).to_numpy().astype(np.int64) for c in ("_size", "_rank"))
+            _, start, _, each, slot, sequence = order[np.searchsorted(first, size * (1 << 40) + rank, side="right") - 1].T
+            columns = [pa.array(sequence + (rank - start) // each), pa.array(slot + (rank - start) % each)]
+            kept = batch.select(["_id", "start", "length", "ids_crc32", "doc_tokens"])
+            yield pa.RecordBatch.from_arrays([*kept.columns, *columns], names=[*kept.schema.names, "sequence_id", "_slot"])
+
+    schema = f"_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, _slot long"
+    return ranked.select("_id", "start", "length", "ids_crc32", "doc_tokens", "_size", "_rank").mapInArrow(run, schema)
+
+
 def pack(
     df: DataFrame,
     id_col: str = "doc_id",
@@ -162,35 +192,24 @@ def pack(
     """One row per piece: ``id_col``, start, length, ids_crc32, doc_tokens,
     sequence_id, offset, and padded_length of its sequence (the window, or the
     filled length where that is a power of two)."""
-    spark = df.sparkSession
-    width = window // bins
+    step = window // bins
+    rounded = F.ceil(F.col("length") / step).cast("int") * step
     cuts = cut(
         pieces(df, id_col, text_col, window, end_id, path or default_vocabulary())
-        .withColumn("_bin", F.ceil(F.col("length") / width).cast("int"))
+        .withColumn("_size", F.when(F.col("length") < SHORT * step, F.col("length").cast("int")).otherwise(rounded))
         .withColumn("_part", F.spark_partition_id())
     )
-    histogram = {r["_bin"]: r["count"] for r in cuts.groupBy("_bin").count().collect()}  # at most `bins` rows
-    slots = spark.createDataFrame(ranges(plan(histogram, bins)), "_bin int, _first long, _end long, _each long, _slot long, _sequence long")
+    histogram = {r["_size"]: r["count"] for r in cuts.groupBy("_size").count().collect()}  # at most bins + SHORT * step rows
     before = (
-        cuts.groupBy("_bin", "_part")
+        cuts.groupBy("_size", "_part")
         .count()
-        .withColumn("_before", F.sum("count").over(Window.partitionBy("_bin").orderBy("_part")) - F.col("count"))
-        .select("_bin", "_part", "_before")
-    )
-    local = F.row_number().over(Window.partitionBy("_bin", "_part").orderBy("_rid", "start")) - 1
-    ranked = cuts.withColumn("_local", local).join(before, ["_bin", "_part"]).withColumn("_rank", F.col("_before") + F.col("_local"))
-    # the plan's size is bounded by the number of bins, not by the data
-    placed = ranked.join(F.broadcast(slots), "_bin").where((F.col("_rank") >= F.col("_first")) & (F.col("_rank") < F.col("_end")))
-    step = F.col("_rank") - F.col("_first")
-    placed = placed.select(
-        "_id",
-        "start",
-        "length",
-        "ids_crc32",
-        "doc_tokens",
-        (F.col("_sequence") + F.floor(step / F.col("_each"))).cast("long").alias("sequence_id"),
-        (F.col("_slot") + step % F.col("_each")).alias("_slot"),
+        .withColumn("_before", F.sum("count").over(Window.partitionBy("_size").orderBy("_part")) - F.col("count"))
+        .select("_size", "_part", "_before")
     )
+    local = F.row_number().over(Window.partitionBy("_size", "_part").orderBy("_rid", "start")) - 1
+    # pieces are dealt out by these columns already; the other side grows with the partitions, so it is not to be broadcast
+    ranked = cuts.withColumn("_local", local).join(before.hint("merge"), ["_size", "_part"])
+    placed = in_sequences(ranked.withColumn("_rank", F.col("_before") + F.col("_local")), ranges(plan(histogram, window, bins)))
     within = Window.partitionBy("sequence_id")
     filled = F.sum("length").over(within)
     return placed.select(

@@ -99,12 +99,14 @@ def test_bpe_words_equal_the_library():
 
 
 def test_bpe_tables_are_bounded(monkeypatch):
-    monkeypatch.setattr(bpe, "KNOWN_CHUNKS", 3)
+    monkeypatch.setattr(bpe, "KNOWN_PAIRS", 3)
     monkeypatch.setattr(bpe, "KNOWN_WORDS", 2)
     small = bpe.PrefixBpe(bpe.default_vocabulary())
     text = "the quick brown fox jumps over the lazy dog and the quick cat"
     assert np.frombuffer(small.encode(text), "<u4").tolist() == library().encode(text, add_special_tokens=False).ids
-    assert len(small._chunks) <= 3 and len(small._words) <= 2
+    assert len(small._words) <= 2 and len(small._old_words) <= 2 and sum(map(len, small._apart.values())) <= 3
+    small.forget()
+    assert not small._words and not small._old_words and not small._apart
 
 
 def test_bpe_columns(docs, sample):
@@ -115,6 +117,10 @@ def test_bpe_columns(docs, sample):
         ids = theirs.encode(r["text"] or "", add_special_tokens=False).ids
         assert np.frombuffer(r["packed"], "<u4").tolist() == ids
         assert r["back"] == theirs.decode(ids, skip_special_tokens=False)
+    both = bpe.encoded(df)
+    assert both.columns == [*df.columns, "ids", "decoded"]
+    assert sorted((bytes(r[-2]), r[-1]) for r in both.collect()) == sorted((bytes(r["packed"]), r["back"]) for r in got)
+    assert bpe.encoded(docs([])).count() == 0 and bpe.encoded(df.select("text"), decoded=None).columns == ["text", "ids"]
 
 
 # --- packing
@@ -149,17 +155,41 @@ def test_packing(docs, sample):
     assert packing.pack(docs([])).count() == 0
 
 
+def test_packing_short_pieces(docs):
+    """Many short texts fill sequences; null ids and repeated ids are documents of their own."""
+    rows = [(i, "cat") for i in range(20000)] + [(None, "dog")] * 20 + [(5, "a cat and a dog")] * 7
+    got = packing.pack(docs(rows)).toPandas()
+    assert len(got) == len(rows) and got["doc_id"].isna().sum() == 20
+    sequences = got.groupby("sequence_id").agg(n=("length", "sum"), padded=("padded_length", "first"))
+    assert (sequences["n"] <= 4096).all() and got["length"].sum() / sequences["padded"].sum() > 0.9
+    assert len(sequences) == -(-got["length"].sum() // 4096)
+    for _, s in got.sort_values("offset").groupby("sequence_id"):
+        assert s["offset"].tolist() == [0, *s["length"].cumsum().tolist()[:-1]]
+
+
 def test_packing_plan_uses_every_piece():
     r = np.random.RandomState(1)
     for n in (1, 3, 50, 4000):
-        bins = np.ceil(np.minimum(np.exp(r.normal(4, 1, n)), 256)).astype(int)
-        histogram = {int(k): int((bins == k).sum()) for k in set(bins)}
+        sizes = np.minimum(np.exp(r.normal(5.5, 1.5, n)), 4096).astype(int) + 1
+        sizes = np.where(sizes < 128, sizes, np.minimum(-(-sizes // 16) * 16, 4096))
+        histogram = {int(k): int((sizes == k).sum()) for k in set(sizes)}
         total = {}
-        for need, repeats in packing.plan(histogram):
-            assert sum(k * m for k, m in need.items()) <= 256
+        planned = packing.plan(histogram)
+        for need, repeats in planned:
+            assert sum(k * m for k, m in need.items()) <= 4096
             for k, m in need.items():
                 total[k] = total.get(k, 0) + m * repeats
         assert total == histogram
+        # never more sequences than first-fit by size, nor fewer than the tokens need
+        bins = []
+        for size in sorted((k for k, m in histogram.items() for _ in range(m)), reverse=True):
+            at = next((i for i, used in enumerate(bins) if used + size <= 4096), None)
+            if at is None:
+                bins.append(size)
+            else:
+                bins[at] += size
+        used = sum(repeats for _, repeats in planned)
+        assert -(-sum(k * m for k, m in histogram.items()) // 4096) <= used <= 1.05 * len(bins) + 1
 
 
 def test_nnls():
