@@ -3,12 +3,11 @@
 Which terms, and which other sources, set a source apart within its language.
 
 1. Level by level, a pass over all texts counts, per (lang, source), the distinct
-   documents of the terms' first ``P`` bytes (``P`` = 4, 8, 16, ...). A term shorter
+   documents of the terms' first ``P`` bytes (``P`` = 8, 32, 128, ...). A term shorter
    than ``P`` is complete, and its row holds its exact counts. Prefixes of fewer
    than ``threshold`` documents of their language are discarded, as no term that
    begins with them can reach it; the next level extends the others only. It ends
-   when no prefix is left to extend: one level per doubling of the longest kept
-   term.
+   when no prefix is left to extend.
 2. What is kept gives exact integer shares of ``UNIT`` and, from them, the two
    reports. For pairs of sources only the terms that a source really has are
    gone through: with f00 for a term that neither has, the sum over all kept terms
@@ -47,8 +46,8 @@ from pyspark.sql import functions as F
 
 from pizarra.llm.common import cut, table
 
-#: Bytes of the first level's prefixes; each level doubles them.
-FIRST = 4
+#: Bytes of the first level's prefixes, and how many times longer the next level's are.
+FIRST, GROWTH = 8, 4
 #: Prefixes a task holds before it hands its counts on.
 HELD = 400_000
 FILTER_BITS = 1 << 27
@@ -124,20 +123,20 @@ def kept_terms(docs: DataFrame, threshold: int = 3, first: int = FIRST) -> DataF
     """From (text binary, lang, source): (lang, source, term, n) for the terms that
     at least ``threshold`` documents of their language hold."""
     out, settled, size, live, bits = None, 0, first, None, 0
+    whole = Window.partitionBy("lang", "key")  # at most a row per source
     while True:
-        level = cut(count_prefixes(docs, settled, size, live, bits).groupBy("lang", "source", "key").agg(F.sum("docs").alias("docs"), F.sum("n").alias("n")))
+        counted = count_prefixes(docs, settled, size, live, bits).groupBy("lang", "source", "key").agg(F.sum("docs").alias("docs"), F.sum("n").alias("n"))
+        level = cut(counted.withColumn("all", F.sum("docs").over(whole)).where(F.col("all") >= threshold).drop("all"))
         if live is not None:
             live.destroy()
-        enough = cut(level.groupBy("lang", "key").agg(F.sum("docs").alias("docs")).where(F.col("docs") >= threshold).select("lang", "key"))
-        done = enough.where(F.octet_length("key") < size)
-        terms = level.join(done, ["lang", "key"]).select("lang", "source", F.col("key").cast("string").alias("term"), "n")
+        terms = level.where(F.octet_length("key") < size).select("lang", "source", F.col("key").cast("string").alias("term"), "n")
         out = terms if out is None else out.unionByName(terms)
-        left = enough.where(F.octet_length("key") == size)
+        left = level.where(F.octet_length("key") == size).select("lang", "key").distinct()
         if left.isEmpty():
-            return cut(out)
+            return out
         packed, bits = live_filter(left)
         live = docs.sparkSession.sparkContext.broadcast(packed)
-        settled, size = size, 2 * size
+        settled, size = size, GROWTH * size
 
 
 def _share(n: Column, total: Column, v: Column) -> Column:
@@ -188,8 +187,19 @@ def divergence(df: DataFrame, text_col: str = "text", lang_col: str = "lang", so
     )
     a = held.select("lang", "term", "source", "p", F.col("p0").alias("a0"))
     b = held.select("lang", "term", F.col("source").alias("item"), F.col("p").alias("q"), F.col("p0").alias("b0"))
-    both_f = _gap(F.col("p"), F.col("q")) - _gap(F.col("p"), F.col("b0")) - _gap(F.col("a0"), F.col("q")) + f00
-    both = a.join(b, ["lang", "term"]).where("source <> item").groupBy("lang", "source", "item").agg(F.sum(both_f).alias("value"))
+
+    def both_have(p, q, a0, b0):
+        return _gap(p, q) - _gap(p, b0) - _gap(a0, q) + _gap(a0, b0)
+
+    # each pair of sources once, both directions from it
+    p, q, a0, b0 = (F.col(c) for c in ("p", "q", "a0", "b0"))
+    met = a.join(b, ["lang", "term"]).where("source < item").groupBy("lang", "source", "item").agg(
+        F.sum(both_have(p, q, a0, b0)).alias("forth"), F.sum(both_have(q, p, b0, a0)).alias("back")
+    )
+    met = cut(met)
+    both = met.select("lang", "source", "item", F.col("forth").alias("value")).unionByName(
+        met.select("lang", F.col("item").alias("source"), F.col("source").alias("item"), F.col("back").alias("value"))
+    )
     sums = base.unionByName(mine).unionByName(theirs).unionByName(both).groupBy("lang", "source", "item").agg(F.sum("value").alias("value"))
     sums = sums.withColumn("rank", F.row_number().over(ranks))
     columns = lambda df, part: df.select("lang", "source", F.lit(part).alias("part"), "item", "value", F.col("rank").cast("int").alias("rank"))

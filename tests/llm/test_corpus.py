@@ -188,6 +188,7 @@ def test_divergence_levels_and_filter(table, monkeypatch):
     monkeypatch.setattr(divergence, "live_filter", lambda live: (b"\xff" * 8192, 1 << 16))
     monkeypatch.setattr(divergence, "HELD", 1)
     assert rows_of(divergence.kept_terms(docs, first=2)) == plain
+    assert rows_of(divergence.kept_terms(docs, first=1)) == plain
 
 
 def test_live_filter(spark):
