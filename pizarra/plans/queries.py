@@ -7,9 +7,6 @@ Keys follow the operator inventory; every query reads the driver's tables
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from dataclasses import dataclass
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,27 +25,7 @@ from ..sources.fixture import RAW_COLUMNS, enrolments
 from ..streaming import ingest as st
 from . import oracle as o
 from . import pipeline as pl
-
-QueryFn = Callable[[SparkSession, str], DataFrame]
-
-
-@dataclass(frozen=True)
-class Query:
-    name: str
-    fn: QueryFn
-    sql: str | None
-
-
-REGISTRY: dict[str, Query] = {}
-
-
-def register(name: str, sql: str | None):
-    def deco(fn: QueryFn) -> QueryFn:
-        REGISTRY[name] = Query(name, fn, sql)
-        return fn
-
-    return deco
-
+from .registry import REGISTRY, register  # noqa: F401
 
 def decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dec.decode_all(enrolments(spark, sf_dir))
@@ -800,3 +777,7 @@ def q_stream_ingest(spark, sf_dir):
 )
 def q_stream_cube(spark, sf_dir):
     return st.read_cube(spark, f"{streamed_out(spark, sf_dir)}/cube")
+
+
+# ================================================= 2.9 time and versions
+from . import events, versions  # noqa: E402, F401  (they register their queries)
