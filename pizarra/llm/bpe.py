@@ -10,11 +10,11 @@ Two tokens are compatible when undoing their merges from the highest rank down
 never meets a pair across the border that BPE would have merged first.
 
 Special tokens in a text, normalisation and the split into words are those the
-tokenizer file declares. Lines of plain Latin text are split into words at once;
-others go through the library's normaliser and splitter. Words repeat, so a task
-keeps a bounded table of those it has encoded, in two halves of which the older is
-dropped when the younger is full. Nothing of it outlives the task: memory stays
-bounded and results never depend on it.
+tokenizer file declares. Plain Latin texts are lower-cased and cut at spaces by
+Arrow, and each distinct stretch of a slice of texts is encoded once; others go
+through the library's normaliser and splitter. Words repeat, so a worker keeps a
+bounded table of those it has encoded, in two halves of which the older is dropped
+when the younger is full: memory stays bounded and results never depend on it.
 
 Nulls and edge cases: a null text is encoded as an empty one (no ids); repeated
 rows are encoded one by one; whole texts are processed whatever their length.
@@ -26,13 +26,16 @@ from __future__ import annotations
 
 import json
 import re
+import struct
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -43,14 +46,20 @@ WORD_END = "</w>"
 _END = "\ue000"  # stands for WORD_END inside the automaton
 #: Words in the younger half of a task's table, and pairs whose compatibility it knows.
 KNOWN_WORDS, KNOWN_PAIRS = 150_000, 1 << 17
+#: Texts whose distinct stretches are found together.
+SLICE = 2048
 # Lines for which the declared normalisation is lower-casing alone and the declared
 # split needs only these letters: ASCII and precomposed Latin ones.
 _SIMPLE = re.compile(r"[ -~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]*")
+_ODD = r"[^ -~\n\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{12f}\x{131}-\x{24f}]"  # the other characters, for Arrow
 _SIMPLE_WORDS = re.compile(
     r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+|[0-9]|[^ a-z0-9\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+"
 )
 
 
+_STRETCH_WORDS = re.compile(r"\n|" + _SIMPLE_WORDS.pattern.replace("[^ a-z", "[^ \\na-z"))
+
+
 def _byte_characters() -> str:
     """The characters that stand for bytes: the byte's own where it prints in
     Latin-1, else the next one from 256 on."""
@@ -62,6 +71,11 @@ def _byte_characters() -> str:
 _BYTES = _byte_characters()
 
 
+def _packed(ids: list[int]) -> bytes:
+    """Little-endian unsigned 32-bit integers."""
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 def default_vocabulary() -> str:
     import public_tokenizers
 
@@ -184,13 +198,13 @@ class PrefixBpe:
     def _word(self, word: str) -> bytes:
         """Ids of a word that is not in the younger half of the table. The library's
         byte-level words have a mark ahead, plain ones are as they stand in the text."""
-        ids = self._old_words.get(word)
+        ids = b"" if word == "\n" else self._old_words.get(word)
         if ids is None:
             if word[0] == _END:
                 plain = word[1:]
             else:
                 plain = word if word.isascii() else word.encode().decode("latin-1").translate(_BYTES)
-            ids = np.array(self.encode_word(plain), "<u4").tobytes()
+            ids = _packed(self.encode_word(plain))
         if len(self._words) >= KNOWN_WORDS:
             self._old_words, self._words = self._words, {}
         self._words[word] = ids
@@ -223,6 +237,45 @@ class PrefixBpe:
             for part in self._special.split(text)
         )
 
+    def _stretches(self, stretches: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of plain lower-cased stretches, one after the other, and how many
+        each has. They are split into words together, with line ends between."""
+        if not stretches:
+            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        words = _STRETCH_WORDS.findall("\n".join(stretches))
+        packed = list(map(self._words.get, words))
+        for k, ids in enumerate(packed):
+            if ids is None:
+                packed[k] = self._word(words[k])
+        size = np.fromiter(map(len, packed), np.int64, len(packed)) // 4
+        upto = np.concatenate(([0], np.cumsum(size)))
+        line_ends = np.flatnonzero(np.fromiter(map("\n".__eq__, words), bool, len(words)))
+        return np.frombuffer(b"".join(packed), "<u4"), np.diff(upto[np.concatenate(([0], line_ends, [len(words)]))])
+
+    def encode_all(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        """The ids of each text of an Arrow array, in order."""
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        for start in range(0, len(texts), SLICE):
+            part = texts.slice(start, SLICE)
+            odd = pc.match_substring_regex(part, _ODD).to_numpy(zero_copy_only=False)
+            for s in self.specials:
+                odd = odd | pc.match_substring(part, s).to_numpy(zero_copy_only=False)
+            plain = pc.if_else(pa.array(odd), "", part) if odd.any() else part
+            lists = pc.split_pattern(pc.replace_substring(pc.utf8_lower(plain), "\n", " "), " ")
+            ends = lists.offsets.to_numpy()
+            ends = ends - ends[0]
+            coded = pc.list_flatten(lists).dictionary_encode()
+            flat, size = self._stretches(coded.dictionary.to_pylist())
+            first, which = np.cumsum(size) - size, coded.indices.to_numpy()
+            for k in range(len(part)):
+                if odd[k]:
+                    yield np.frombuffer(self.encode(part[k].as_py()), "<u4")
+                    continue
+                own = which[ends[k] : ends[k + 1]]
+                n = size[own]
+                upto = np.cumsum(n)
+                yield flat[np.repeat(first[own] - upto + n, n) + np.arange(upto[-1] if len(upto) else 0)]
+
     def decode(self, ids: bytes | None) -> str:
         return " ".join(map(self.strings.__getitem__, np.frombuffer(ids or b"", "<u4").tolist()))
 
@@ -232,10 +285,6 @@ def encoder(path: str) -> PrefixBpe:
     return PrefixBpe(path)
 
 
-#: Rows that are encoded and handed on at a time.
-SLICE = 512
-
-
 def encoded(df: DataFrame, text_col: str = "text", path: str | None = None, ids: str = "ids", decoded: str | None = "decoded") -> DataFrame:
     """All columns of ``df`` with the token ids of ``text_col`` as binary
     (little-endian unsigned 32-bit) and, unless ``decoded`` is None, the text they
@@ -249,17 +298,15 @@ def encoded(df: DataFrame, text_col: str = "text", path: str | None = None, ids:
 
     def run(batches):
         bpe = encoder(path)
-        try:
-            for batch in batches:
-                for start in range(0, batch.num_rows, SLICE):
-                    part = batch.slice(start, SLICE)
-                    packed = [bpe.encode(t.as_py()) for t in part.column(at)]
-                    columns = [*part.columns, pa.array(packed, pa.binary())]
-                    if decoded is not None:
-                        columns.append(pa.array([bpe.decode(p) for p in packed], pa.string()))
-                    yield pa.RecordBatch.from_arrays(columns, names=[*part.schema.names, *added])
-        finally:
-            bpe.forget()
+        for batch in batches:
+            ids_of = bpe.encode_all(batch.column(at))
+            for start in range(0, batch.num_rows, SLICE // 4):
+                part = batch.slice(start, SLICE // 4)
+                packed = [x.tobytes() for x in islice(ids_of, part.num_rows)]
+                columns = [*part.columns, pa.array(packed, pa.binary())]
+                if decoded is not None:
+                    columns.append(pa.array([bpe.decode(p) for p in packed], pa.string()))
+                yield pa.RecordBatch.from_arrays(columns, names=[*part.schema.names, *added])
 
     schema = T.StructType([*inner.schema.fields, *(T.StructField(c, T.BinaryType() if c == "_ids" else T.StringType()) for c in added)])
     return inner.mapInArrow(run, schema).toDF(*names, ids, *([] if decoded is None else [decoded]))
@@ -270,13 +317,9 @@ def bpe_encode(text: Column, path: str | None = None) -> Column:
     path = path or default_vocabulary()
 
     @F.pandas_udf("binary")
-    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def encode(texts: pd.Series) -> pd.Series:
         bpe = encoder(path)
-        try:
-            for texts in batches:
-                yield pd.Series([bpe.encode(t) for t in texts], dtype=object)
-        finally:
-            bpe.forget()
+        return pd.Series([bpe.encode(t) for t in texts], dtype=object)
 
     return encode(text)
 

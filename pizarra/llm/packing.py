@@ -141,22 +141,19 @@ def pieces(df: DataFrame, id_col: str, text_col: str, window: int, end_id: int,
 
     def run(batches):
         bpe = encoder(path)
-        try:
-            for batch in batches:
-                rows = []
-                for i, text in enumerate(batch.column("_text")):
-                    ids = bpe.encode(text.as_py()) + end
-                    n = len(ids) // 4
-                    rows += [
-                        (i, s, min(window, n - s), zlib.crc32(memoryview(ids)[4 * s : 4 * min(s + window, n)]), n) for s in range(0, n, window)
-                    ]
-                at, *columns = zip(*rows) if rows else [[]] * 5
-                yield pa.RecordBatch.from_arrays(
-                    [*(batch.column(c).take(pa.array(at, pa.int64())) for c in ("_rid", "_id")), *(pa.array(c, pa.int64()) for c in columns)],
-                    names=["_rid", "_id", "start", "length", "ids_crc32", "doc_tokens"],
-                )
-        finally:
-            bpe.forget()
+        for batch in batches:
+            rows = []
+            for i, found in enumerate(bpe.encode_all(batch.column("_text"))):
+                ids = found.tobytes() + end
+                n = len(ids) // 4
+                rows += [
+                    (i, s, min(window, n - s), zlib.crc32(memoryview(ids)[4 * s : 4 * min(s + window, n)]), n) for s in range(0, n, window)
+                ]
+            at, *columns = zip(*rows) if rows else [[]] * 5
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(c).take(pa.array(at, pa.int64())) for c in ("_rid", "_id")), *(pa.array(c, pa.int64()) for c in columns)],
+                names=["_rid", "_id", "start", "length", "ids_crc32", "doc_tokens"],
+            )
 
     return source.select("_rid", "_id", "_text").mapInArrow(run, PIECES.format(source.schema["_id"].dataType.simpleString()))
 

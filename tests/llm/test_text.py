@@ -6,6 +6,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -96,6 +97,8 @@ def test_bpe_words_equal_the_library():
         ids = theirs.encode(text, add_special_tokens=False).ids
         assert np.frombuffer(mine.encode(text), "<u4").tolist() == ids
         assert mine.decode(mine.encode(text)) == theirs.decode(ids, skip_special_tokens=False)
+    for text, ids in zip([*texts, None], mine.encode_all(pa.array([*texts, None]))):
+        assert ids.tolist() == theirs.encode(text or "", add_special_tokens=False).ids, text
 
 
 def test_bpe_tables_are_bounded(monkeypatch):
