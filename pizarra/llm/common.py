@@ -1,13 +1,15 @@
-"""Helpers shared by the operators of this subpackage."""
+"""Helpers shared by the operators of this subpackage (``cut`` is the library's)."""
 
 from __future__ import annotations
 
 import string
+from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pizarra.session import checkpoint_dir
+from pizarra.session import cut
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,18 +24,39 @@ def ascii_lower(c: Column) -> Column:
     )
 
 
-def with_row_id(df: DataFrame, name: str = "_rid") -> DataFrame:
-    """Number the rows, so that repeated or null document ids stay apart.
+def _scan_only(plan) -> bool:
+    """Whether an optimised plan is a file scan with projections and filters that
+    give the same rows every time."""
+    if plan.nodeName() not in ("LogicalRelation", "Project", "Filter") or not plan.deterministic():
+        return False
+    children = plan.children()
+    return all(_scan_only(children.apply(i)) for i in range(children.size()))
 
-    The number depends on the file split and the place within it, both of
-    which a retried task sees again. Branches that must agree on it have to
-    start from the same scan, so callers pass frames read from files (every
-    registered query and pipeline stage does)."""
-    return df.withColumn(name, F.monotonically_increasing_id())
 
+def with_row_id(df: DataFrame, name: str = "_rid") -> DataFrame:
+    """Number the rows, so that repeated or null document ids stay apart.
 
-def cut(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the cluster's shared folder: computed once, no
-    lineage behind it, survives the loss of any executor."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    Branches that are joined on the number have to agree on it. In a frame read from
+    files it depends on the file split and the place within it, which every branch
+    and every retried task sees again, whatever columns it reads. The rows of any
+    other frame (after a shuffle, a join, a union) may come in another order in each
+    branch: these are numbered and written once, and every branch reads that."""
+    numbered = df.withColumn(name, F.monotonically_increasing_id())
+    return numbered if _scan_only(df._jdf.queryExecution().optimizedPlan()) else cut(numbered)
+
+
+def bitmap(df: DataFrame, place: Callable[[int], Column], most: int, per_row: int = 16, least: int = 1 << 16) -> tuple[bytes, int]:
+    """Bits set at ``place(bits)`` of every row, and how many bits there are:
+    ``per_row`` for each row, rounded up to a power of two, from ``least`` to
+    ``most``. Bit k is bit k % 8 of byte k // 8. Beyond ``most`` the map fills up: it
+    lets more through and loses nothing."""
+    bits, wanted = least, per_row * df.count()
+    while bits < min(wanted, most):
+        bits *= 2
+    at = place(bits)
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), at.bitwiseAND(F.lit(63)).cast("int"))
+    words = df.select(F.shiftright(at, 6).cast("int").alias("word"), one.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bit"))
+    found = words.toArrow()  # at most bits / 64 rows
+    out = np.zeros(bits // 64, "<i8")
+    out[found["word"].to_numpy()] = found["bit"].to_numpy()
+    return out.tobytes(), bits

@@ -39,12 +39,11 @@ import re
 import zlib
 from collections import Counter
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pizarra.llm.common import cut, table
+from pizarra.llm.common import bitmap, cut, table
 
 #: Bytes of the first level's prefixes, and how many times longer the next level's are.
 FIRST, GROWTH = 8, 4
@@ -60,17 +59,7 @@ def _place(lang: Column, key: Column, bits: int) -> Column:
 
 def live_filter(live: DataFrame) -> tuple[bytes, int]:
     """Bitmap of the hashes of the live prefixes (lang, key), and its bits."""
-    bits = 1 << 16
-    wanted = 16 * live.count()
-    while bits < min(wanted, FILTER_BITS):
-        bits *= 2
-    place = _place(F.col("lang"), F.col("key"), bits)
-    bit = F.call_function("shiftleft", F.lit(1).cast("long"), place.bitwiseAND(F.lit(63)).cast("int"))
-    words = live.select(F.shiftright(place, 6).cast("int").alias("word"), bit.alias("bit"))
-    found = words.groupBy("word").agg(F.bit_or("bit").alias("bit")).toArrow()  # at most FILTER_BITS / 64 rows
-    out = np.zeros(bits // 64, "<i8")
-    out[found["word"].to_numpy()] = found["bit"].to_numpy()
-    return out.tobytes(), bits
+    return bitmap(live, lambda bits: _place(F.col("lang"), F.col("key"), bits), FILTER_BITS)
 
 
 def count_prefixes(docs: DataFrame, settled: int, size: int, live=None, bits: int = 0) -> DataFrame:

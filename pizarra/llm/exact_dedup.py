@@ -86,9 +86,8 @@ def identities(rows: DataFrame, block_bytes: int = BLOCK_BYTES) -> tuple[DataFra
     return documents, cut(level.select("rid", "n_bytes", "name"))
 
 
-def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """One row per row of ``df``: rid, id, keep_id, group_size, kept, text_sha256."""
-    rows = with_row_id(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "rid")
+def _groups(rows: DataFrame, block_bytes: int) -> DataFrame:
+    """From (rid, id, text): rid, id, keep_id, group_size, kept, text_sha256."""
     documents, names = identities(rows, block_bytes)
     named = documents.join(names, "rid")
     # nulls are the smallest, so a null id stays only among null ids
@@ -104,11 +103,17 @@ def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
 
 
+def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """One row per row of ``df``: rid, id, keep_id, group_size, kept, text_sha256."""
+    return _groups(with_row_id(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "rid"), block_bytes)
+
+
 def exact_dedup_keep(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The rows of ``df`` that stay, with all their columns."""
     names = df.columns
     inner = with_row_id(df.toDF(*(f"c{i}" for i in range(len(names)))), "rid")
-    dropped = exact_groups(df, id_col, text_col, block_bytes).where(~F.col("kept")).select("rid")
+    id_, text = (F.col(f"c{names.index(c)}").alias(n) for c, n in ((id_col, "id"), (text_col, "text")))
+    dropped = _groups(inner.select("rid", id_, text), block_bytes).where(~F.col("kept")).select("rid")
     return inner.join(dropped, "rid", "left_anti").drop("rid").toDF(*names)
 
 

@@ -16,17 +16,20 @@
    pairs. A pair that meets in a larger cell is in that family, so the counts
    of the others are complete.
 4. Families are expanded to their members (documents with equal shingle sets
-   count once) and cut into blocks. Each pair of blocks is verified exactly in
-   one task, by counting common shingles; of the links found it returns a
-   spanning forest, which loses no component.
+   count once) and verified exactly, by counting common shingles. A family of up to
+   ``BLOCK`` members is one task. In a larger one each member is compared with one
+   of median size first, and only those that do not link with it are compared with
+   the others, block by block: the work grows with the members of a family of near
+   copies, and with the square of their number only where they are unlike. Of the
+   links found a task returns a spanning forest, which loses no component.
 5. Components of the links come from star joins.
 
 Sets are compared by 64-bit shingle hashes.
 
 Scale: what crosses the network is the prefixes of the groups, the family rows
-and, once, the texts of family members, picked by a bitmap of fixed size.
-Copies collapse map-side; a family is split over blocks of ``BLOCK`` members, so
-no task sees more than two blocks.
+and the texts of family members (once, but for those that are compared block by
+block), picked by a bitmap of bounded size. Copies collapse map-side; a family is
+split over blocks of ``BLOCK`` members, so no task sees more than two blocks.
 
 Nulls and edge cases: null or empty texts, or texts without words, have no
 shingle and link with nothing (their component is their own id); a text shorter
@@ -43,7 +46,7 @@ import math
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pizarra.llm.common import cut, table, with_row_id
@@ -56,6 +59,8 @@ SKETCH = 1 << 18
 SHARED, CELL = 5, 16
 #: Members, and their shingles, in a block of a family (on average).
 BLOCK, BLOCK_SHINGLES = 768, 2_000_000
+#: Shingles that are counted at a time when members are compared.
+TILE = 1024
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93], np.uint64)
 
 
@@ -238,28 +243,25 @@ def families(groups: DataFrame, percent: int) -> DataFrame:
     )
 
 
-def _links(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """Spanning forest of the similar pairs among ``sets`` (exact)."""
+def _links(sets: list[np.ndarray], percent: int, side: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Spanning forest of the similar pairs among ``sets`` (exact); with ``side``,
+    of pairs of different sides only. One matrix of counts is held, filled from
+    ``TILE`` shingles at a time."""
     m = len(sets)
     lengths = np.array([len(s) for s in sets], np.int64)
-    owner = np.repeat(np.arange(m), lengths)
-    ids = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    owner = np.repeat(np.arange(m, dtype=np.int32), lengths)
+    ids = np.unique(np.concatenate([*sets, np.zeros(0, np.uint64)]), return_inverse=True)[1].astype(np.int32)
     shared = np.bincount(ids)[ids] > 1  # a shingle of one member only is common to none
-    owner, ids = owner[shared], np.unique(ids[shared], return_inverse=True)[1]
+    owner, ids = owner[shared], np.unique(ids[shared], return_inverse=True)[1].astype(np.int32)
     order = np.argsort(ids, kind="stable")
     owner, ids = owner[order], ids[order]
     common = np.zeros((m, m), np.float32)
-    width = 4096
     total = int(ids[-1]) + 1 if len(ids) else 0
-    for first in range(0, total, width):
-        s, e = np.searchsorted(ids, (first, first + width))
-        grid = np.zeros((m, min(width, total - first)), np.float32)
+    for first in range(0, total, TILE):
+        s, e = np.searchsorted(ids, (first, first + TILE))
+        grid = np.zeros((m, min(TILE, total - first)), np.float32)
         grid[owner[s:e], ids[s:e] - first] = 1
         common += grid @ grid.T
-    inter = np.rint(common).astype(np.int64)
-    union = lengths[:, None] + lengths[None, :] - inter
-    linked = (100 * inter >= percent * union) & (inter > 0)
-    np.fill_diagonal(linked, False)
     out, seen = [], np.zeros(m, bool)
     for root in range(m):
         if seen[root]:
@@ -268,24 +270,104 @@ def _links(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
         stack = [root]
         while stack:
             x = stack.pop()
-            for y in np.flatnonzero(linked[x] & ~seen).tolist():
+            inter = np.rint(common[x]).astype(np.int64)
+            linked = (100 * inter >= percent * (lengths[x] + lengths - inter)) & (inter > 0) & ~seen
+            if side is not None:
+                linked &= side != side[x]
+            for y in np.flatnonzero(linked).tolist():
                 seen[y] = True
                 out.append((x, y))
                 stack.append(y)
     return out
 
 
+def _star(sets: list[np.ndarray], centre: int, percent: int) -> list[tuple[int, int]]:
+    """The links of one set with the others."""
+    out, middle = [], sets[centre]
+    for k, s in enumerate(sets):
+        if k != centre and len(s) and len(middle):
+            inter = len(np.intersect1d(s, middle, assume_unique=True))
+            if inter and 100 * inter >= percent * (len(s) + len(middle) - inter):
+                out.append((centre, k))
+    return out
+
+
+#: What a cell compares: all its rows; rows of different sides; all with the one of side 1.
+ALL, ACROSS, STAR = 0, 1, 2
+CELL_KEY = ["family", "band", "kind", "lo", "hi"]
+
+
 def verified(members: DataFrame, n: int, percent: int) -> DataFrame:
-    """From members (family, band, lo, hi, rid, text): links (a, b) of rids."""
+    """From members (family, band, kind, lo, hi, side, rid, text): links (a, b) of rids."""
 
     def run(key, rows):
-        rids = rows.column("rid").to_numpy()
+        rids, side, kind = rows.column("rid").to_numpy(), rows.column("side").to_numpy(), key[2].as_py()
         sets = [shingles(t.as_py(), n) for t in rows.column("text")]
-        found = _links(sets, percent)
+        if kind == STAR:
+            found = _star(sets, int(side.argmax()), percent)
+        else:
+            found = _links(sets, percent, side if kind == ACROSS else None)
         pairs = np.array([(rids[x], rids[y]) for x, y in found], np.int64).reshape(-1, 2)
         return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
 
-    return members.groupBy("family", "band", "lo", "hi").applyInArrow(run, "a long, b long")
+    return members.groupBy(*CELL_KEY).applyInArrow(run, "a long, b long")
+
+
+def _cells(rows: DataFrame, kind: int, side: int, lo: Column, hi: Column) -> DataFrame:
+    placed = rows.select("family", "band", F.lit(kind).alias("kind"), lo.cast("long").alias("lo"), hi.alias("hi"), F.lit(side).alias("side"), "rid")
+    return placed.withColumn("hi", F.col("hi").cast("long"))
+
+
+def _counted(rows: DataFrame, name: str) -> DataFrame:
+    """Blocks of a family's rows (family, band, ``name``)."""
+    parts = F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_SHINGLES))
+    return rows.groupBy("family", "band").agg(parts.cast("long").alias(name))
+
+
+def _block(count: str) -> Column:
+    return F.pmod(F.xxhash64("rid"), F.col(count))
+
+
+def _every(count: str) -> Column:
+    return F.explode(F.sequence(F.lit(0).cast("long"), F.col(count) - 1))
+
+
+def member_links(docs: DataFrame, expanded: DataFrame, n: int, percent: int) -> DataFrame:
+    """From docs (rid, text) and families (family, band, rid, n): links (a, b)."""
+    key = ["family", "band"]
+    texts = taking_part(docs, expanded)
+    median = F.percentile_approx("n", 0.5).alias("median")
+    sizes = cut(_counted(expanded, "blocks").join(expanded.groupBy(*key).agg(F.count("*").alias("members"), median), key).where("members > 1"))
+    zero = F.lit(0)
+    small = expanded.join(sizes.where("blocks = 1").select(*key), key)
+    large = cut(expanded.join(sizes.where("blocks > 1"), key))
+    links = verified(_cells(small, ALL, 0, zero, zero).join(texts, "rid"), n, percent)
+    if large.isEmpty():
+        return links
+    # one member of median size is compared with all others
+    centre = cut(large.where("n = median").groupBy(*key, "blocks").agg(F.min("rid").alias("rid")))
+    others = large.join(centre.select("rid", *key), ["rid", *key], "left_anti")
+    star = _cells(others, STAR, 0, _block("blocks"), zero).unionByName(
+        _cells(centre.select("*", _every("blocks").alias("lo")), STAR, 1, F.col("lo"), zero)
+    )
+    found = cut(verified(star.join(texts, "rid"), n, percent))
+    # what does not link with it is compared with everything else
+    near = found.select(F.col("b").alias("rid"), F.col("a").alias("centre")).distinct()
+    known = near.join(centre.select(*key, F.col("rid").alias("centre")), "centre").select("rid", *key)
+    rest = cut(others.join(known, ["rid", *key], "left_anti").select(*key, "rid", "n"))
+    if rest.isEmpty():
+        return links.unionByName(found)
+    linked = cut(large.join(rest.select("rid", *key), ["rid", *key], "left_anti").select(*key, "rid", "n"))
+    counts = cut(_counted(rest, "r").join(_counted(linked, "l"), key))
+    rest, linked = rest.join(counts, key), linked.join(counts, key)
+    own, other = _block("r"), F.col("other")
+    among = rest.withColumn("own", own).withColumn("other", _every("r")).where("r = 1 or own <> other")
+    cells = (
+        _cells(among, ALL, 0, F.least("own", "other"), F.greatest("own", other))
+        .unionByName(_cells(rest.select("*", own.alias("lo"), _every("l").alias("hi")), ACROSS, 0, F.col("lo"), F.col("hi")))
+        .unionByName(_cells(linked.select("*", _every("r").alias("lo"), _block("l").alias("hi")), ACROSS, 1, F.col("lo"), F.col("hi")))
+    )
+    return links.unionByName(found).unionByName(verified(cells.join(texts, "rid"), n, percent))
 
 
 def near_links(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame]:
@@ -308,28 +390,12 @@ def near_links(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFr
     several = sets.groupBy("grp_id").agg(F.count("*").alias("k")).where("k > 1")
     alone = several.select(F.col("grp_id").alias("family"), F.lit(-2).alias("band"), "grp_id")
     expanded = cut(found.unionByName(alone).join(sets, "grp_id").select("family", "band", "rid", "n"))
-    blocks = cut(
-        expanded.groupBy("family", "band")
-        .agg(F.count("*").alias("members"), F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_SHINGLES).alias("parts"))
-        .where("members > 1")
-        .select("family", "band", F.ceil("parts").alias("blocks"))
-    )
-    placed = (
-        expanded.join(blocks, ["family", "band"])
-        .withColumn("own", F.pmod(F.xxhash64("rid"), F.col("blocks")))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .where((F.col("blocks") == 1) | (F.col("own") != F.col("other")))
-        .select("family", "band", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "rid")
-    )
-    members = placed.join(taking_part(docs, expanded), "rid")
-    links = verified(members, n, percent)
+    links = member_links(docs, expanded, n, percent)
     return plain.join(classes, "set", "left").select("rid", "id", "n", "rep"), links
 
 
-def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 4, percent: int = 85) -> DataFrame:
-    """One row per row of ``df``: rid, id, n_shingles, component_id (smallest id
-    reachable by links) and stays (whether the row is the one with that id)."""
-    docs = with_row_id(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "rid")
+def _near_groups(docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """From docs (rid, id, text): the rows that ``near_groups`` gives."""
     documents, links = near_links(docs, n, percent)
     roots = components(links)
     labelled = documents.join(roots, documents["rep"] == roots["node"], "left").select(
@@ -342,11 +408,18 @@ def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n
     )
 
 
+def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 4, percent: int = 85) -> DataFrame:
+    """One row per row of ``df``: rid, id, n_shingles, component_id (smallest id
+    reachable by links) and stays (whether the row is the one with that id)."""
+    return _near_groups(with_row_id(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "rid"), n, percent)
+
+
 def near_dedup_keep(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 4, percent: int = 85) -> DataFrame:
     """One row of each component (that with the smallest id), with all columns."""
     names = df.columns
     inner = with_row_id(df.toDF(*(f"c{i}" for i in range(len(names)))), "rid")
-    dropped = near_groups(df, id_col, text_col, n, percent).where(~F.col("stays")).select("rid")
+    id_, text = (F.col(f"c{names.index(c)}").alias(name) for c, name in ((id_col, "id"), (text_col, "text")))
+    dropped = _near_groups(inner.select("rid", id_, text), n, percent).where(~F.col("stays")).select("rid")
     return inner.join(dropped, "rid", "left_anti").drop("rid").toDF(*names)
 
 

@@ -23,7 +23,7 @@ by sorting those that can matter, in groups that can be dealt out:
 
 Scale: anchors (some 30 bytes each) are counted map-side and joined with a join
 that Spark can split at hot strings; the texts of only those documents that
-take part go through a shuffle, picked by a bitmap of fixed size. Copies of
+take part go through a shuffle, picked by a bitmap of bounded size. Copies of
 whole documents end in step 2 and never form groups. Groups over ``GROUP``
 contexts are dealt out over blocks; what is single in its block is compared
 with the other blocks by window hash, so nothing is lost and no task gathers a
@@ -47,14 +47,14 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pizarra.llm.common import cut, table, with_row_id
+from pizarra.llm.common import bitmap, cut, table, with_row_id
 
 LENGTH, GRAM = 200, 50
 #: Contexts of one anchor string that a task sorts together, on average (some
 #: 6 kB of working memory each), and contexts of small groups sorted at a time.
 GROUP, TOGETHER = 16384, 8192
-#: Bits of the bitmap of documents that take part; its size is fixed.
-BITMAP = 1 << 20
+#: Most bits of the bitmap of documents that take part (16 MiB); it has 16 for each of them up to that.
+BITMAP = 1 << 27
 #: Texts are scanned in stretches of this many bytes (with overlap).
 STRETCH = 1 << 22
 _BASE = np.uint64(0xD1342543DE82EF95)
@@ -366,17 +366,17 @@ def compare(rows: DataFrame, length: int, gram: int) -> DataFrame:
 def taking_part(docs: DataFrame, rids: DataFrame) -> DataFrame:
     """Rows of ``docs`` (rid, text) whose bit is set in a bitmap of the given
     rids; others may slip through, none of the wanted is lost."""
-    bits = np.zeros(BITMAP, bool)
-    bits[rids.select(F.pmod(F.xxhash64("rid"), F.lit(BITMAP)).cast("int").alias("bit")).distinct().toArrow()["bit"].to_numpy()] = True
-    packed = np.packbits(bits)
+    place = lambda bits: F.pmod(F.xxhash64("rid"), F.lit(bits))
+    packed, bits = bitmap(rids, place, BITMAP)
+    known = docs.sparkSession.sparkContext.broadcast(packed)
 
     def run(batches):
-        known = np.unpackbits(packed).astype(bool)
+        marks = np.frombuffer(known.value, np.uint8)
         for batch in batches:
-            yield batch.filter(pa.array(known[batch.column("bit").to_numpy()])).select(["rid", "text"])
+            at = batch.column("bit").to_numpy()
+            yield batch.filter(pa.array((marks[at >> 3] >> (at & 7)).astype(np.uint8) & 1).cast(pa.bool_())).select(["rid", "text"])
 
-    marked = docs.select("rid", "text", F.pmod(F.xxhash64("rid"), F.lit(BITMAP)).cast("int").alias("bit"))
-    return marked.mapInArrow(run, "rid long, text string")
+    return docs.select("rid", "text", place(bits).alias("bit")).mapInArrow(run, "rid long, text string")
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> tuple[DataFrame, DataFrame]:

@@ -1,6 +1,7 @@
 """Suffix dedup, exact dedup and the n-gram join against brute force."""
 
 import hashlib
+import random
 import re
 from collections import Counter, defaultdict
 
@@ -171,3 +172,64 @@ def test_components(spark):
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(pairs, "a long, b long")).collect()}
     assert got == {**{i: 40 for i in range(40, 81)}, 5: 5, 90: 5, 6: 5, 1: 1, 2: 1, 200: 7, 100: 7, 150: 7, 7: 7}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+@pytest.mark.parametrize("kind", ["repartitioned", "joined", "unioned", "sorted"])
+def test_any_frame_gives_the_rows_of_a_file(docs, sample, kind):
+    """Row numbers agree in all branches, also where the frame is no file scan."""
+    rows = [(k, text) for k, (_, text) in enumerate(sample) if text is None or len(text) < 20_000]
+    file = docs(rows, files=3)
+    frame = {
+        "repartitioned": lambda: file.repartition(7),
+        "joined": lambda: file.join(file.where("doc_id % 2 < 2").select("doc_id"), "doc_id"),
+        "unioned": lambda: file.where("doc_id % 3 = 0").repartition(2, "text").unionByName(file.where("doc_id % 3 <> 0")),
+        "sorted": lambda: file.orderBy("text"),
+    }[kind]()
+    for keep in (exact_dedup.exact_dedup_keep, ngram_join.near_dedup_keep):
+        assert sorted(map(tuple, keep(frame).collect()), key=repr) == sorted(map(tuple, keep(file).collect()), key=repr)
+    removed = [sorted((r["doc_id"], r["n_removed"], r["kept_sha256"]) for r in suffix_dedup.remove_repeats(f).collect()) for f in (file, frame)]
+    assert removed[0] == removed[1]
+
+
+def test_near_copies_are_compared_with_one_member(spark, docs, monkeypatch):
+    """A large family of near copies costs a comparison each; its strangers are still found."""
+    r = random.Random(12)
+    words = ["".join(r.choice("abcdefgh") for _ in range(6)) for _ in range(4000)]
+    base, other = r.sample(words, 200), r.sample(words, 150)
+    rows = []
+    for i in range(400):
+        w = list(base)
+        w[r.randrange(200)] = f"x{i}"
+        rows.append((i, " ".join(w)))
+    rows += [(1000 + i, " ".join([*base[:60], *other[: 140 - i]])) for i in range(3)]
+    monkeypatch.setattr(ngram_join, "BLOCK", 50)
+    monkeypatch.setattr(ngram_join, "CELL", 4)
+    cells = []
+    plain = ngram_join._cells
+    monkeypatch.setattr(ngram_join, "_cells", lambda rows, kind, *a: cells.append((kind, rows)) or plain(rows, kind, *a))
+    got = ngram_join.near_groups(docs(rows)).collect()
+    out = sorted((r["id"] is None, r["id"], r["n_shingles"], r["component_id"]) for r in got)
+    assert out == near_by_hand(rows, 4, 85)
+    star = sum(rows.count() for kind, rows in cells if kind == ngram_join.STAR)
+    across = sum(rows.count() for kind, rows in cells if kind != ngram_join.STAR)
+    assert star >= 400 and across < 3 * star
+
+
+def test_bitmap(spark):
+    from pizarra.llm.common import bitmap
+
+    df = spark.range(5000).selectExpr("id * 7 as rid")
+    place = lambda bits: mixed(bits)
+
+    def mixed(bits):
+        from pyspark.sql import functions as F
+
+        return F.pmod(F.xxhash64("rid"), F.lit(bits))
+
+    for most, wanted in ((1 << 27, 1 << 17), (1 << 16, 1 << 16)):
+        packed, bits = bitmap(df, place, most)
+        marks = np.frombuffer(packed, np.uint8)
+        at = np.array([r[0] for r in df.select(mixed(bits)).collect()])
+        assert bits == wanted == 8 * len(packed) and ((marks[at >> 3] >> (at & 7)) & 1).all()
+        assert int(np.unpackbits(marks).sum()) == len(set(at.tolist()))
+    assert bitmap(df.where("rid < 0"), place, 1 << 20) == (bytes(8192), 1 << 16)
