@@ -60,14 +60,21 @@ _LONGEST = max(map(len, SHAPES))
 # Gazetteers: fixed values.
 KEY_PREFIXES = ("AKIA", "ASIA", "ghp_", "glpat-", "sk-", "xoxb-")
 DOMAINS = ("com", "org", "net", "edu", "gov", "de", "es", "fr", "info", "io")
-SECRET_CUES = ("password", "passwd", "pwd", "token", "secret", "api_key", "apikey", "auth", "key")
-CONTACT_CUES = ("call", "tel", "phone", "mobile", "fax", "mail", "email", "contact", "card", "iban", "account", "ssn", "id")
+SECRET_CUES = (
+    "password", "passwd", "pwd", "token", "secret", "api_key", "apikey", "auth", "key",
+    "contraseña", "clave", "secreto", "passwort", "kennwort", "geheimnis", "passe", "jeton",
+)
+CONTACT_CUES = (
+    "call", "tel", "phone", "mobile", "fax", "mail", "email", "contact", "card", "iban", "account", "ssn", "id",
+    "teléfono", "telefono", "móvil", "llamar", "correo", "tarjeta", "cuenta", "telefon", "handy", "anrufen", "karte", "konto",
+    "téléphone", "portable", "appeler", "courriel", "carte", "compte",
+)
 _PREFIXED = re.compile(rf"(?<![A-Za-z0-9_/+-])(?:{'|'.join(KEY_PREFIXES)})[A-Za-z0-9_/+-]++")
 _ASSIGN = re.compile(r"[=:]++>?[ \t]{0,4}+")
 _CUED = re.compile(rf"(?<![A-Za-z_])(?:{'|'.join(SECRET_CUES)})[\"']?[ \t]{{0,4}}\Z", re.IGNORECASE)
 _VALUE = re.compile(r"[^\s\"']++")
 _WORTH = re.compile(r"[0-9@=:]")
-_CUE = re.compile(r"([A-Za-z_]+)[\s\"':=#.(-]*\Z")
+_CUE = re.compile(r"([A-Za-z_\u00c0-\u00ff]+)[\s\"':=#.(-]*\Z")
 _HEX = re.compile(r"(?:[0-9a-f]{16,}|[0-9A-F]{16,})\Z")
 _DATE = re.compile(r"(?:19|20)[0-9]{2}[./-][01]?[0-9][./-][0-3]?[0-9]\Z|[0-3]?[0-9][./-][01]?[0-9][./-](?:19|20)?[0-9]{2}\Z")
 
@@ -410,5 +417,6 @@ def redact(df: DataFrame, text_col: str = "text") -> DataFrame:
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find(table(spark, sf_dir, "documents")).select(
-        "doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans"
+        "doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans",
+        F.when(F.col("spans") == "", 0).otherwise(F.size(F.split("spans", ","))).cast("long").alias("n_spans"),
     )

@@ -42,6 +42,26 @@ def test_url_rules_and_vocabulary(spark):
     ]
 
 
+def test_url_weights_ties_and_vocabulary_table(spark):
+    def verdicts(urls, **kwargs):
+        df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+        return [r["verdict"] for r in sorted(url_filter.url_filter(df, **kwargs).collect(), key=lambda r: r["page_id"])]
+
+    # several distinct soft terms, however heavy one is; weight 0 is soft
+    assert verdicts(["http://a.b/heavy", "http://a.b/heavy/zero", "http://a.b/zero/nil", "http://a.b/heavy-heavy"], strict=(), soft={"heavy": 9, "zero": 0, "nil": 0}) == ["allow", "block", "allow", "allow"]
+    # the longest rule, of equally long ones the first
+    rules = (("block", "b", "/xx/"), ("allow", "a.b", "/x"))
+    assert verdicts(["http://a.b/xx/"], rules=rules) == ["block"] and verdicts(["http://a.b/xx/"], rules=rules[::-1]) == ["allow"]
+    # strict wins over soft; long urls; none at all
+    long = "http://a.b/" + "x/" * 100_000 + "bad"
+    assert verdicts([long, long + "der"], strict=("bad",), soft={"bad": 1}, rules=()) == ["block", "allow"]
+    assert verdicts(["http://a.b/porn"], strict=(), soft={}) == ["allow"] and verdicts([]) == []
+    table = spark.createDataFrame([("Spam", 2, False), ("spam", 1, None), ("BAD", None, True), ("bad", 5, False), (None, 1, True), ("", 1, True)], "term string, weight int, strict boolean")
+    assert url_filter.read_vocabulary(table) == (("bad",), {"spam": 2})
+    with pytest.raises(ValueError):
+        url_filter.read_vocabulary(table, limit=1)
+
+
 # --- chat formatting
 
 TURNS = T.StructType([T.StructField("conv_id", T.LongType()), T.StructField("turn", T.LongType()), T.StructField("role", T.StringType()), T.StructField("text", T.StringType())])
