@@ -4,7 +4,8 @@ quality rules -> exact dedup -> near dedup (n-gram Jaccard join) -> PII
 redaction -> packing. Every stage works on all its predecessor kept; all but
 the last return the columns of ``documents``. Between stages the rows are
 written as Parquet in the cluster's shared folder and read again, so a lost
-executor never repeats an earlier stage.
+executor never repeats an earlier stage. A stage's table goes when the next one is
+written; the last of them stays for the lazy result that is read from it.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from pizarra.llm import exact_dedup, ngram_join, packing, pii, quality
-from pizarra.session import checkpoint_dir
+from pizarra.session import checkpoint_dir, remove
 
 #: The near-dedup stage takes word shingles of this length and similarity.
 SHINGLE_WORDS, SIMILARITY_PERCENT = 5, 80
@@ -60,7 +61,11 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{checkpoint_dir(spark)}/corpus-pipeline-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
+    before = None
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
+        if before:
+            remove(spark, f"{folder}/{before}")
+        before = name
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -82,8 +82,13 @@ def stage_dir(spark: SparkSession, *parts: str) -> str:
 def clear_stage(spark: SparkSession) -> None:
     """Remove what this application has staged. Results are read lazily from
     there, so call it when the last of them has been consumed."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(stage_dir(spark))
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    remove(spark, stage_dir(spark))
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder that this library wrote."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def fresh_dir(spark: SparkSession, name: str) -> str:
