@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..operators import running, temporal
 from ..session import cut, fresh_dir
 from ..sources.fixture import table
+from ..streaming import arrivals as deliveries
 from ..streaming import windows as win
 from .registry import register
 
@@ -198,3 +199,48 @@ def q_running_total(spark, sf_dir):
 @register("value_ranks", "SELECT event_id, value, rank() OVER (ORDER BY value NULLS FIRST) AS rank, dense_rank() OVER (ORDER BY value NULLS FIRST) AS dense_rank FROM events")
 def q_value_ranks(spark, sf_dir):
     return running.ranked_by(events(spark, sf_dir).select("event_id", "value"), ["value"])
+
+
+# ------------------------------------------------------ watched deliveries
+DEPARTMENTS = tuple(range(1, 23))
+MANIFEST_SQL = (
+    "SELECT strftime(date_trunc('month', o_orderdate), '%Y-%m') AS delivery, CAST(c_nationkey % 22 + 1 AS INT) AS department, min(l_shipdate) AS seen, "
+    "date_trunc('month', min(o_orderdate)) + INTERVAL 120 DAY AS due FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey "
+    "WHERE l_shipdate >= date_trunc('month', o_orderdate) GROUP BY 1, 2"
+)
+
+
+def manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """When the first shipment of each department came for each month of orders."""
+    orders, items, customers = (table(spark, sf_dir, n) for n in ("orders", "lineitem", "customer"))
+    month = F.date_trunc("month", F.col("o_orderdate"))
+    rows = items.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(customers, F.col("o_custkey") == F.col("c_custkey")).where(F.col("l_shipdate") >= month)
+    grouped = rows.groupBy(F.date_format(month, "yyyy-MM").alias("delivery"), (F.col("c_nationkey") % 22 + 1).cast("int").alias("department"))
+    return grouped.agg(F.min("l_shipdate").cast("timestamp").alias("at"), (F.min(month) + F.expr("INTERVAL 120 DAYS")).cast("timestamp").alias("due"))
+
+
+REPORT_SQL = (
+    f"WITH f AS ({MANIFEST_SQL}), d AS (SELECT delivery, min(due) AS due, count(CASE WHEN seen <= due THEN 1 END) AS n, max(CASE WHEN seen <= due THEN seen END) AS last FROM f GROUP BY delivery) "
+    "SELECT delivery, 'complete' AS status, CAST(NULL AS INT) AS department, last AS \"at\" FROM d WHERE n = 22 "
+    "UNION ALL SELECT d.delivery, 'missing', CAST(w.department AS INT), d.due FROM d CROSS JOIN (SELECT unnest(range(1, 23)) AS department) w "
+    "LEFT JOIN f ON f.delivery = d.delivery AND f.department = w.department AND f.seen <= f.due WHERE d.n < 22 AND f.seen IS NULL{until} "
+    "UNION ALL SELECT delivery, 'late', department, seen FROM f WHERE seen > due"
+)
+
+
+@register("delivery_report", REPORT_SQL.format(until=""))
+def q_delivery_report(spark, sf_dir):
+    return deliveries.report(manifest(spark, sf_dir), DEPARTMENTS).withColumn("at", F.col("at").cast("timestamp_ntz"))
+
+
+@register("stream_deliveries", REPORT_SQL.format(until=" AND d.due <= (SELECT max(seen) FROM f)"))
+def q_stream_deliveries(spark, sf_dir):
+    """The deliveries watched while they land, in four runs of the stream."""
+    rows = cut(manifest(spark, sf_dir))
+    folder, out = fresh_dir(spark, "manifest"), fresh_dir(spark, "deliveries")
+    marks = rows.agg(F.percentile_approx(F.unix_micros("at"), [0.25, 0.5, 0.75])).first()[0]
+    ends = [-(1 << 62), *marks, 1 << 62]
+    for k, (low, high) in enumerate(zip(ends, ends[1:])):
+        rows.where((F.unix_micros("at") > low) & (F.unix_micros("at") <= high)).write.parquet(f"{folder}/{k}")
+        deliveries.start_watch(spark, win.landed(spark, folder, rows.schema), out, DEPARTMENTS, "0 seconds").awaitTermination()
+    return spark.read.parquet(out).withColumn("at", F.col("at").cast("timestamp_ntz"))

@@ -22,7 +22,9 @@ from pyspark.sql import functions as F
 from ..functions.dictionary import DEPARTMENT_FILES, TRIAL_DEPARTMENTS
 from ..operators import answers as ans
 from ..operators import indicators as ind
-from ..operators.decode import decode_all
+from ..operators import insights as ins
+from ..operators import quality as qual
+from ..operators.decode import DECODED_ORDER, decode_all, decode_join, with_municipality
 from ..sources import files
 
 PROCESSED = "educacion_2024"
@@ -31,6 +33,8 @@ CUBE = "outcome_cube"
 SUMMARY = "resumen_departamentos"
 GAPS = "brechas"
 INDICATORS = "indicadores_nacionales"
+DEPARTMENT_TEXTS = "insights_departamentos"
+MUNICIPALITIES = "municipios"
 
 
 def ingest(
@@ -41,16 +45,21 @@ def ingest(
     fmt: str | None = None,
     trial: bool = False,
     sample_rows: int = 5000,
+    dictionary: DataFrame | None = None,
 ) -> str:
+    """``dictionary`` (domain, code, label) replaces the published one."""
     raw = files.scan_departments(spark, folder, catalogue, fmt, TRIAL_DEPARTMENTS if trial else None)
     processed = f"{out}/{PROCESSED}"
-    files.write_processed(decode_all(raw), processed)
+    decoded = decode_all(raw) if dictionary is None else decode_join(with_municipality(raw), dictionary=dictionary).select(*DECODED_ORDER)
+    files.write_processed(decoded, processed)
     stored = files.scan_processed(spark, processed)
     files.write_sample_csv(files.sample_exact(stored, sample_rows), f"{out}/{SAMPLE}")
     return processed
 
 
-def analyse(spark: SparkSession, out: str) -> dict[str, str]:
+def analyse(spark: SparkSession, out: str, municipalities: DataFrame | None = None) -> dict[str, str]:
+    """``municipalities`` (codigo, municipio) adds the table of municipalities with
+    their names."""
     decoded = files.scan_processed(spark, f"{out}/{PROCESSED}")
     cube_path = f"{out}/{CUBE}"
     files.write_table(ind.outcome_cube(decoded), cube_path)
@@ -64,6 +73,11 @@ def analyse(spark: SparkSession, out: str) -> dict[str, str]:
     files.write_table(ind.gap_all(cube, weight="n"), outputs[GAPS], partition_by="dimension", order=["dimension", "label"])
     files.write_json_document(ans.indicators_document(cube, "n"), outputs[INDICATORS])
     outputs[CUBE] = cube_path
+    outputs[DEPARTMENT_TEXTS] = f"{out}/{DEPARTMENT_TEXTS}"
+    files.write_table(ins.insights_department(cube, weight="n"), outputs[DEPARTMENT_TEXTS], order=["departamento"])
+    if municipalities is not None:
+        outputs[MUNICIPALITIES] = f"{out}/{MUNICIPALITIES}"
+        files.write_table(qual.municipality_names(decoded, municipalities), outputs[MUNICIPALITIES], order=["departamento", "municipio_codigo"])
     return outputs
 
 
@@ -74,9 +88,22 @@ def run_pipeline(
     catalogue: Mapping[int, str] = DEPARTMENT_FILES,
     fmt: str | None = None,
     trial: bool = False,
+    dictionary: DataFrame | None = None,
+    municipalities: DataFrame | None = None,
 ) -> dict[str, str]:
-    ingest(spark, folder, out, catalogue, fmt, trial)
-    return analyse(spark, out)
+    ingest(spark, folder, out, catalogue, fmt, trial, dictionary=dictionary)
+    return analyse(spark, out, municipalities)
+
+
+def department(spark: SparkSession, out: str, name: str) -> DataFrame:
+    """One department's figures, class and text, from what the batch has written."""
+    texts = spark.read.parquet(f"{out}/{DEPARTMENT_TEXTS}")
+    return read_summary(spark, out).join(texts, "departamento").where(F.col("departamento") == name)
+
+
+def answers(spark: SparkSession, out: str, asked: DataFrame) -> DataFrame:
+    """B16 over the cube that the batch has written."""
+    return ans.answer_batch(spark.read.parquet(f"{out}/{CUBE}"), asked, "n")
 
 
 def read_summary(spark: SparkSession, out: str) -> DataFrame:

@@ -88,17 +88,24 @@ def replace(spark: SparkSession, src: str, dst: str) -> None:
     rename(spark, src, dst)
 
 
-def data_files(spark: SparkSession, path: str) -> list[str]:
-    """The file itself, or the data files directly in a folder."""
+def first_data_file(spark: SparkSession, path: str, suffix: str = "", recursive: bool = False) -> str | None:
+    """The file itself, or a data file in a folder that has bytes; None without
+    one. The listing is read only up to it."""
     fs, p = _fs(spark, path)
-    if not fs.getFileStatus(p).isDirectory():
-        return [path]
-    found = (s.getPath() for s in fs.listStatus(p) if s.isFile())
-    return sorted(str(f.toString()) for f in found if not f.getName().startswith(("_", ".")))
+    status = fs.getFileStatus(p)
+    if not status.isDirectory():
+        return path if status.getLen() > 0 else None
+    listing = fs.listFiles(p, True) if recursive else fs.listStatusIterator(p)
+    while listing.hasNext():
+        s = listing.next()
+        name = s.getPath().getName()
+        if s.isFile() and s.getLen() > 0 and name.endswith(suffix) and not name.startswith(("_", ".")):
+            return str(s.getPath().toString())
+    return None
 
 
 def csv_header(spark: SparkSession, path: str) -> tuple[str, ...]:
-    """Column names on a CSV file's first line (one small read per file)."""
+    """Column names on a CSV file's first line."""
     fs, p = _fs(spark, path)
     jvm = spark.sparkContext._jvm
     reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(fs.open(p), "UTF-8"))
@@ -161,26 +168,40 @@ def existing_files(spark: SparkSession, folder: str, catalogue: Mapping[int, str
 REQUIRED = ("cod_establecimiento", "resultado_f")
 
 
-def scan_csv(spark: SparkSession, paths: Iterable[str]) -> DataFrame:
-    """The raw columns of CSV files, bound by header name (published or
-    snake_case), in whatever order a file has them; a column that a file lacks
-    is null. One scan per distinct header, all in one job; ``_file`` is the
-    path a row came from."""
+def bound(header: Sequence[str], where: str) -> tuple[T.StructType, list[Column]]:
+    """The schema that a CSV reader needs for a header (published or snake_case
+    names, in any order), and the raw columns in it under their own names."""
     from .xlsx import canonical
 
+    names = [canonical(h) for h in header]
+    known = [n for n in names if n]
+    if any(c not in known for c in REQUIRED) or len(set(known)) < len(known):
+        raise ValueError(f"{where}: header {tuple(header)} lacks or repeats columns (needed: {', '.join(REQUIRED)})")
+    schema = T.StructType([T.StructField(h, RAW_SCHEMA[n].dataType if n else T.StringType()) for h, n in zip(header, names)])
+    return schema, [F.col(f"`{h}`").alias(n) for h, n in zip(header, names) if n]
+
+
+def scan_csv(spark: SparkSession, paths: Iterable[str]) -> DataFrame:
+    """The raw columns of CSV files or folders, bound by header name (published or
+    snake_case), in whatever order a department has them; a column that it lacks is
+    null. One header is read per path, of its first file with bytes; Spark holds
+    every other file of the path to it, and a file with another header is an error,
+    not swapped data. Empty files have no rows. One scan per distinct header, all in
+    one job; ``_file`` is the path a row came from."""
     by_header: dict[tuple[str, ...], list[str]] = {}
     for path in paths:
-        for file in data_files(spark, path):
-            by_header.setdefault(csv_header(spark, file), []).append(file)
+        first = first_data_file(spark, path)
+        if first is None:
+            warnings.warn(f"no data in {path}, skipped", stacklevel=2)
+        else:
+            by_header.setdefault(csv_header(spark, first), []).append(path)
+    if not by_header:
+        raise FileNotFoundError("no department file holds any data")
     frames = []
     for header, found in by_header.items():
-        names = [canonical(h) for h in header]
-        missing = [c for c in REQUIRED if c not in names]
-        if missing or len({n for n in names if n}) < sum(n is not None for n in names):
-            raise ValueError(f"{found[0]}: header {header} lacks or repeats columns (needed: {', '.join(REQUIRED)})")
-        schema = T.StructType([RAW_SCHEMA[n] if n else T.StructField(f"_extra{i}", T.StringType()) for i, n in enumerate(names)])
-        part = spark.read.schema(schema).option("header", True).option("mode", "PERMISSIVE").csv(found)
-        frames.append(part.select(*[c for c in RAW_COLUMNS if c in names], F.col("_metadata.file_path").alias("_file")))
+        schema, columns = bound(header, found[0])
+        reader = spark.read.schema(schema).option("header", True).option("enforceSchema", False).option("mode", "PERMISSIVE")
+        frames.append(reader.csv(found).select(*columns, F.col("_metadata.file_path").alias("_file")))
     out = union_departments(frames)
     return out.select(*[F.col(c) if c in out.columns else F.lit(None).cast(RAW_SCHEMA[c].dataType).alias(c) for c in RAW_COLUMNS], "_file")
 
@@ -283,17 +304,20 @@ def sample_exact(df: DataFrame, n: int = 5000, seed: int = 42) -> DataFrame:
     """K2: exactly ``min(n, rows)`` rows without replacement, reproducible:
     the ``n`` rows with the smallest ``md5(seed | row)``.
 
-    A histogram of the hash's leading bits (one aggregate, a table of fixed
-    size) gives the bucket in which the n-th row lies; only rows up to it reach
-    the final ordering. One lazy plan for every input size: no count on the
-    driver, nothing persisted, no retry."""
+    A histogram of the hash's leading bits (one aggregate, at most ``2**SAMPLE_BITS``
+    rows) gives the bucket in which the n-th row lies; only rows up to it reach the
+    final ordering. One plan for every input size, nothing written.
+
+    The row number beside the hash keeps Spark from moving the filter on the hash into
+    whatever makes the rows (a join's condition, for one), where it would be computed
+    again, with all the columns it is made of."""
     cols = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in df.columns]
-    hashed = df.withColumn("_h", F.md5(F.concat_ws("|", F.lit(str(seed)), *cols)))
+    hashed = df.select("*", F.md5(F.concat_ws("|", F.lit(str(seed)), *cols)).alias("_h"), F.monotonically_increasing_id().alias("_row"))
     bucket = F.conv(F.substring("_h", 1, SAMPLE_BITS // 4), 16, 10).cast("int")
     counts = hashed.groupBy(bucket.alias("b")).agg(F.count(F.lit(1)).alias("k"))
     before = F.sum("k").over(Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1))  # over the histogram only
     cutoff = counts.withColumn("before", F.coalesce(before, F.lit(0))).where(F.col("before") < n).agg(F.max("b"))
-    return hashed.where(bucket <= cutoff.scalar()).orderBy("_h").limit(n).drop("_h")
+    return hashed.where(bucket <= cutoff.scalar()).orderBy("_h").limit(n).drop("_h", "_row")
 
 
 def write_sample_csv(sample: DataFrame, path: str) -> None:

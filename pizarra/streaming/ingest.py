@@ -16,31 +16,47 @@ the same way: its state is bounded by the code domains, not by rows.
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.dictionary import DEPARTMENT_FILES
 from ..operators import indicators as ind
 from ..operators.decode import decode_all
-from ..sources.files import PART_COL, RAW_SCHEMA, _fs, path_exists, stamp_department
+from ..sources.files import PART_COL, RAW_SCHEMA, _fs, bound, csv_header, first_data_file, path_exists, stamp_department
 from ..sources.fixture import RAW_COLUMNS
+from ..sources.xlsx import HEADERS
 
 
-def department_stream(spark: SparkSession, landing: str, catalogue: Mapping[int, str] = DEPARTMENT_FILES, max_files: int = 64) -> DataFrame:
+def department_stream(
+    spark: SparkSession, landing: str, catalogue: Mapping[int, str] = DEPARTMENT_FILES, max_files: int = 64, header: Sequence[str] | None = None
+) -> DataFrame:
     """Raw rows of CSV department exports as they land (``<dept>.csv/part-*.csv``
-    or ``<dept>.csv``); rows of files outside the catalogue get a null department."""
+    or ``<dept>.csv``); rows of files outside the catalogue get a null department.
+
+    Columns are bound by name. ``header`` names them as the files do, published or
+    snake_case, in the files' order, and may leave some out: these are null. Without it
+    all columns are expected in published order, under the names of a file that has
+    landed, or the published ones. A file with another header ends the query with an
+    error, it never swaps data."""
+    if header is None:
+        first = first_data_file(spark, landing, ".csv", recursive=True) if path_exists(spark, landing) else None
+        header = RAW_COLUMNS if first and set(csv_header(spark, first)) & set(RAW_COLUMNS) else tuple(HEADERS)
+    schema, columns = bound(header, landing)
     stream = (
-        spark.readStream.schema(RAW_SCHEMA)
+        spark.readStream.schema(schema)
         .option("header", True)
-        .option("enforceSchema", False)  # a file with other columns is an error, not swapped data
+        .option("enforceSchema", False)
         .option("maxFilesPerTrigger", max_files)
         .option("recursiveFileLookup", True)
         .option("pathGlobFilter", "*.csv")
         .csv(landing)
     )
-    return stamp_department(stream, catalogue).select(*RAW_COLUMNS)
+    rows = stream.select(*columns, F.col("_metadata.file_path").alias("_file"))
+    missing = [F.lit(None).cast(RAW_SCHEMA[c].dataType).alias(c) for c in RAW_COLUMNS if c not in rows.columns]
+    return stamp_department(rows.select("*", *missing), catalogue, F.col("_file")).select(*RAW_COLUMNS)
 
 
 def own_checkpoint(spark: SparkSession, table: str) -> str:
@@ -65,11 +81,12 @@ def start_ingest(
     catalogue: Mapping[int, str] = DEPARTMENT_FILES,
     checkpoint: str | None = None,
     available_now: bool = True,
+    header: Sequence[str] | None = None,
 ) -> StreamingQuery:
     """Append decoded rows to the processed table (exactly once)."""
     checkpoint = checkpoint or own_checkpoint(spark, processed)
     writer = (
-        decode_all(department_stream(spark, landing, catalogue))
+        decode_all(department_stream(spark, landing, catalogue, header=header))
         .writeStream.format("parquet")
         .option("path", processed)
         .option("checkpointLocation", checkpoint)

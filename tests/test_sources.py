@@ -130,3 +130,96 @@ def test_context_from_pipeline_cube_matches_direct(spark, raw, scratch):
     cube = spark.read.parquet(f"{scratch}/out/{pl.CUBE}")
     decoded = dec.decode_all(raw)
     assert ans.context_document(cube, "n").first()[0] == ans.context_document(decoded.drop("anio")).first()[0]  # a cube holds no year
+
+
+def exported_csv(spark, raw, folder):
+    files.export_departments(raw, folder, DEPARTMENT_FILES, "csv")
+    return {k: v.replace(".xlsx", ".csv") for k, v in DEPARTMENT_FILES.items()}
+
+
+def test_one_header_is_read_per_department(spark, raw, scratch, monkeypatch):
+    """However many part files a department has, the driver opens one; empty ones
+    have no rows, and another header within a department is an error."""
+    folder = os.path.join(scratch, "many")
+    catalogue = exported_csv(spark, raw, folder)
+    target = os.path.join(folder, catalogue[3])
+    opened = []
+    plain = files.csv_header
+    monkeypatch.setattr(files, "csv_header", lambda s, p: opened.append(p) or plain(s, p))
+    for k in range(40):
+        open(os.path.join(target, f"part-9{k:04d}.csv"), "w").close()
+    open(os.path.join(target, "aaa.csv"), "w").close()
+    got = files.scan_departments(spark, folder, catalogue, "csv")
+    assert got.count() == raw.count() and len(opened) == len(files.existing_files(spark, folder, catalogue))
+    names = list(raw.columns)
+    with open(os.path.join(target, "part-99999.csv"), "w") as f:
+        f.write(",".join([names[1], names[0], *names[2:]]) + "\n" + ",".join(["x"] * len(names)) + "\n")
+    with pytest.raises(Exception, match="header|Header"):
+        files.scan_departments(spark, folder, catalogue, "csv").count()
+
+
+def test_headers_differ_between_departments(spark, raw, scratch):
+    """Published and snake_case names, any order, a missing column."""
+    folder = os.path.join(scratch, "mixed")
+    os.makedirs(folder)
+    rows = {d: raw.where(f"departamento_f = {d}").toPandas() for d in (1, 2, 3)}
+    published = {v: k for k, v in HEADERS.items()}
+    names = {k: v.replace(".xlsx", ".csv") for k, v in DEPARTMENT_FILES.items()}
+    rows[1].to_csv(os.path.join(folder, names[1]), index=False)
+    rows[2].rename(columns=published)[[published[c] for c in reversed(raw.columns)]].to_csv(os.path.join(folder, names[2]), index=False)
+    rows[3].drop(columns="graduando").to_csv(os.path.join(folder, names[3]), index=False)
+    got = files.scan_departments(spark, folder, names, "csv")
+    want = raw.where("departamento_f < 4").withColumn("graduando", F.when(F.col("departamento_f") < 3, F.col("graduando")))
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.select(*got.columns).collect()))
+    with open(os.path.join(folder, names[4]), "w") as f:
+        f.write("a,b\n1,2\n")
+    with pytest.raises(ValueError, match="lacks or repeats"):
+        files.scan_departments(spark, folder, names, "csv")
+
+
+def test_sample_hash_stays_out_of_joins(spark, sf_small):
+    """The hash is computed above the join that makes the rows, never in its condition."""
+    from pizarra.operators.decode import decode_all
+    from pizarra.sources.fixture import enrolments
+
+    plan = files.sample_exact(decode_all(enrolments(spark, sf_small)), 100)._jdf.queryExecution().optimizedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join" in line]
+    assert joins and not any("md5" in line for line in joins)
+
+
+def test_batch_with_own_dictionary_and_names(spark, raw, scratch, capsys):
+    """Dictionary and municipality catalogue from files; context, questions and one
+    department from the outputs, by the command line."""
+    from pizarra import __main__ as cli
+    from pizarra.functions.dictionary import dictionary_df
+
+    folder, out = os.path.join(scratch, "own-in"), os.path.join(scratch, "own-out")
+    catalogue = exported_csv(spark, raw, folder)
+    own = dictionary_df(spark).withColumn("label", F.when((F.col("domain") == "sector") & (F.col("code") == 1), "Oficial").otherwise(F.col("label")))
+    own.select("domain", "code", "label").coalesce(1).write.option("header", True).csv(os.path.join(scratch, "dictionary"))
+    with open(os.path.join(scratch, "names.csv"), "w") as f:
+        f.write("codigo,municipio\n0101,Guatemala\n")
+    dictionary = cli.table(spark, os.path.join(scratch, "dictionary"), "domain string, code int, label string")
+    names = cli.table(spark, os.path.join(scratch, "names.csv"), "codigo string, municipio string")
+    outputs = pl.run_pipeline(spark, folder, out, catalogue, "csv", dictionary=dictionary, municipalities=names)
+    labels = {r["sector"] for r in spark.read.parquet(outputs[pl.CUBE]).select("sector").distinct().collect()}
+    assert "Oficial" in labels and "Público" not in labels
+    places = spark.read.parquet(outputs[pl.MUNICIPALITIES])
+    assert places.where("codigo = '0101'").select("municipio").distinct().collect()[0][0] == "Guatemala"
+    one = pl.department(spark, out, "Petén").collect()
+    assert len(one) == 1 and "Petén" in one[0]["texto"] and one[0]["total"] > 0
+    # the command line stops its session; here it must not
+    stopped = []
+    import pyspark.sql
+
+    original = pyspark.sql.SparkSession.stop
+    pyspark.sql.SparkSession.stop = lambda self: stopped.append(1)
+    try:
+        assert cli.main(["context", "--output", out]) == 0
+        assert cli.main(["ask", "--output", out]) == 0
+        assert cli.main(["show", "--output", out, "--department", "Petén"]) == 0
+        assert cli.main(["show", "--output", out, "--department", "Nowhere"]) == 1
+    finally:
+        pyspark.sql.SparkSession.stop = original
+    said = capsys.readouterr().out
+    assert '"por_departamento"' in said and "1. " in said and "tasa_retiro" in said and len(stopped) == 4

@@ -81,3 +81,22 @@ def test_a_table_of_another_checkpoint_is_not_continued_by_default(spark, sf_sma
         start(spark, exported, table, CSV, checkpoint=str(tmp_path / f"ckpt_{name}")).awaitTermination()
         with pytest.raises(ValueError, match="another checkpoint"):
             start(spark, exported, table, CSV)
+
+
+@pytest.mark.parametrize("own_order", [False, True])
+def test_published_files_are_streamed(spark, sf_small, tmp_path, own_order):
+    """Files with published headers, or in an order of their own with a column missing."""
+    from pizarra.sources.xlsx import HEADERS
+
+    raw = enrolments(spark, sf_small)
+    published = {v: k for k, v in HEADERS.items()}
+    names = sorted(k for k, v in HEADERS.items() if v != "plan_est") if own_order else list(HEADERS)
+    landing = tmp_path / "landing"
+    landing.mkdir()
+    for dep in (1, 2):
+        raw.where(f"departamento_f = {dep}").toPandas().rename(columns=published)[names].to_csv(landing / CSV[dep], index=False)
+    st.start_ingest(spark, str(landing), str(tmp_path / "out"), CSV, header=names if own_order else None).awaitTermination()
+    got = files.scan_processed(spark, str(tmp_path / "out"))
+    plan = F.lit(None).cast("int") if own_order else F.col("plan_est")
+    want = dec.decode_all(raw.where("departamento_f < 3").withColumn("plan_est", plan))
+    assert _rows(got) == _rows(want.select(*got.columns))

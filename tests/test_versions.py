@@ -180,3 +180,45 @@ def test_a_batch_keeps_every_row(spark):
     got = win.windowed(df, "t", ["k"], {}, "1 hour", delay="1 minute")
     assert [(r["window_start"], r["n"]) for r in got.orderBy("window_start").collect()] == [(T0, 2), (T0 + timedelta(hours=1), 1)]
     assert win.windowed(df.where("v > 5"), "t", ["k"], {}, "1 hour").count() == 0
+
+
+# --- watched deliveries
+
+
+def landed_rows():
+    h = lambda x: T0 + timedelta(hours=x)
+    rows = [("a", d, h(d), h(10)) for d in (1, 2, 3)]  # complete
+    rows += [("b", 1, h(1), h(10)), ("b", 2, h(12), h(10)), ("b", 2, h(13), h(10)), ("b", 9, h(2), h(10))]  # one missing, one late
+    rows += [("c", 1, h(11), h(20)), ("c", 2, h(20), h(20)), ("c", 3, h(20), h(20))]  # in time to the hour
+    rows += [("d", 1, h(30), h(99)), (None, 1, h(1), h(2)), ("d", None, h(1), h(99)), ("d", 2, None, h(99)), ("z", 9, h(40), h(41))]
+    return rows
+
+
+def test_deliveries_batch(spark):
+    from pizarra.streaming import arrivals
+
+    df = spark.createDataFrame(landed_rows(), "delivery string, department int, at timestamp, due timestamp")
+    h = lambda x: T0 + timedelta(hours=x)
+    said = rows_of(arrivals.report(df, [1, 2, 3], h(50)))
+    assert said == sorted([("a", "complete", None, h(3)), ("b", "missing", 2, h(10)), ("b", "missing", 3, h(10)), ("b", "late", 2, h(12)), ("c", "complete", None, h(20))], key=repr)
+    assert ("d", "missing", 3, h(99)) in rows_of(arrivals.report(df, [1, 2, 3]))
+    assert arrivals.report(df.where("department > 50"), [1]).count() == 0
+
+
+def test_deliveries_streamed_equal_the_batch(spark, tmp_path):
+    """Timers raise the alarm; replayed files and landings in any number of runs change nothing."""
+    from pizarra.streaming import arrivals
+
+    schema = "delivery string, department int, at timestamp, due timestamp"
+    rows = landed_rows()
+    folder, out = str(tmp_path / "in"), str(tmp_path / "out")
+    ends = [(-1, 5), (5, 15), (15, 60)]
+    for k, (low, high) in enumerate(ends):
+        part = [r for r in rows if r[2] is None or low < (r[2] - T0) / timedelta(hours=1) <= high]
+        if k == 1:
+            part += [("b", 1, T0 + timedelta(hours=6), T0 + timedelta(hours=10))]  # landed before: nothing new
+        spark.createDataFrame(part, schema).write.parquet(f"{folder}/{k}")
+        stream = win.landed(spark, folder, spark.createDataFrame([], schema).schema)
+        arrivals.start_watch(spark, stream, out, [1, 2, 3], "0 seconds").awaitTermination()
+    whole = spark.createDataFrame(rows, schema)
+    assert rows_of(spark.read.parquet(out)) == rows_of(arrivals.report(whole, [1, 2, 3], T0 + timedelta(hours=40)))
