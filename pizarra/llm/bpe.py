@@ -130,7 +130,7 @@ class PrefixBpe:
         """Drop the tables of what has been encoded."""
         self._apart: defaultdict[int, dict[int, bool]] = defaultdict(dict)
         self._pairs = 0
-        self._words: dict[str, bytes] = {}
+        self._words: dict[str, bytes] = {"\n": b""}  # between stretches
         self._old_words: dict[str, bytes] = {}
 
     def _keeps(self, rank: int) -> bool:
@@ -198,7 +198,7 @@ class PrefixBpe:
     def _word(self, word: str) -> bytes:
         """Ids of a word that is not in the younger half of the table. The library's
         byte-level words have a mark ahead, plain ones are as they stand in the text."""
-        ids = b"" if word == "\n" else self._old_words.get(word)
+        ids = self._old_words.get(word)
         if ids is None:
             if word[0] == _END:
                 plain = word[1:]
@@ -206,7 +206,7 @@ class PrefixBpe:
                 plain = word if word.isascii() else word.encode().decode("latin-1").translate(_BYTES)
             ids = _packed(self.encode_word(plain))
         if len(self._words) >= KNOWN_WORDS:
-            self._old_words, self._words = self._words, {}
+            self._old_words, self._words = self._words, {"\n": b""}
         self._words[word] = ids
         return ids
 
@@ -246,7 +246,8 @@ class PrefixBpe:
         packed = list(map(self._words.get, words))
         for k, ids in enumerate(packed):
             if ids is None:
-                packed[k] = self._word(words[k])
+                ids = self._words.get(words[k])  # it may have come up since
+                packed[k] = self._word(words[k]) if ids is None else ids
         size = np.fromiter(map(len, packed), np.int64, len(packed)) // 4
         upto = np.concatenate(([0], np.cumsum(size)))
         line_ends = np.flatnonzero(np.fromiter(map("\n".__eq__, words), bool, len(words)))
