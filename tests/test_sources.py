@@ -155,14 +155,14 @@ def test_one_header_is_read_per_department(spark, raw, scratch, monkeypatch):
     with open(os.path.join(target, "part-99999.csv"), "w") as f:
         f.write(",".join([names[1], names[0], *names[2:]]) + "\n" + ",".join(["x"] * len(names)) + "\n")
     with pytest.raises(Exception, match="header|Header"):
-        files.scan_departments(spark, folder, catalogue, "csv").count()
+        files.scan_departments(spark, folder, catalogue, "csv").collect()
 
 
 def test_headers_differ_between_departments(spark, raw, scratch):
     """Published and snake_case names, any order, a missing column."""
     folder = os.path.join(scratch, "mixed")
     os.makedirs(folder)
-    rows = {d: raw.where(f"departamento_f = {d}").toPandas() for d in (1, 2, 3)}
+    rows = {d: raw.where(f"departamento_f = {d}").toPandas().convert_dtypes() for d in (1, 2, 3)}
     published = {v: k for k, v in HEADERS.items()}
     names = {k: v.replace(".xlsx", ".csv") for k, v in DEPARTMENT_FILES.items()}
     rows[1].to_csv(os.path.join(folder, names[1]), index=False)

@@ -94,7 +94,7 @@ def test_published_files_are_streamed(spark, sf_small, tmp_path, own_order):
     landing = tmp_path / "landing"
     landing.mkdir()
     for dep in (1, 2):
-        raw.where(f"departamento_f = {dep}").toPandas().rename(columns=published)[names].to_csv(landing / CSV[dep], index=False)
+        raw.where(f"departamento_f = {dep}").toPandas().convert_dtypes().rename(columns=published)[names].to_csv(landing / CSV[dep], index=False)
     st.start_ingest(spark, str(landing), str(tmp_path / "out"), CSV, header=names if own_order else None).awaitTermination()
     got = files.scan_processed(spark, str(tmp_path / "out"))
     plan = F.lit(None).cast("int") if own_order else F.col("plan_est")
