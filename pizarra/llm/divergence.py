@@ -63,28 +63,32 @@ def live_filter(live: DataFrame) -> tuple[bytes, int]:
 
 
 def count_prefixes(docs: DataFrame, settled: int, size: int, live=None, bits: int = 0) -> DataFrame:
-    """One level: (lang, source, key, docs, n). Keys are the first ``size`` bytes
-    of terms of ``settled`` bytes and more whose prefix of that length is live;
-    shorter keys are complete terms."""
+    """One level: (lang, source, key, docs, n). Keys are the first ``size`` bytes of
+    terms of ``settled`` bytes and more whose prefix of that length is live. Shorter
+    keys are complete terms, counted per source; prefixes are counted per language
+    (source null, n 0), which is all that decides about them."""
     words = re.compile(rb"[A-Za-z\x80-\xff]{%d,}" % max(settled, 1))
+    kinds = (pa.string(), pa.string(), pa.binary(), pa.int64(), pa.int64())
+    names = ["lang", "source", "key", "docs", "n"]
 
     def run(batches):
         bitmap = live.value if live is not None else None
         held: dict[tuple[str, str], tuple[Counter, Counter]] = {}
-        alive: dict[bytes, dict[bytes, bool]] = {}
+        prefixes: dict[str, Counter] = {}
+        alive: dict[str, dict[bytes, bool]] = {}
 
         def flush():
-            columns = [[], [], [], [], []]
             for (lang, source), (in_docs, times) in held.items():
-                k = len(in_docs)
-                for column, part in zip(columns, ([lang] * k, [source] * k, in_docs.keys(), in_docs.values(), [times[t] for t in in_docs])):
-                    column.extend(part)
-            held.clear()
-            alive.clear()
-            kinds = (pa.string(), pa.string(), pa.binary(), pa.int64(), pa.int64())
-            for at in range(0, len(columns[0]), 50_000):
-                part = [pa.array(c[at : at + 50_000], kind) for c, kind in zip(columns, kinds)]
-                yield pa.RecordBatch.from_arrays(part, names=["lang", "source", "key", "docs", "n"])
+                yield from rows(lang, source, in_docs, [times[t] for t in in_docs])
+            for lang, in_docs in prefixes.items():
+                yield from rows(lang, None, in_docs, [0] * len(in_docs))
+            for table_ in (held, prefixes, alive):
+                table_.clear()
+
+        def rows(lang, source, in_docs, times):
+            if in_docs:
+                columns = ([lang] * len(times), [source] * len(times), list(in_docs), list(in_docs.values()), times)
+                yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, kinds)], names=names)
 
         for batch in batches:
             for text, lang, source in zip(*(batch.column(c) for c in ("text", "lang", "source"))):
@@ -97,11 +101,12 @@ def count_prefixes(docs: DataFrame, settled: int, size: int, live=None, bits: in
                             place = zlib.crc32(prefix, start) & (bits - 1)
                             known[prefix] = bool(bitmap[place >> 3] >> (place & 7) & 1)
                     found = [w for w in found if known[w[:settled]]]
-                keys = [w[:size] for w in found]
-                group = held.setdefault((lang, source.as_py()), (Counter(), Counter()))
-                group[0].update(set(keys))
-                group[1].update(keys)
-            if sum(len(c) for c, _ in held.values()) + sum(map(len, alive.values())) > HELD:
+                complete = [w for w in found if len(w) < size]
+                in_docs, times = held.setdefault((lang, source.as_py()), (Counter(), Counter()))
+                in_docs.update(set(complete))
+                times.update(complete)
+                prefixes.setdefault(lang, Counter()).update({w[:size] for w in found if len(w) >= size})
+            if sum(len(c) for c, _ in held.values()) + sum(map(len, prefixes.values())) + sum(map(len, alive.values())) > HELD:
                 yield from flush()
         yield from flush()
 
@@ -120,7 +125,7 @@ def kept_terms(docs: DataFrame, threshold: int = 3, first: int = FIRST) -> DataF
             live.destroy()
         terms = level.where(F.octet_length("key") < size).select("lang", "source", F.col("key").cast("string").alias("term"), "n")
         out = terms if out is None else out.unionByName(terms)
-        left = level.where(F.octet_length("key") == size).select("lang", "key").distinct()
+        left = level.where(F.octet_length("key") == size).select("lang", "key")
         if left.isEmpty():
             return out
         packed, bits = live_filter(left)
