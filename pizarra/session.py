@@ -6,6 +6,7 @@ it is only set here when the session has none (local runs and tests).
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -72,6 +73,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner drop the shuffles and cut tables that nothing refers to any
+    more. It learns of them when the JVM collects garbage, which a driver with little
+    to do puts off while the files pile up."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def stage_dir(spark: SparkSession, *parts: str) -> str:
     """Folder for tables this library writes itself (exports, round trips); each
     application has its own."""
