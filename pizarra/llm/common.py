@@ -1,4 +1,5 @@
-"""Helpers shared by the operators of this subpackage (``cut`` is the library's)."""
+"""Helpers shared by the operators of this subpackage (``cut`` and
+``release`` are the library's)."""
 
 from __future__ import annotations
 
@@ -9,7 +10,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pizarra.session import cut
+from pizarra.session import cut, release  # noqa: F401
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

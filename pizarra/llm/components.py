@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pizarra.llm.common import cut
+from pizarra.llm.common import cut, release
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -33,5 +33,6 @@ def components(links: DataFrame) -> DataFrame:
         if state == before:
             break
         before = state
+        release(links.sparkSession)
     roots = links.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())

@@ -49,7 +49,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pizarra.llm.common import cut, table, with_row_id
+from pizarra.llm.common import cut, release, table, with_row_id
 from pizarra.llm.components import components
 from pizarra.llm.suffix_dedup import taking_part
 
@@ -335,13 +335,13 @@ def _every(count: str) -> Column:
 def member_links(docs: DataFrame, expanded: DataFrame, n: int, percent: int) -> DataFrame:
     """From docs (rid, text) and families (family, band, rid, n): links (a, b)."""
     key = ["family", "band"]
-    texts = taking_part(docs, expanded)
     median = F.percentile_approx("n", 0.5).alias("median")
     sizes = cut(_counted(expanded, "blocks").join(expanded.groupBy(*key).agg(F.count("*").alias("members"), median), key).where("members > 1"))
     zero = F.lit(0)
-    small = expanded.join(sizes.where("blocks = 1").select(*key), key)
+    small = cut(expanded.join(sizes.where("blocks = 1").select(*key), key))
     large = cut(expanded.join(sizes.where("blocks > 1"), key))
-    links = verified(_cells(small, ALL, 0, zero, zero).join(texts, "rid"), n, percent)
+    links = cut(verified(_cells(small, ALL, 0, zero, zero).join(taking_part(docs, small), "rid"), n, percent))
+    release(docs.sparkSession)
     if large.isEmpty():
         return links
     # one member of median size is compared with all others
@@ -350,7 +350,8 @@ def member_links(docs: DataFrame, expanded: DataFrame, n: int, percent: int) ->
     star = _cells(others, STAR, 0, _block("blocks"), zero).unionByName(
         _cells(centre.select("*", _every("blocks").alias("lo")), STAR, 1, F.col("lo"), zero)
     )
-    found = cut(verified(star.join(texts, "rid"), n, percent))
+    found = cut(verified(star.join(taking_part(docs, large), "rid"), n, percent))
+    release(docs.sparkSession)
     # what does not link with it is compared with everything else
     near = found.select(F.col("b").alias("rid"), F.col("a").alias("centre")).distinct()
     known = near.join(centre.select(*key, F.col("rid").alias("centre")), "centre").select("rid", *key)
@@ -359,7 +360,8 @@ def member_links(docs: DataFrame, expanded: DataFrame, n: int, percent: int) ->
         return links.unionByName(found)
     linked = cut(large.join(rest.select("rid", *key), ["rid", *key], "left_anti").select(*key, "rid", "n"))
     counts = cut(_counted(rest, "r").join(_counted(linked, "l"), key))
-    rest, linked = rest.join(counts, key), linked.join(counts, key)
+    rest, linked = cut(rest.join(counts, key)), cut(linked.join(counts, key))
+    texts = taking_part(docs, rest.select("rid").unionByName(linked.select("rid")))
     own, other = _block("r"), F.col("other")
     among = rest.withColumn("own", own).withColumn("other", _every("r")).where("r = 1 or own <> other")
     cells = (
@@ -367,7 +369,7 @@ def member_links(docs: DataFrame, expanded: DataFrame, n: int, percent: int) ->
         .unionByName(_cells(rest.select("*", own.alias("lo"), _every("l").alias("hi")), ACROSS, 0, F.col("lo"), F.col("hi")))
         .unionByName(_cells(linked.select("*", _every("r").alias("lo"), _block("l").alias("hi")), ACROSS, 1, F.col("lo"), F.col("hi")))
     )
-    return links.unionByName(found).unionByName(verified(cells.join(texts, "rid"), n, percent))
+    return links.unionByName(found).unionByName(cut(verified(cells.join(texts, "rid"), n, percent)))
 
 
 def near_links(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame]:
@@ -381,6 +383,7 @@ def near_links(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFr
     classes = cut(plain.where("n > 0").groupBy("set").agg(F.min("rid").alias("rep")))
     groups = full.where("n > 0").groupBy("grp").agg(F.min("rid").alias("grp_id"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
     found = cut(families(groups, percent))
+    release(docs.sparkSession)
     # members: one row per distinct set of a group
     sets = cut(
         plain.where("n > 0").groupBy("grp", "set").agg(F.min("rid").alias("rid"), F.first("n").alias("n")).join(
