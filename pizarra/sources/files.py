@@ -27,6 +27,7 @@ from pyspark.sql.window import Window
 
 from ..functions.dictionary import DEPARTMENT_FILES, TRIAL_DEPARTMENTS
 from ..operators.decode import DECODED_ORDER
+from ..session import cut
 from .fixture import RAW_COLUMNS
 
 PART_COL = "departamento_f_codigo"
@@ -304,20 +305,19 @@ def sample_exact(df: DataFrame, n: int = 5000, seed: int = 42) -> DataFrame:
     """K2: exactly ``min(n, rows)`` rows without replacement, reproducible:
     the ``n`` rows with the smallest ``md5(seed | row)``.
 
-    A histogram of the hash's leading bits (one aggregate, at most ``2**SAMPLE_BITS``
-    rows) gives the bucket in which the n-th row lies; only rows up to it reach the
-    final ordering. One plan for every input size, nothing written.
-
-    The row number beside the hash keeps Spark from moving the filter on the hash into
-    whatever makes the rows (a join's condition, for one), where it would be computed
-    again, with all the columns it is made of."""
+    Rows are written once with their hash (a cut table). A histogram of the hash's
+    leading bits (one aggregate, at most ``2**SAMPLE_BITS`` rows) gives the bucket in
+    which the n-th row lies; only rows up to it reach the final ordering. One way for
+    every input size. Without the written table Spark moves the filter on the hash into
+    whatever makes the rows (a join's condition, for one) and computes it, with all the
+    columns it is made of, several times for every row."""
     cols = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in df.columns]
-    hashed = df.select("*", F.md5(F.concat_ws("|", F.lit(str(seed)), *cols)).alias("_h"), F.monotonically_increasing_id().alias("_row"))
+    hashed = cut(df.withColumn("_h", F.md5(F.concat_ws("|", F.lit(str(seed)), *cols))))
     bucket = F.conv(F.substring("_h", 1, SAMPLE_BITS // 4), 16, 10).cast("int")
     counts = hashed.groupBy(bucket.alias("b")).agg(F.count(F.lit(1)).alias("k"))
     before = F.sum("k").over(Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1))  # over the histogram only
     cutoff = counts.withColumn("before", F.coalesce(before, F.lit(0))).where(F.col("before") < n).agg(F.max("b"))
-    return hashed.where(bucket <= cutoff.scalar()).orderBy("_h").limit(n).drop("_h", "_row")
+    return hashed.where(bucket <= cutoff.scalar()).orderBy("_h").limit(n).drop("_h")
 
 
 def write_sample_csv(sample: DataFrame, path: str) -> None:
