@@ -1,5 +1,5 @@
-"""Helpers shared by the operators of this subpackage (``cut`` and
-``release`` are the library's)."""
+"""Helpers shared by the operators of this subpackage (``cut``, ``release`` and
+``scan_only`` are the library's)."""
 
 from __future__ import annotations
 
@@ -10,7 +10,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pizarra.session import cut, release  # noqa: F401
+from pizarra.session import cut, release, scan_only  # noqa: F401
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,15 +25,6 @@ def ascii_lower(c: Column) -> Column:
     )
 
 
-def _scan_only(plan) -> bool:
-    """Whether an optimised plan is a file scan with projections and filters that
-    give the same rows every time."""
-    if plan.nodeName() not in ("LogicalRelation", "Project", "Filter") or not plan.deterministic():
-        return False
-    children = plan.children()
-    return all(_scan_only(children.apply(i)) for i in range(children.size()))
-
-
 def with_row_id(df: DataFrame, name: str = "_rid") -> DataFrame:
     """Number the rows, so that repeated or null document ids stay apart.
 
@@ -43,7 +34,7 @@ def with_row_id(df: DataFrame, name: str = "_rid") -> DataFrame:
     other frame (after a shuffle, a join, a union) may come in another order in each
     branch: these are numbered and written once, and every branch reads that."""
     numbered = df.withColumn(name, F.monotonically_increasing_id())
-    return numbered if _scan_only(df._jdf.queryExecution().optimizedPlan()) else cut(numbered)
+    return numbered if scan_only(df) else cut(numbered)
 
 
 def bitmap(df: DataFrame, place: Callable[[int], Column], most: int, per_row: int = 16, least: int = 1 << 16) -> tuple[bytes, int]:

@@ -73,6 +73,19 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def scan_only(df: DataFrame) -> bool:
+    """Whether the optimised plan is a file scan with projections and filters that
+    give the same rows every time."""
+
+    def only(plan) -> bool:
+        if plan.nodeName() not in ("LogicalRelation", "Project", "Filter") or not plan.deterministic():
+            return False
+        children = plan.children()
+        return all(only(children.apply(i)) for i in range(children.size()))
+
+    return only(df._jdf.queryExecution().optimizedPlan())
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark's cleaner drop the shuffles and cut tables that nothing refers to any
     more. It learns of them when the JVM collects garbage, which a driver with little

@@ -15,6 +15,7 @@
 from __future__ import annotations
 
 import csv
+import math
 import uuid
 import warnings
 from collections.abc import Iterable, Mapping, Sequence
@@ -27,7 +28,7 @@ from pyspark.sql.window import Window
 
 from ..functions.dictionary import DEPARTMENT_FILES, TRIAL_DEPARTMENTS
 from ..operators.decode import DECODED_ORDER
-from ..session import cut
+from ..session import cut, scan_only
 from .fixture import RAW_COLUMNS
 
 PART_COL = "departamento_f_codigo"
@@ -296,24 +297,39 @@ def trial_subset(spark: SparkSession, path: str) -> DataFrame:
     return scan_processed(spark, path, TRIAL_DEPARTMENTS)
 
 
-#: Leading hash bits whose histogram finds the sample's cutoff; the histogram
-#: has at most 2**SAMPLE_BITS rows whatever the input.
-SAMPLE_BITS = 20
+#: Leading hex digits of the hash whose histogram finds the sample's cutoff; the
+#: histogram, and what a task hands to it, has at most 16**SAMPLE_DIGITS rows.
+SAMPLE_DIGITS = 4
 
 
 def sample_exact(df: DataFrame, n: int = 5000, seed: int = 42) -> DataFrame:
     """K2: exactly ``min(n, rows)`` rows without replacement, reproducible:
     the ``n`` rows with the smallest ``md5(seed | row)``.
 
-    Rows are written once with their hash (a cut table). A histogram of the hash's
-    leading bits (one aggregate, at most ``2**SAMPLE_BITS`` rows) gives the bucket in
-    which the n-th row lies; only rows up to it reach the final ordering. One way for
-    every input size. Without the written table Spark moves the filter on the hash into
-    whatever makes the rows (a join's condition, for one) and computes it, with all the
-    columns it is made of, several times for every row."""
+    Rows of files are hashed in one pass: hashes spread evenly, so the share ``n`` of
+    all rows says below which hash a little more than ``n`` of them lie, and only these
+    are written (a cut table) and ordered. That there are ``n`` of them is counted, not
+    assumed; many equal rows, which have one hash, can leave fewer.
+
+    Then, and for rows that are not a plain read of files, every row is written once
+    with its hash. A histogram of the hash's leading digits (one aggregate, at most
+    ``16**SAMPLE_DIGITS`` rows) gives the bucket in which the n-th row lies; only rows
+    up to it reach the final ordering. Without the written table Spark moves the filter
+    on the hash into whatever makes the rows (a join's condition, for one) and computes
+    it, with all the columns it is made of, several times for every row."""
     cols = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in df.columns]
-    hashed = cut(df.withColumn("_h", F.md5(F.concat_ws("|", F.lit(str(seed)), *cols))))
-    bucket = F.conv(F.substring("_h", 1, SAMPLE_BITS // 4), 16, 10).cast("int")
+    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), *cols))
+    if scan_only(df):
+        wanted, rows = n + 8 * math.isqrt(n) + 64, df.count()
+        if wanted >= rows:
+            return df.orderBy(digest).limit(n)
+        # the hash is no column of what is filtered: with it Spark's code for the row
+        # outgrows what the JVM compiles
+        few = cut(df.where(digest < f"{(wanted << 32) // rows:08x}"))
+        if few.count() >= n:
+            return few.orderBy(digest).limit(n)
+    hashed = cut(df.withColumn("_h", digest))
+    bucket = F.substring("_h", 1, SAMPLE_DIGITS)  # hex digits: text order is number order
     counts = hashed.groupBy(bucket.alias("b")).agg(F.count(F.lit(1)).alias("k"))
     before = F.sum("k").over(Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1))  # over the histogram only
     cutoff = counts.withColumn("before", F.coalesce(before, F.lit(0))).where(F.col("before") < n).agg(F.max("b"))

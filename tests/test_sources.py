@@ -221,3 +221,32 @@ def test_batch_with_own_dictionary_and_names(spark, raw, scratch, capsys):
         pyspark.sql.SparkSession.stop = original
     said = capsys.readouterr().out
     assert '"por_departamento"' in said and "1. " in said and "tasa_retiro" in said and len(stopped) == 4
+
+
+def test_sample_of_files_writes_little_more_than_the_sample(spark, tmp_path, monkeypatch):
+    """Of rows read from files only those near the smallest hashes are written; with many
+    equal rows, which have one hash, every row is."""
+    written = []
+
+    def counted(df):
+        out = cut(df)
+        written.append(out.count())
+        return out
+
+    cut = files.cut
+    monkeypatch.setattr(files, "cut", counted)
+    odd = spark.range(20_000).select("id", F.when(F.col("id") % 3 > 0, F.col("id").cast("string")).alias("a"), F.lit(None).cast("int").alias("b"))
+    same = odd.select((F.col("id") % 2).alias("id"), F.lit("x").alias("a"), "b")
+    n = 500
+    for name, df in (("odd", odd), ("same", same)):
+        df.write.parquet(str(tmp_path / name))
+        df = spark.read.parquet(str(tmp_path / name))
+        cols = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in df.columns]
+        brute = df.orderBy(F.md5(F.concat_ws("|", F.lit("42"), *cols))).limit(n)
+        written.clear()
+        got = files.sample_exact(df, n)
+        assert got.columns == df.columns
+        assert _rows(got) == _rows(brute)
+        if name == "odd":
+            assert sum(written) < 3 * n
+        assert _rows(files.sample_exact(df, 30_000)) == _rows(df)
