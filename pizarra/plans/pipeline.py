@@ -50,8 +50,10 @@ def ingest(
     """``dictionary`` (domain, code, label) replaces the published one."""
     raw = files.scan_departments(spark, folder, catalogue, fmt, TRIAL_DEPARTMENTS if trial else None)
     processed = f"{out}/{PROCESSED}"
-    decoded = decode_all(raw) if dictionary is None else decode_join(with_municipality(raw), dictionary=dictionary).select(*DECODED_ORDER)
-    files.write_processed(decoded, processed)
+    if dictionary is None:
+        files.write_processed(raw, processed, decode_all, "departamento_f")
+    else:  # joins: the decoded rows are dealt
+        files.write_processed(decode_join(with_municipality(raw), dictionary=dictionary).select(*DECODED_ORDER), processed)
     stored = files.scan_processed(spark, processed)
     files.write_sample_csv(files.sample_exact(stored, sample_rows), f"{out}/{SAMPLE}")
     return processed

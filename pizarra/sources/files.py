@@ -9,7 +9,8 @@
   published files require.
 * The processed table is written ``partitionBy(departamento_f_codigo)`` so a
   department filter becomes partition pruning, behind a ``rebalance`` hint so
-  AQE splits a department holding a large share of rows into several tasks.
+  AQE splits a department holding a large share of rows into several tasks. The
+  batch rebalances the raw rows and decodes them where they are written.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ import csv
 import math
 import uuid
 import warnings
-from collections.abc import Iterable, Mapping, Sequence
+from collections.abc import Callable, Iterable, Mapping, Sequence
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -119,14 +120,18 @@ def csv_header(spark: SparkSession, path: str) -> tuple[str, ...]:
 
 
 # ------------------------------------------------------------- catalogue
+def _file_and_folder(path: Column) -> tuple[Column, Column]:
+    """The last two names of a path."""
+    return F.substring_index(path, "/", -1), F.substring_index(F.substring_index(path, "/", -2), "/", 1)
+
+
 def catalogue_file(path: Column, names: Iterable[str]) -> Column:
     """The catalogue entry a row's file belongs to: the file itself
     (``.../guatemala.xlsx``) or its folder (``.../guatemala.csv/part-0.csv``).
     Plain string functions plus a hash-set membership test: the path is the
     same for every row of a file, so no per-row regex."""
     names = list(names)
-    last = F.substring_index(path, "/", -1)
-    parent = F.substring_index(F.substring_index(path, "/", -2), "/", 1)
+    last, parent = _file_and_folder(path)
     return F.when(last.isin(*names), last).when(parent.isin(*names), parent)
 
 
@@ -145,7 +150,8 @@ def stamp_department(df: DataFrame, catalogue: Mapping[int, str], path: Column |
     items = []
     for dep_id, name in catalogue.items():
         items += [F.lit(name), F.lit(dep_id).cast("int")]
-    return df.withColumn(column, F.create_map(*items)[catalogue_file(path, catalogue.values())])
+    ids = F.create_map(*items)
+    return df.withColumn(column, F.coalesce(*[ids[part] for part in _file_and_folder(path)]))
 
 
 def existing_files(spark: SparkSession, folder: str, catalogue: Mapping[int, str], only: Iterable[int] | None = None) -> dict[int, str]:
@@ -273,9 +279,16 @@ def export_departments(raw: DataFrame, folder: str, catalogue: Mapping[int, str]
 
 
 # ------------------------------------------------------------- processed
-def write_processed(decoded: DataFrame, path: str) -> None:
-    """K1: decoded table, Parquet, one folder per department."""
-    decoded.hint("rebalance", PART_COL).write.mode("overwrite").partitionBy(PART_COL).parquet(path)
+def write_processed(rows: DataFrame, path: str, decode: Callable[[DataFrame], DataFrame] | None = None, dept: str = PART_COL) -> None:
+    """K1: decoded table, Parquet, one folder per department.
+
+    With ``decode`` the rows are raw ones of department column ``dept``: they are dealt
+    and sorted as they are, and decoded in the tasks that write them. A raw row is a
+    code and numbers, a decoded one has a dozen labels besides. ``decode`` has to keep
+    rows in their place (a projection, not a join)."""
+    dealt = rows.hint("rebalance", dept)
+    decoded = dealt if decode is None else decode(dealt.sortWithinPartitions(dept))
+    decoded.write.mode("overwrite").partitionBy(PART_COL).parquet(path)
 
 
 def scan_processed(spark: SparkSession, path: str, departments: Iterable[int] | None = None) -> DataFrame:

@@ -250,3 +250,18 @@ def test_sample_of_files_writes_little_more_than_the_sample(spark, tmp_path, mon
         if name == "odd":
             assert sum(written) < 3 * n
         assert _rows(files.sample_exact(df, 30_000)) == _rows(df)
+
+
+def test_batch_deals_raw_rows_and_decodes_where_it_writes(spark, raw, scratch, monkeypatch):
+    seen, write = [], files.write_processed
+
+    def spy(rows, *args):
+        seen.append(rows.columns)
+        write(rows, *args)
+
+    monkeypatch.setattr(files, "write_processed", spy)
+    folder, out = os.path.join(scratch, "dealt-in"), os.path.join(scratch, "dealt-out")
+    catalogue = exported_csv(spark, raw, folder)
+    stored = files.scan_processed(spark, pl.ingest(spark, folder, out, catalogue, "csv"))
+    assert seen == [raw.columns]
+    assert _rows(stored) == _rows(dec.decode_all(raw))
