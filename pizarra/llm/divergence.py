@@ -20,9 +20,9 @@ the executors). It only saves work: a prefix that slips through is counted again
 and discarded by its own count.
 
 Scale: texts never leave their task; counts are combined per task (in tables of
-at most ``HELD`` prefixes, then handed on) and by Spark's map-side aggregation, so
-a source with a third of all rows and a term in every document are one row per
-flush. What is shuffled grows with the vocabulary. A row per ordered pair of
+at most ``HELD`` prefixes, then handed on), so a source with a third of all rows and
+a term in every document are one row per flush. What is shuffled, once a level, grows
+with the vocabulary. A row per ordered pair of
 sources of a language is the result itself; a term meets at most the sources of
 its language.
 
@@ -35,7 +35,6 @@ UTF-8 bytes, whatever their length.
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections import Counter
 
@@ -50,6 +49,8 @@ FIRST, GROWTH = 8, 4
 #: Prefixes a task holds before it hands its counts on.
 HELD = 400_000
 FILTER_BITS = 1 << 27
+#: Bytes of terms, A-Z lower-cased; every other byte is a blank.
+TERM_BYTES = bytes(c if c >= 0x80 or chr(c).islower() else ord(chr(c).lower()) if chr(c).isupper() else 0x20 for c in range(256))
 UNIT = 1_000_000_000
 
 
@@ -67,7 +68,6 @@ def count_prefixes(docs: DataFrame, settled: int, size: int, live=None, bits: in
     terms of ``settled`` bytes and more whose prefix of that length is live. Shorter
     keys are complete terms, counted per source; prefixes are counted per language
     (source null, n 0), which is all that decides about them."""
-    words = re.compile(rb"[A-Za-z\x80-\xff]{%d,}" % max(settled, 1))
     kinds = (pa.string(), pa.string(), pa.binary(), pa.int64(), pa.int64())
     names = ["lang", "source", "key", "docs", "n"]
 
@@ -79,22 +79,24 @@ def count_prefixes(docs: DataFrame, settled: int, size: int, live=None, bits: in
 
         def flush():
             for (lang, source), (in_docs, times) in held.items():
-                yield from rows(lang, source, in_docs, [times[t] for t in in_docs])
+                yield from rows(lang, source, in_docs, list(times.values()))  # both have their keys in one order
             for lang, in_docs in prefixes.items():
-                yield from rows(lang, None, in_docs, [0] * len(in_docs))
+                yield from rows(lang, None, in_docs, pa.repeat(pa.scalar(0, pa.int64()), len(in_docs)))
             for table_ in (held, prefixes, alive):
                 table_.clear()
 
         def rows(lang, source, in_docs, times):
             if in_docs:
-                columns = ([lang] * len(times), [source] * len(times), list(in_docs), list(in_docs.values()), times)
-                yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, kinds)], names=names)
+                same = [pa.repeat(pa.scalar(c, pa.string()), len(in_docs)) for c in (lang, source)]
+                columns = [pa.array(c, kind) for c, kind in zip((list(in_docs), list(in_docs.values()), times), kinds[2:])]
+                yield pa.RecordBatch.from_arrays([*same, *columns], names=names)
 
         for batch in batches:
             for text, lang, source in zip(*(batch.column(c) for c in ("text", "lang", "source"))):
                 lang = lang.as_py()
-                found = words.findall(text.as_py().lower())  # of bytes: A-Z only
+                found = text.as_py().translate(TERM_BYTES).split()
                 if bitmap is not None:
+                    found = [w for w in found if len(w) >= settled]
                     known, start = alive.setdefault(lang, {}), zlib.crc32(lang.encode("utf-8", "surrogatepass") + b"\0")
                     for prefix in {w[:settled] for w in found}:
                         if prefix not in known:
@@ -103,7 +105,7 @@ def count_prefixes(docs: DataFrame, settled: int, size: int, live=None, bits: in
                     found = [w for w in found if known[w[:settled]]]
                 complete = [w for w in found if len(w) < size]
                 in_docs, times = held.setdefault((lang, source.as_py()), (Counter(), Counter()))
-                in_docs.update(set(complete))
+                in_docs.update(dict.fromkeys(complete).keys())
                 times.update(complete)
                 prefixes.setdefault(lang, Counter()).update({w[:size] for w in found if len(w) >= size})
             if sum(len(c) for c, _ in held.values()) + sum(map(len, prefixes.values())) + sum(map(len, alive.values())) > HELD:
@@ -117,9 +119,12 @@ def kept_terms(docs: DataFrame, threshold: int = 3, first: int = FIRST) -> DataF
     """From (text binary, lang, source): (lang, source, term, n) for the terms that
     at least ``threshold`` documents of their language hold."""
     out, settled, size, live, bits = None, 0, first, None, 0
-    whole = Window.partitionBy("lang", "key")  # at most a row per source
+    # at most a row per source; keys first, as Spark sorts by the leading bytes of the first column
+    whole = Window.partitionBy("key", "lang")
     while True:
-        counted = count_prefixes(docs, settled, size, live, bits).groupBy("lang", "source", "key").agg(F.sum("docs").alias("docs"), F.sum("n").alias("n"))
+        # dealt once: the counts and the window find a key's rows in one place
+        dealt = count_prefixes(docs, settled, size, live, bits).repartition("key", "lang")
+        counted = dealt.groupBy("lang", "source", "key").agg(F.sum("docs").alias("docs"), F.sum("n").alias("n"))
         level = cut(counted.withColumn("all", F.sum("docs").over(whole)).where(F.col("all") >= threshold).drop("all"))
         if live is not None:
             live.destroy()
@@ -150,7 +155,7 @@ def divergence(df: DataFrame, text_col: str = "text", lang_col: str = "lang", so
     plain = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(n) for c, n in ((text_col, "text"), (lang_col, "lang"), (source_col, "source"))]
     docs = df.select(*plain).withColumn("text", F.col("text").cast("binary"))
     counts = kept_terms(docs, threshold)
-    terms = cut(counts.groupBy("lang", "term").agg(F.sum("n").alias("n")))
+    terms = cut(counts.groupBy("term", "lang").agg(F.sum("n").alias("n")))
     langs = terms.groupBy("lang").agg(F.count("*").alias("v"), F.sum("n").alias("total"))
     own = counts.groupBy("lang", "source").agg(F.sum("n").alias("total"), F.count("*").alias("has"))
     zero = F.lit(0).cast("long")
@@ -165,7 +170,7 @@ def divergence(df: DataFrame, text_col: str = "text", lang_col: str = "lang", so
     held = cut(held.select("lang", "source", "term", _share(F.col("n"), F.col("total"), F.col("v")).alias("p"), "p0"))
 
     whole = terms.join(langs, "lang").select("lang", "term", _share(F.col("n"), F.col("total"), F.col("v")).alias("q"))
-    report = held.join(whole, ["lang", "term"]).where("p > q").select("lang", "source", F.col("term").alias("item"), _gap(F.col("p"), F.col("q")).alias("value"))
+    report = held.join(whole, ["term", "lang"]).where("p > q").select("lang", "source", F.col("term").alias("item"), _gap(F.col("p"), F.col("q")).alias("value"))
     ranks = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")
     report = report.withColumn("rank", F.row_number().over(ranks)).where(F.col("rank") <= top)
 
@@ -187,7 +192,7 @@ def divergence(df: DataFrame, text_col: str = "text", lang_col: str = "lang", so
 
     # each pair of sources once, both directions from it
     p, q, a0, b0 = (F.col(c) for c in ("p", "q", "a0", "b0"))
-    met = a.join(b, ["lang", "term"]).where("source < item").groupBy("lang", "source", "item").agg(
+    met = a.join(b, ["term", "lang"]).where("source < item").groupBy("lang", "source", "item").agg(
         F.sum(both_have(p, q, a0, b0)).alias("forth"), F.sum(both_have(q, p, b0, a0)).alias("back")
     )
     met = cut(met)

@@ -199,6 +199,23 @@ def test_live_filter(spark):
         assert packed[place >> 3] >> (place & 7) & 1
 
 
+def test_divergence_deals_each_level_once(table, monkeypatch):
+    """Counts and the test on them find the rows of a key in one place, without another shuffle."""
+    plans, cut = [], divergence.cut
+    monkeypatch.setattr(divergence, "cut", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or cut(df))
+    df = table(divergence_rows())
+    divergence.kept_terms(df.selectExpr("cast(coalesce(text, '') as binary) as text", "coalesce(lang, '') as lang", "coalesce(source, '') as source"))
+    assert len(plans) > 1
+    assert [p.count("Exchange hashpartitioning") for p in plans] == [1] * len(plans)
+
+
+def test_divergence_term_bytes():
+    """Terms are split off byte by byte as the contract's expression does."""
+    term = re.compile(rb"[A-Za-z\x80-\xff]+")
+    for text in (bytes(range(256)), b"", b"\x85a\xa0 Z@[`{\x7fz", "Ñandú \u00a0École\u2003x".encode()):
+        assert text.translate(divergence.TERM_BYTES).split() == term.findall(text.lower())
+
+
 def test_divergence_discards_rare_prefixes(table):
     """A prefix of too few documents is not extended: the level after holds none of its terms."""
     rows = [(i, f"common rare{chr(97 + i)}term commonplace", "en", f"s{i % 2}") for i in range(6)] + [(9, "zzzzlonely zzzzalone", "en", "s0")]
