@@ -14,7 +14,8 @@ tokenizer file declares. Plain Latin texts are lower-cased and cut at spaces by
 Arrow, and each distinct stretch of a slice of texts is encoded once; others go
 through the library's normaliser and splitter. Words repeat, so a worker keeps a
 bounded table of those it has encoded, in two halves of which the older is dropped
-when the younger is full: memory stays bounded and results never depend on it.
+when the younger is full: memory stays bounded and results never depend on it. It stays
+for a worker's next tasks, until Spark hands the worker to another operator.
 
 Nulls and edge cases: a null text is encoded as an empty one (no ids); repeated
 rows are encoded one by one; whole texts are processed whatever their length.
@@ -40,14 +41,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pizarra.llm.common import table
+from pizarra.llm.common import on_handover, table
 
 WORD_END = "</w>"
 _END = "\ue000"  # stands for WORD_END inside the automaton
 #: Words in the younger half of a task's table, and pairs whose compatibility it knows.
 KNOWN_WORDS, KNOWN_PAIRS = 150_000, 1 << 17
-#: Texts whose distinct stretches are found together.
-SLICE = 2048
+#: Texts whose distinct stretches are found together, and their bytes.
+SLICE, SLICE_BYTES = 2048, 1 << 22
 # Lines for which the declared normalisation is lower-casing alone and the declared
 # split needs only these letters: ASCII and precomposed Latin ones.
 _SIMPLE = re.compile(r"[ -~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]*")
@@ -82,6 +83,17 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def slices(texts: pa.Array) -> Iterator[pa.Array]:
+    """The texts in slices of up to ``SLICE``, and no more bytes than
+    ``SLICE_BYTES`` (a longer text is a slice of its own)."""
+    ends, start = np.cumsum(np.append(0, pc.binary_length(texts).to_numpy())), 0
+    while start < len(texts):
+        fit = int(np.searchsorted(ends, ends[start] + SLICE_BYTES, side="right")) - 1
+        stop = min(max(fit, start + 1), start + SLICE, len(texts))
+        yield texts.slice(start, stop - start)
+        start = stop
+
+
 class PrefixBpe:
     """Encoder and decoder for one tokenizer file (BPE with word ends)."""
 
@@ -91,7 +103,8 @@ class PrefixBpe:
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        library = Tokenizer.from_file(path)
+        # its normaliser and splitter are all that is taken: the vocabulary stays out
+        library = Tokenizer.from_str(json.dumps(spec | {"model": {"type": "BPE", "vocab": {}, "merges": []}, "added_tokens": [], "post_processor": None}))
         self._normalizer, self._splitter = library.normalizer, library.pre_tokenizer
         vocab: dict[str, int] = spec["model"]["vocab"]
         self.strings = dict((i, s) for s, i in vocab.items())
@@ -253,21 +266,26 @@ class PrefixBpe:
         line_ends = np.flatnonzero(np.fromiter(map("\n".__eq__, words), bool, len(words)))
         return np.frombuffer(b"".join(packed), "<u4"), np.diff(upto[np.concatenate(([0], line_ends, [len(words)]))])
 
+    def _slice(self, part: pa.Array) -> tuple[np.ndarray, ...]:
+        """Of a slice of texts: whether each goes through the library, where its
+        stretches end, which ones they are, and the ids of the distinct ones."""
+        odd = pc.match_substring_regex(part, _ODD).to_numpy(zero_copy_only=False)
+        for s in self.specials:
+            odd = odd | pc.match_substring(part, s).to_numpy(zero_copy_only=False)
+        plain = pc.if_else(pa.array(odd), "", part) if odd.any() else part
+        lists = pc.split_pattern(pc.replace_substring(pc.utf8_lower(plain), "\n", " "), " ")
+        ends = lists.offsets.to_numpy()
+        coded = pc.list_flatten(lists).dictionary_encode()
+        return odd, ends - ends[0], coded.indices.to_numpy(), *self._stretches(coded.dictionary.to_pylist())
+
     def encode_all(self, texts: pa.Array) -> Iterator[np.ndarray]:
         """The ids of each text of an Arrow array, in order."""
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
-        for start in range(0, len(texts), SLICE):
-            part = texts.slice(start, SLICE)
-            odd = pc.match_substring_regex(part, _ODD).to_numpy(zero_copy_only=False)
-            for s in self.specials:
-                odd = odd | pc.match_substring(part, s).to_numpy(zero_copy_only=False)
-            plain = pc.if_else(pa.array(odd), "", part) if odd.any() else part
-            lists = pc.split_pattern(pc.replace_substring(pc.utf8_lower(plain), "\n", " "), " ")
-            ends = lists.offsets.to_numpy()
-            ends = ends - ends[0]
-            coded = pc.list_flatten(lists).dictionary_encode()
-            flat, size = self._stretches(coded.dictionary.to_pylist())
-            first, which = np.cumsum(size) - size, coded.indices.to_numpy()
+        for part in slices(texts):
+            odd, ends, which, flat, size = self._slice(part)
+            # Arrow keeps the memory of a slice's columns, several times the texts, for later
+            pa.default_memory_pool().release_unused()
+            first = np.cumsum(size) - size
             for k in range(len(part)):
                 if odd[k]:
                     yield np.frombuffer(self.encode(part[k].as_py()), "<u4")
@@ -286,6 +304,9 @@ def encoder(path: str) -> PrefixBpe:
     return PrefixBpe(path)
 
 
+on_handover(encoder.cache_clear)
+
+
 def encoded(df: DataFrame, text_col: str = "text", path: str | None = None, ids: str = "ids", decoded: str | None = "decoded") -> DataFrame:
     """All columns of ``df`` with the token ids of ``text_col`` as binary
     (little-endian unsigned 32-bit) and, unless ``decoded`` is None, the text they

@@ -7,6 +7,7 @@ import string
 from collections.abc import Callable
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,6 +38,23 @@ def with_row_id(df: DataFrame, name: str = "_rid") -> DataFrame:
     return numbered if scan_only(df) else cut(numbered)
 
 
+_LEFT: list[Callable[[], None]] = []
+
+
+def on_handover(drop: Callable[[], None]) -> None:
+    """Register what drops an operator's tables from a Python worker."""
+    _LEFT.append(drop)
+
+
+def handed_on() -> None:
+    """To be called by a task of an operator that keeps no tables. Spark reuses Python
+    workers: what tasks of other operators have left in this one would stay beside
+    what this task takes, and Arrow keeps memory it has freed."""
+    for drop in _LEFT:
+        drop()
+    pa.default_memory_pool().release_unused()
+
+
 def bitmap(df: DataFrame, place: Callable[[int], Column], most: int, per_row: int = 16, least: int = 1 << 16) -> tuple[bytes, int]:
     """Bits set at ``place(bits)`` of every row, and how many bits there are:
     ``per_row`` for each row, rounded up to a power of two, from ``least`` to

@@ -49,7 +49,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pizarra.llm.common import cut, release, table, with_row_id
+from pizarra.llm.common import cut, handed_on, release, table, with_row_id
 from pizarra.llm.components import components
 from pizarra.llm.suffix_dedup import taking_part
 
@@ -96,6 +96,7 @@ def sketch(docs: DataFrame, n: int) -> np.ndarray:
     """How many documents' shingles fall on each counter, over all rows."""
 
     def run(batches):
+        handed_on()
         counts = np.zeros(SKETCH, np.int64)
         for batch in batches:
             for text in batch.column(0):
@@ -114,6 +115,7 @@ def sized(docs: DataFrame, order: np.ndarray, n: int, percent: int) -> DataFrame
     grp (digest of prefix and size), prefix (its shingles, in common order)."""
 
     def run(batches):
+        handed_on()
         for batch in batches:
             size, whole, group, prefix = [], [], [], []
             for text in batch.column("text"):

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pizarra.llm import bpe, chat_format, language_id, packing, pii, quality, url_filter
+from pizarra.llm import bpe, chat_format, language_id, ngram_join, packing, pii, quality, url_filter
 from pizarra.llm.queries import ORACLES
 
 
@@ -132,6 +132,64 @@ def test_bpe_tables_are_bounded(monkeypatch):
     assert len(small._words) == 1 and not small._old_words and not small._apart
 
 
+@pytest.mark.parametrize("most", [1, 150, 1 << 20])
+def test_bpe_slices_are_bounded_by_bytes(monkeypatch, most):
+    monkeypatch.setattr(bpe, "SLICE_BYTES", most)
+    monkeypatch.setattr(bpe, "SLICE", 7)
+    texts = pa.array(["", *ODD, "a word " * 60, None, "x", ""] * 3)
+    whole = texts.fill_null("").cast(pa.large_string()).slice(1)
+    parts = list(bpe.slices(whole))
+    assert [t for p in parts for t in p.to_pylist()] == whole.to_pylist()
+    assert all(len(p) <= 7 and (len(p) == 1 or sum(len(t.encode()) for t in p.to_pylist()) <= most) for p in parts)
+    theirs = library()
+    for text, ids in zip(texts.to_pylist(), bpe.encoder(bpe.default_vocabulary()).encode_all(texts), strict=True):
+        assert ids.tolist() == theirs.encode(text or "", add_special_tokens=False).ids
+    assert not list(bpe.slices(whole[:0]))
+
+
+def test_bpe_gives_back_what_arrow_held(monkeypatch):
+    """Arrow's pool is emptied after each slice, when its columns are gone."""
+    held, pool = [], pa.default_memory_pool()
+
+    class Pool:
+        def release_unused(self):
+            held.append(pool.bytes_allocated())
+
+    texts = pa.array(["some words of a text " * 2000] * 60)
+    monkeypatch.setattr(bpe.pa, "default_memory_pool", Pool)
+    monkeypatch.setattr(bpe, "SLICE_BYTES", 1 << 20)
+    before = pool.bytes_allocated()
+    assert sum(1 for _ in bpe.encoder(bpe.default_vocabulary()).encode_all(texts)) == 60
+    assert len(held) == len(list(bpe.slices(texts.cast(pa.large_string())))) > 1
+    # the places of the stretches (4 bytes for each) and what is sent, not copies of the texts
+    assert max(held) - before < 3 << 20
+
+
+def test_workers_are_handed_on_without_the_encoder():
+    """A task of an operator without tables drops what the encoder left in its worker."""
+
+    class Frame:
+        schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("text", T.StringType())])
+
+        def select(self, *columns):
+            return self
+
+        def mapInArrow(self, run, schema):
+            list(run(iter([])))
+            raise InterruptedError
+
+    for operator in (
+        lambda: quality.quality_measures(Frame(), "id", "text"),
+        lambda: ngram_join.sketch(Frame(), 4),
+        lambda: ngram_join.sized(Frame(), np.zeros(ngram_join.SKETCH, np.int64), 4, 85),
+    ):
+        bpe.encoder(bpe.default_vocabulary()).encode("some words")
+        assert bpe.encoder.cache_info().currsize == 1
+        with pytest.raises(InterruptedError):
+            operator()
+        assert bpe.encoder.cache_info().currsize == 0
+
+
 def test_bpe_columns(docs, sample):
     df = docs(sample, extra=["ids"])
     got = df.select("text", bpe.bpe_encode(F.col("text")).alias("packed")).withColumn("back", bpe.bpe_decode(F.col("packed"))).collect()
