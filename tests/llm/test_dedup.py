@@ -174,6 +174,22 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+@pytest.mark.parametrize("block", [1 << 20, 8])
+def test_components_in_blocks(spark, monkeypatch, block):
+    """One block of links is settled by its contraction; several go on to star joins."""
+    from pizarra.llm import components as module
+
+    rounds = []
+    star_joins = module._star_joins
+    monkeypatch.setattr(module, "LINKS", block)
+    monkeypatch.setattr(module, "_star_joins", lambda links: rounds.append(links.count()) or star_joins(links))
+    chain = [(k, k + 1) for k in range(100, 140)]
+    links = chain + chain[::-1] + [(900 - k, 900) for k in range(1, 12)] + [(7, 3), (3, 5), (5, 5), (60, 60), (5, 140), (None, 4)]
+    got = {r["node"]: r["root"] for r in components(spark.createDataFrame(links, "a long, b long").repartition(5)).collect()}
+    assert got == {k: 3 for k in (3, 5, 7, *range(100, 141))} | {k: 889 for k in range(889, 901)}
+    assert bool(rounds) == (block == 8)
+
+
 @pytest.mark.parametrize("kind", ["repartitioned", "joined", "unioned", "sorted"])
 def test_any_frame_gives_the_rows_of_a_file(docs, sample, kind):
     """Row numbers agree in all branches, also where the frame is no file scan."""
