@@ -19,9 +19,9 @@ each live prefix and at most ``FILTER_BITS`` (16 MiB, the bound of what is sent
 the executors). It only saves work: a prefix that slips through is counted again
 and discarded by its own count.
 
-Scale: texts never leave their task; counts are combined per task (in tables of
-at most ``HELD`` prefixes, then handed on), so a source with a third of all rows and
-a term in every document are one row per flush. What is shuffled, once a level, grows
+Scale: texts never leave their task; counts are combined per slice of up to
+``HELD`` texts and ``SLICE_BYTES`` (split, coded and counted as Arrow and numpy columns), so a source with a
+third of all rows and a term in every document are one row per slice. What is shuffled, once a level, grows
 with the vocabulary. A row per ordered pair of
 sources of a language is the result itself; a term meets at most the sources of
 its language.
@@ -36,18 +36,19 @@ UTF-8 bytes, whatever their length.
 from __future__ import annotations
 
 import zlib
-from collections import Counter
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pizarra.llm.common import bitmap, cut, table
+from pizarra.llm.common import bitmap, cut, handed_on, table
 
 #: Bytes of the first level's prefixes, and how many times longer the next level's are.
 FIRST, GROWTH = 8, 4
-#: Prefixes a task holds before it hands its counts on.
-HELD = 400_000
+#: Texts that are counted together, and their bytes.
+HELD, SLICE_BYTES = 20_000, 1 << 24
 FILTER_BITS = 1 << 27
 #: Bytes of terms, A-Z lower-cased; every other byte is a blank.
 TERM_BYTES = bytes(c if c >= 0x80 or chr(c).islower() else ord(chr(c).lower()) if chr(c).isupper() else 0x20 for c in range(256))
@@ -63,54 +64,93 @@ def live_filter(live: DataFrame) -> tuple[bytes, int]:
     return bitmap(live, lambda bits: _place(F.col("lang"), F.col("key"), bits), FILTER_BITS)
 
 
+def _ends(texts: pa.Array) -> np.ndarray:
+    """Where the texts of a large binary array start in its data, and the last ends."""
+    return np.frombuffer(texts.buffers()[1], np.int64, len(texts) + 1, 8 * texts.offset)
+
+
+def _terms(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """All terms of a slice of texts, A-Z lower-cased, and which text each is of."""
+    ends = _ends(texts)
+    data = texts.buffers()[2]
+    data = bytes(memoryview(data)[ends[0] : ends[-1]] if data is not None else b"").translate(TERM_BYTES)
+    plain = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(texts), [None, pa.py_buffer(ends - ends[0]), pa.py_buffer(data)])
+    split = pc.split_pattern(plain, b" ")
+    row = np.repeat(np.arange(len(texts)), np.diff(split.offsets.to_numpy()))
+    parts = pc.list_flatten(split)
+    full = pc.binary_length(parts).to_numpy() > 0
+    return row[full], parts.filter(pa.array(full))
+
+
+def _parts(texts: pa.Array) -> list[tuple[int, int]]:
+    """Slices of up to ``HELD`` texts and ``SLICE_BYTES``; a longer text is a slice of its own."""
+    ends, start, out = _ends(texts), 0, []
+    while start < len(texts):
+        stop = min(max(int(np.searchsorted(ends, ends[start] + SLICE_BYTES, side="right")) - 1, start + 1), start + HELD)
+        out.append((start, stop))
+        start = stop
+    return out
+
+
 def count_prefixes(docs: DataFrame, settled: int, size: int, live=None, bits: int = 0) -> DataFrame:
     """One level: (lang, source, key, docs, n). Keys are the first ``size`` bytes of
     terms of ``settled`` bytes and more whose prefix of that length is live. Shorter
     keys are complete terms, counted per source; prefixes are counted per language
     (source null, n 0), which is all that decides about them."""
-    kinds = (pa.string(), pa.string(), pa.binary(), pa.int64(), pa.int64())
     names = ["lang", "source", "key", "docs", "n"]
 
-    def run(batches):
-        bitmap = live.value if live is not None else None
-        held: dict[tuple[str, str], tuple[Counter, Counter]] = {}
-        prefixes: dict[str, Counter] = {}
-        alive: dict[str, dict[bytes, bool]] = {}
-
-        def flush():
-            for (lang, source), (in_docs, times) in held.items():
-                yield from rows(lang, source, in_docs, list(times.values()))  # both have their keys in one order
-            for lang, in_docs in prefixes.items():
-                yield from rows(lang, None, in_docs, pa.repeat(pa.scalar(0, pa.int64()), len(in_docs)))
-            for table_ in (held, prefixes, alive):
-                table_.clear()
-
-        def rows(lang, source, in_docs, times):
-            if in_docs:
-                same = [pa.repeat(pa.scalar(c, pa.string()), len(in_docs)) for c in (lang, source)]
-                columns = [pa.array(c, kind) for c, kind in zip((list(in_docs), list(in_docs.values()), times), kinds[2:])]
-                yield pa.RecordBatch.from_arrays([*same, *columns], names=names)
+    def alive(bitmap, langs, lang, row, terms):
+        """Whether the prefix of each term is live: looked up once for each prefix
+        and language of the slice."""
+        coded = pc.binary_slice(terms, 0, settled).dictionary_encode()
+        pairs = lang[row] * len(coded.dictionary) + coded.indices.to_numpy()
+        distinct = np.unique(pairs)
+        starts = [zlib.crc32(x.encode("utf-8", "surrogatepass") + b"\0") for x in langs]
+        prefixes = coded.dictionary.to_pylist()
+        which, prefix = (x.tolist() for x in np.divmod(distinct, max(1, len(prefixes))))
+        place = np.array([zlib.crc32(prefixes[k], starts[x]) for x, k in zip(which, prefix)], np.int64) & (bits - 1)
+        return (bitmap[place >> 3] >> (place & 7) & 1).astype(bool)[np.searchsorted(distinct, pairs)]
+
+    def counted(texts, lang, langs, group, groups, bitmap):
+        row, terms = _terms(texts)
+        if bitmap is not None:
+            long = pc.binary_length(terms).to_numpy() >= settled
+            row, terms = row[long], terms.filter(pa.array(long))
+            on = alive(bitmap, langs, lang, row, terms)
+            row, terms = row[on], terms.filter(pa.array(on))
+        coded = pc.binary_slice(terms, 0, size).dictionary_encode()
+        keys = coded.dictionary
+        del terms
+        wide = max(1, len(keys))
+        # once for each text and key, with its occurrences there
+        pairs, times = np.unique(row * wide + coded.indices.to_numpy(), return_counts=True)
+        row, key = np.divmod(pairs, wide)
+        whole = pc.binary_length(keys).to_numpy()[key] < size
+        # places: the groups (lang, source), then the languages
+        place = np.where(whole, group[row], len(groups) + lang[row]) * wide + key
+        order = np.argsort(place)
+        place, times = place[order], np.where(whole, times, 0)[order]
+        first = np.flatnonzero(np.append(True, place[1:] != place[:-1])) if len(place) else np.zeros(0, np.int64)
+        n = np.add.reduceat(times, first) if len(first) else np.zeros(0, np.int64)
+        at, key = np.divmod(place[first], wide)
+        of = [pa.array([*(g[k] for g in groups), *(x if k == 0 else None for x in langs)], pa.string()) for k in (0, 1)]
+        columns = [*(c.take(pa.array(at)) for c in of), keys.take(pa.array(key)).cast(pa.binary()), pa.array(np.diff(np.append(first, len(place)))), pa.array(n)]
+        return pa.RecordBatch.from_arrays(columns, names=names)
 
+    def run(batches):
+        handed_on()
+        bitmap = np.frombuffer(live.value, np.uint8) if live is not None else None
         for batch in batches:
-            for text, lang, source in zip(*(batch.column(c) for c in ("text", "lang", "source"))):
-                lang = lang.as_py()
-                found = text.as_py().translate(TERM_BYTES).split()
-                if bitmap is not None:
-                    found = [w for w in found if len(w) >= settled]
-                    known, start = alive.setdefault(lang, {}), zlib.crc32(lang.encode("utf-8", "surrogatepass") + b"\0")
-                    for prefix in {w[:settled] for w in found}:
-                        if prefix not in known:
-                            place = zlib.crc32(prefix, start) & (bits - 1)
-                            known[prefix] = bool(bitmap[place >> 3] >> (place & 7) & 1)
-                    found = [w for w in found if known[w[:settled]]]
-                complete = [w for w in found if len(w) < size]
-                in_docs, times = held.setdefault((lang, source.as_py()), (Counter(), Counter()))
-                in_docs.update(dict.fromkeys(complete).keys())
-                times.update(complete)
-                prefixes.setdefault(lang, Counter()).update({w[:size] for w in found if len(w) >= size})
-            if sum(len(c) for c, _ in held.values()) + sum(map(len, prefixes.values())) + sum(map(len, alive.values())) > HELD:
-                yield from flush()
-        yield from flush()
+            if not batch.num_rows:
+                continue
+            texts = batch.column("text").cast(pa.large_binary())
+            langs, sources = batch.column("lang").to_pylist(), batch.column("source").to_pylist()
+            for start, stop in _parts(texts):
+                of_group, of_lang = {}, {}
+                group = np.array([of_group.setdefault(g, len(of_group)) for g in zip(langs[start:stop], sources[start:stop])], np.int64)
+                lang = np.array([of_lang.setdefault(x, len(of_lang)) for x in langs[start:stop]], np.int64)
+                yield counted(texts.slice(start, stop - start), lang, list(of_lang), group, list(of_group), bitmap)
+                pa.default_memory_pool().release_unused()
 
     return docs.mapInArrow(run, "lang string, source string, key binary, docs long, n long")
 

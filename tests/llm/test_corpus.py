@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from pizarra.llm import divergence, mixing, spelling
@@ -216,6 +217,20 @@ def test_divergence_term_bytes():
         assert text.translate(divergence.TERM_BYTES).split() == term.findall(text.lower())
 
 
+def test_divergence_terms_of_slices(monkeypatch):
+    """Texts are split, coded and counted as columns, slice by slice; no term crosses texts."""
+    term = re.compile(rb"[A-Za-z\x80-\xff]+")
+    texts = ["", "Ab cd", "ab", "  x-Y ", "", "Ñandú z" * 9, "\u2003", "end"]
+    column = pa.array([t.encode() for t in ["left out", *texts, "too"]], pa.large_binary()).slice(1, len(texts))
+    monkeypatch.setattr(divergence, "SLICE_BYTES", 8)
+    assert divergence._parts(column) == [(0, 3), (3, 5), (5, 6), (6, 8)]
+    got = defaultdict(list)
+    for start, stop in divergence._parts(column):
+        for row, found in zip(*divergence._terms(column.slice(start, stop - start))):
+            got[start + int(row)].append(found.as_py())
+    assert got == {k: term.findall(t.encode().lower()) for k, t in enumerate(texts) if term.search(t.encode())}
+
+
 def test_divergence_discards_rare_prefixes(table):
     """A prefix of too few documents is not extended: the level after holds none of its terms."""
     rows = [(i, f"common rare{chr(97 + i)}term commonplace", "en", f"s{i % 2}") for i in range(6)] + [(9, "zzzzlonely zzzzalone", "en", "s0")]
