@@ -9,6 +9,11 @@ that is, if BPE leaves the two apart. Back-pointers then give the ids.
 Two tokens are compatible when undoing their merges from the highest rank down
 never meets a pair across the border that BPE would have merged first.
 
+The new words of a slice of texts are solved together, as columns: from each place,
+in order, the vocabulary's automaton is followed in all words at once, and a token
+becomes the last one of the prefix it ends if that has none yet (those from earlier
+places are longer) and it is compatible. Long words are solved by themselves.
+
 Special tokens in a text, normalisation and the split into words are those the
 tokenizer file declares. Plain Latin texts are lower-cased and cut at spaces by
 Arrow, and each distinct stretch of a slice of texts is encoded once; others go
@@ -47,6 +52,9 @@ WORD_END = "</w>"
 _END = "\ue000"  # stands for WORD_END inside the automaton
 #: Words in the younger half of a task's table, and pairs whose compatibility it knows.
 KNOWN_WORDS, KNOWN_PAIRS = 150_000, 1 << 17
+#: Words that are solved together, the bytes of the longest of them, and the binary
+#: digits of a place in the table of pairs that they share.
+TOGETHER, LONGEST, PAIR_BITS = 1 << 16, 64, 18
 #: Texts whose distinct stretches are found together, and their bytes.
 SLICE, SLICE_BYTES = 2048, 1 << 22
 # Lines for which the declared normalisation is lower-casing alone and the declared
@@ -127,20 +135,66 @@ class PrefixBpe:
             self._id_of_rank.append(vocab[a + b])
         automaton = ahocorasick.Automaton()
         self._size = [0] * len(rank_of)
+        kept: dict[str, int] = {}
         for s, rank in rank_of.items():
             plain = s.removesuffix(WORD_END) + _END if s.endswith(WORD_END) and s != WORD_END else s
             self._size[rank] = len(plain)
             # a token that BPE would not make of its own string never occurs
             if self._parts[rank] is None or self._keeps(rank):
                 automaton.add_word(plain, (rank, len(plain)))
+                kept[plain] = rank
         automaton.make_automaton()
         self._matches = automaton.iter
+        self._make_columns(kept)
         self.forget()
         split = "|".join(map(re.escape, sorted(self.specials, key=len, reverse=True)))
         self._special = re.compile(f"({split})") if split else None
 
+    def _make_columns(self, kept: dict[str, int]) -> None:
+        """The tokens' trie as arrays. Node 0 is none, 1 the root; nodes with children
+        come first, as ``_child`` has a row for each of them and a column for each
+        byte that some token has, and one for all others. Word ends are no nodes: a
+        node has the token that its string is and the one that it is with a word end."""
+        byte = {c: b for b, c in enumerate(_BYTES)}
+        edges: dict[int, int] = {}  # by 256 * node + byte
+        token, ending = {}, {}
+        for plain, rank in kept.items():
+            body = plain.removesuffix(_END)
+            if not body or any(c not in byte for c in body):
+                continue  # is in no word
+            node = 0
+            for c in body:
+                node = edges.setdefault(node << 8 | byte[c], len(edges) + 1)
+            (token if body == plain else ending)[node] = rank
+        node, symbol = np.divmod(np.fromiter(edges, np.int64, len(edges)), 256)
+        inner = np.unique(np.append(node, 0))
+        number = np.full(len(edges) + 1, -1, np.int64)
+        number[inner] = np.arange(1, len(inner) + 1)
+        leaves = np.flatnonzero(number < 0)
+        number[leaves] = np.arange(len(inner) + 1, len(edges) + 2)
+        used = np.unique(symbol)
+        self._column = np.zeros(256, np.int16)
+        self._column[used] = np.arange(1, len(used) + 1)
+        self._inner, self._width = len(inner), len(used) + 1
+        self._child = np.zeros((self._inner + 1) * self._width, np.int32)
+        self._child[number[node] * self._width + self._column[symbol]] = number[np.fromiter(edges.values(), np.int64, len(edges))]
+        self._token, self._ending = np.full((2, len(edges) + 2), -1, np.int32)
+        for of_node, found in ((self._token, token), (self._ending, ending)):
+            of_node[number[np.fromiter(found, np.int64, len(found))]] = [*found.values()]
+        self._bytes_of = np.array(self._size, np.int64)
+        with_end = [rank for plain, rank in kept.items() if plain.endswith(_END)]
+        self._bytes_of[with_end] -= 1  # without the word end
+        self._ids = np.array(self._id_of_rank, "<u4")
+        self._halves = np.array([p or (-1, -1) for p in self._parts], np.int64).reshape(-1, 2).T
+        pairs = np.array([a * len(self._parts) + b for a, b in self._merge], np.int64)
+        by_pair = np.argsort(pairs)
+        self._merged = np.append(pairs[by_pair], 1 << 62)
+        self._merged_rank = np.append(np.array([*self._merge.values()], np.int64)[by_pair], 0)
+
     def forget(self) -> None:
         """Drop the tables of what has been encoded."""
+        self._pair = np.full(1 << PAIR_BITS, -1, np.int64)
+        self._fits = np.zeros(1 << PAIR_BITS, bool)
         self._apart: defaultdict[int, dict[int, bool]] = defaultdict(dict)
         self._pairs = 0
         self._words: dict[str, bytes] = {"\n": b""}  # between stretches
@@ -171,6 +225,23 @@ class PrefixBpe:
             else:
                 return True
 
+    def _all_compatible(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """``_compatible`` of many pairs."""
+        out, at = np.zeros(len(left), bool), np.arange(len(left))
+        limit, (head, tail) = np.full(len(left), len(self._parts)), self._halves
+        while len(at):
+            pair = left * len(self._parts) + right
+            k = np.searchsorted(self._merged, pair)
+            apart = (self._merged[k] != pair) | (self._merged_rank[k] >= limit)
+            undo_left = (tail[left] >= 0) & ((left > right) | (head[right] < 0))
+            undo_right = ~undo_left & (head[right] >= 0)
+            out[at[apart & ~undo_left & ~undo_right]] = True
+            on = np.flatnonzero(apart & (undo_left | undo_right))
+            at, of_left, left, right = at[on], undo_left[on], left[on], right[on]
+            limit = np.where(of_left, left, right + 1)
+            left, right = np.where(of_left, tail[left], left), np.where(of_left, right, head[right])
+        return out
+
     def encode_word(self, word: str) -> list[int]:
         """Ids of one word (byte-level characters, without its word end)."""
         marked = word + _END
@@ -208,20 +279,113 @@ class PrefixBpe:
         fits = self._apart[left][right] = self._compatible(left, right)
         return fits
 
+    def _all_fit(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Which pairs of tokens are compatible. A pair has one place in the table and
+        takes it from the pair that had it."""
+        pair = left.astype(np.int64) * len(self._parts) + right
+        at = ((pair.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - PAIR_BITS)).astype(np.int64)
+        fits = self._fits[at]
+        new = np.flatnonzero(self._pair[at] != pair)
+        if len(new):
+            pairs, first, same = np.unique(pair[new], return_index=True, return_inverse=True)
+            found = self._all_compatible(*np.divmod(pairs, len(self._parts)))
+            fits[new] = found[same]
+            places, last = np.unique(at[new[first]][::-1], return_index=True)
+            last = len(first) - 1 - last  # one pair for each place
+            self._pair[places], self._fits[places] = pairs[last], found[last]
+        return fits
+
+    def encode_words(self, words: list[str]) -> list[bytes]:
+        """Packed ids of plain words without line ends, as they stand in the text."""
+        out: list[bytes] = []
+        for start in range(0, len(words), TOGETHER):
+            out += self._encode_together(words[start : start + TOGETHER])
+        return out
+
+    def _encode_together(self, words: list[str]) -> list[bytes]:
+        text = np.frombuffer(("\n".join(words) + "\n").encode(), np.uint8)
+        ends = np.flatnonzero(text == 10)
+        starts = np.append(0, ends[:-1] + 1)
+        size = ends - starts
+        solved = np.flatnonzero((size > 0) & (size <= LONGEST))
+        order = solved[np.argsort(-size[solved], kind="stable")]
+        starts, size = starts[order], size[order]
+        most = int(size[0]) if len(size) else 0
+        longer = np.searchsorted(-size, -np.arange(most + 1), side="left")  # words of more than so many bytes
+        symbols = [self._column[text[starts[: longer[p]] + p]] for p in range(most)]
+        last = np.full((most + 1, len(order)), -1, np.int32)  # tokens of prefixes, in the last row of whole words
+        whole = last[most]
+        for p in range(most):
+            before = last[p]
+            at = np.arange(longer[p]) if not p else np.flatnonzero(before[: longer[p]] >= 0)
+            node = self._child[self._width + symbols[p][at].astype(np.int64)]
+            for end in range(p + 1, most + 1):
+                alive = np.flatnonzero(node)
+                if not len(alive):
+                    break
+                at, node = at[alive], node[alive]
+                inside = int(np.searchsorted(at, longer[end]))
+                for words_at, token, known in ((at[:inside], self._token[node[:inside]], last[end]), (at[inside:], self._ending[node[inside:]], whole)):
+                    new = np.flatnonzero((token >= 0) & (known[words_at] < 0))
+                    if len(new):
+                        words_at, token = words_at[new], token[new]
+                        if p:
+                            fits = self._all_fit(before[words_at], token)
+                            words_at, token = words_at[fits], token[fits]
+                        known[words_at] = token
+                on = np.flatnonzero(node[:inside] <= self._inner)
+                at = at[on]
+                node = self._child[node[on].astype(np.int64) * self._width + symbols[end][at]] if len(on) else node[:0]
+        if (whole < 0).any():
+            raise ValueError(f"no encoding of {words[order[int(np.argmin(whole))]]!r}")
+        # back from the ends; a word's ids are found last first
+        steps, n = [], np.zeros(len(words), np.int64)
+        at, rank, left = np.arange(len(order)), whole, size
+        while len(at):
+            steps.append((at, rank))
+            n[order[at]] += 1
+            left = left - self._bytes_of[rank]
+            more = np.flatnonzero(left)
+            at, left = at[more], left[more]
+            rank = last[left, at]
+        upto = np.cumsum(n)
+        ids = np.empty(int(upto[-1]) if len(upto) else 0, "<u4")
+        for k, (at, rank) in enumerate(steps):
+            ids[upto[order[at]] - 1 - k] = self._ids[rank]
+        packed = memoryview(ids.tobytes())
+        out = [bytes(packed[4 * a : 4 * b]) for a, b in zip((upto - n).tolist(), upto.tolist(), strict=True)]
+        for k in np.flatnonzero(ends - np.append(0, ends[:-1] + 1) > LONGEST).tolist():
+            out[k] = _packed(self.encode_word(self._marked(words[k])))
+        return out
+
+    @staticmethod
+    def _marked(word: str) -> str:
+        """A plain word in the characters that stand for its bytes."""
+        return word if word.isascii() else word.encode().decode("latin-1").translate(_BYTES)
+
     def _word(self, word: str) -> bytes:
         """Ids of a word that is not in the younger half of the table. The library's
         byte-level words have a mark ahead, plain ones are as they stand in the text."""
         ids = self._old_words.get(word)
         if ids is None:
-            if word[0] == _END:
-                plain = word[1:]
-            else:
-                plain = word if word.isascii() else word.encode().decode("latin-1").translate(_BYTES)
-            ids = _packed(self.encode_word(plain))
+            ids = _packed(self.encode_word(word[1:] if word[0] == _END else self._marked(word)))
+        self._know(word, ids)
+        return ids
+
+    def _know(self, word: str, ids: bytes) -> None:
         if len(self._words) >= KNOWN_WORDS:
             self._old_words, self._words = self._words, {"\n": b""}
         self._words[word] = ids
-        return ids
+
+    def _packed_words(self, words: list[str]) -> list[bytes]:
+        """Ids of each of some plain words (and line ends). New ones are solved together."""
+        out = list(map(self._words.get, words))
+        new: dict[str, bytes | None] = {w: self._old_words.get(w) for w, ids in zip(words, out, strict=True) if ids is None}
+        unsolved = [w for w, ids in new.items() if ids is None]
+        new.update(zip(unsolved, self.encode_words(unsolved), strict=True))
+        for word, ids in new.items():
+            self._know(word, ids)
+        return [new[w] if ids is None else ids for w, ids in zip(words, out, strict=True)] if new else out
 
     def _line(self, line: str) -> list[str]:
         if _SIMPLE.fullmatch(line):
@@ -250,25 +414,33 @@ class PrefixBpe:
             for part in self._special.split(text)
         )
 
-    def _stretches(self, stretches: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of plain lower-cased stretches, one after the other, and how many
-        each has. They are split into words together, with line ends between."""
-        if not stretches:
-            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
-        words = _STRETCH_WORDS.findall("\n".join(stretches))
-        packed = list(map(self._words.get, words))
-        for k, ids in enumerate(packed):
-            if ids is None:
-                ids = self._words.get(words[k])  # it may have come up since
-                packed[k] = self._word(words[k]) if ids is None else ids
-        size = np.fromiter(map(len, packed), np.int64, len(packed)) // 4
-        upto = np.concatenate(([0], np.cumsum(size)))
+    def _stretches(self, stretches: pa.Array) -> tuple[np.ndarray, ...]:
+        """The ids of distinct plain lower-cased stretches, and where each one's begin
+        and how many it has. Stretches that are a known word need not be split; the
+        others are split together, with line ends between."""
+        if not len(stretches):
+            return np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        texts = pc.binary_join(pa.ListArray.from_arrays([0, len(stretches)], stretches), pa.scalar("\n", stretches.type))[0].as_py().split("\n")
+        packed = list(map(self._words.get, texts))
+        size = np.fromiter((-1 if ids is None else len(ids) // 4 for ids in packed), np.int64, len(packed))
+        unknown = np.flatnonzero(size < 0)
+        words = _STRETCH_WORDS.findall("\n".join([texts[k] for k in unknown.tolist()]))
+        parts = self._packed_words(words)
+        upto = np.append(0, np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) // 4))
         line_ends = np.flatnonzero(np.fromiter(map("\n".__eq__, words), bool, len(words)))
-        return np.frombuffer(b"".join(packed), "<u4"), np.diff(upto[np.concatenate(([0], line_ends, [len(words)]))])
+        ends = upto[np.append(line_ends, len(words))]  # line ends have no ids
+        known = [ids for ids in packed if ids is not None]
+        size[unknown] = 0
+        n_known = int(size.sum())
+        first = np.cumsum(size) - size
+        if len(unknown):
+            size[unknown] = np.diff(ends, prepend=0)
+            first[unknown] = n_known + ends - size[unknown]
+        return np.frombuffer(b"".join([*known, *parts]), "<u4"), first, size
 
     def _slice(self, part: pa.Array) -> tuple[np.ndarray, ...]:
         """Of a slice of texts: whether each goes through the library, where its
-        stretches end, which ones they are, and the ids of the distinct ones."""
+        stretches end, which ones they are, and the distinct ones' ids and places."""
         odd = pc.match_substring_regex(part, _ODD).to_numpy(zero_copy_only=False)
         for s in self.specials:
             odd = odd | pc.match_substring(part, s).to_numpy(zero_copy_only=False)
@@ -276,16 +448,15 @@ class PrefixBpe:
         lists = pc.split_pattern(pc.replace_substring(pc.utf8_lower(plain), "\n", " "), " ")
         ends = lists.offsets.to_numpy()
         coded = pc.list_flatten(lists).dictionary_encode()
-        return odd, ends - ends[0], coded.indices.to_numpy(), *self._stretches(coded.dictionary.to_pylist())
+        return odd, ends - ends[0], coded.indices.to_numpy(), *self._stretches(coded.dictionary)
 
     def encode_all(self, texts: pa.Array) -> Iterator[np.ndarray]:
         """The ids of each text of an Arrow array, in order."""
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
         for part in slices(texts):
-            odd, ends, which, flat, size = self._slice(part)
+            odd, ends, which, flat, first, size = self._slice(part)
             # Arrow keeps the memory of a slice's columns, several times the texts, for later
             pa.default_memory_pool().release_unused()
-            first = np.cumsum(size) - size
             for k in range(len(part)):
                 if odd[k]:
                     yield np.frombuffer(self.encode(part[k].as_py()), "<u4")

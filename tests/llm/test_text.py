@@ -132,6 +132,37 @@ def test_bpe_tables_are_bounded(monkeypatch):
     assert len(small._words) == 1 and not small._old_words and not small._apart
 
 
+@pytest.mark.parametrize("together, digits", [(3, 1), (1 << 16, 18)])
+def test_bpe_solves_new_words_together(monkeypatch, together, digits):
+    """A slice's new words are solved as columns, only long ones by themselves."""
+    monkeypatch.setattr(bpe, "TOGETHER", together)
+    monkeypatch.setattr(bpe, "PAIR_BITS", digits)
+    mine, theirs, alone, r = bpe.PrefixBpe(bpe.default_vocabulary()), library(), [], random.Random(8)
+    by_itself = mine.encode_word
+    monkeypatch.setattr(mine, "encode_word", lambda w: alone.append(w) or by_itself(w))
+    words = ["".join(r.choice(kind) for _ in range(r.choice([1, 2, 5, 9, 20, 63, 64]))) for kind in ("etaoinshr", "abcdefghijklmnopqrstuvwxyz", "éàßñōa", "aab", "#-!?.", "them")
+             for _ in range(60)]
+    short = [w for w in words if len(w.encode()) <= bpe.LONGEST]
+    long = ["ab" * 33, "é" * 40, "a" * 65, "q" * 500]
+    for some in (short, [], long, [*long, *short, "x"], ["a"]):
+        assert [np.frombuffer(x, "<u4").tolist() for x in mine.encode_words(some)] == [theirs.encode(w, add_special_tokens=False).ids for w in some]
+    assert {len(w) for w in alone} == {65, 66, 80, 500}
+    alone.clear()
+    texts = [" ".join(r.sample(short, 40)) for _ in range(9)] + ["it's  the dog's, can't!'s 'tis 3rd\n\nof '9'."]
+    for text, ids in zip(texts, mine.encode_all(pa.array(texts)), strict=True):
+        assert ids.tolist() == theirs.encode(text, add_special_tokens=False).ids, text
+    assert not alone
+
+
+def test_bpe_pairs_as_columns():
+    r, mine = np.random.default_rng(3), bpe.encoder(bpe.default_vocabulary())
+    left, right = r.integers(0, len(mine._parts), (2, 3000))
+    left, right = np.append(left, [a for a, _ in mine._merge][:2000]), np.append(right, [b for _, b in mine._merge][:2000])
+    known = [mine._compatible(a, b) for a, b in zip(left.tolist(), right.tolist())]
+    assert mine._all_compatible(left, right).tolist() == known and {*known} == {True, False}
+    assert mine._all_fit(left, right).tolist() == mine._all_fit(left, right).tolist() == known
+
+
 @pytest.mark.parametrize("most", [1, 150, 1 << 20])
 def test_bpe_slices_are_bounded_by_bytes(monkeypatch, most):
     monkeypatch.setattr(bpe, "SLICE_BYTES", most)
